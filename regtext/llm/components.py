@@ -6,20 +6,51 @@ with aggregates, so a hub with very many neighbours is pre-aggregated and never
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regtext.llm.support import materialise
+from regtext.llm.support import map_batches, materialise
 
 #: Rounds after which a graph that still changes is an error: the number needed grows with the log of its longest path.
 ROUNDS = 60
 
 
+#: Nodes whose labels a task keeps while it contracts its edges.
+HELD = 1_000_000
+
+
+def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars: what they join stays joined, over paths that are shorter."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(root(x), x) for x in list(up)]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["lo", "hi"])
+
+    for b in batches:
+        for lo, hi in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = root(lo), root(hi)
+            up[max(x, y)] = min(x, y)
+        if len(up) > HELD:
+            yield stars()
+            up.clear()
+    yield stars()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and root (the smallest node of its component) of every node in edges; loops and repeated edges may occur."""
+    """node and root (the smallest node of its component) of every node in edges (of longs); loops and repeated edges may occur."""
     now = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct()
     alone = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"))
-    now = materialise(now, "edges")
+    now = materialise(map_batches(now, _contract, "lo long, hi long"), "edges")
     state = _digest(now)
     for _ in range(ROUNDS):
         both = now.unionByName(now.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))

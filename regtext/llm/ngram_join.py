@@ -7,8 +7,8 @@
    similar enough share a gram of both prefixes); grams beyond that share come later, in order of their hash.
    Postings are exchanged as packed arrays. A gram that is frequent within one map task's block sends a mark
    instead of its postings and comes last in the order, so no hot gram is collected anywhere.
-3. Sets whose prefixes share a gram are candidates: star edges from the least set of each gram, then
-   connected components. Most sets have only grams of their own in their prefix and end here.
+3. Sets of similar size whose prefixes share a gram are candidates: star edges from the least set of each gram
+   and band of sizes, then connected components. Most sets have only grams of their own in their prefix and end here.
 4. The sets of a candidate component are stored in a trie in their global order (split into blocks of bounded
    size, with a task for each pair of blocks that is needed). Each set traverses it, sharing the
    overlap of common beginnings; subtrees end by the remaining-length bound and where all is linked already.
@@ -47,7 +47,7 @@ BLOCK_GRAMS = 1_000_000
 #: Frequency class of hot grams: behind all others of the counted share; those beyond the share come after them.
 LAST = 1 << 40
 
-_MASK = (1 << 64) - 1
+
 
 
 class WordHash(dict):
@@ -208,8 +208,12 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows(g[shared], k[shared], df[shared])
 
 
-def _candidates(classes: DataFrame, bounds: Bounds, buckets: int) -> DataFrame:
-    """Star edges (a, b) between sets whose prefixes share a gram."""
+def _candidates(classes: DataFrame, bounds: Bounds, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Star edges (a, b) between nodes whose sets have prefixes that share a gram, and the key of each node.
+
+    A node is a set in one band of sizes: similar sets are in the same band or in neighbouring ones, so each
+    set stands in its own band and in the one below, and sets of different sizes don't meet.
+    """
     packed = map_batches(classes.select("key", "sent"), _postings(buckets, bounds.edge), _PACKED)
     shared = map_batches(packed.repartitionById(buckets, F.col("bucket")), _shared, _SHARED)
     # of a set's grams that are sent, those that no other set has come first
@@ -219,10 +223,14 @@ def _candidates(classes: DataFrame, bounds: Bounds, buckets: int) -> DataFrame:
     inside = F.when(F.shiftrightunsigned("gram", 32) < F.lit(int(bounds.edge >> np.uint64(32))), F.col("df")).otherwise(F.lit(LAST + 1))
     lists = shared.groupBy("key").agg(F.collect_set(F.struct(inside.alias("df"), "gram")).alias("grams"))
     left = (prefix - (F.col("sent") - F.size("grams"))).cast("int")
-    kept = lists.join(sizes, "key").withColumn("left", left).where("left > 0").select("key", F.explode(F.slice(F.array_sort("grams"), F.lit(1), F.col("left"))).alias("g"))
-    kept = materialise(kept.select("key", F.col("g.gram").alias("gram")), "prefixes")
-    hubs = kept.groupBy("gram").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").drop("z")
-    return kept.join(hubs, "gram").where("a <> key").select("a", F.col("key").alias("b")).distinct()
+    kept = lists.join(sizes, "key").withColumn("left", left).where("left > 0")
+    width = -np.log(t) + 1e-6
+    band = F.floor(F.log(F.col("n")) / F.lit(float(width))).cast("int")
+    kept = kept.select("key", band.alias("band"), F.explode(F.slice(F.array_sort("grams"), F.lit(1), F.col("left"))).alias("g"))
+    kept = kept.select("key", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("g.gram").alias("gram"))
+    kept = materialise(kept.withColumn("node", F.xxhash64("key", "band")), "prefixes")
+    hubs = kept.groupBy("gram", "band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
+    return kept.join(hubs, ["gram", "band"]).where("a <> node").select("a", F.col("node").alias("b")).distinct(), kept.select("node", "key").distinct()
 
 
 class Trie:
@@ -231,7 +239,7 @@ class Trie:
     Nodes stand in order of their depth; node i covers the leaves low[i] to high[i] of the sorted sets.
     """
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
+    def __init__(self, sets: list[np.ndarray], bounds: Bounds) -> None:
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
         s = [sets[i] for i in self.order]
         self.sizes = np.array([len(x) for x in s])
@@ -256,7 +264,10 @@ class Trie:
                         m = min(len(x), len(y))
                         same = x[:m] == y[:m]
                         end = depth + (m if same.all() else int(same.argmin()))
-                    if j - i > 1 and end > depth or (j - i > 1 and len(s[i]) > depth):
+                        # a chain is cut behind the prefix, where most searches end
+                        cut = bounds.prefix(len(s[i]))
+                        end = cut if depth < cut < end else end
+                    if len(s[i]) > depth and (j - i > 1 or end < len(s[i])):
                         nxt.append((i, j, end, len(labels)))
                     labels.append(s[i][depth:end])
                     low.append(i)
@@ -296,16 +307,13 @@ class Trie:
             # what a set below can still share, against the least that any of them needs
             bound = overlap + np.minimum(most - end, rest)
             good = (bound >= t * (size + least) / (1 + t) - 1e-9) & (most >= t * size - 1e-9) & (least <= size / t + 1e-9)
-            for i in np.flatnonzero(good):
-                lo, hi = level["low"][nodes[i]], level["high"][nodes[i]]
-                if (label[lo:hi] == own).all():
-                    good[i] = False
-                elif end[i] == least[i]:  # sets that end in this node
-                    need = bounds.overlap(size, int(least[i]))
-                    if overlap[i] >= need:
-                        yield from (int(j) for j in range(lo, hi) if self.sizes[j] == end[i])
-                    if most[i] == end[i]:
-                        good[i] = False
+            low, high = level["low"][nodes], level["high"][nodes]
+            others = np.concatenate([[0], np.cumsum(label != own)])
+            good &= others[high] > others[low]
+            for i in np.flatnonzero(good & (end == least)):  # sets that end in this node
+                if overlap[i] >= bounds.overlap(size, int(least[i])):
+                    yield from (int(j) for j in range(low[i], high[i]) if self.sizes[j] == end[i])
+            good &= most > end
             nodes, overlap = nodes[good], overlap[good]
 
 
@@ -319,7 +327,7 @@ def block_links(queries: list[np.ndarray], stored: list[np.ndarray], bounds: Bou
     rank[np.lexsort((np.arange(len(tokens)), np.bincount(flat, minlength=len(tokens))))] = np.arange(len(tokens))
     local = [np.sort(rank[x]) for x in local]
     q, s = local[: len(queries)], local[len(queries) :]
-    trie = Trie(s)
+    trie = Trie(s, bounds)
     total = len(s) if same else len(q) + len(s)
     group = np.arange(total)
     place = np.array(trie.order, np.int64) + (0 if same else len(q))
@@ -371,8 +379,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = rows.schema["id"].dataType
     sets = materialise(map_batches(rows, _sets(n, percent), T.StructType([T.StructField("id", kind), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sent", T.BinaryType())])), "sets")
     grams = sets.agg(F.sum(F.octet_length("sent"))).first()[0] or 0
-    edges = _candidates(sets.where("sent is not null"), bounds, max(partitions(spark), ceil(grams / (32 << 20))))
-    candidates = materialise(components(edges).withColumnRenamed("node", "key").withColumnRenamed("root", "cluster"), "candidates")
+    edges, nodes = _candidates(sets.where("sent is not null"), bounds, max(partitions(spark), ceil(grams / (32 << 20))))
+    candidates = materialise(components(edges).withColumnRenamed("root", "cluster").join(nodes, "node").select("cluster", "key"), "candidates")
     # one document stands for each class; clusters above the size of a block are cut into several
     stands = sets.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     picked = candidates.join(stands, "key")
@@ -402,9 +410,9 @@ def _second_round(members: DataFrame, links: DataFrame, n: int, percent: int) ->
     """
     label = members.select("cluster", "key").join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     main = label.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    outside = label.join(main, "cluster").where("root <> main").select("key")
+    outside = label.join(main, "cluster").where("root <> main").select("cluster", "key")
     many = members.where("blocks > 2")
-    asking = many.join(outside, "key", "left_semi")
+    asking = many.join(outside, ["cluster", "key"], "left_semi")
     queries = asking.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: _pair(F.col("block"), j, 0)))).select("cluster", F.col("p.first").alias("first"), F.col("p.second").alias("second"), F.col("p.side").alias("side"), "key", "text")
     wanted = asking.select("cluster", F.col("block").alias("first")).distinct()
     stored = many.join(wanted, "cluster").select("cluster", "first", F.col("block").alias("second"), F.lit(1).alias("side"), "key", "text")
