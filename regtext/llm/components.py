@@ -60,7 +60,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: n and its smaller neighbours move to the least of them
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.withColumnRenamed("hi", "n").join(low.withColumnRenamed("hi", "k"), F.col("n") == F.col("k"))
-        small = joined.select(F.col("m").alias("lo"), F.explode(F.array("lo", "n")).alias("hi")).where("lo < hi").distinct()
+        moved = joined.where("m < lo").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
+        small = moved.unionByName(low.select(F.col("m").alias("lo"), "hi")).distinct()
         now = materialise(small, "edges")
         if (new := _digest(now)) == state:
             break
