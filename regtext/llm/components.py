@@ -1,7 +1,8 @@
 """Connected components over an edge table, by alternating large-star and small-star steps.
 
-Labels and edges stay in tables of the shared folder; the driver only sees counts. Neighbourhoods are reduced
-with aggregates, so a hub with very many neighbours is pre-aggregated and never collected.
+Labels and edges stay in tables of the shared folder; the driver only sees whether they are stars yet. Tasks contract
+the edges that they hold to stars before each exchange, and neighbourhoods are reduced with aggregates, so a hub
+with very many neighbours is pre-aggregated and never collected.
 """
 
 from __future__ import annotations
@@ -46,32 +47,37 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges contracted twice: where they are, and where all edges of their upper node meet (one from each task at most)."""
+    once = map_batches(edges, _contract, "lo long, hi long")
+    return map_batches(once.repartition("hi"), _contract, "lo long, hi long")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and root (the smallest node of its component) of every node in edges (of longs); loops and repeated edges may occur."""
-    now = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct()
+    now = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi")
     alone = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"))
-    now = materialise(map_batches(now, _contract, "lo long, hi long"), "edges")
-    state = _digest(now)
+    now = materialise(_stars(now), "edges")
     for _ in range(ROUNDS):
+        if _settled(now):
+            break
         both = now.unionByName(now.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = both.groupBy("lo").agg(F.min("hi").alias("m")).select(F.col("lo").alias("n"), F.least("lo", "m").alias("m"))
         # large star: every larger neighbour of n moves to the least of n's neighbourhood
-        large = now.join(least, now["lo"] == least["n"]).select(F.col("m").alias("lo"), "hi").where("lo < hi").distinct()
+        large = now.join(least, now["lo"] == least["n"]).select(F.col("m").alias("lo"), "hi").where("lo < hi")
         # small star: n and its smaller neighbours move to the least of them
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.withColumnRenamed("hi", "n").join(low.withColumnRenamed("hi", "k"), F.col("n") == F.col("k"))
         moved = joined.where("m < lo").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-        small = moved.unionByName(low.select(F.col("m").alias("lo"), "hi")).distinct()
-        now = materialise(small, "edges")
-        if (new := _digest(now)) == state:
-            break
-        state = new
+        now = materialise(_stars(moved.unionByName(low.select(F.col("m").alias("lo"), "hi"))), "edges")
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
-    roots = now.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
+    roots = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     selves = now.select(F.col("lo").alias("node")).union(alone).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
     return roots.unionByName(selves)
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)")), F.lit(0).cast("decimal(20,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges are stars: an upper node has one edge and is no lower node."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(edges.select(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("low").alias("low")).where("up > 1 or (up > 0 and low > 0)").isEmpty()

@@ -230,7 +230,7 @@ def _candidates(classes: DataFrame, bounds: Bounds, buckets: int) -> tuple[DataF
     kept = kept.select("key", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("g.gram").alias("gram"))
     kept = materialise(kept.withColumn("node", F.xxhash64("key", "band")), "prefixes")
     hubs = kept.groupBy("gram", "band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
-    return kept.join(hubs, ["gram", "band"]).where("a <> node").select("a", F.col("node").alias("b")).distinct(), kept.select("node", "key").distinct()
+    return kept.join(hubs, ["gram", "band"]).where("a <> node").select("a", F.col("node").alias("b")), kept.select("node", "key").distinct()
 
 
 class Trie:
