@@ -1,7 +1,7 @@
 """Connected components over an edge table, by alternating large-star and small-star steps.
 
-Labels and edges stay in tables of the shared folder; the driver only sees whether they are stars yet. Tasks contract
-the edges that they hold to stars before each exchange, and neighbourhoods are reduced with aggregates, so a hub
+Labels and edges stay in tables of the shared folder; the driver only sees whether they are stars yet. Edges are dealt
+by their upper node and contracted to stars in their tasks, and neighbourhoods are reduced with aggregates, so a hub
 with very many neighbours is pre-aggregated and never collected.
 """
 
@@ -48,8 +48,8 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """Edges contracted twice: where they are, and where all edges of their upper node meet (one from each task at most)."""
-    once = map_batches(edges, _contract, "lo long, hi long")
+    """Each edge once, and contracted where all edges of their upper node meet: a node sends one edge for each lower group at most."""
+    once = edges.groupBy("lo", "hi").agg(F.lit(1).alias("one")).select("lo", "hi")
     return map_batches(once.repartition("hi"), _contract, "lo long, hi long")
 
 
