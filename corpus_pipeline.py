@@ -14,21 +14,27 @@ from regtext.llm.support import shared_dir
 
 #: Near duplicates: words in a shingle, and percent of similarity.
 WORDS, PERCENT = 5, 80
+#: Key of the rows between the stages: given by the first, fixed when its rows are written, dropped by the last that needs it.
+ROW = "pipeline_row"
+
+
+def _row(docs: DataFrame) -> str | None:
+    return ROW if ROW in docs.columns else None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    return quality.drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the classifier does not reject, each with a key of its own."""
+    return quality.drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).withColumn(ROW, F.monotonically_increasing_id())
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup.drop_duplicates(docs)
+    return exact_dedup.drop_duplicates(docs, row_col=_row(docs))
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked texts, that with the smallest id."""
-    return ngram_join.drop_near_duplicates(docs, n=WORDS, percent=PERCENT)
+    return ngram_join.drop_near_duplicates(docs, n=WORDS, percent=PERCENT, row_col=_row(docs)).drop(ROW)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regtext.llm.support import FOLD, map_batches
+from regtext.llm.support import FOLD, map_batches, with_text_key
 
 WINDOW = 10
 #: Bytes of item text in one automaton: about 60 times as much memory in each worker.
@@ -126,7 +126,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in which no window of a test item occurs, with all their columns.
 
-    The verdict is joined by id, so it is only carried along for documents that are hit.
+    The verdict is joined by id and digest of the text, so it is only carried along for documents that are hit.
     """
-    bad = find_leaks(docs, items, id_col, text_col).where(F.size("runs") > 0).select(F.col(id_col).alias("_leaky"))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_leaky")), "left_anti")
+    rows, key = with_text_key(docs, text_col)
+    both = F.struct(F.col(id_col).alias("id"), F.col(key).alias("key"))
+    bad = find_leaks(rows.select(both.alias("id"), F.col(text_col).alias("text")), items, "id", "text").where(F.size("runs") > 0).select(F.col("id.id").alias("_leaky"), F.col("id.key").alias("_digest"))
+    return rows.join(bad, rows[id_col].eqNullSafe(F.col("_leaky")) & (rows[key] == F.col("_digest")), "left_anti").drop(key)

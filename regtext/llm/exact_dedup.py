@@ -8,7 +8,7 @@ same kind on the map side first, so that a group with a third of all rows sends
 
 Defined results: a null text counts as empty; texts are equal when identical without the characters
 [\\x20\\x09-\\x0D]; of equal texts the row with most code points, then the smallest id stays (null ids come
-last); rows that repeat an id with the same text share its decision; an empty table gives an empty result;
+last); rows that repeat an id with the same text share its decision, unless they have a key of their own; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regtext.llm.support import SPACE, map_batches, materialise, partitions, text_bytes
+from regtext.llm.support import SPACE, map_batches, materialise, partitions, text_bytes, with_row_key
 
 #: Bytes of distinct content that one bucket's table may hold.
 BUCKET_BYTES = 64 << 20
@@ -71,8 +71,8 @@ class OpenTable:
             self.slots[i] = j
 
 
-def _rank(points: int, key) -> tuple:
-    return (-points, key is None, key)
+def _rank(points: int, key, row: int) -> tuple:
+    return (-points, key is None, key, row)
 
 
 def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,16 +80,16 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = b.column(1).to_pylist()
         norm = [t.translate(None, SPACE) for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([hashlib.sha256(x).hexdigest() for x in norm]), pa.array([len(str(t, "utf-8", "replace")) for t in texts], pa.int64()), pa.array([len(x) for x in norm], pa.int64())],
-            ["id", "sha", "points", "bytes"],
+            [b.column(0), b.column(2), pa.array([hashlib.sha256(x).hexdigest() for x in norm]), pa.array([len(str(t, "utf-8", "replace")) for t in texts], pa.int64()), pa.array([len(x) for x in norm], pa.int64())],
+            ["id", "row", "sha", "points", "bytes"],
         )
 
 
 def _emit(table: OpenTable, id_type: pa.DataType, content: bool, step: int = 500) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(table.keys), step):
         keys, best = table.keys[a : a + step], table.best[a : a + step]
-        cols = [pa.array([hashlib.sha256(c).hexdigest() for _, c in keys]), pa.array([r[2] for r in best], id_type), pa.array([-r[0] for r in best], pa.int64()), pa.array(table.count[a : a + step], pa.int64())]
-        names = ["sha", "keep_id", "points", "n"]
+        cols = [pa.array([hashlib.sha256(c).hexdigest() for _, c in keys]), pa.array([r[2] for r in best], id_type), pa.array([r[3] for r in best], pa.int64()), pa.array([-r[0] for r in best], pa.int64()), pa.array(table.count[a : a + step], pa.int64())]
+        names = ["sha", "keep_id", "keep_row", "points", "n"]
         if content:
             cols.append(pa.array([c for _, c in keys], pa.binary()))
             names.append("content")
@@ -103,9 +103,9 @@ def _collapse(limit: int):
         table, kind = OpenTable(), None
         for b in batches:
             kind = b.column(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, text, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 c = text.translate(None, SPACE)
-                table.add(hash(c), c, _rank(len(str(text, "utf-8", "replace")), key), 1)
+                table.add(hash(c), c, _rank(len(str(text, "utf-8", "replace")), key, row), 1)
             if table.bytes > limit:
                 yield from _emit(table, kind, True)
                 table = OpenTable()
@@ -120,8 +120,8 @@ def _bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table, kind = OpenTable(), None
     for b in batches:
         kind = b.column(1).type
-        for key, points, n, c in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
-            table.add(hash(c), c, _rank(points, key), n)
+        for key, row, points, n, c in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True):
+            table.add(hash(c), c, _rank(points, key, row), n)
     if kind is not None:
         yield from _emit(table, kind, False)
 
@@ -155,24 +155,25 @@ def plan_buckets(signatures: DataFrame, bucket_bytes: int, least: int) -> tuple[
     return bucket, n
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, collapse_bytes: int = COLLAPSE_BYTES) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, text_sha256."""
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, collapse_bytes: int = COLLAPSE_BYTES, row_col: str | None = None) -> DataFrame:
+    """One row per row of docs: id, keep_id, group_size, kept, text_sha256, and row_col if one is named, which then is the last tie-break."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"), (F.col(row_col) if row_col else F.lit(0).cast("long")).alias("row"))
     kind = rows.schema["id"].dataType
     long = T.LongType()
-    signatures = materialise(map_batches(rows, _signatures, T.StructType([T.StructField("id", kind), T.StructField("sha", T.StringType()), T.StructField("points", long), T.StructField("bytes", long)])), "signatures")
+    signatures = materialise(map_batches(rows, _signatures, T.StructType([T.StructField("id", kind), T.StructField("row", long), T.StructField("sha", T.StringType()), T.StructField("points", long), T.StructField("bytes", long)])), "signatures")
     bucket, n = plan_buckets(signatures, bucket_bytes, partitions(spark))
-    group = [T.StructField("sha", T.StringType()), T.StructField("keep_id", kind), T.StructField("points", long), T.StructField("n", long)]
+    group = [T.StructField("sha", T.StringType()), T.StructField("keep_id", kind), T.StructField("keep_row", long), T.StructField("points", long), T.StructField("n", long)]
     collapsed = map_batches(rows, _collapse(collapse_bytes), T.StructType([*group, T.StructField("content", T.BinaryType())]))
     dealt = collapsed.repartitionById(n, bucket.cast("int"))
-    groups = map_batches(dealt, _bucket, T.StructType(group)).select("sha", "keep_id", F.col("n").alias("group_size"))
+    groups = map_batches(dealt, _bucket, T.StructType(group)).select("sha", "keep_id", "keep_row", F.col("n").alias("group_size"))
     return signatures.join(groups, "sha").select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
+        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))).alias("kept"), F.col("sha").alias("text_sha256"), *([F.col("row").alias(row_col)] if row_col else [])
     )
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row of each group of equal texts, with all its columns; of whole repeated rows one stays. row_col: a stored key of the rows, if they have one."""
+    rows, row = (docs, row_col) if row_col else with_row_key(docs)
+    kept = exact_duplicates(rows, id_col, text_col, row_col=row).where("kept").select(row)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regtext.llm.components import components
-from regtext.llm.support import LOWER, map_batches, materialise, partitions, text_bytes
+from regtext.llm.support import LOWER, map_batches, materialise, partitions, text_bytes, with_row_key
 
 #: Postings of a gram within one flush of a map task from which the gram counts as hot.
 HOT = 64
@@ -419,8 +419,10 @@ def _second_round(members: DataFrame, links: DataFrame, n: int, percent: int) ->
     return queries.unionByName(stored).groupBy("cluster", "first", "second").applyInPandas(_verify(n, percent), "a long, b long")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of linked documents, that with the smallest id, with all its columns."""
-    found = near_duplicates(docs, id_col, text_col, n, percent)
-    bad = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_copy"))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_copy")), "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, row_col: str | None = None) -> DataFrame:
+    """One row of each group of linked documents, that with the smallest id (null ids come last), with all its columns. row_col: a stored key of the rows, if they have one."""
+    rows, row = (docs, row_col) if row_col else with_row_key(docs)
+    order, text = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")), F.col(text_col)
+    found = near_duplicates(rows.select(order.alias("id"), text.alias("text")), "id", "text", n, percent)
+    bad = found.where("id.row <> component_id.row").select(F.col("id.row").alias(row))
+    return rows.join(bad, row, "left_anti").select(*docs.columns)

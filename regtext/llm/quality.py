@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regtext.llm.packed import SCHEMA, blocks_of, summed
-from regtext.llm.support import LOWER, map_batches, materialise, text_bytes
+from regtext.llm.support import LOWER, map_batches, materialise, text_bytes, with_text_key
 
 #: Ids of words and of shapes, context index vectors, dimensions.
 WORDS, SHAPES, CONTEXTS, DIM = 3072, 1024, 256, 32
@@ -113,7 +113,7 @@ def _pooled(vectors: np.ndarray):
         for b in batches:
             rows = [pool(t, vectors, ids) for t in b.column(1).to_pylist()]
             flat = pa.array(np.concatenate([*rows, np.zeros(0, np.float32)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * WIDTH), flat)], ["id", "features"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * WIDTH), flat), *b.columns[2:]], ["id", "features", *b.schema.names[2:]])
 
     return run
 
@@ -168,7 +168,7 @@ def _scored(network: Network):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, WIDTH)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(network.score(x))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(network.score(x)), *b.columns[2:]], ["id", "score", *b.schema.names[2:]])
 
     return run
 
@@ -178,12 +178,13 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """id, held_out, score and predicted of every row of docs."""
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, row_col: str | None = None) -> DataFrame:
+    """id, held_out, score and predicted of every row of docs, and its row_col if one is named."""
     vectors = word_vectors(docs, text_col)
-    rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
+    rest = rows.schema.fields[2:]
     kind = rows.schema["id"].dataType
-    features = materialise(map_batches(rows, _pooled(vectors), T.StructType([T.StructField("id", kind), T.StructField("features", T.ArrayType(T.FloatType()))])), "features")
+    features = materialise(map_batches(rows, _pooled(vectors), T.StructType([T.StructField("id", kind), T.StructField("features", T.ArrayType(T.FloatType())), *rest])), "features")
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("label").isin(0, 1))
     order = F.xxhash64(F.col("id").cast("string"))
     marks = marks.groupBy("id").agg(F.max("label").alias("label"))
@@ -191,11 +192,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     taken = features.join(chosen, "id").dropDuplicates(["id"]).withColumn("o", order).orderBy("o", "id").select("features", "label").toPandas()
     x = np.array(taken["features"].tolist(), np.float64).reshape(len(taken), WIDTH)
     network = Network().fit(x, taken["label"].to_numpy(float))
-    scored = map_batches(features, _scored(network), T.StructType([T.StructField("id", kind), T.StructField("score", T.DoubleType())]))
-    return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = map_batches(features, _scored(network), T.StructType([T.StructField("id", kind), T.StructField("score", T.DoubleType()), *rest]))
+    return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the classifier does not reject, with all their columns."""
-    bad = score_quality(docs, labels, id_col, text_col).where("predicted = 0").select(F.col(id_col).alias("_rejected"))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_rejected")), "left_anti")
+    rows, key = with_text_key(docs, text_col)
+    bad = score_quality(rows, labels, id_col, text_col, row_col=key).where("predicted = 0").select(F.col(id_col).alias("_rejected"), F.col(key).alias("_digest"))
+    return rows.join(bad, rows[id_col].eqNullSafe(F.col("_rejected")) & (rows[key] == F.col("_digest")), "left_anti").drop(key)

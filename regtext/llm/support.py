@@ -52,6 +52,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of its own for each row, fixed by writing them once, and the name of that key: ids may be null or repeated."""
+    row = fresh(docs.columns, "row_key")
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def with_text_key(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """docs with a digest of each text, and its name: what is said of a text holds for all rows of this id and digest."""
+    key = fresh(docs.columns, "text_key")
+    return docs.withColumn(key, F.sha2(text_bytes(text_col), 256)), key
+
+
 def map_batches(df: DataFrame, func: Callable, schema: T.StructType | str) -> DataFrame:
     """mapInArrow with batches of a bounded number of rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
