@@ -1,8 +1,9 @@
 """URL filter: rules first, and gradient-boosted trees on lexical features for what no rule judges.
 
 Rules are matched with Spark functions. The trees learn from urls that a rule has judged (or from given
-labels): a sample of at most SAMPLE of them, the first in order of a hash, goes to the driver, which fits
-histogram trees with numpy; scoring runs in the tasks without a shuffle.
+labels). The share of blocked urls of each suffix, and of each suffix with first directory, is counted over all
+of them, repeated ones once, and joined to the urls as features. A sample of at most SAMPLE distinct urls, the first
+in order of a hash, goes to the driver, which fits histogram trees with numpy; scoring runs in the tasks.
 
 Defined results: a null url or one without ``://`` has empty host and path and fits no rule; without labelled
 urls of both kinds the verdict for the rest is the only kind seen, or ``allow``; repeated rows get equal
@@ -21,13 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regtext.llm.support import map_batches
+from regtext.llm.support import map_batches, materialise
 
 # Verdict, host and path of each rule.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 #: Labelled urls that the trees are fitted on, at most.
 SAMPLE = 20_000
+#: A key with more than one row in HOT takes its share from a broadcast; there are fewer than HOT of them.
+HOT = 256
+#: Distinct judged urls that a key needs for a share of its own, and the weight of the prior in it.
+SEEN = 5
 TREES, DEPTH, BINS, RATE, LEAST = 40, 3, 32, 0.3, 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,11 +71,10 @@ def keys_of(url: str) -> tuple[str, str]:
     return suffix, f"{suffix}/{path.strip('/').partition('/')[0]}"
 
 
-def lexical(url: str, stats: dict[str, float], prior: float) -> list[float]:
+def lexical(url: str, suffix_share: float, folder_share: float) -> list[float]:
     host, path, query = _parts(url)
     digits = sum(c.isdigit() for c in url)
-    a, b = keys_of(url)
-    return [len(url), len(host), len(path), path.count("/"), digits / max(1, len(url)), _entropy(url), _entropy(host), query.count("=") + query.count("&"), len(query), host.count("."), url.count("-"), float("#" in url), float(url.startswith("https")), float("." in path.rpartition("/")[2]), stats.get(a, prior), stats.get(b, prior)]
+    return [len(url), len(host), len(path), path.count("/"), digits / max(1, len(url)), _entropy(url), _entropy(host), query.count("=") + query.count("&"), len(query), host.count("."), url.count("-"), float("#" in url), float(url.startswith("https")), float("." in path.rpartition("/")[2]), suffix_share, folder_share]
 
 
 class Trees:
@@ -139,26 +143,52 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(score, -60, 60)))
 
 
-def learn(urls: list[str], blocked: list[bool]) -> tuple[Trees, dict[str, float], float]:
-    """Trees for the probability of block, the smoothed share of blocked urls of each key, and the share of all."""
+def learn(urls: list[str], shares: list[tuple[float, float]], blocked: list[bool]) -> Trees:
+    """Trees for the probability of block."""
     y = np.array(blocked, float)
-    prior = float(y.mean()) if len(y) else 0.0
-    seen, bad = Counter(), Counter()
-    for u, b in zip(urls, blocked, strict=True):
-        for k in keys_of(u):
-            seen[k] += 1
-            bad[k] += b
-    stats = {k: (bad[k] + 5 * prior) / (n + 5) for k, n in seen.items() if n >= 5}
     if not 0 < y.sum() < len(y):
-        return Trees(20.0 if prior > 0.5 else -20.0), stats, prior
-    return Trees().fit(np.array([lexical(u, stats, prior) for u in urls]), y), stats, prior
+        return Trees(20.0 if len(y) and y[0] else -20.0)
+    return Trees().fit(np.array([lexical(u, *s) for u, s in zip(urls, shares, strict=True)]), y)
 
 
-def _judge(trees: Trees, stats: dict[str, float], prior: float):
+def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = [keys_of(u or "") for u in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string())], [*b.schema.names, "suffix", "folder"])
+
+
+def with_keys(rows: DataFrame) -> DataFrame:
+    """rows, whose first column is the url, with the two keys of each."""
+    return map_batches(rows, _keyed, T.StructType([*rows.schema, T.StructField("suffix", T.StringType()), T.StructField("folder", T.StringType())]))
+
+
+def shares_of(judged: DataFrame) -> tuple[DataFrame, float]:
+    """key and smoothed share of blocked among the distinct judged urls, for each key with SEEN of them, and the share of all."""
+    total = judged.agg(F.avg(F.col("blocked").cast("double"))).first()[0]
+    prior = float(total) if total is not None else 0.0
+    counts = judged.select("blocked", F.explode(F.array("suffix", "folder")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("seen"), F.count_if("blocked").alias("bad"))
+    return counts.where(F.col("seen") >= SEEN).select("key", ((F.col("bad") + SEEN * prior) / (F.col("seen") + SEEN)).alias("share")), prior
+
+
+def with_shares(rows: DataFrame, shares: DataFrame, prior: float) -> DataFrame:
+    """rows (stored, with their keys) with the shares of both keys; without one the prior."""
+    least = rows.count() / HOT
+    out = rows
+    for key in ("suffix", "folder"):
+        named = shares.select(F.col("key").alias(key), F.col("share").alias(f"{key}_share"))
+        many = rows.groupBy(key).count().where(F.col("count") > least).select(key)
+        hot = rows.sparkSession.createDataFrame(many.join(named, key, "left").collect(), named.schema)
+        near = out.join(F.broadcast(hot), key)
+        far = out.join(F.broadcast(hot.select(key)), key, "left_anti").join(named, key, "left")
+        out = near.unionByName(far).fillna(prior, [f"{key}_share"])
+    return out
+
+
+def _judge(trees: Trees):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            urls = [u or "" for u in b.column(1).to_pylist()]
-            p = trees.probability(np.array([lexical(u, stats, prior) for u in urls]).reshape(len(urls), 16))
+            urls, x, y = (b.column(k).to_pylist() for k in ("url", "suffix_share", "folder_share"))
+            p = trees.probability(np.array([lexical(u or "", *s) for u, *s in zip(urls, x, y, strict=True)]).reshape(len(urls), 16))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, "block_probability"])
 
     return run
@@ -167,12 +197,17 @@ def _judge(trees: Trees, stats: dict[str, float], prior: float):
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """id, host, path, rule, verdict and block_probability of every url. labelled: url, blocked (boolean); by default the urls a rule judges."""
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path})
-    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    source = labelled if labelled is not None else rows.where("fit is not null").select("url", (F.col("fit.verdict") == "block").alias("blocked"))
-    taken = source.where("url is not null and blocked is not null").orderBy(F.xxhash64("url"), "url").limit(sample).collect()
-    trees, stats, prior = learn([r["url"] for r in taken], [r["blocked"] for r in taken])
-    rows = rows.select("id", "url", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("ruled"))
-    judged = map_batches(rows, _judge(trees, stats, prior), T.StructType([*rows.schema, T.StructField("block_probability", T.DoubleType())]))
+    rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(id_col).alias("id")).withColumns({"host": host, "path": path})
+    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("url", "id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("ruled"))
+    rows = materialise(with_keys(rows), "urls")
+    source = labelled.select("url", "blocked") if labelled is not None else rows.where("ruled is not null").select("url", (F.col("ruled") == "block").alias("blocked"))
+    judged = materialise(with_keys(source.where("url is not null and blocked is not null").distinct()), "judged")
+    shares, prior = shares_of(judged)
+    shares = materialise(shares, "shares")
+    taken = materialise(judged.orderBy(F.xxhash64("url"), "url", "blocked").limit(sample), "sample")
+    learned = sorted(with_shares(taken, shares, prior).select("url", "blocked", "suffix_share", "folder_share").collect())
+    trees = learn([r[0] for r in learned], [(r[2], r[3]) for r in learned], [r[1] for r in learned])
+    rows = with_shares(rows, shares, prior)
+    judged = map_batches(rows, _judge(trees), T.StructType([*rows.schema, T.StructField("block_probability", T.DoubleType())]))
     verdict = F.coalesce("ruled", F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "block_probability")
