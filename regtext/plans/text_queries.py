@@ -202,7 +202,7 @@ def law_metadata(spark: SparkSession, sf: str) -> DataFrame:
 @query("law_konsiderans")
 def law_konsiderans(spark: SparkSession, sf: str) -> DataFrame:
     pos = F.col("pos")
-    marked = doc_lines(spark, sf).where("pos < 8").withColumn("line", F.when(pos == 0, "Menimbang :").when(pos == 4, "Mengingat :").when(pos.isin(1, 3), F.concat(F.when(pos == 1, "a. ").otherwise("b. "), F.col("line"))).otherwise(F.col("line")))
+    marked = doc_lines(spark, sf).withColumn("line", F.when(pos == 0, "Menimbang :").when(pos == 4, "Mengingat :").when(pos.isin(1, 3), F.concat(F.when(pos == 1, "a. ").otherwise("b. "), F.col("line"))).otherwise(F.col("line")))
     return parse.preamble(marked).select("doc_id", F.size("menimbang").alias("points"), F.length("mengingat").alias("view_chars"), F.length("full_text").alias("chars"))
 
 
