@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regtext.llm import brown, decontaminate, exact_dedup, license_templates, ngram_join, quality, surrogates, url_trees, warc
+from regtext.llm import brown, decontaminate, exact_dedup, license_templates, ngram_join, quality, stages, surrogates, url_trees, warc
 from regtext.llm import sentencepiece_viterbi as pieces
-from regtext.llm.support import shared_dir
+from regtext.llm.support import materialise, shared_dir
 
 #: Key of the surrogates; a deployment passes its own secret to the operator.
 SURROGATE_KEY = "regtext-demo-key"
@@ -24,8 +23,8 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     pages = _table(spark, sf_dir, "pages")
     warc.write_archives(warc.resolve_revisits(pages), path)
-    read = warc.resolved_records(warc.read_archives(spark, path, with_payload=False))
-    return read.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to_page").cast("long").alias("refers_to"))
+    read = warc.resolved_records(materialise(warc.read_archives(spark, path, with_payload=False), "records"))
+    return read.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to_page").cast("long").alias("refers_to"), "intact")
 
 
 def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +75,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -92,7 +91,7 @@ ORACLES: dict[str, str] = {
         o AS (SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
         SELECT page_id, payload_bytes::BIGINT AS payload_bytes, p.payload_digest,
                CASE WHEN original IS NULL OR original = page_id OR payload_bytes < 1000 THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN original IS NULL OR original = page_id OR payload_bytes < 1000 THEN NULL ELSE original END AS refers_to
+               CASE WHEN original IS NULL OR original = page_id OR payload_bytes < 1000 THEN NULL ELSE original END AS refers_to, true AS intact
         FROM p LEFT JOIN o ON p.payload_digest = o.payload_digest""",
     "op8_grace_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
@@ -110,5 +109,5 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""",
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+if stages.ORACLE_SQL:
+    ORACLES["pipeline"] = stages.ORACLE_SQL

@@ -67,8 +67,9 @@ class Known(dict):
 
     def __missing__(self, word: str) -> bytes:
         encoder = self.encoder
-        if encoder.joint and (m := encoder.joint.search(word)):
-            got = self[word[: m.start()]] + encoder.bare[word[m.start() :]]
+        parts = encoder.joint.split(word) if encoder.joint else [word]
+        if len(parts) > 1:  # a part has no joint itself
+            got = self[parts[0]] + b"".join([encoder.bare[p] for p in parts[1:]])
         else:
             got = array("i", encoder.viterbi(self.before + word)).tobytes()
         if len(word) <= 64:

@@ -1,15 +1,18 @@
 """Small helpers that the operators of this subpackage share.
 
 Shared files: intermediate tables and archives go below the folder that the cluster names in
-``spark.checkpoint.dir``; only where that setting is missing (a local test) is a temporary folder used.
+``spark.checkpoint.dir``; only where that setting is missing in a local session is a temporary folder used.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,29 +24,50 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The same, and every ASCII byte that is neither a letter nor a digit becomes a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-#: Rows in an Arrow batch: texts may have 100 KB each, and a batch has to fit a worker beside its results.
-BATCH_ROWS = 1000
+#: Bytes and rows that a function of map_batches gets at once: Spark bounds a batch by
+#: spark.sql.execution.arrow.maxBytesPerBatch, and what is worked out beside it is bounded by these.
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 2000
+#: A key with more than one row in HOT is hot, so there are fewer than HOT of them.
+HOT = 256
+
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder of the cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster, intermediate tables need a shared folder")
         base = _local_base(spark)
-    return f"{base.rstrip('/')}/regtext-{uuid.uuid4().hex[:12]}-{name}"
+    _WRITTEN.append(f"{base.rstrip('/')}/regtext-{uuid.uuid4().hex[:12]}-{name}")
+    return _WRITTEN[-1]
 
 
 _LOCAL: dict[str, str] = {}
 
 
 def _local_base(spark: SparkSession) -> str:
-    """For sessions without spark.checkpoint.dir, which only tests and single machines have."""
+    """For local sessions without spark.checkpoint.dir: tests and single machines."""
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-regtext-")
     return _LOCAL[app]
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediate tables that were written inside when it ends; results have to be written by then."""
+    first = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in _WRITTEN[first:]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        del _WRITTEN[first:]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it back: the lineage ends here, and losing an executor costs nothing."""
     spark = df.sparkSession
@@ -53,9 +77,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a key of its own for each row, fixed by writing them once, and the name of that key: ids may be null or repeated."""
+    """docs with a key of its own for each row, and its name: ids may be null or repeated.
+
+    Rows that come straight from files are known by file and place; others are written once to fix their keys.
+    """
     row = fresh(docs.columns, "row_key")
-    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+    key = F.concat_ws("-", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+    stored = docs if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" else materialise(docs, "rows")
+    return stored.withColumn(row, key), row
 
 
 def with_text_key(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
@@ -64,10 +93,27 @@ def with_text_key(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
     return docs.withColumn(key, F.sha2(text_bytes(text_col), 256)), key
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        step = max(1, min(SLICE_ROWS, b.num_rows * SLICE_BYTES // max(1, b.nbytes)))
+        for a in range(0, b.num_rows, step):
+            yield b.slice(a, step)
+
+
 def map_batches(df: DataFrame, func: Callable, schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with batches of a bounded number of rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(func, schema)
+    """mapInArrow over slices of a bounded number of rows and bytes (or of one row)."""
+    return df.mapInArrow(lambda batches: func(_slices(batches)), schema)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left (a stored table) left-joined to right, which has one row for a key. Hot keys of left take theirs from a broadcast of fewer than HOT rows, and rows without a key from nowhere."""
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
+    hot = [r[0] for r in counts.where(F.col("count") > left.count() / HOT).select(key).collect()]
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    out = left.where(F.col(key).isNotNull() & ~is_hot).join(right, key, "left")
+    none = left.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key))
+    out = out.unionByName(none)
+    return out.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left")) if hot else out
 
 
 def text_bytes(column: str | Column) -> Column:

@@ -23,7 +23,7 @@ def frame(spark, texts, extra=True):
 
 def test_exact_dedup(spark):
     texts = ["a b", "ab", "a  b\n", "c", None, "", " ", "c"] * 3 + ODD
-    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(frame(spark, texts), bucket_bytes=64, collapse_bytes=100).collect()}
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(frame(spark, texts), collapse_bytes=100).collect()}
     groups: dict = {}
     for i, x in enumerate(texts):
         groups.setdefault((x or "").translate(str.maketrans("", "", " \t\n\x0b\x0c\r")), []).append(i)
@@ -31,6 +31,9 @@ def test_exact_dedup(spark):
         keep = min(members, key=lambda i: (-len(texts[i] or ""), i))
         for i in members:
             assert got[i] == (keep, len(members), i == keep)
+    # many levels: spilled to folders first, then tables that are full after one content
+    again = exact_dedup.exact_duplicates(frame(spark, texts), bucket_bytes=20_000, collapse_bytes=100, fanout=3)
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in again.collect()} == got
     assert exact_dedup.exact_duplicates(frame(spark, []).where("false")).count() == 0
 
 
@@ -95,7 +98,9 @@ def test_warc(spark):
     big, other = "<p>" + "ä" * 700, "<p>" + "b" * 1200 + "\r\n\r\nWARC/1.1\r\n"
     pages = [(1, "http://a/1", big), (2, None, big), (3, "http://a/3", other), (4, "u", None), (5, "u", "x"), (6, "u", "x"), (7, "a\r\nb", big)]
     path = shared_dir(spark, "warc-test")
-    warc.write_archives(warc.resolve_revisits(spark.createDataFrame(pages, "page_id long, url string, html string")), path, records_per_file=2)
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"payload": F.lit(1), "id": F.lit("x"), "digest": F.lit(None).cast("string"), "n": F.lit(2)})
+    warc.write_archives(warc.resolve_revisits(frame), path, file_bytes=500)
+    assert spark.read.format("binaryFile").load(path).where("path like '%part-%'").count() > 2
     got = {int(r.page): r for r in warc.resolved_records(warc.read_archives(spark, path)).collect()}
     assert {p: (r.warc_type, r.refers_to_page) for p, r in got.items()} == {1: ("revisit", "7"), 2: ("revisit", "7"), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), 7: ("response", None)}
     for p, _, html in pages:
@@ -103,6 +108,44 @@ def test_warc(spark):
         assert (got[p].payload_bytes, got[p].payload_digest, got[p].intact) == (len(data), hashlib.sha1(data).hexdigest(), True)
 
 
+def test_warc_repeated_ids_nulls_and_damage(spark, tmp_path):
+    a, b = "<p>" + "a" * 2000, "<p>" + "b" * 2000
+    pages = [(1, "u", a), (1, "u", b), (2, "u", a), (2, "u", a), (None, "u", b), (None, None, None), (0, "u", "z" * 300_000)]
+    path = shared_dir(spark, "warc-test")
+    warc.write_archives(warc.resolve_revisits(spark.createDataFrame(pages, "page_id long, url string, html string")), path)
+    got = warc.resolved_records(warc.read_archives(spark, path)).collect()
+    assert len(got) == len(pages) and all(r.intact for r in got)
+    assert sorted((r.page or "", r.warc_type, r.refers_to_page or "", r.payload_bytes) for r in got) == sorted([("1", "revisit", "2", 2003), ("1", "response", "", 2003), ("2", "response", "", 2003), ("2", "response", "", 2003), ("", "revisit", "1", 2003), ("", "response", "", 0), ("0", "response", "", 300_000)])
+    ids = [(r.record_id, r.page, r.payload_digest) for r in got]
+    assert len({i for i, *_ in ids}) == len(set(ids))  # one id for whole repeated rows only
+    none = shared_dir(spark, "warc-none")
+    warc.write_archives(warc.resolve_revisits(spark.createDataFrame([], "page_id long, url string, html string")), none)
+    assert warc.resolved_records(warc.read_archives(spark, none)).count() == 0
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nWARC-Payload-Digest: sha1:" + hashlib.sha1(b"pay").hexdigest().encode() + b"\r\n"
+    (tmp_path / "part-0.warc").write_bytes(b"junk\r\n" + head + b"Content-Length: 8\r\n\r\nH\r\n\r\npay\r\n\r\n" + b"WARC/1.1\r\nno length\r\n\r\n" + head + b"Content-Length: 99\r\n\r\nH\r\n\r\npay")
+    read = [(r.warc_type, r.intact) for r in warc.read_archives(spark, f"file://{tmp_path}").collect()]
+    assert sorted(read) == [("damaged", False), ("damaged", False), ("response", False), ("response", True)]
+
+
+def test_hot_keys_are_joined_by_broadcast(spark):
+    left = spark.createDataFrame([(k, "hot") for k in range(600)] + [(600, "rare"), (601, None), (602, "none")], "i long, k string")
+    right = spark.createDataFrame([("hot", 1), ("rare", 2)], "k string, v int")
+    from regtext.llm.support import join_hot
+
+    got = {r.i: r.v for r in join_hot(left, right, "k").collect()}
+    assert got == {**dict.fromkeys(range(600), 1), 600: 2, 601: None, 602: None}
+
+
+def test_pieces_of_unspaced_text(spark):
+    p = sv.Pieces.load()
+    texts = ["a," * 10**5, ",".join(f"field{k}" for k in range(20_000)), "function(a,b){return a.b.c.d(e,f)!=g%h}" * 2000, "a.b" * 5000]
+    rows = {r.id: r for r in sv.decode(sv.encode(frame(spark, texts), p), p).collect()}
+    e = sv.Encoder(p)
+    for i, t in enumerate(texts):
+        assert rows[i].decoded == t
+        assert rows[i].ids[:50] == e.encode(t[:1000]).tolist()[:50]
+
+
 def test_pieces(spark):
     p = sv.Pieces.load()
     texts = [*ODD, "Hello  world", " lead and trail ", "line\n\nbreak\n", "tab\tsign!! 100%,", "ΑΒγ Жук 漢字 🎉"]
