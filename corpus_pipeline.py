@@ -1,71 +1,5 @@
-"""From raw documents to token ids: quality, exact copies, near copies, benchmark leaks, pieces.
+"""From raw documents to token ids: the stages of regtext.llm.stages, each a function of (spark, docs, sf_dir)."""
 
-Each stage is a function of (spark, docs, sf_dir) and works on all that its predecessor kept.
-"""
+from regtext.llm.stages import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from regtext.llm import decontaminate, exact_dedup, ngram_join, quality
-from regtext.llm import sentencepiece_viterbi as pieces
-from regtext.llm.support import shared_dir
-
-#: Near duplicates: words in a shingle, and percent of similarity.
-WORDS, PERCENT = 5, 80
-#: Key of the rows between the stages: given by the first, fixed when its rows are written, dropped by the last that needs it.
-ROW = "pipeline_row"
-
-
-def _row(docs: DataFrame) -> str | None:
-    return ROW if ROW in docs.columns else None
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject, each with a key of its own."""
-    return quality.drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).withColumn(ROW, F.monotonically_increasing_id())
-
-
-def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return exact_dedup.drop_duplicates(docs, row_col=_row(docs))
-
-
-def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts, that with the smallest id."""
-    return ngram_join.drop_near_duplicates(docs, n=WORDS, percent=PERCENT, row_col=_row(docs)).drop(ROW)
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number of pieces, their ids, and whether they decode to the text."""
-    vocabulary = pieces.Pieces.load()
-    decoded = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
-    return decoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("text") == F.col("decoded")).alias("round_trip"))
-
-
-STAGES = [
-    ("quality_classifier", quality_classifier),
-    ("exact_dedup", exact_deduplication),
-    ("ngram_jaccard_join", near_deduplication),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("sentencepiece", sentencepiece_encoding),
-]
-
-#: The classifier and the pieces have no SQL form; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = shared_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
