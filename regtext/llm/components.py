@@ -1,8 +1,8 @@
 """Connected components over an edge table, by alternating large-star and small-star steps.
 
 Labels and edges stay in tables of the shared folder; the driver only sees whether they are stars yet. Edges are dealt
-by their upper node and contracted to stars in their tasks, and neighbourhoods are reduced with aggregates, so a hub
-with very many neighbours is pre-aggregated and never collected.
+by their upper node and contracted to stars in their tasks, neighbourhoods are reduced with aggregates, and edges of a hub
+get its least neighbour by broadcast, so a hub with very many neighbours never meets in one task.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regtext.llm.support import map_batches, materialise
+from regtext.llm.support import join_hot, map_batches, materialise
 
 #: Rounds after which a graph that still changes is an error: the number needed grows with the log of its longest path.
 ROUNDS = 60
@@ -62,9 +62,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if _settled(now):
             break
         both = now.unionByName(now.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
-        least = both.groupBy("lo").agg(F.min("hi").alias("m")).select(F.col("lo").alias("n"), F.least("lo", "m").alias("m"))
+        least = both.groupBy("lo").agg(F.min("hi").alias("m")).select("lo", F.least("lo", "m").alias("m"))
         # large star: every larger neighbour of n moves to the least of n's neighbourhood
-        large = now.join(least, now["lo"] == least["n"]).select(F.col("m").alias("lo"), "hi").where("lo < hi")
+        large = join_hot(now, least, "lo").select(F.col("m").alias("lo"), "hi").where("lo < hi")
         # small star: n and its smaller neighbours move to the least of them
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.withColumnRenamed("hi", "n").join(low.withColumnRenamed("hi", "k"), F.col("n") == F.col("k"))

@@ -5,8 +5,9 @@ blanks. The windows of all test items (ten words, or the whole item where it has
 one automaton, which runs over each normalised text once; a match's offset is mapped back to words and to
 characters of the original text. No row moves between tasks.
 
-The test set is small by nature and its size is checked: up to PATTERN_BYTES of item text go into one
-automaton; a larger set is dealt over several, which read the texts one after the other in the same stage.
+The test set is small by nature and its size is checked: up to PATTERN_BYTES of item text go into one automaton, which a
+worker builds once. A larger set is dealt over several, each a pass of its own over the texts, of which only the hits are
+kept; so neither the driver nor a worker ever holds more than one.
 
 Defined results: null texts have no words; items without words match nothing; repeated item rows count
 once; an empty test set or table leaves everything clean; extra columns of the documents are kept out.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regtext.llm.support import FOLD, map_batches, with_text_key
+from regtext.llm.support import FOLD, fresh, map_batches, materialise, with_row_key, with_text_key
 
 WINDOW = 10
 #: Bytes of item text in one automaton: about 60 times as much memory in each worker.
@@ -92,34 +93,68 @@ def _offsets(text: bytes, runs: list[tuple[int, int]]) -> list[dict]:
     return [{"first_word": a, "last_word": b, "start": chars(spans[a][0]), "end": chars(spans[b][1])} for a, b in runs]
 
 
+_AUTOMATA: dict[int, ahocorasick.Automaton | None] = {}
+
+
+def _automaton(items: list[tuple[str, str | None]], size: int):
+    """One automaton in a worker, kept over its tasks."""
+    key = hash((size, tuple(items)))
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[key] = build(items, size)
+    return _AUTOMATA[key]
+
+
+_ARROW_RUN = pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+
+
 def _scanner(items: list[tuple[str, str | None]], size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build(items, size)
+        automaton = _automaton(items, size)
         for b in batches:
             n_words, runs, found = [], [], []
-            for text, had, old in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for text in b.column(0).to_pylist():
                 n, new, who = scan(text, automaton)
                 n_words.append(n)
-                new = _merge([*new, *((r["first_word"], r["last_word"]) for r in had)]) if had else new
                 runs.append(_offsets(text, new) if new else [])
-                found.append(sorted({*who, *old}))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(runs, b.schema.field(3).type), pa.array(found, b.schema.field(4).type)], schema=b.schema
-            )
+                found.append(sorted(who))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(_ARROW_RUN)), pa.array(found, pa.list_(pa.string()))], [*b.schema.names[1:], "n_words", "runs", "items"])
 
     return run
 
 
+def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of several passes as runs without overlap, and the items in order."""
+    for b in batches:
+        runs, items = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+        out = []
+        for each in runs:
+            start = {r["first_word"]: r["start"] for r in each}
+            end = {r["last_word"]: r["end"] for r in each}
+            out.append([{"first_word": x, "last_word": y, "start": start[x], "end": end[y]} for x, y in _merge([(r["first_word"], r["last_word"]) for r in each])])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.list_(_ARROW_RUN)), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], b.schema.names)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
     """One row per document: id, n_words, runs (of hit words, with offsets in the original), items (found, sorted)."""
     tests = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null and item is not null").distinct()
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // pattern_bytes))
-    out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(T.ArrayType(_RUN)).alias("runs"), F.array().cast("array<string>").alias("items"))
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
+    if shards > 1:
+        docs, row = with_row_key(docs)
+    own = [F.col(id_col).alias("id"), *([F.col(row).alias("row")] if shards > 1 else [])]
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), *own)
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(_RUN)), T.StructField("items", T.ArrayType(T.StringType()))])
+    out = None
     for k in range(shards):
-        part = tests.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k).collect()
-        out = map_batches(out, _scanner([(r["item"], r["text"]) for r in part], size), schema)
+        part = sorted((r["item"], r["text"]) for r in tests.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k).collect())
+        found = map_batches(rows, _scanner(part, size), schema)
+        if shards > 1:
+            found = materialise(found.where(F.size("runs") > 0) if k else found, "hits")
+        out = found if out is None else out.unionByName(found)
+    if shards > 1:
+        out = out.groupBy("row").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+        out = map_batches(out.select("id", "row", "n_words", "runs", "items"), _merged, schema)
     return out.select(F.col("id").alias(id_col), "n_words", "runs", "items")
 
 
@@ -130,5 +165,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """
     rows, key = with_text_key(docs, text_col)
     both = F.struct(F.col(id_col).alias("id"), F.col(key).alias("key"))
-    bad = find_leaks(rows.select(both.alias("id"), F.col(text_col).alias("text")), items, "id", "text").where(F.size("runs") > 0).select(F.col("id.id").alias("_leaky"), F.col("id.key").alias("_digest"))
-    return rows.join(bad, rows[id_col].eqNullSafe(F.col("_leaky")) & (rows[key] == F.col("_digest")), "left_anti").drop(key)
+    leaky, digest = fresh(rows.columns, "leaky"), fresh(rows.columns, "leaky_digest")
+    bad = find_leaks(rows.select(both.alias("id"), F.col(text_col).alias("text")), items, "id", "text").where(F.size("runs") > 0)
+    bad = bad.select(F.col("id.id").alias(leaky), F.col("id.key").alias(digest)).distinct()
+    return rows.join(bad, F.col(id_col).eqNullSafe(F.col(leaky)) & (F.col(key) == F.col(digest)), "left_anti").drop(key)

@@ -9,15 +9,20 @@
    instead of its postings and comes last in the order, so no hot gram is collected anywhere.
 3. Sets of similar size whose prefixes share a gram are candidates: star edges from the least set of each gram
    and band of sizes, then connected components. Most sets have only grams of their own in their prefix and end here.
-4. The sets of a candidate component are stored in a trie in their global order (split into blocks of bounded
-   size, with a task for each pair of blocks that is needed). Each set traverses it, sharing the
-   overlap of common beginnings; subtrees end by the remaining-length bound and where all is linked already.
-5. Links between classes give the final components; every document takes that of its class.
+4. The sets of a candidate component are stored in a trie (split into blocks of bounded size). All sets that meet in a
+   block stand in one order, rare grams of the block first and ties by hash. A set enters the trie where a gram of its prefix
+   stands in a stored prefix and goes down sharing the overlap of common beginnings; subtrees end by the
+   remaining-length bound and where all is linked already.
+5. A component of more than two blocks is joined block by block with itself and block 0. What its largest group has
+   not taken in then meets the sets with which it shares a gram of both prefixes, in blocks again, grams with equal
+   lists of sets once; so a component that hangs together by chance is not joined block by block.
+6. Links between classes give the final components; every document takes that of its class.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; a text with fewer words
 than n is one gram; repeated rows are copies of each other; an empty table gives an empty result; extra
 columns are ignored; ties cannot occur, as a component's id is its smallest document id; rows
-without an id are linked with rows of equal sets only.
+without an id are linked with rows of equal sets only. Ids should be unique: of rows that share one, those with
+another set are read and left out again where the sets are compared.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regtext.llm.components import components
-from regtext.llm.support import LOWER, map_batches, materialise, partitions, text_bytes, with_row_key
+from regtext.llm.support import LOWER, join_hot, map_batches, materialise, partitions, text_bytes, with_row_key
 
 #: Postings of a gram within one flush of a map task from which the gram counts as hot.
 HOT = 64
@@ -129,7 +134,7 @@ def _packed(bucket: int, kind: int, grams: np.ndarray, keys: np.ndarray) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([grams.tobytes()], pa.binary()), pa.array([keys.tobytes()], pa.binary())], ["bucket", "kind", "grams", "keys"])
 
 
-def _postings(buckets: int, edge: np.uint64):
+def _postings(buckets: int, edge: np.uint64, hot_at: int, flush_at: int):
     """Packed postings by range of the gram's hash; kind 0: postings, 1: marks of hot grams, 2: postings of hot grams (any bucket)."""
 
     def flush(grams: list[np.ndarray], keys: list[np.ndarray], turn: int) -> Iterator[pa.RecordBatch]:
@@ -138,7 +143,7 @@ def _postings(buckets: int, edge: np.uint64):
         g, k = g[order], k[order]
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         count = np.diff(np.concatenate([first, [len(g)]]))
-        hot = np.repeat(count >= HOT, count)
+        hot = np.repeat(count >= hot_at, count)
         bucket = np.minimum((g >> np.uint64(32)) * np.uint64(buckets) // ((edge >> np.uint64(32)) + np.uint64(1)), np.uint64(buckets - 1)).astype(np.int64)
         cold_g, cold_k, cold_b = g[~hot], k[~hot], bucket[~hot]
         cuts = np.searchsorted(cold_b, np.arange(buckets + 1))
@@ -146,7 +151,7 @@ def _postings(buckets: int, edge: np.uint64):
             if cuts[i + 1] > cuts[i]:
                 yield _packed(i, 0, cold_g[cuts[i] : cuts[i + 1]], cold_k[cuts[i] : cuts[i + 1]])
         if hot.any():
-            marks, where = g[first[count >= HOT]], bucket[first[count >= HOT]]
+            marks, where = g[first[count >= hot_at]], bucket[first[count >= hot_at]]
             for i in np.unique(where):
                 yield _packed(int(i), 1, marks[where == i], np.zeros(0, np.int64))
             hot_g, hot_k = g[hot], k[hot]
@@ -161,7 +166,7 @@ def _postings(buckets: int, edge: np.uint64):
                 grams.append(g)
                 keys.append(np.full(len(g), key, np.int64))
                 held += len(g)
-            if held >= FLUSH:
+            if held >= flush_at:
                 yield from flush(grams, keys, turn)
                 grams, keys, held, turn = [], [], 0, turn + 1
         if held:
@@ -208,13 +213,13 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows(g[shared], k[shared], df[shared])
 
 
-def _candidates(classes: DataFrame, bounds: Bounds, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Star edges (a, b) between nodes whose sets have prefixes that share a gram, and the key of each node.
+def _candidates(classes: DataFrame, bounds: Bounds, buckets: int, hot: int, flush: int) -> tuple[DataFrame, DataFrame]:
+    """Star edges (a, b) between nodes whose sets have prefixes that share a gram, and the prefixes (gram, band, key, node).
 
     A node is a set in one band of sizes: similar sets are in the same band or in neighbouring ones, so each
     set stands in its own band and in the one below, and sets of different sizes don't meet.
     """
-    packed = map_batches(classes.select("key", "sent"), _postings(buckets, bounds.edge), _PACKED)
+    packed = map_batches(classes.select("key", "sent"), _postings(buckets, bounds.edge, hot, flush), _PACKED)
     shared = map_batches(packed.repartitionById(buckets, F.col("bucket")), _shared, _SHARED)
     # of a set's grams that are sent, those that no other set has come first
     sizes = classes.select("key", "n", (F.octet_length("sent") / 8).cast("long").alias("sent"))
@@ -230,7 +235,7 @@ def _candidates(classes: DataFrame, bounds: Bounds, buckets: int) -> tuple[DataF
     kept = kept.select("key", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("g.gram").alias("gram"))
     kept = materialise(kept.withColumn("node", F.xxhash64("key", "band")), "prefixes")
     hubs = kept.groupBy("gram", "band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
-    return kept.join(hubs, ["gram", "band"]).where("a <> node").select("a", F.col("node").alias("b")), kept.select("node", "key").distinct()
+    return kept.join(hubs, ["gram", "band"]).where("a <> node").select("a", F.col("node").alias("b")), kept
 
 
 class Trie:
@@ -278,38 +283,38 @@ class Trie:
             at = np.cumsum([0, *map(len, labels)])
             self.levels.append({"tokens": np.concatenate([*labels, np.zeros(0, np.int64)]).astype(np.int64), "at": at, "low": np.array(low), "high": np.array(high), "end": np.array(start) + np.diff(at), "parent": np.array(parent), "min": np.array([self.sizes[a:b].min() for a, b in zip(low, high, strict=True)]), "max": np.array([self.sizes[a:b].max() for a, b in zip(low, high, strict=True)])})
             todo = nxt
+        # where the grams of stored prefixes stand: gram and node of the first level, in order
+        heads = [x[: bounds.prefix(len(x))] for x in s]
+        root = np.repeat(np.searchsorted(self.levels[0]["high"], np.arange(len(s)), "right"), [len(x) for x in heads])
+        pairs = np.unique(np.stack([np.concatenate(heads), root]), axis=1)
+        self.entry_token, self.entry_node = pairs[0], pairs[1]
 
     def search(self, query: np.ndarray, member: np.ndarray, bounds: Bounds, label: np.ndarray, own: int) -> Iterator[int]:
-        """Leaves (places in order) whose sets are similar to query. member: a flag for each token, set for query's; subtrees all of whose leaves have the label own are left out."""
+        """Leaves (places in order) whose sets are similar to query. member: a flag for each token, set for query's; label: of each place, kept up to date by the caller; subtrees all of whose leaves have the label of the place own are left out."""
         t, size = float(bounds.t), len(query)
-        overlap = np.zeros(1, np.int64)
+        head = query[: bounds.prefix(size)]
+        _, at = _ranges(np.searchsorted(self.entry_token, head, "left"), np.searchsorted(self.entry_token, head, "right"))
+        nodes = np.unique(self.entry_node[at])
+        before = np.zeros(len(nodes), np.int64)
         for depth, level in enumerate(self.levels):
-            if depth == 0:
-                nodes, before = np.arange(len(level["low"])), np.zeros(len(level["low"]), np.int64)
-            else:
-                place = np.full(known, -1)
-                place[nodes] = np.arange(len(nodes))
-                of = place[level["parent"]]
-                nodes = np.flatnonzero(of >= 0)
-                before = overlap[of[nodes]]
-            known = len(level["low"])
+            if depth:  # the children of a node stand together
+                of, nodes = _ranges(np.searchsorted(level["parent"], nodes, "left"), np.searchsorted(level["parent"], nodes, "right"))
+                before = overlap[of]
+            fits = (level["max"][nodes] >= t * size - 1e-9) & (level["min"][nodes] <= size / t + 1e-9)
+            nodes, before = nodes[fits], before[fits]
+            fresh = _any_other(level["low"][nodes], level["high"][nodes], label, int(label[own]))
+            nodes, before = nodes[fresh], before[fresh]
             if not len(nodes):
                 return
             a, b = level["at"][nodes], level["at"][nodes + 1]
-            sizes = b - a
-            which = np.repeat(np.arange(len(nodes)), sizes)
-            take = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(a, sizes)
-            tokens = level["tokens"][take]
-            overlap = before + np.bincount(which, member[tokens], len(nodes)).astype(np.int64)
-            last = np.where(sizes > 0, level["tokens"][np.maximum(b - 1, 0)] if len(level["tokens"]) else 0, -1)
-            rest = np.where(sizes > 0, size - np.searchsorted(query, last, "right"), size)
+            which, take = _ranges(a, b)
+            overlap = before + np.bincount(which, member[level["tokens"][take]], len(nodes)).astype(np.int64)
+            last = np.where(b > a, level["tokens"][np.maximum(b - 1, 0)] if len(level["tokens"]) else 0, -1)
+            rest = np.where(b > a, size - np.searchsorted(query, last, "right"), size)
             end, least, most = level["end"][nodes], level["min"][nodes], level["max"][nodes]
             # what a set below can still share, against the least that any of them needs
-            bound = overlap + np.minimum(most - end, rest)
-            good = (bound >= t * (size + least) / (1 + t) - 1e-9) & (most >= t * size - 1e-9) & (least <= size / t + 1e-9)
+            good = overlap + np.minimum(most - end, rest) >= t * (size + least) / (1 + t) - 1e-9
             low, high = level["low"][nodes], level["high"][nodes]
-            others = np.concatenate([[0], np.cumsum(label != own)])
-            good &= others[high] > others[low]
             for i in np.flatnonzero(good & (end == least)):  # sets that end in this node
                 if overlap[i] >= bounds.overlap(size, int(least[i])):
                     yield from (int(j) for j in range(low[i], high[i]) if self.sizes[j] == end[i])
@@ -317,29 +322,58 @@ class Trie:
             nodes, overlap = nodes[good], overlap[good]
 
 
+def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each a up to its b, and which of them each belongs to."""
+    sizes = b - a
+    which = np.repeat(np.arange(len(a)), sizes)
+    return which, np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(a, sizes)
+
+
+def _any_other(low: np.ndarray, high: np.ndarray, label: np.ndarray, own: int) -> np.ndarray:
+    """Whether some leaf of each range has another label than own."""
+    out = label[low] != own
+    for k in np.flatnonzero(~out & (high - low > 1)):
+        out[k] = (label[low[k] : high[k]] != own).any()
+    return out
+
+
+class Groups:
+    """Union-find by size, with the label of every place at hand."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+        self.members: list[list[int]] = [[i] for i in range(n)]
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = int(self.label[x]), int(self.label[y])
+        if x == y:
+            return False
+        if len(self.members[x]) < len(self.members[y]):
+            x, y = y, x
+        self.label[self.members[y]] = x
+        self.members[x] += self.members[y]
+        self.members[y] = []
+        return True
+
+
 def block_links(queries: list[np.ndarray], stored: list[np.ndarray], bounds: Bounds, same: bool) -> list[tuple[int, int]]:
-    """Links (query, stored) that join all that is linked among the two lists, leaving out those between sets already joined."""
-    tokens, flat = np.unique(np.concatenate([*queries, *stored]), return_inverse=True)
-    cuts = np.cumsum([len(x) for x in [*queries, *stored]])[:-1]
-    local = [np.sort(x) for x in np.split(flat, cuts)]
-    # within a block rare tokens come first as well, so that chains part early
+    """Links (query, stored) that join all that is linked among the two lists, leaving out those between sets already joined. same: both lists are one."""
+    tokens, flat = np.unique(np.concatenate([*stored, *([] if same else queries)]), return_inverse=True)
     rank = np.empty(len(tokens), np.int64)
     rank[np.lexsort((np.arange(len(tokens)), np.bincount(flat, minlength=len(tokens))))] = np.arange(len(tokens))
-    local = [np.sort(rank[x]) for x in local]
-    q, s = local[: len(queries)], local[len(queries) :]
-    trie = Trie(s, bounds)
-    total = len(s) if same else len(q) + len(s)
-    group = np.arange(total)
-    place = np.array(trie.order, np.int64) + (0 if same else len(q))
-    label = group[place]
+    cuts = np.cumsum([len(x) for x in [*stored, *([] if same else queries)]])[:-1]
+    local = [np.sort(rank[x]) for x in np.split(flat, cuts)]
+    trie = Trie(local[: len(stored)], bounds)
+    groups = Groups(len(local))  # stored sets at their leaf, then the queries
+    leaf_of = np.empty(len(stored), np.int64)
+    leaf_of[trie.order] = np.arange(len(stored))
     member, out = np.zeros(len(tokens), np.int64), []
-    for i, query in enumerate(q):
+    for i in range(len(queries)):
+        query, place = (local[i], int(leaf_of[i])) if same else (local[len(stored) + i], len(stored) + i)
         member[query] = 1
-        for leaf in trie.search(query, member, bounds, label, int(group[i])):
-            if group[place[leaf]] != group[i]:
+        for leaf in trie.search(query, member, bounds, groups.label, place):
+            if groups.join(place, leaf):
                 out.append((i, trie.order[leaf]))
-                group[group == group[place[leaf]]] = group[i]
-                label[:] = group[place]
         member[query] = 0
     return out
 
@@ -371,7 +405,7 @@ def _pair(first: Column, second: Column, side: Column | int) -> Column:
     return F.struct(first.cast("int").alias("first"), second.cast("int").alias("second"), (F.lit(side) if isinstance(side, int) else side).cast("int").alias("side"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_grams: int = BLOCK_GRAMS, hot: int = HOT, flush: int = FLUSH) -> DataFrame:
     """One row per row of docs: id, n_shingles, class_key (equal for equal sets), component_id."""
     spark = docs.sparkSession
     bounds = Bounds(percent)
@@ -379,14 +413,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = rows.schema["id"].dataType
     sets = materialise(map_batches(rows, _sets(n, percent), T.StructType([T.StructField("id", kind), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sent", T.BinaryType())])), "sets")
     grams = sets.agg(F.sum(F.octet_length("sent"))).first()[0] or 0
-    edges, nodes = _candidates(sets.where("sent is not null"), bounds, max(partitions(spark), ceil(grams / (32 << 20))))
-    candidates = materialise(components(edges).withColumnRenamed("root", "cluster").join(nodes, "node").select("cluster", "key"), "candidates")
+    edges, prefixes = _candidates(sets.where("sent is not null"), bounds, max(partitions(spark), ceil(grams / (32 << 20))), hot, flush)
+    nodes = prefixes.select("node", "key").distinct()
+    candidates = components(edges).withColumnRenamed("root", "cluster").join(nodes, "node").select("cluster", "key").distinct()
     # one document stands for each class; clusters above the size of a block are cut into several
     stands = sets.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    picked = candidates.join(stands, "key")
-    blocks = picked.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block_grams)).cast("int").alias("blocks"))
-    picked = picked.join(blocks, "cluster").select("cluster", "blocks", "key", "id", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
-    members = materialise(rows.where("id is not null").join(picked, "id"), "members")
+    picked = materialise(candidates.join(stands, "key"), "candidates")
+    picked = _blocked(picked, block_grams)
+    members = materialise(rows.where("id is not null").join(picked.drop("n"), "id"), "members")
     # first round: every block with itself and with block 0
     zero, block = F.lit(0), F.col("block")
     own = F.array(_pair(block, block, 2))
@@ -394,28 +428,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.when(F.col("blocks") == 1, own).when(block == 0, F.concat(own, with_zero)).otherwise(F.concat(own, F.array(_pair(zero, block, 1))))
     links = materialise(_pairs(members, first, n, percent), "links")
     if not members.where("blocks > 2").isEmpty():
-        links = materialise(links.unionByName(_second_round(members, links, n, percent)), "links")
+        links = materialise(links.unionByName(_second_round(members, links, prefixes, stands, n, percent, block_grams)), "links")
     joined = components(links).select(F.col("node").alias("key"), F.col("root"))
     classes = stands.select("key", "id").join(joined, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = classes.groupBy("root").agg(F.min("id").alias("component_id"))
-    merged = classes.join(joined.select("key"), "key", "left_semi").join(least, "root").select("key", "component_id")
+    inside = materialise(classes.join(joined.select("key"), "key", "left_semi").select("key", "root"), "joined")
+    merged = join_hot(inside, least, "root").select("key", "component_id")
     alone = classes.join(joined.select("key"), "key", "left_anti").select("key", F.col("id").alias("component_id"))
     return sets.join(merged.unionByName(alone), "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _second_round(members: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
-    """Clusters of many blocks: the members outside their cluster's largest group, against all blocks.
+def _blocked(picked: DataFrame, block_grams: int) -> DataFrame:
+    """picked (stored; cluster, key, n) with the number of blocks of its cluster and its own."""
+    blocks = picked.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block_grams)).cast("int").alias("blocks"))
+    return join_hot(picked, blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+
+
+def _second_round(members: DataFrame, links: DataFrame, prefixes: DataFrame, stands: DataFrame, n: int, percent: int, block_grams: int) -> DataFrame:
+    """Clusters of many blocks: the members outside their cluster's largest group, against all sets that share a gram of both prefixes with them.
 
     Two groups that are not joined yet can only be linked through a member of the smaller ones.
     """
-    label = members.select("cluster", "key").join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    many = members.where("blocks > 2").select("cluster", "key").distinct()
+    label = materialise(many.join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "labels")
     main = label.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    outside = label.join(main, "cluster").where("root <> main").select("cluster", "key")
-    many = members.where("blocks > 2")
-    asking = many.join(outside, ["cluster", "key"], "left_semi")
-    queries = asking.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: _pair(F.col("block"), j, 0)))).select("cluster", F.col("p.first").alias("first"), F.col("p.second").alias("second"), F.col("p.side").alias("side"), "key", "text")
-    wanted = asking.select("cluster", F.col("block").alias("first")).distinct()
-    stored = many.join(wanted, "cluster").select("cluster", "first", F.col("block").alias("second"), F.lit(1).alias("side"), "key", "text")
+    outside = join_hot(label, main, "cluster").where("root <> main").select("key").distinct()
+    asked = prefixes.join(outside, "key", "left_semi").select("gram", "band").distinct()
+    lists = prefixes.join(asked, ["gram", "band"], "left_semi").select("gram", "band", "key")
+    alike = lists.groupBy("gram", "band").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("size > 1")
+    once = alike.groupBy("size", "x", "y").agg(F.min(F.struct("gram", "band")).alias("g")).select("g.*")
+    met = lists.join(once, ["gram", "band"], "left_semi").select(F.xxhash64("gram", "band").alias("cluster"), "key").distinct()
+    met = _blocked(materialise(met.join(stands.select("key", "n"), "key"), "met"), block_grams)
+    met = materialise(met.join(members.select("key", "text").distinct(), "key"), "met-texts")
+    asking = met.join(outside, "key", "left_semi")
+    queries = asking.withColumn("second", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.col("block").alias("first"), "second", F.lit(0).alias("side"), "key", "text")
+    stored = met.join(asking.select("cluster", F.col("block").alias("first")).distinct(), "cluster").select("cluster", "first", F.col("block").alias("second"), F.lit(1).alias("side"), "key", "text")
     return queries.unionByName(stored).groupBy("cluster", "first", "second").applyInPandas(_verify(n, percent), "a long, b long")
 
 

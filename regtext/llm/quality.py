@@ -1,119 +1,240 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer numpy network.
 
-1. One pass over all texts counts which words stand beside which. Words (and their shapes: capitals, runs of
-   signs) are hashed to WORDS ids; a context is one of CONTEXTS random index vectors with a few +1 and -1.
-   A word's vector is the sum of the index vectors of its neighbours over the whole corpus.
-2. A second pass pools the vectors of each document and adds length, repetition and variety.
+1. One pass over all texts sums, for every word and every shape of words (capitals, signs, digits), the index vectors of
+   the words beside it. An index vector has a few +1 and -1, at places that the word's hash gives, so no table of
+   them is needed. Sums are pre-aggregated in the map tasks and added up by word in an exchange.
+2. The roots of the sums, at unit length, are the vectors. Those of the most frequent words (at most HEAD, all with LEAST
+   occurrences) travel with the tasks; any other word is worth the index vectors beside it in its own text, which
+   is what its vector is a sum of. A second pass pools each document and adds length, repetition and variety.
 3. The network is fitted on the driver, on at most SAMPLE labelled documents (the first in order of a hash);
    a fifth of them is kept back to fit the temperature that calibrates the probabilities.
 4. All documents are scored where their features lie.
 
 Labels, language, source and id are never inputs of a score. Defined results: null and empty texts get a
 score as well (that of an empty pool); rows of labels with a null id or label are ignored, of repeated ones
-the largest label counts; without labels of both kinds every score is the share of label 1 (0.5 without
-any); repeated rows get equal scores; extra columns are kept out.
+the largest label counts, and of labelled rows that repeat an id the one whose features come first; without labels
+of both kinds every score is the share of label 1 (0.5 without any); repeated rows get equal scores; extra columns
+are kept out.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regtext.llm.packed import SCHEMA, blocks_of, summed
-from regtext.llm.support import LOWER, map_batches, materialise, text_bytes, with_text_key
+from regtext.llm.support import LOWER, fresh, map_batches, materialise, partitions, text_bytes, with_text_key
 
-#: Ids of words and of shapes, context index vectors, dimensions.
-WORDS, SHAPES, CONTEXTS, DIM = 3072, 1024, 256, 32
+#: Dimensions, and entries of an index vector that are not 0.
+DIM, ENTRIES = 32, 4
+#: Words and shapes whose vectors travel with the tasks, at most, and occurrences that a vector needs.
+HEAD, LEAST = 200_000, 5
 #: Labelled documents that the network is fitted on, at most.
 SAMPLE = 12_000
 HIDDEN, EPOCHS, BATCH, STEP, DECAY = 24, 40, 256, 0.01, 1e-4
-_CACHE = 300_000
-_BLOCK = 1 << 15
+#: Words that a task knows at a time, and words of a text that are pooled at a time.
+_CACHE, _STRETCH = 300_000, 50_000
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
 
 
-class Ids(dict):
-    """word -> its id and, 16 bits higher, that of its shape; emptied when it is full."""
+class Words(dict):
+    """word -> its number in this task, with arrays of the hashes of words and shapes and of index vectors."""
+
+    def __init__(self) -> None:
+        self.new_words: list[int] = []
+        self.new_shapes: list[int] = []
+        self.words, self.shapes = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.index = np.zeros((0, DIM), np.int8)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        shape = _RUNS.sub(rb"\1\1", word.translate(_SHAPE))[-6:]
-        self[word] = got = zlib.crc32(word.translate(LOWER)) % WORDS | (WORDS + zlib.crc32(shape) % SHAPES) << 16
-        return got
+        self[word] = k = len(self)
+        self.new_words.append(xxhash.xxh3_64_intdigest(word.translate(LOWER)))
+        self.new_shapes.append(xxhash.xxh3_64_intdigest(_RUNS.sub(rb"\1\1", word.translate(_SHAPE))[-6:], seed=1))
+        return k
+
+    def numbers(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The words of each text, and the arrays brought up to date."""
+        out = [np.array([self[w] for w in t.split()], np.int64) for t in texts]
+        if self.new_words:
+            h = np.array(self.new_words, np.uint64)
+            self.words = np.concatenate([self.words, h])
+            self.shapes = np.concatenate([self.shapes, np.array(self.new_shapes, np.uint64)])
+            self.index = np.concatenate([self.index, index_vectors(h)])
+            self.new_words, self.new_shapes = [], []
+        return out
+
+
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """ENTRIES of +1 or -1 for each hash; the places of one hash are in different parts of the vector."""
+    out, rows, part = np.zeros((len(hashes), DIM), np.int8), np.arange(len(hashes)), DIM // ENTRIES
+    for k in range(ENTRIES):
+        bits = hashes >> np.uint64(12 * k)
+        out[rows, k * part + (bits % np.uint64(part)).astype(np.int64)] = np.where(bits >> np.uint64(8) & np.uint64(1), 1, -1)
+    return out
 
 
-def token_ids(text: bytes, ids: Ids) -> tuple[np.ndarray, np.ndarray]:
-    both = np.array([ids[w] for w in text.split()], np.int64)
-    return both & 0xFFFF, both >> 16
+def _added(h: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with equal hashes added up."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return (h[first], np.add.reduceat(n[order], first), np.add.reduceat(total[order], first, dtype=np.int64)) if len(h) else (h, n, total)
 
 
-def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (id, context of a neighbour), where a shape counts as a word that stands beside its word's neighbours."""
-    size = (WORDS + SHAPES) * CONTEXTS
-    total, ids = np.zeros(size, np.int64), Ids()
-    for b in batches:
-        codes = []
-        for text in b.column(0).to_pylist():
-            word, shape = token_ids(text, ids)
-            if len(word) > 1:
-                before, after = word[:-1] * 7919 % CONTEXTS, word[1:] * 7919 % CONTEXTS
-                codes += [word[:-1] * CONTEXTS + after, word[1:] * CONTEXTS + before, shape[:-1] * CONTEXTS + after, shape[1:] * CONTEXTS + before]
-        if codes:
-            total += np.bincount(np.concatenate(codes), minlength=size)
-    yield from blocks_of(total, _BLOCK, TaskContext.get().partitionId())
-
-
-def index_vectors(seed: int = 7) -> np.ndarray:
-    """Four +1 or -1 in each."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((CONTEXTS, DIM), np.int64)
-    for row in out:
-        row[rng.choice(DIM, 4, replace=False)] = rng.choice([-1, 1], 4)
-    return out
+class Sums:
+    """hash -> number of occurrences and sum of neighbours; new rows are added up when they are as many as the old ones."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = self.merged = 0
 
+    def add(self, h: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
+        self.parts.append((h, n, total))
+        self.held += len(h)
+        if self.held > max(200_000, 2 * self.merged):
+            self.parts = [self.all()]
+            self.held = self.merged = len(self.parts[0][0])
 
-def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Unit vectors of all ids, learned from every text; without occurrences zero."""
-    counts = summed(map_batches(docs.select(text_bytes(text_col).alias("text")), _neighbours, SCHEMA), (WORDS + SHAPES, CONTEXTS), _BLOCK)
-    damped = np.sqrt(counts)  # else the most frequent neighbours drown the others
-    out = damped @ index_vectors()
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, DIM), np.int64)
+        return _added(*(np.concatenate(c) for c in zip(empty, *self.parts, strict=True)))
+
+
+def _sum_rows(h: np.ndarray, n: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows with the sums in the smallest numbers that hold them."""
+    most = np.abs(total).max(1, initial=0)
+    for kind, low, high in ((np.int8, -1, 127), (np.int16, 127, 32767), (np.int64, 32767, np.inf)):
+        at = np.flatnonzero((most > low) & (most <= high))
+        for a in range(0, len(at), 20_000):
+            part = at[a : a + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(n[part]), pa.array([r.tobytes() for r in total[part].astype(kind)], pa.binary())], ["h", "n", "sum"])
+
+
+def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emptied() -> Iterator[pa.RecordBatch]:
+        # what stands beside a shape is what stands beside its words
+        for hashes in (words.words, words.shapes):
+            yield from _sum_rows(*_added(hashes, n[: len(words)], total[: len(words)]))
+
+    words, n, total = Words(), np.zeros(0, np.int64), np.zeros((0, DIM), np.int64)
+    for b in batches:
+        texts = words.numbers(b.column(0).to_pylist())
+        if len(words) > len(n):
+            more = len(words) - len(n) + 50_000
+            n, total = np.concatenate([n, np.zeros(more, np.int64)]), np.concatenate([total, np.zeros((more, DIM), np.int64)])
+        flat = np.concatenate([*texts, np.zeros(0, np.int64)])
+        text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        for a in range(0, len(flat), 4 * _STRETCH):
+            here = np.arange(a, min(len(flat), a + 4 * _STRETCH))
+            near = np.zeros((len(here), DIM), np.int8)
+            for step in (-1, 1):
+                at = np.flatnonzero((here + step >= 0) & (here + step < len(flat)))
+                at = at[text[here[at] + step] == text[here[at]]]
+                near[at] += words.index[flat[here[at] + step]]
+            order = np.argsort(flat[here], kind="stable")
+            word = flat[here][order]
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            n[word[first]] += np.diff(np.append(first, len(word)))
+            total[word[first]] += np.add.reduceat(near[order], first, dtype=np.int64)
+        if len(words) > _CACHE:
+            yield from emptied()
+            words, n, total = Words(), np.zeros(0, np.int64), np.zeros((0, DIM), np.int64)
+    yield from emptied()
+
+
+def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reduce side: words with LEAST occurrences, and their vectors in bytes."""
+    sums = Sums()
+    for b in batches:
+        h, n, data = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_pylist()
+        size = np.array([len(d) for d in data])
+        for kind in (np.int8, np.int16, np.int64):
+            at = np.flatnonzero(size == DIM * np.dtype(kind).itemsize)
+            sums.add(h[at], n[at], np.frombuffer(b"".join([data[i] for i in at]), kind).reshape(-1, DIM).astype(np.int64))
+    hashes, counts, total = sums.all()
+    often = counts >= LEAST
+    hashes, counts, total = hashes[often], counts[often], total[often]
+    rooted = np.sign(total) * np.sqrt(np.abs(total))  # else the most frequent neighbours drown the others
+    norm = np.sqrt((rooted**2).sum(1, keepdims=True))
+    vectors = np.round(rooted / np.where(norm > 0, norm, 1) * 127).astype(np.int8)
+    for a in range(0, len(hashes), 20_000):
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[a : a + 20_000].view(np.int64)), pa.array(counts[a : a + 20_000]), pa.array([v.tobytes() for v in vectors[a : a + 20_000]], pa.binary())], ["h", "n", "vector"])
+
+
+class Vectors:
+    """Sorted hashes and the vectors of the most frequent words and shapes."""
+
+    def __init__(self, hashes: np.ndarray, vectors: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.vectors = hashes[order], vectors[order]
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        at = np.searchsorted(self.hashes, hashes)
+        found = at < len(self.hashes)
+        found[found] = self.hashes[at[found]] == hashes[found]
+        return np.where(found, at, -1)
+
+
+def word_vectors(docs: DataFrame, text_col: str = "text", head: int = HEAD) -> Vectors:
+    """Vectors learned from every text, of at most so many words: all above a count."""
+    parts = map_batches(docs.select(text_bytes(text_col).alias("text")), _neighbours, "h long, n long, sum binary")
+    table = materialise(map_batches(parts.repartition(partitions(docs.sparkSession), "h"), _vectors, "h long, n long, vector binary"), "vectors")
+    band = F.floor(F.log2("n") * 8).cast("int")
+    least, taken = 1 << 30, 0
+    for k, n in sorted(map(tuple, table.groupBy(band).count().collect()), reverse=True):
+        if taken + n > head:
+            break
+        least, taken = k, taken + n
+    rows = table.where(band >= least).select("h", "vector").toArrow()
+    vectors = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.int8).reshape(-1, DIM)
+    return Vectors(rows.column(0).to_numpy().astype(np.int64).view(np.uint64), vectors)
 
 
 WIDTH = 2 * DIM + 4
 
 
-def pool(text: bytes, vectors: np.ndarray, ids: Ids) -> np.ndarray:
-    """Mean vectors of words and shapes, then log length, share of repeated words, variety, and log mean word length."""
+def pool(word: np.ndarray, n_bytes: int, words: Words, own: np.ndarray, shape: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Mean vectors of words and shapes, then log length, share of repeated words, variety, and log mean word length. own, shape: rows of vectors for the words of a task."""
     out = np.zeros(WIDTH, np.float32)
-    word, shape = token_ids(text, ids)
     if n := len(word):
-        words, shapes = np.bincount(word, minlength=WORDS), np.bincount(shape, minlength=WORDS + SHAPES)
-        w, s = np.flatnonzero(words), np.flatnonzero(shapes)
-        out[:DIM] = words[w] @ vectors[w] / n
-        out[DIM : 2 * DIM] = shapes[s] @ vectors[s] / n
-        out[2 * DIM :] = np.log1p(n), (word[1:] == word[:-1]).sum() / n, len(w) / n**0.7, np.log1p(len(text) / n)
+        for a in range(0, n, _STRETCH):
+            at = np.arange(a, min(n, a + _STRETCH))
+            w, s = own[word[at]], shape[word[at]]
+            out[:DIM] += vectors[w[w >= 0]].sum(0)
+            out[DIM : 2 * DIM] += vectors[s[s >= 0]].sum(0)
+            if len(rare := at[w < 0]):
+                near = np.zeros((len(rare), DIM), np.float32)
+                near[rare > 0] += words.index[word[rare[rare > 0] - 1]]
+                near[rare < n - 1] += words.index[word[rare[rare < n - 1] + 1]]
+                norm = np.sqrt((near**2).sum(1, keepdims=True))
+                out[:DIM] += (near / np.where(norm > 0, norm, 1)).sum(0)
+        out[: 2 * DIM] /= n
+        out[2 * DIM :] = np.log1p(n), (word[1:] == word[:-1]).sum() / n, len(np.unique(word)) / n**0.7, np.log1p(n_bytes / n)
     return out
 
 
-def _pooled(vectors: np.ndarray):
+def _pooled(known: Vectors):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids()
+        words, vectors = Words(), known.vectors.astype(np.float32) / 127
+        own = shape = np.zeros(0, np.int64)
         for b in batches:
-            rows = [pool(t, vectors, ids) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            numbers = words.numbers(texts)
+            own = np.concatenate([own, known.rows(words.words[len(own) :])])
+            shape = np.concatenate([shape, known.rows(words.shapes[len(shape) :])])
+            rows = [pool(w, len(t), words, own, shape, vectors) for w, t in zip(numbers, texts, strict=True)]
             flat = pa.array(np.concatenate([*rows, np.zeros(0, np.float32)]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * WIDTH), flat), *b.columns[2:]], ["id", "features", *b.schema.names[2:]])
+            if len(words) > _CACHE:
+                words, own, shape = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     return run
 
@@ -189,7 +310,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     order = F.xxhash64(F.col("id").cast("string"))
     marks = marks.groupBy("id").agg(F.max("label").alias("label"))
     chosen = marks.join(features.select("id"), "id", "left_semi").orderBy(order, "id").limit(sample)
-    taken = features.join(chosen, "id").dropDuplicates(["id"]).withColumn("o", order).orderBy("o", "id").select("features", "label").toPandas()
+    once = features.select("id", "features").join(chosen, "id").groupBy("id", "label").agg(F.min("features").alias("features"))
+    taken = once.withColumn("o", order).orderBy("o", "id").select("features", "label").toPandas()
     x = np.array(taken["features"].tolist(), np.float64).reshape(len(taken), WIDTH)
     network = Network().fit(x, taken["label"].to_numpy(float))
     scored = map_batches(features, _scored(network), T.StructType([T.StructField("id", kind), T.StructField("score", T.DoubleType()), *rest]))
@@ -199,5 +321,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the classifier does not reject, with all their columns."""
     rows, key = with_text_key(docs, text_col)
-    bad = score_quality(rows, labels, id_col, text_col, row_col=key).where("predicted = 0").select(F.col(id_col).alias("_rejected"), F.col(key).alias("_digest"))
-    return rows.join(bad, rows[id_col].eqNullSafe(F.col("_rejected")) & (rows[key] == F.col("_digest")), "left_anti").drop(key)
+    rejected, digest = fresh(rows.columns, "rejected"), fresh(rows.columns, "rejected_digest")
+    bad = score_quality(rows, labels, id_col, text_col, row_col=key).where("predicted = 0").select(F.col(id_col).alias(rejected), F.col(key).alias(digest)).distinct()
+    return rows.join(bad, F.col(id_col).eqNullSafe(F.col(rejected)) & (F.col(key) == F.col(digest)), "left_anti").drop(key)

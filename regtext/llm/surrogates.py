@@ -2,43 +2,52 @@
 
 Emails, phone numbers, IPv4 addresses, card numbers and persons behind an honorific are found by one regular
 expression. The distinct entities of the corpus get keyed replacements of the same type: digits for digits, capitals for
-capitals, letters of the same script for letters, given names of the same gender, safe mail domains with the
-old suffix, card numbers whose check digit is right or wrong as before. One entity has one replacement in
-every spelling and document (coreference). Replacements that two entities share, or that are entities of the
-corpus themselves, are drawn again until none is left (distinctness).
+capitals, letters of the same script for letters (in names vowels for vowels), given names of the same gender, safe
+mail domains with the old suffix, card numbers whose check digit is right or wrong as before. One entity has one
+replacement in every spelling and document (coreference). Replacements that two entities share, or that are entities of
+the corpus themselves, are drawn again (distinctness); from the turn WIDE on, each draw is a keyed character longer than
+the one before, so that a format with few values, such as one-letter names, never runs out of them.
 
 Only rows with an entity move: they are written once, their distinct entities are looked up, and their texts are
-put together again from the stretches between the entities. An entity that very many rows share is
+put together again from the stretches between the entities, in their order. An entity that very many rows share is
 pre-aggregated, and Spark splits its partition in the join.
 
 Defined results: null stays null, empty stays empty; texts without entities stay as they are; repeated rows are
 handled one by one; an empty table gives an empty result; other columns are kept out; ties between
-colliding entities go to the smallest one.
+colliding entities go to the smallest one. Entities and texts may be of any length.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regtext.llm.support import materialise
+from regtext.llm.support import materialise, partitions
 
-# What counts as an entity. Honorifics by gender.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+# What counts as an entity (possessive, so that Java's matcher doesn't recurse). Honorifics by gender.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 PHONE = r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"
 ADDRESS = r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)"
 CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\p{L}\p{N}])"
-FEMALE, MALE, ANY = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Sra"), ("Mr", "Herr", "Sr"), ("Dr", "Prof")
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(FEMALE + MALE + ANY)})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}"
+FEMALE, MALE, ANY = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Sra", "Señora", "Signora"), ("Mr", "Herr", "Monsieur", "Sr", "Señor", "Signor"), ("Dr", "Prof")
+TITLE = "|".join(FEMALE + MALE + ANY)
+PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLE})\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++){{0,2}}"
 ENTITY = "|".join((EMAIL, PHONE, ADDRESS, CARD, PERSON))
 #: Rows that can hold an entity at all.
-_MAYBE = rf"[@0-9]|(?:{'|'.join(FEMALE + MALE + ANY)})\.? \p{{Lu}}"
+_MAYBE = rf"[@0-9]|(?:{TITLE})\.? \p{{Lu}}"
 
-# Given names by gender, and alphabets by script.
-NAMES = {"f": ["Anna", "Clara", "Elena", "Greta", "Ines", "Julia", "Laura", "Maria", "Nora", "Sofia"], "m": ["Adam", "Bruno", "David", "Emil", "Felix", "Hugo", "Jonas", "Leon", "Marco", "Oscar"], "a": ["Alex", "Chris", "Kim", "Robin", "Sascha"]}
-SCRIPTS = {"a-z": "abcdefghijklmnopqrstuvwxyz", "α-ω": "αβγδεζηθικλμνξοπρστυφχψω", "а-я": "абвгдежзийклмнопрстуфхцчшщыьэюя"}
-#: Draws after which a collision is an error.
-DRAWS = 30
+# Given names by gender, and letters by script.
+NAMES = {
+    "f": ["Alice", "Anna", "Carla", "Clara", "Diana", "Elena", "Emma", "Eva", "Frida", "Greta", "Hanna", "Helen", "Ida", "Ines", "Irene", "Jana", "Julia", "Karin", "Laura", "Lena", "Lucia", "Maria", "Marta", "Mira", "Nina", "Nora", "Olga", "Paula", "Rita", "Rosa", "Sara", "Silvia", "Sofia", "Tina", "Vera"],
+    "m": ["Adam", "Albert", "Anton", "Bruno", "Carl", "Daniel", "David", "Emil", "Erik", "Felix", "Frank", "Georg", "Hans", "Hugo", "Ivan", "Jakob", "Jonas", "Karl", "Leon", "Lukas", "Marco", "Martin", "Max", "Nils", "Oscar", "Otto", "Paul", "Peter", "Robert", "Simon", "Stefan", "Thomas", "Tim", "Victor", "Walter"],
+    "a": ["Alex", "Chris", "Dominique", "Eden", "Jamie", "Jules", "Kim", "Luca", "Maxime", "Noa", "Robin", "Sam", "Sascha", "Toni"],
+}
+VOWELS = ["aeiou", "αεηιουω", "аеиоуыэюя"]
+CONSONANTS = ["bcdfghjklmnpqrstvwxyz", "βγδζθκλμνξπρστφχψ", "бвгджзйклмнпрстфхцчшщь"]
+#: Draws with the entity's own format; each later one is a character longer.
+WIDE = 3
 
 
 def kind_of(value: Column) -> Column:
@@ -58,20 +67,20 @@ def gender_of(value: Column) -> Column:
 
 
 def _number(digest: Column, i: Column | int, below: int) -> Column:
-    """The i-th number below so many that a hexadecimal digest gives."""
-    at = (F.lit(i) if isinstance(i, int) else i) % 30 * 4 + 1
-    return F.conv(F.substring(digest, at, 4) if isinstance(i, int) else digest.substr(at, F.lit(4)), 16, 10).cast("int") % below
+    """The i-th number below so many that a digest gives."""
+    return F.pmod(F.xxhash64(digest, F.lit(i) if isinstance(i, int) else i), F.lit(below)).cast("int")
 
 
-def _letters(text: Column, digest: Column) -> Column:
-    """The same format with other characters: digit for digit, letter for letter of its case and script."""
+def _letters(text: Column, digest: Column, name: bool = False) -> Column:
+    """The same format with other characters: digit for digit, letter for letter of its case and script; in names vowel for vowel."""
+    alphabets = [*VOWELS, *CONSONANTS] if name else [a + b for a, b in zip(VOWELS, CONSONANTS, strict=True)]
 
     def other(c: Column, i: Column) -> Column:
         out = F.when(c.rlike("^[0-9]$"), _number(digest, i, 10).cast("string"))
-        for span, letters in SCRIPTS.items():
-            drawn = F.substring(F.lit(letters), 1, 1) if not letters else F.lit(letters).substr(_number(digest, i, len(letters)) + 1, F.lit(1))
-            out = out.when(c.rlike(f"^[{span}]$"), drawn).when(F.lower(c).rlike(f"^[{span}]$"), F.upper(drawn))
-        latin = F.lit(SCRIPTS["a-z"]).substr(_number(digest, i, 26) + 1, F.lit(1))
+        for letters in alphabets:
+            drawn = F.lit(letters).substr(_number(digest, i, len(letters)) + 1, F.lit(1))
+            out = out.when(c.rlike(f"^[{letters}]$"), drawn).when(F.lower(c).rlike(f"^[{letters}]$"), F.upper(drawn))
+        latin = F.lit(CONSONANTS[0]).substr(_number(digest, i, len(CONSONANTS[0])) + 1, F.lit(1))
         return out.when(c.rlike(r"^\p{Lu}$"), F.upper(latin)).when(c.rlike(r"^\p{L}$"), latin).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), other), "")
@@ -84,23 +93,30 @@ def _check_sum(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10
 
 
-def draw(kind: Column, entity: Column, key: str, turn: Column) -> Column:
-    """The core of an entity's replacement in its draw-th turn."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, entity, turn.cast("string")).cast("binary"), 512)
+def draw(rows: DataFrame, key: str) -> DataFrame:
+    """kind, entity, turn and core: what an entity's replacement is made of in its turn."""
+    kind, entity, turn, digest = F.col("kind"), F.col("entity"), F.col("turn"), F.col("digest")
+    domain = F.substring_index("entity", "@", -1)
+    # digests stand in columns of their own, as one serves every character of an entity
+    rows = rows.select("kind", "entity", "turn", F.sha2(F.concat_ws("|", F.lit(key), kind, entity, turn.cast("string")).cast("binary"), 512).alias("digest"), F.sha2(F.concat_ws("|", F.lit(key), domain).cast("binary"), 256).alias("host"))
     shaped = _letters(entity, digest)
-    local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
-    host = F.sha2(F.concat_ws("|", F.lit(key), domain).cast("binary"), 256)
-    email = F.concat(_letters(local, digest), F.lit("@"), F.concat(F.lit("mx-"), F.substring(host, 1, 8)), F.lit(".example."), F.substring_index(domain, ".", -1))
-    phone = F.concat(F.substring(entity, 1, 1), shaped.substr(F.lit(2), F.length(entity)))
-    address = F.concat_ws(".", *((_number(digest, i, 223 if i == 0 else 254) + 1).cast("string") for i in range(4)))
-    body = F.concat(F.substring(entity, 1, 1), shaped.substr(F.lit(2), F.length(entity) - 2))
+    more = F.sha2(digest.cast("binary"), 512).substr(F.lit(1), F.greatest(turn - (WIDE - 1), F.lit(0)))
+    letters, digits = F.translate(more, "0123456789", "ghijklmnop"), F.translate(more, "abcdef", "012345")
+    email = F.concat(_letters(F.substring_index(entity, "@", 1), digest), letters, F.lit("@mx-"), F.substring("host", 1, 8), F.lit(".example."), F.substring_index(domain, ".", -1))
+    phone = F.concat(F.substring(entity, 1, 1), shaped.substr(F.lit(2), F.length(entity)), digits)
+    octets = F.concat_ws(".", *((_number(digest, i, 223 if i == 0 else 254) + 1).cast("string") for i in range(4)))
+    address = F.when(digits == "", octets).otherwise(F.concat(octets, F.lit("."), digits))
+    body = F.concat(F.substring(entity, 1, 1), shaped.substr(F.lit(2), F.length(entity) - 2), digits)
     check = F.pmod(_check_sum(entity) - _check_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
     gender, name = F.substring_index(entity, ":", 1), F.substring_index(entity, ":", -1)
-    given = F.when(gender == "f", F.element_at(F.array(*map(F.lit, NAMES["f"])), _number(digest, 20, 10) + 1)).when(gender == "m", F.element_at(F.array(*map(F.lit, NAMES["m"])), _number(digest, 20, 10) + 1)).otherwise(F.element_at(F.array(*map(F.lit, NAMES["a"])), _number(digest, 20, 5) + 1))
+    given = F.lit(None).cast("string")
+    for g, names in NAMES.items():
+        given = F.when(gender == g, F.element_at(F.array(*map(F.lit, names)), _number(digest, -1, len(names)) + 1)).otherwise(given)
     rest = F.regexp_replace(name, r"^[^ ]+ ?", "")
     foreign = name.rlike("^[α-ωа-я]")
-    person = F.when((rest == "") | foreign, _letters(name, digest)).otherwise(F.concat(F.lower(given), F.lit(" "), _letters(rest, digest)))
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "address", address).when(kind == "card", F.concat(body, check)).otherwise(F.concat(gender, F.lit(":"), person))
+    person = F.when((rest == "") | foreign, _letters(name, digest, True)).otherwise(F.concat(F.lower(given), F.lit(" "), _letters(rest, digest, True)))
+    core = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "address", address).when(kind == "card", F.concat(body, check)).otherwise(F.concat(gender, F.lit(":"), person, letters))
+    return rows.select("kind", "entity", "turn", core.alias("core"))
 
 
 def render(value: Column, kind: Column, core: Column) -> Column:
@@ -114,8 +130,11 @@ def render(value: Column, kind: Column, core: Column) -> Column:
 
 def cores(entities: DataFrame, key: str) -> DataFrame:
     """kind, entity and core: distinct cores, none of which is an entity itself."""
-    now = materialise(entities.select("kind", "entity", F.lit(0).alias("turn")).withColumn("core", draw(F.col("kind"), F.col("entity"), key, F.col("turn"))), "cores")
-    for _ in range(DRAWS):
+    n = partitions(entities.sparkSession)
+    # drawing is work of the CPU on few bytes, so it is dealt by number and not by size
+    rows = entities.select("kind", "entity", F.lit(0).alias("turn")).repartition(n, "kind", "entity")
+    for _ in count():
+        now = materialise(draw(rows, key), "cores")
         keepers = now.groupBy("kind", "core").agg(F.min("entity").alias("keeper"), F.count(F.lit(1)).alias("n"))
         taken = keepers.join(entities.select("kind", F.col("entity").alias("core")), ["kind", "core"], "left_semi").select("kind", "core", F.lit(True).alias("taken"))
         shared = keepers.where("n > 1").drop("n")
@@ -123,27 +142,22 @@ def cores(entities: DataFrame, key: str) -> DataFrame:
         if again.isEmpty():
             return now.select("kind", "entity", "core")
         lost = (F.coalesce("taken", F.lit(False))) | (F.col("keeper").isNotNull() & (F.col("keeper") != F.col("entity")))
-        turn = F.when(lost, F.col("turn") + 1).otherwise(F.col("turn"))
-        now = materialise(now.join(again, ["kind", "core"], "left").select("kind", "entity", turn.alias("turn")).withColumn("core", draw(F.col("kind"), F.col("entity"), key, F.col("turn"))), "cores")
-    raise RuntimeError(f"replacements still collide after {DRAWS} draws")
+        rows = now.join(again, ["kind", "core"], "left").select("kind", "entity", F.when(lost, F.col("turn") + 1).otherwise(F.col("turn")).alias("turn")).repartition(n, "kind", "entity")
 
 
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text with surrogates, n_entities and kinds (sorted) of every row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    maybe = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False))
-    # the scan of all texts is done once: rows that may hold an entity are written with what was found
-    found = materialise(rows.where(maybe).select(F.monotonically_increasing_id().alias("row"), "id", "text", F.regexp_extract_all("text", F.lit(ENTITY), 0).alias("values")), "found")
-    values = found.select("row", F.explode(F.array_distinct("values")).alias("value"))
+    hit = F.coalesce(F.col("text").rlike(_MAYBE) & F.col("text").rlike(ENTITY), F.lit(False))
+    found = materialise(rows.where(hit).select(F.monotonically_increasing_id().alias("row"), "id", "text", F.regexp_extract_all("text", F.lit(ENTITY), 0).alias("values")), "found")
+    values = found.select("row", F.posexplode("values").alias("at", "value"))
     distinct = values.select("value").distinct().withColumn("kind", kind_of(F.col("value"))).withColumn("entity", same_as(F.col("value"), F.col("kind")))
     distinct = materialise(distinct, "values")
     drawn = cores(distinct.select("kind", "entity").distinct(), key)
     rendered = distinct.join(drawn, ["kind", "entity"]).select("value", "kind", render(F.col("value"), F.col("kind"), F.col("core")).alias("surrogate"))
-    maps = values.join(rendered, "value").groupBy("row").agg(F.collect_list(F.struct("value", "surrogate")).alias("pairs"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    put = values.join(rendered, "value").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("put"), F.array_sort(F.collect_set("kind")).alias("kinds"))
     between = F.split("text", ENTITY, -1)
-    put = F.transform("values", lambda v: F.element_at(F.map_from_entries("pairs"), v))
-    text = F.concat_ws("", F.zip_with(between, put, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))))
-    some = found.where(F.size("values") > 0).join(maps, "row").select("id", text.alias("text"), F.size("values").cast("long").alias("n_entities"), "kinds")
-    none = found.where(F.size("values") == 0).select("id", "text").unionByName(rows.where(~maybe))
-    none = none.select("id", "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    text = F.concat_ws("", F.zip_with(between, "put", lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b["surrogate"], F.lit("")))))
+    some = found.join(put, "row").select("id", text.alias("text"), F.size("values").cast("long").alias("n_entities"), "kinds")
+    none = rows.where(~hit).select("id", "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     return some.unionByName(none).withColumnRenamed("id", id_col)

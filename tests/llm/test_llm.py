@@ -59,8 +59,8 @@ def _components(texts, n, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("seed,n,percent,block", [(1, 3, 90, 10**6), (2, 5, 80, 1500)])
-def test_ngram_join(spark, seed, n, percent, block):
+@pytest.mark.parametrize("seed,n,percent,block,hot,flush", [(1, 3, 90, 10**6, 64, 1_500_000), (2, 5, 80, 700, 64, 300), (3, 3, 80, 300, 2, 500)])
+def test_ngram_join(spark, seed, n, percent, block, hot, flush):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(300)]
     shared = [rng.choice(words) for _ in range(40)]
@@ -72,10 +72,62 @@ def test_ngram_join(spark, seed, n, percent, block):
             for _ in range(rng.randint(0, 1 + len(t) // 20)):
                 t[rng.randrange(len(t))] = rng.choice(words)
             texts.append(" ".join(t))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, texts).repartition(3), n=n, percent=percent, block_grams=block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, texts).repartition(3), n=n, percent=percent, block_grams=block, hot=hot, flush=flush).collect()}
     assert got == _components(texts, n, percent)
 
 
+def test_block_links_are_those_of_all_pairs():
+    rng = np.random.default_rng(5)
+    bounds = ngram_join.Bounds(80)
+    for trial in range(30):
+        sets = []
+        for _ in range(rng.integers(2, 25)):
+            base = rng.choice(60 + 4000 * (trial % 2), rng.integers(1, 40), replace=False)
+            for _ in range(rng.integers(1, 4)):
+                kept = base[rng.random(len(base)) > 0.1 * (trial % 3)]
+                sets.append(np.unique(np.append(kept, rng.integers(0, 60, rng.integers(0, 3)))).astype(np.uint64) if len(kept) else base.astype(np.uint64))
+        sets = [np.unique(x) for x in sets]
+
+        def roots(links, n):
+            up = list(range(n))
+
+            def root(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            for a, b in links:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+            return [root(i) for i in range(n)]
+
+        def linked(x, y):
+            o = len(np.intersect1d(x, y))
+            return 100 * o >= 80 * (len(x) + len(y) - o)
+
+        n = len(sets)
+        want = roots([(i, j) for i in range(n) for j in range(i) if linked(sets[i], sets[j])], n)
+        assert roots(ngram_join.block_links(sets, sets, bounds, True), n) == want
+        half = n // 2
+        got = roots([(i, half + j) for i, j in ngram_join.block_links(sets[:half], sets[half:], bounds, False)], n) if half else want
+        across = roots([(i, j) for i in range(half) for j in range(half, n) if linked(sets[i], sets[j])], n)
+        assert got == across if half else True
+
+
+def test_a_block_of_unlinked_sets_is_no_scan_of_all_pairs():
+    import time
+
+    rng = np.random.default_rng(1)
+    bounds = ngram_join.Bounds(80)
+    took = []
+    for n in (2000, 8000):
+        sets = [np.unique(rng.integers(0, 10**7, 40)).astype(np.uint64) for _ in range(n)]
+        began = time.perf_counter()
+        assert ngram_join.block_links(sets, sets, bounds, True) == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]  # four times the sets; all pairs would be sixteen times the work
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (7, 7), (200, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()))
@@ -86,6 +138,10 @@ def test_decontaminate(spark):
     item = "one two three four five six seven eight nine ten eleven"
     texts = [f"Zero, ONE two; {item} x", "short test item!", "short test", None, "", "one two three four five six seven eight nine"]
     items = spark.createDataFrame([(1, item), (2, "Short Test ITEM"), (3, None), (4, "..."), (2, "Short Test ITEM")], "item_id long, text string")
+    repeated = frame(spark, texts).unionByName(frame(spark, texts).where("doc_id < 2")).withColumn("doc_id", F.expr("nullif(doc_id, 4)"))
+    for docs in (frame(spark, texts), repeated):
+        one, many = (sorted(map(repr, decontaminate.find_leaks(docs, items, pattern_bytes=size).collect())) for size in (1 << 20, 40))
+        assert one == many and len(one) == docs.count()
     for size in (1 << 20, 40):  # one automaton, and several
         got = {r.doc_id: (r.n_words, [(x.first_word, x.last_word) for x in r.runs], r["items"]) for r in decontaminate.find_leaks(frame(spark, texts), items, pattern_bytes=size).collect()}
         assert got[0] == (15, [(3, 13)], ["1"]) and got[1] == (3, [(0, 2)], ["2"]) and got[2] == (2, [], []) and got[3] == got[4] == (0, [], []) and got[5] == (9, [], [])
@@ -256,6 +312,36 @@ def test_surrogates(spark):
 
 
 def test_collisions_are_drawn_again(spark):
-    entities = spark.createDataFrame([("address", f"1.2.3.{i}") for i in range(250)], "kind string, entity string")
+    # a dense format (one-letter mail names) and an address space with room
+    letters = [("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"] + [("person", f"f:{a}{b}") for a in "aeiou" for b in "bcdfghjkl"]
+    entities = spark.createDataFrame([("address", f"1.2.3.{i}") for i in range(250)] + letters, "kind string, entity string")
     rows = surrogates.cores(entities, "k").collect()
-    assert len({r.core for r in rows}) == 250 and not {r.core for r in rows} & {r.entity for r in rows}
+    assert len({(r.kind, r.core) for r in rows}) == len(rows) == 250 + len(letters) and not {r.core for r in rows} & {r.entity for r in rows}
+
+
+def test_surrogates_against_brute_force(spark):
+    import regex
+
+    rng = random.Random(11)
+    some = ["a@b.co", "A@B.co", "c.d+e@mail.example.net", "+49 30 1234 5678", "+49-30-1234-5678", "10.0.0.1", "255.1.2.3", "4111 1111 1111 1111", "Mr. Karl Ott", "Frau Eva Öz", "Prof Κωνσταντίνος", "Dr. Иван Петров", "Señora O'Neil"]
+    filler = ["word", "12", "x@", "@y", "1.2.3", "+1", "Mr", ",", "Ж", "𝔘", "1.2.3.4.5"]
+    texts = [" ".join(rng.choice(some if rng.random() < 0.4 else filler) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+    texts += [None, "", "z@" + "a." * 100_000 + "org", " ".join(f"u{k}@h.org" for k in range(5000)), "x" * 200_000 + "@", "a.b-c " * 30_000] + texts[:5]
+    got = {r.doc_id: r for r in surrogates.replace_entities(frame(spark, texts).withColumns({"at": F.lit(1), "put": F.lit(2), "kinds": F.lit(3)}), "k").collect()}
+    assert len(got) == len(texts)
+    known: dict = {}
+    for i, t in enumerate(texts):
+        found = regex.findall(surrogates.ENTITY, t or "")
+        assert got[i].n_entities == len(found)
+        if not found:
+            assert got[i].text == t
+            continue
+        # the stretches between the entities stand where they stood
+        rest, pieces = got[i].text, regex.split(surrogates.ENTITY, t)
+        assert rest.startswith(pieces[0]) and rest.endswith(pieces[-1])
+        if len(set(pieces[1:-1])) <= 1 and pieces[1:-1] and len(found) > 1 and pieces[0] == pieces[-1] == "":
+            parts = rest.split(pieces[1])
+            if len(parts) == len(found):
+                for value, put in zip(found, parts, strict=True):
+                    assert known.setdefault(value.lower(), put) == put
+    assert len(known) > 4000 and len(set(known.values())) == len(known)  # one for each, and different ones
