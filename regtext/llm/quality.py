@@ -50,13 +50,17 @@ class Words(dict):
     def __init__(self) -> None:
         self.new_words: list[int] = []
         self.new_shapes: list[int] = []
+        self.known_shapes: dict[bytes, int] = {}
         self.words, self.shapes = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.index = np.zeros((0, DIM), np.int8)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = k = len(self)
         self.new_words.append(xxhash.xxh3_64_intdigest(word.translate(LOWER)))
-        self.new_shapes.append(xxhash.xxh3_64_intdigest(_RUNS.sub(rb"\1\1", word.translate(_SHAPE))[-6:], seed=1))
+        signs = word.translate(_SHAPE)
+        if (shape := self.known_shapes.get(signs)) is None:
+            self.known_shapes[signs] = shape = xxhash.xxh3_64_intdigest(_RUNS.sub(rb"\1\1", signs)[-6:], seed=1)
+        self.new_shapes.append(shape)
         return k
 
     def numbers(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -123,12 +127,12 @@ def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hashes in (words.words, words.shapes):
             yield from _sum_rows(*_added(hashes, n[: len(words)], total[: len(words)]))
 
-    words, n, total = Words(), np.zeros(0, np.int64), np.zeros((0, DIM), np.int64)
+    words, n, total = Words(), np.zeros(0, np.int64), np.zeros((0, DIM), np.int32)
     for b in batches:
         texts = words.numbers(b.column(0).to_pylist())
         if len(words) > len(n):
             more = len(words) - len(n) + 50_000
-            n, total = np.concatenate([n, np.zeros(more, np.int64)]), np.concatenate([total, np.zeros((more, DIM), np.int64)])
+            n, total = np.concatenate([n, np.zeros(more, np.int64)]), np.concatenate([total, np.zeros((more, DIM), np.int32)])
         flat = np.concatenate([*texts, np.zeros(0, np.int64)])
         text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         for a in range(0, len(flat), 4 * _STRETCH):
@@ -142,10 +146,10 @@ def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word = flat[here][order]
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             n[word[first]] += np.diff(np.append(first, len(word)))
-            total[word[first]] += np.add.reduceat(near[order], first, dtype=np.int64)
+            total[word[first]] += np.add.reduceat(near[order], first, dtype=np.int32)
         if len(words) > _CACHE:
             yield from emptied()
-            words, n, total = Words(), np.zeros(0, np.int64), np.zeros((0, DIM), np.int64)
+            words, n, total = Words(), np.zeros(0, np.int64), np.zeros((0, DIM), np.int32)
     yield from emptied()
 
 
