@@ -2,13 +2,14 @@
 
 1. Words of the training texts are counted (pre-aggregated in the map tasks). The vocabulary stays a table.
 2. The TOP most frequent words are clustered by exchange: each word in turn moves to the class that raises the
-   likelihood of the class bigrams most. The statistics are the counts of all neighbouring words of all
-   training texts, in one matrix of bounded size; rarer words stand in it as one row for each power of two of
-   their count, and those beyond the HEAD (and unknown ones) as one row together.
-3. P(w | v) = P(class(w) | class(v)) * P(w | class(w)); transitions are interpolated with the class's share,
-   emissions add one half to each count, and the class of the rarest words keeps a share for the unknown.
-4. Texts are scored in the map tasks with the head's counts, which are sent to them (at most HEAD words); the
-   counts of all other words come by a join.
+   likelihood of the class bigrams most, by the counts of all neighbouring words in one matrix of bounded size.
+3. Every other word that was seen at least twice then goes to the class that raises the likelihood most, by the classes
+   of all its neighbours, which are added up by word in an exchange; so the classes cover a vocabulary that grows with
+   the corpus. Words seen once have a class of their own, which stands for unknown words as well.
+4. P(w | v) = P(class(w) | class(v)) * P(w | class(w)); transitions are counted over all training texts and
+   interpolated with the class's share, emissions add one half to each count.
+5. Texts are scored in the map tasks with the classes of the most frequent words, which are sent to them (at most HEAD);
+   those of all other words come by a join, each once for a text. The result does not depend on HEAD.
 
 Words are known by a 62-bit hash. Defined results: null and empty texts have the end token only; without
 training texts every count is 0; repeated rows are scored one by one (and counted each time); a null id
@@ -29,15 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regtext.llm.packed import SCHEMA, blocks_of, summed
-from regtext.llm.support import LOWER, map_batches, materialise, text_bytes
+from regtext.llm.support import LOWER, map_batches, materialise, partitions, text_bytes
 
-#: Words that are clustered, classes for them, rounds of exchange.
+#: Words that are exchanged with each other, classes for them, rounds of exchange.
 TOP, CLASSES, ROUNDS = 1024, 48, 6
-#: Words whose counts are sent to the tasks, at most.
-HEAD = 300_000
-#: Rows of the matrix after the clustered words: the end, one for each power of two, the tail.
-BANDS = 44
-END_ROW, TAIL_ROW, ROWS = TOP, TOP + 1 + BANDS, TOP + 2 + BANDS
+#: Words whose counts and classes are sent to the tasks, at most.
+HEAD = 1_000_000
+#: Rows of the matrix after the exchanged words: the end, and all others.
+END_ROW, OTHER_ROW, ROWS = TOP, TOP + 1, TOP + 2
+#: Classes after the exchanged ones: the end, and words seen once (and unknown ones).
+END_CLASS, RARE, N = CLASSES, CLASSES + 1, CLASSES + 2
 #: Weight of a class's share in its transitions.
 PRIOR = 8.0
 _FLUSH, _CACHE, _BLOCK = 300_000, 300_000, 1 << 16
@@ -72,54 +74,27 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-class Head:
-    """The most frequent words: sorted hashes, their counts and rows of the matrix."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, top: np.ndarray) -> None:
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-        self.rows = TOP + 1 + np.minimum(BANDS - 1, np.floor(np.log2(np.maximum(self.counts, 1)))).astype(np.int64)
-        if len(self.hashes):
-            self.rows[np.searchsorted(self.hashes, top)] = np.arange(len(top))
-            if (i := self.place(END)) >= 0:
-                self.rows[i] = END_ROW
-
-    def place(self, h: int) -> int:
-        i = int(np.searchsorted(self.hashes, h))
-        return i if i < len(self.hashes) and self.hashes[i] == h else -1
-
-
-class Places(dict):
-    """word -> its place in the head, or -1 - hash; emptied when it is full."""
+class Rows(dict):
+    """word -> its row of the matrix; emptied when it is full."""
 
-    def __init__(self, head: Head) -> None:
-        self.head = head
+    def __init__(self, top: dict[int, int]) -> None:
+        self.top = top
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _CACHE:
             self.clear()
-        h = word_hash(word)
-        place = self.head.place(h)
-        self[word] = got = place if place >= 0 else -1 - h
+        self[word] = got = self.top.get(word_hash(word), OTHER_ROW)
         return got
 
 
-def _rows(places: np.ndarray, head: Head) -> np.ndarray:
-    """Rows of a text's words between two ends."""
-    rows = np.full(len(places) + 2, END_ROW)
-    known = places >= 0
-    rows[1:-1] = np.where(known, head.rows[np.where(known, places, 0)], TAIL_ROW) if len(head.rows) else TAIL_ROW
-    return rows
-
-
-def _bigrams(head: Head):
+def _bigrams(top: dict[int, int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, places = np.zeros(ROWS * ROWS, np.int64), Places(head)
+        total, rows = np.zeros(ROWS * ROWS, np.int64), Rows(top)
         for b in batches:
             codes = []
             for text in b.column(0).to_pylist():
-                rows = _rows(np.array([places[w] for w in text.translate(LOWER).split()], np.int64), head)
-                codes.append(rows[:-1] * ROWS + rows[1:])
+                r = np.array([END_ROW, *(rows[w] for w in text.translate(LOWER).split()), END_ROW], np.int64)
+                codes.append(r[:-1] * ROWS + r[1:])
             if codes:
                 total += np.bincount(np.concatenate(codes), minlength=ROWS * ROWS)
         yield from blocks_of(total, _BLOCK, TaskContext.get().partitionId())
@@ -176,24 +151,195 @@ def exchange(matrix: np.ndarray, words: int, classes: int = CLASSES, rounds: int
     return label
 
 
+class Contexts(dict):
+    """word -> the class of its row; for words without a row a number behind the classes, and its hash."""
+
+    def __init__(self, top: dict[int, int], label: np.ndarray) -> None:
+        self.top, self.label = top, label
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        h = word_hash(word)
+        if h in self.top:
+            self[word] = got = int(self.label[self.top[h]])
+        else:
+            self[word] = got = N + len(self.hashes)
+            self.hashes.append(h)
+        return got
+
+
+def _contexts(top: dict[int, int], label: np.ndarray):
+    """For each word without a row: how often each class stands before it, and (N further) behind it. In the order of codes, counts up to 255."""
+
+    def emptied(known: Contexts, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
+        if not len(keys):
+            return
+        # a count above 255 stands in several entries
+        times = -(-counts // 255)
+        keys, left = np.repeat(keys, times), np.repeat(counts, times)
+        left = np.minimum(255, left - 255 * (np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)))
+        word, code, n = keys // (2 * N), (keys % (2 * N)).astype(np.uint8), left.astype(np.uint8)
+        cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        hashes, both = np.array(known.hashes, np.int64)[word[cuts]], np.stack([code, n], 1)
+        for a in range(0, len(cuts), 20_000):
+            ends = np.append(cuts, len(word))[a : a + 20_001]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[a : a + 20_000]), pa.array([both[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["h", "codes"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts, held = Contexts(top, label), [], 0
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                w = np.array([END_CLASS, *(known[x] for x in text.translate(LOWER).split()), END_CLASS], np.int64)
+                at = np.flatnonzero(w >= N)
+                c = np.minimum(w, RARE)
+                parts += [(w[at] - N) * (2 * N) + c[at - 1], (w[at] - N) * (2 * N) + N + c[at + 1]]
+                held += 2 * len(at)
+            if held > 4_000_000 or len(known) > 2 * _CACHE:
+                yield from emptied(known, parts)
+                known, parts, held = Contexts(top, label), [], 0
+        yield from emptied(known, parts)
+
+    return run
+
+
+def _assign(big: np.ndarray):
+    """Reduce side, words in order: the class that raises the likelihood most, for each word seen at least twice."""
+    rows, cols = big[:CLASSES].T, big[:, :CLASSES]
+    around = np.concatenate([cols, rows])  # of a code before or behind a word: the counts with each class
+    out, into = big[:CLASSES].sum(1), big[:, :CLASSES].sum(0)
+    small = np.stack([_xlogx(around + n) - _xlogx(around) for n in range(1, 9)])
+
+    def best(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of occurrences and class of the words 0, 1, .. whose entries are given in order."""
+        keys, which = np.unique(word * (2 * N) + code, return_inverse=True)
+        n = np.bincount(which, n, len(keys)).astype(np.int64)
+        word, code = keys // (2 * N), keys % (2 * N)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        seen = np.add.reduceat(n, first) // 2
+        classes = np.empty(len(first), np.int64)
+        ends = np.append(first, len(word))
+        for a in range(0, len(first), 2000):
+            x, y = ends[a], ends[min(len(first), a + 2000)]
+            part, m = slice(x, y), n[x:y, None]
+            gain = np.where(m <= 8, small[np.minimum(n[part], 8) - 1, code[part]], 0.0)
+            if (more := np.flatnonzero(n[part] > 8)).size:
+                base = around[code[part][more]]
+                gain[more] = _xlogx(base + m[more]) - _xlogx(base)
+            total = np.add.reduceat(gain, first[a : a + 2000] - x)
+            s = seen[a : a + 2000, None]
+            total -= _xlogx(out + s) - _xlogx(out) + _xlogx(into + s) - _xlogx(into)
+            classes[a : a + 2000] = total.argmax(1)
+        return seen, classes
+
+    def rows_of(hashes: list[int], codes: list[bytes]) -> pa.RecordBatch:
+        new = np.concatenate([[True], np.diff(np.array(hashes, np.int64)) != 0])
+        sizes = np.array([len(c) // 2 for c in codes])
+        flat = np.frombuffer(b"".join(codes), np.uint8).reshape(-1, 2).astype(np.int64)
+        seen, classes = best(np.repeat(np.cumsum(new) - 1, sizes), flat[:, 0], flat[:, 1])
+        kept = seen >= 2
+        return pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.int64)[new][kept]), pa.array(classes[kept].astype(np.int32))], ["h", "class"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: list[int] = []
+        codes: list[bytes] = []
+        for b in batches:
+            hashes += b.column(0).to_pylist()
+            codes += b.column(1).to_pylist()
+            cut = len(hashes)
+            while cut and hashes[cut - 1] == hashes[-1]:  # the last word may go on in the next batch
+                cut -= 1
+            if cut:
+                yield rows_of(hashes[:cut], codes[:cut])
+                hashes, codes = hashes[cut:], codes[cut:]
+            elif len(codes) > 10_000:
+                codes, hashes = [_folded(codes)], hashes[:1]
+        if hashes:
+            yield rows_of(hashes, codes)
+
+    return run
+
+
+def _folded(codes: list[bytes]) -> bytes:
+    """Entries of one word as one value: what is counted together stands together."""
+    flat = np.frombuffer(b"".join(codes), np.uint8).reshape(-1, 2).astype(np.int64)
+    counts = np.bincount(flat[:, 0], flat[:, 1], 2 * N).astype(np.int64)
+    times = -(-counts // 255)
+    code = np.repeat(np.arange(2 * N), times)
+    left = np.minimum(255, np.repeat(counts, times) - 255 * (np.arange(len(code)) - np.repeat(np.cumsum(times) - times, times)))
+    return np.stack([code, left], 1).astype(np.uint8).tobytes()
+
+
+class Head:
+    """The most frequent words: sorted hashes, their counts and classes. whole: all other words were seen once at most."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, classes: np.ndarray, whole: bool) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.counts, self.classes, self.whole = hashes[order], counts[order], classes[order].astype(np.int64), whole
+
+    def place(self, h: int) -> int:
+        i = int(np.searchsorted(self.hashes, h))
+        return i if i < len(self.hashes) and self.hashes[i] == h else -1
+
+
+class Places(dict):
+    """word -> its place in the head, or -1 - hash; emptied when it is full."""
+
+    def __init__(self, head: Head) -> None:
+        self.head = head
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _CACHE:
+            self.clear()
+        h = word_hash(word)
+        place = self.head.place(h)
+        self[word] = got = place if place >= 0 else -1 - h
+        return got
+
+
+def _codes(places: np.ndarray, head: Head) -> np.ndarray:
+    """Classes of a text's words between two ends; -1 - hash where the class is not known here."""
+    out = np.full(len(places) + 2, END_CLASS)
+    rest = np.full(len(places), RARE) if head.whole else places
+    out[1:-1] = np.where(places >= 0, head.classes[np.maximum(places, 0)], rest) if len(head.hashes) else rest
+    return out
+
+
+def _transitions(head: Head):
+    """Counts of neighbouring classes, or hashes of words outside the head."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, places = np.zeros(N * N, np.int64), Places(head)
+        for b in batches:
+            known, rest = [np.zeros(0, np.int64)], []
+            for text in b.column(0).to_pylist():
+                c = _codes(np.array([places[w] for w in text.translate(LOWER).split()], np.int64), head)
+                both = (c[:-1] >= 0) & (c[1:] >= 0)
+                known.append(c[:-1][both] * N + c[1:][both])
+                if not both.all():
+                    rest.append(np.stack([c[:-1][~both], c[1:][~both]], 1))
+            total += np.bincount(np.concatenate(known), minlength=N * N)
+            if rest:
+                pairs, n = np.unique(np.concatenate(rest), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n)], ["a", "b", "n"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at // N), pa.array(at % N), pa.array(total[at])], ["a", "b", "n"])
+
+    return run
+
+
 class ClassModel:
-    """Log10 probabilities: transitions between the classes of rows, emissions of the head's words, the tail's divisor."""
+    """Log10 probabilities: transitions between classes, emissions of the head's words, divisors of the classes."""
 
-    def __init__(self, head: Head, matrix: np.ndarray, tail_tokens: int, tail_words: int) -> None:
+    def __init__(self, head: Head, big: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> None:
         self.head = head
-        self.label = exchange(matrix, TOP)
-        n = int(self.label.max()) + 1
-        onto = np.zeros((ROWS, n))
-        onto[np.arange(ROWS), self.label] = 1
-        big = onto.T @ matrix @ onto
-        share = (big.sum(0) + 0.5) / (big.sum() + 0.5 * n)
+        share = (big.sum(0) + 0.5) / (big.sum() + 0.5 * N)
         self.transition = np.log10((big + PRIOR * share) / (big.sum(1, keepdims=True) + PRIOR))
-        of = self.label[head.rows] if len(head.rows) else np.zeros(0, int)
-        tokens, words = np.bincount(of, head.counts, n), np.bincount(of, minlength=n)
+        more = np.zeros(N)
+        more[RARE] = 1  # a share for all unknown words
+        self.divisor = np.log10(tokens + 0.5 * np.maximum(1, words + more))
         self.base = np.log10(head.counts + 0.5)
-        self.emission = self.base - np.log10(tokens[of] + 0.5 * words[of])
-        # rare words beyond the head, and one more for all unknown ones
-        self.tail = float(np.log10(tail_tokens + 0.5 * (tail_words + 1)))
+        self.emission = self.base - self.divisor[head.classes]
 
 
 def _score(model: ClassModel):
@@ -203,54 +349,109 @@ def _score(model: ClassModel):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places(head)
         for b in batches:
-            n_tokens, known, base, score, tails = [], [], [], [], []
+            out: list[list] = [[] for _ in range(4)]
+            tails, times, pairs = [], [], []
             for text in b.column(2).to_pylist():
                 p = np.array([places[w] for w in text.translate(LOWER).split()], np.int64)
-                classes = model.label[_rows(p, head)]
+                c = _codes(p, head)
+                both = (c[:-1] >= 0) & (c[1:] >= 0)
                 inside = p[p >= 0]
-                tail = -1 - p[p < 0]
-                n_tokens.append(len(p) + 1)
-                known.append(len(inside) + (end >= 0))
-                base.append(float(model.base[inside].sum() + (model.base[end] if end >= 0 else np.log10(0.5))))
-                score.append(float(model.transition[classes[:-1], classes[1:]].sum() + model.emission[inside].sum() - model.tail * len(tail)))
+                tail, n = np.unique(-1 - p[p < 0], return_counts=True)
+                out[0].append(len(p) + 1)
+                out[1].append(len(inside) + (end >= 0))
+                out[2].append(float(model.base[inside].sum() + (model.base[end] if end >= 0 else np.log10(0.5))))
+                out[3].append(float(model.transition[c[:-1][both], c[1:][both]].sum() + model.emission[inside].sum()))
                 tails.append(tail)
-            flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tails)]).astype(np.int32)), pa.array(np.concatenate([*tails, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), flat], ["row", "id", "n_tokens", "known", "base", "score", "tail"])
+                times.append(n)
+                pairs.append(np.stack([c[:-1][~both], c[1:][~both]], 1).reshape(-1))
+            lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), lists(tails), lists(times), lists(pairs)], ["row", "id", "n_tokens", "known", "base", "score", "tail", "times", "pairs"])
 
     return run
 
 
-def learn(docs: DataFrame, text_col: str = "text") -> tuple[ClassModel, DataFrame, int, int]:
-    """The model, the vocabulary (h, c), and the numbers of training tokens and of distinct ones."""
+def _rest_score(transition: np.ndarray):
+    """The transitions of a text that have a word outside the head: row, and their sum."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = []
+            for pairs, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                of = {-1 - f["h"]: f["class"] for f in found}
+                c = np.array([of[x] if x < 0 else x for x in pairs], np.int64)
+                sums.append(float(transition[c[::2], c[1::2]].sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.float64())], ["row", "between"])
+
+    return run
+
+
+def _dense(rows: list, shape: tuple[int, ...]) -> np.ndarray:
+    out = np.zeros(shape)
+    for *at, n in rows:
+        out[tuple(at)] = n
+    return out
+
+
+def learn(docs: DataFrame, text_col: str = "text", head_words: int = HEAD) -> tuple[ClassModel, DataFrame, int, int]:
+    """The model, the words outside its head (h, c, class), and the numbers of training tokens and of distinct ones."""
+    spark = docs.sparkSession
     texts = docs.select(text_bytes(text_col).alias("text"))
     vocabulary = materialise(map_batches(texts, _count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
     tokens, words = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    chosen = [r["h"] for r in vocabulary.where((F.col("h") != END) & (F.col("c") > 1)).orderBy(F.desc("c"), "h").limit(TOP).collect()]
+    top = {END: END_ROW, **{h: i for i, h in enumerate(chosen)}}
+    matrix = summed(map_batches(texts, _bigrams(top), SCHEMA), (ROWS, ROWS), _BLOCK)
+    label = exchange(matrix, TOP)
+    onto = np.zeros((ROWS, N))
+    onto[np.arange(ROWS), label] = 1
+    around = map_batches(texts, _contexts(top, label), "h long, codes binary").repartition(partitions(spark), "h").sortWithinPartitions("h")
+    assigned = map_batches(around, _assign(onto.T @ matrix @ onto), "h long, class int")
+    named = spark.createDataFrame([(END, END_CLASS), *((h, int(label[i])) for i, h in enumerate(chosen))], "h long, class int")
+    classed = vocabulary.join(assigned.unionByName(named), "h", "left").withColumn("class", F.coalesce("class", F.lit(RARE)))
+    classed = materialise(classed.select("h", "c", "class"), "classes")
+    sizes = classed.groupBy("class").agg(F.sum("c"), F.count(F.lit(1))).collect()
     step = F.floor(F.log2("c") * 8).cast("int")
-    least, taken = 1 << 62, 0
-    for band, n in sorted(((r[0], r[1]) for r in vocabulary.groupBy(step).count().collect()), reverse=True):
-        if taken + n > HEAD:
+    least, taken = 1 << 30, 0
+    for band, n in sorted(map(tuple, classed.where(F.col("class") != RARE).groupBy(step).count().collect()), reverse=True):
+        if taken + n > head_words:
             break
         least, taken = band, taken + n
-    counted = vocabulary.where((step >= least) | (F.col("h") == END)).toPandas()
-    top = vocabulary.where(F.col("h") != END).where(step >= least).orderBy(F.desc("c"), "h").limit(TOP).collect()
-    head = Head(counted["h"].to_numpy(np.int64), counted["c"].to_numpy(np.int64), np.array([r["h"] for r in top], np.int64))
-    matrix = summed(map_batches(texts, _bigrams(head), SCHEMA), (ROWS, ROWS), _BLOCK)
-    model = ClassModel(head, matrix, int(tokens - head.counts.sum()), int(words - len(head.counts)))
-    return model, vocabulary.where((step < least) & (F.col("h") != END)), int(tokens), int(words)
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    inside = ((step >= least) & (F.col("class") != RARE)) | (F.col("h") == END)
+    rows = classed.where(inside).toArrow()
+    column = lambda name: rows.column(name).to_numpy().astype(np.int64)
+    rest = classed.where(~inside)
+    head = Head(column("h"), column("c"), column("class"), rest.where(F.col("class") != RARE).isEmpty())
+    pairs = map_batches(texts, _transitions(head), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    if not head.whole:
+        for side in ("a", "b"):  # classes of words outside the head; no word here is unknown
+            pairs = pairs.join(rest.select((-1 - F.col("h")).alias(side), "class"), side, "left").withColumn(side, F.coalesce("class", side)).drop("class")
+        pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    big = _dense([(r["a"], r["b"], r["n"]) for r in pairs.collect()], (N, N))
+    model = ClassModel(head, big, _dense([(r[0], r[1]) for r in sizes], (N,)), _dense([(r[0], r[2]) for r in sizes], (N,)))
+    return model, rest, int(tokens), int(words)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
-    model, rest, tokens, words = learn(docs.where(~held_out(F.col(id_col))), text_col)
+    model, rest, tokens, words = learn(docs.where(~held_out(F.col(id_col))), text_col, head_words)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
     double, long = T.DoubleType(), T.LongType()
-    schema = T.StructType([T.StructField("row", long), T.StructField("id", rows.schema["id"].dataType), T.StructField("n_tokens", long), T.StructField("known", long), T.StructField("base", double), T.StructField("score", double), T.StructField("tail", T.ArrayType(long))])
-    scored = materialise(map_batches(rows, _score(model), schema), "scored")
-    rare = scored.select("row", F.explode("tail").alias("h")).join(rest, "h", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare"), F.count("c").alias("rare_known"))
-    divisor = float(np.log10(tokens + 0.5 * (words + 1)))
-    more = F.coalesce("rare", F.lit(0.0))
-    return scored.drop("tail").join(rare, "row", "left").select(
+    fields = [("row", long), ("id", rows.schema["id"].dataType), ("n_tokens", long), ("known", long), ("base", double), ("score", double), ("tail", T.ArrayType(long)), ("times", T.ArrayType(long)), ("pairs", T.ArrayType(long))]
+    scored = materialise(map_batches(rows, _score(model), T.StructType([T.StructField(*f) for f in fields])), "scored")
+    once = scored.select("row", F.explode(F.arrays_zip(F.col("tail").alias("h"), F.col("times").alias("n"))).alias("t")).select("row", "t.h", "t.n")
+    found = once.join(rest, "h", "left").withColumns({"c": F.coalesce("c", F.lit(0)), "class": F.coalesce("class", F.lit(RARE))})
+    divisor = F.element_at(F.array(*(F.lit(float(d)) for d in model.divisor)), F.col("class") + 1)
+    per_word = F.log10(F.col("c") + 0.5)
+    sums = [F.sum(F.col("n") * per_word).alias("rare"), F.sum(F.col("n") * (per_word - divisor)).alias("emitted"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("rare_known")]
+    if model.head.whole:
+        rare = found.groupBy("row").agg(*sums).withColumn("between", F.lit(0.0))
+    else:
+        rare = materialise(found.groupBy("row").agg(*sums, F.collect_list(F.struct("h", "class")).alias("found")), "rest")
+        between = map_batches(scored.where(F.size("pairs") > 0).select("row", "pairs").join(rare.select("row", "found"), "row"), _rest_score(model.transition), "row long, between double")
+        rare = rare.drop("found").join(between, "row")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    train = float(np.log10(tokens + 0.5 * (words + 1)))
+    return scored.drop("tail", "times", "pairs").join(rare, "row", "left").select(
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * F.lit(divisor)).alias("base_score"), (F.col("score") + more).alias("score"),
+        (F.col("base") + zero("rare") - F.col("n_tokens") * F.lit(train)).alias("base_score"), (F.col("score") + zero("emitted") + zero("between")).alias("score"),
     )

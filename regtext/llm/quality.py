@@ -112,13 +112,25 @@ class Sums:
 
 
 def _sum_rows(h: np.ndarray, n: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows with the sums in the smallest numbers that hold them."""
+    """Rows with the sums in the smallest numbers that hold them: half a byte each for rare words."""
     most = np.abs(total).max(1, initial=0)
-    for kind, low, high in ((np.int8, -1, 127), (np.int16, 127, 32767), (np.int64, 32767, np.inf)):
+    for kind, low, high in ((None, -1, 7), (np.int8, 7, 127), (np.int16, 127, 32767), (np.int64, 32767, np.inf)):
         at = np.flatnonzero((most > low) & (most <= high))
         for a in range(0, len(at), 20_000):
             part = at[a : a + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(n[part]), pa.array([r.tobytes() for r in total[part].astype(kind)], pa.binary())], ["h", "n", "sum"])
+            data = total[part].astype(kind) if kind else _halves(total[part])
+            yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(n[part]), pa.array([r.tobytes() for r in data], pa.binary())], ["h", "n", "sum"])
+
+
+def _halves(total: np.ndarray) -> np.ndarray:
+    half = (total + 8).astype(np.uint8)
+    return half[:, ::2] | half[:, 1::2] << 4
+
+
+def _whole(halves: np.ndarray) -> np.ndarray:
+    out = np.empty((len(halves), DIM), np.int64)
+    out[:, ::2], out[:, 1::2] = halves & 15, halves >> 4
+    return out - 8
 
 
 def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +171,10 @@ def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         h, n, data = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_pylist()
         size = np.array([len(d) for d in data])
-        for kind in (np.int8, np.int16, np.int64):
-            at = np.flatnonzero(size == DIM * np.dtype(kind).itemsize)
-            sums.add(h[at], n[at], np.frombuffer(b"".join([data[i] for i in at]), kind).reshape(-1, DIM).astype(np.int64))
+        for kind, width in ((np.uint8, DIM // 2), (np.int8, DIM), (np.int16, 2 * DIM), (np.int64, 8 * DIM)):
+            at = np.flatnonzero(size == width)
+            part = np.frombuffer(b"".join([data[i] for i in at]), kind).reshape(len(at), width // np.dtype(kind).itemsize)
+            sums.add(h[at], n[at], _whole(part) if width == DIM // 2 else part.astype(np.int64))
     hashes, counts, total = sums.all()
     often = counts >= LEAST
     hashes, counts, total = hashes[often], counts[often], total[often]

@@ -3,9 +3,10 @@
 Rules are matched with Spark functions. The trees learn from urls that a rule has judged (or from given
 labels). The share of blocked urls of each suffix, and of each suffix with first directory, is counted over all
 of them, repeated ones once, and joined to the urls as features. A sample of at most SAMPLE distinct urls, the first
-in order of a hash, goes to the driver, which fits histogram trees with numpy; scoring runs in the tasks.
+in order of a hash, goes to the driver, which fits histogram trees with numpy; scoring runs in the tasks. An url that
+the trees are fitted on takes its shares from the other FOLDS of urls, so that no share holds its own label.
 
-Defined results: a null url or one without ``://`` has empty host and path and fits no rule; without labelled
+Defined results: urls that a rule judges have no probability; a null url or one without ``://`` has empty host and path and fits no rule; without labelled
 urls of both kinds the verdict for the rest is the only kind seen, or ``allow``; repeated rows get equal
 verdicts; an empty table gives an empty result; extra columns are kept out.
 """
@@ -33,6 +34,8 @@ SAMPLE = 20_000
 HOT = 256
 #: Distinct judged urls that a key needs for a share of its own, and the weight of the prior in it.
 SEEN = 5
+#: Parts of the judged urls; the shares for urls of one are counted over the others.
+FOLDS = 5
 TREES, DEPTH, BINS, RATE, LEAST = 40, 3, 32, 0.3, 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -162,25 +165,35 @@ def with_keys(rows: DataFrame) -> DataFrame:
     return map_batches(rows, _keyed, T.StructType([*rows.schema, T.StructField("suffix", T.StringType()), T.StructField("folder", T.StringType())]))
 
 
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(1)), F.lit(FOLDS)).cast("int")
+
+
 def shares_of(judged: DataFrame) -> tuple[DataFrame, float]:
-    """key and smoothed share of blocked among the distinct judged urls, for each key with SEEN of them, and the share of all."""
+    """key, smoothed share of blocked among the distinct judged urls, and the shares without each fold (null below SEEN urls), for each key with SEEN of them; and the share of all."""
     total = judged.agg(F.avg(F.col("blocked").cast("double"))).first()[0]
     prior = float(total) if total is not None else 0.0
-    counts = judged.select("blocked", F.explode(F.array("suffix", "folder")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("seen"), F.count_if("blocked").alias("bad"))
-    return counts.where(F.col("seen") >= SEEN).select("key", ((F.col("bad") + SEEN * prior) / (F.col("seen") + SEEN)).alias("share")), prior
+    share = lambda bad, seen: F.when(seen >= SEEN, (bad + SEEN * prior) / (seen + SEEN))
+    rows = judged.select("blocked", fold_of(F.col("url")).alias("fold"), F.explode(F.array("suffix", "folder")).alias("key"))
+    outside = [F.struct(F.count_if(F.col("fold") != k).alias("seen"), F.count_if(F.col("blocked") & (F.col("fold") != k)).alias("bad")) for k in range(FOLDS)]
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("seen"), F.count_if("blocked").alias("bad"), F.array(*outside).alias("outside")).where(F.col("seen") >= SEEN)
+    return counts.select("key", share(F.col("bad"), F.col("seen")).alias("share"), F.transform("outside", lambda o: share(o["bad"], o["seen"])).alias("folds")), prior
 
 
-def with_shares(rows: DataFrame, shares: DataFrame, prior: float) -> DataFrame:
-    """rows (stored, with their keys) with the shares of both keys; without one the prior."""
+def with_shares(rows: DataFrame, shares: DataFrame, prior: float, learning: bool = False) -> DataFrame:
+    """rows (stored, with their keys) with the shares of both keys; without one the prior. learning: shares that the fold of the url had no part in."""
     least = rows.count() / HOT
     out = rows
     for key in ("suffix", "folder"):
-        named = shares.select(F.col("key").alias(key), F.col("share").alias(f"{key}_share"))
+        named = shares.select(F.col("key").alias(key), F.col("share").alias(f"{key}_share"), F.col("folds").alias(f"{key}_folds"))
         many = rows.groupBy(key).count().where(F.col("count") > least).select(key)
         hot = rows.sparkSession.createDataFrame(many.join(named, key, "left").collect(), named.schema)
         near = out.join(F.broadcast(hot), key)
         far = out.join(F.broadcast(hot.select(key)), key, "left_anti").join(named, key, "left")
-        out = near.unionByName(far).fillna(prior, [f"{key}_share"])
+        out = near.unionByName(far)
+        if learning:
+            out = out.withColumn(f"{key}_share", F.get(f"{key}_folds", fold_of(F.col("url"))))
+        out = out.drop(f"{key}_folds").fillna(prior, [f"{key}_share"])
     return out
 
 
@@ -188,12 +201,22 @@ def _judge(trees: Trees):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             urls, x, y = (b.column(k).to_pylist() for k in ("url", "suffix_share", "folder_share"))
-            p = trees.probability(np.array([lexical(u or "", *s) for u, *s in zip(urls, x, y, strict=True)]).reshape(len(urls), 16))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, "block_probability"])
+            open_ones = [i for i, ruled in enumerate(b.column("ruled").to_pylist()) if ruled is None]
+            p: list[float | None] = [None] * len(urls)
+            for i, q in zip(open_ones, trees.probability(np.array([lexical(urls[i] or "", x[i], y[i]) for i in open_ones]).reshape(len(open_ones), 16)).tolist(), strict=True):
+                p[i] = q
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "block_probability"])
 
     return run
 
 
+def fitted(judged: DataFrame, shares: DataFrame, prior: float, sample: int = SAMPLE) -> Trees:
+    """Trees fitted on a sample of judged urls (stored, distinct, with their keys)."""
+    taken = materialise(judged.orderBy(F.xxhash64("url"), "url", "blocked").limit(sample), "sample")
+    learned = sorted(with_shares(taken, shares, prior, learning=True).select("url", "blocked", "suffix_share", "folder_share").collect())
+    return learn([r[0] for r in learned], [(r[2], r[3]) for r in learned], [r[1] for r in learned])
+
+
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """id, host, path, rule, verdict and block_probability of every url. labelled: url, blocked (boolean); by default the urls a rule judges."""
     host, path = host_and_path(F.col("url"))
@@ -204,9 +227,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     judged = materialise(with_keys(source.where("url is not null and blocked is not null").distinct()), "judged")
     shares, prior = shares_of(judged)
     shares = materialise(shares, "shares")
-    taken = materialise(judged.orderBy(F.xxhash64("url"), "url", "blocked").limit(sample), "sample")
-    learned = sorted(with_shares(taken, shares, prior).select("url", "blocked", "suffix_share", "folder_share").collect())
-    trees = learn([r[0] for r in learned], [(r[2], r[3]) for r in learned], [r[1] for r in learned])
+    trees = fitted(judged, shares, prior, sample)
     rows = with_shares(rows, shares, prior)
     judged = map_batches(rows, _judge(trees), T.StructType([*rows.schema, T.StructField("block_probability", T.DoubleType())]))
     verdict = F.coalesce("ruled", F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow"))

@@ -232,10 +232,76 @@ def test_viterbi_is_best():
         assert abs(sum(p.scores[i] if i else -14 for i in ids) - best(s)) < 1e-9
 
 
+def _plain(template: str) -> str:
+    """A template with its original wording and all optional regions."""
+    import re
+
+    text = re.sub(r'<<var;[^<>]*?original="([^"]*)"[^<>]*>>', r"\1", template)
+    return re.sub(r"<<(?:beginOptional|endOptional)[^<>]*>>", " ", text)
+
+
 def test_licenses(spark):
-    texts = ["x Released under the MIT License. y", "Licensed under the Apache License, Version 2.0.", "cc by nc cc by nc", None, "Neither the name of the Big Company nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "Neither the name of X nor the names of its contributors may be used"]
+    full = {label: _plain(t) for label, t in reversed(license_templates.TEMPLATES) if len(t) > 400}
+    texts = ["x Released under the MIT License. y", "Licensed under the Apache License, Version 2.0.", "cc by nc cc by nc", None, "", "word " * 40_000 + full["mit"] + " word" * 40_000, full["bsd-3-clause"].replace("the copyright holder", "the Big Company and all of its friends"), full["bsd-3-clause"].replace("specific prior", "prior"), full["bsd-2-clause"], full["isc"], full["0bsd"], full["zlib"], full["apache-2"], full["mit"].replace("sublicense", "sell"), full["unlicense"]]
     got = {r.doc_id: (r.n_words, sorted({x.label for x in r.places}), sum(x.kind == "base" for x in r.places)) for r in license_templates.scan_licenses(frame(spark, texts)).collect()}
-    assert got[0] == (7, ["mit"], 1) and got[1][1:] == (["apache-2"], 1) and got[2] == (6, ["cc-by-nc"], 2) and got[3] == (0, [], 0) and got[4][1] == ["bsd-3-clause"] and got[5][1] == []
+    assert got[0] == (7, ["mit"], 1) and got[1][1:] == (["apache-2"], 1) and got[2] == (6, ["cc-by-nc"], 2) and got[3] == got[4] == (0, [], 0)
+    assert [got[i][1] for i in range(5, 15)] == [["mit"], ["bsd-3-clause"], [], ["bsd-2-clause"], ["isc"], ["0bsd"], ["zlib"], ["apache-2"], [], ["unlicense"]]
+    assert license_templates.scan_licenses(frame(spark, []).where("false")).count() == 0
+
+
+def test_template_markup_against_regular_expressions():
+    import re
+
+    word = lambda m: rf"(?: \w+){{{m[0]},{m[1]}}}"
+    cases = [
+        ('a b <<var;name="x";original="q";match=".{0,4}">> c', rf" a b{word((0, 3))} c"),
+        ('a b <<var;name="x";original="q";match=".+">> c <<beginOptional;name="o">>d <<var;max=1>> a<<endOptional>>', rf" a b{word((1, 100))} c(?: d{word((0, 1))} a)?"),
+        ('a <<var;name="x";original="q";match="b|c d">> a', r" a(?: b| c d) a"),
+        ("a <<beginOptional>>b<<beginOptional>>c<<endOptional>><<endOptional>> d a", r" a(?: b(?: c)?)? d a"),
+    ]
+    rng = random.Random(2)
+    for markup, pattern in cases:
+        t = license_templates.Template("x", markup)
+        for _ in range(400):
+            words = [rng.choice("aabcd") for _ in range(rng.randint(0, 14))]
+            ends = [j for j in range(1, len(words) + 1) if re.fullmatch(pattern, "".join(f" {w}" for w in words[:j]))]
+            assert t.accept(words, 0) == (max(ends) if ends else None), (markup, words)
+    for bad in ('a <<var;name="x";match="[0-9]+">> b', "a <<beginOptional>> b", "a <<other>> b", 'a <<var;size="3">> b', "<<var;max=3>>"):
+        with pytest.raises(ValueError):
+            license_templates.Template("x", bad)
+
+
+def _duck(sf):
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.execute(f"create view {f[:-8]} as select * from '{sf}/{f}'")
+    return con
+
+
+def test_base_columns_against_sql(spark):
+    from regtext.llm import queries as q
+
+    sf = "/root/testdata/sf0.001"
+    con = _duck(sf)
+    phrases = "UNION ALL ".join(f"SELECT '{p}' AS p, '{label}' AS label, {len(p.split())} AS k " for p, label in license_templates.PHRASES.items())
+    want = con.sql(f"""WITH d AS (SELECT doc_id, {q._WORDS} AS w FROM documents), ph AS ({phrases}),
+        places AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: array_to_string(w[i + 1:i + k], ' ') = p)) AS i FROM d, ph)
+        SELECT d.doc_id, len(w) AS n, count(i), min(i), max(i), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') FROM d LEFT JOIN places USING (doc_id) GROUP BY d.doc_id, w""").fetchall()
+    got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in q.op2_license_templates(spark, sf).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(r[2] for r in got) > 0
+    want = con.sql(r"""WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages), h AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+        r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) r(v, rh, rp)),
+        f AS (SELECT page_id, rh || rp AS rule, v FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) = 1)
+        SELECT page_id, host, path, rule, v FROM h LEFT JOIN f USING (page_id)""").fetchall()
+    got = {r.page_id: r for r in q.op5_url_trees(spark, sf).collect()}
+    assert len(got) == len(want)
+    for page, host, path, rule, verdict in want:
+        r = got[page]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict) and (rule is None) == (r.block_probability is not None)
 
 
 def test_urls(spark):
@@ -269,6 +335,48 @@ def test_quality(spark):
     assert {r.score for r in quality.score_quality(docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_word_vectors_against_brute_force(spark):
+    import xxhash
+
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ODD
+    total: dict = {}
+    h = lambda w: xxhash.xxh3_64_intdigest(w.lower())
+    index = lambda w: quality.index_vectors(np.array([h(w)], np.uint64))[0].astype(int)
+    for t in texts:
+        w = (t or "").encode().split()
+        for i, x in enumerate(w):
+            n, s = total.get(h(x), (0, 0))
+            total[h(x)] = (n + 1, s + sum((index(w[j]) for j in (i - 1, i + 1) if 0 <= j < len(w)), np.zeros(quality.DIM, int)))
+    got = quality.word_vectors(frame(spark, texts).repartition(3))
+    place = {int(x): k for k, x in enumerate(got.hashes)}
+    assert {x for x, (n, _) in total.items() if n >= quality.LEAST} <= set(place) and not {x for x, (n, _) in total.items() if n < quality.LEAST} & set(place)
+    for x, (n, s) in total.items():
+        if n >= quality.LEAST:
+            rooted = np.sign(s) * np.sqrt(np.abs(s))
+            assert np.abs(got.vectors[place[x]] - np.round(127 * rooted / max(1e-9, np.linalg.norm(rooted)))).max() <= 1
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 6))
+    y = (rng.random(4000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    network = quality.Network().fit(x[:3000], y[:3000])
+    p = network.score(x[3000:])
+    loss = lambda q: -np.mean(np.where(y[3000:] > 0, np.log(q), np.log(1 - q)))
+    logit = np.log(p / (1 - p)) * network.temperature
+    assert loss(p) <= loss(1 / (1 + np.exp(-logit))) + 0.01 and abs(p.mean() - y[3000:].mean()) < 0.05
+
+
+def test_no_label_of_a_held_out_document_is_learned(spark):
+    rng = random.Random(3)
+    docs = frame(spark, [" ".join(rng.choice(["a", "b", "C!", "dd"]) for _ in range(30)) for _ in range(120)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert quality.score_quality(docs, labels).orderBy("doc_id").collect() == quality.score_quality(docs, turned).orderBy("doc_id").collect()
+
+
 def test_brown(spark):
     rng = random.Random(4)
     a, b = [f"a{i}" for i in range(20)], [f"b{i}" for i in range(20)]
@@ -287,6 +395,36 @@ def test_brown(spark):
         assert abs(got[i].base_score - sum(np.log10((counts.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w)) < 1e-6
     held = [r for i, r in got.items() if r.held_out and i < 300]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # classes help
+    # whatever travels with the tasks, the scores are the same
+    for head in (0, 12):
+        for r in brown.score_texts(frame(spark, texts), head_words=head).collect():
+            assert (r.n_known, r.n_tokens) == (got[r.doc_id].n_known, got[r.doc_id].n_tokens) and abs(r.score - got[r.doc_id].score) < 1e-6 and abs(r.base_score - got[r.doc_id].base_score) < 1e-6
+
+
+def test_brown_probabilities_sum_to_one(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words[: rng.randint(1, 30)]) for _ in range(20)) for _ in range(60)] + ["once only", "x y z"]
+    model, rest, _, n = brown.learn(frame(spark, texts), head_words=8)
+    assert np.allclose((10**model.transition).sum(1), 1)
+    head = model.head
+    mass = np.bincount(head.classes, 10**model.emission, brown.N)
+    for r in rest.collect():
+        mass[r["class"]] += 10 ** (np.log10(r.c + 0.5) - model.divisor[r["class"]])
+    mass[brown.RARE] += 10 ** (np.log10(0.5) - model.divisor[brown.RARE])  # all unknown words
+    used = np.bincount(head.classes, minlength=brown.N) + np.bincount([r["class"] for r in rest.collect()], minlength=brown.N)
+    assert np.allclose(mass[used > 0], 1) and len(head.hashes) + rest.count() == n
+
+
+def test_brown_assigns_words_by_their_neighbours(spark):
+    rng = random.Random(8)
+    # many words of two kinds that follow different markers: more words than are exchanged
+    texts = [" ".join(f"{m} {k}{rng.randint(0, 900)}" for m, k in [("the", "n"), ("to", "v")] for _ in range(20)) for _ in range(400)]
+    model, rest, *_ = brown.learn(frame(spark, texts))
+    head = model.head
+    classes = {k: np.bincount([head.classes[head.place(brown.word_hash(f"{k}{i}".encode()))] for i in range(901) if head.place(brown.word_hash(f"{k}{i}".encode())) >= 0], minlength=brown.N) for k in "nv"}
+    # few classes hold words of both kinds
+    assert np.minimum(classes["n"], classes["v"]).sum() < 0.1 * (classes["n"].sum() + classes["v"].sum())
 
 
 def test_exchange_finds_classes():

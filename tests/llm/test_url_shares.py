@@ -14,7 +14,7 @@ def test_shares_cover_all_urls_and_copies_do_not_fill_the_sample(spark):
     assert abs(prior - 300 / 601) < 1e-12 and set(got) == {"good", "good/x", "bad", "bad/y"}
     assert abs(got["bad/y"] - (300 + 5 * prior) / 305) < 1e-12 and abs(got["good"] - 5 * prior / 306) < 1e-12
     out = {r.page_id: r for r in url_trees.filter_urls(pages, labelled=judged, sample=200).collect()}
-    assert len(out) == 4 and out[0].verdict == "block" and out[1].verdict == "allow"
+    assert len(out) == 4 and out[0].block_probability > 0.5 and out[0].verdict == "block" and out[1].verdict == "allow"
     # a sample that the copies of any one url would fill has urls of both kinds
     first = judged.groupBy("url").count().selectExpr("url", "xxhash64(url) as h").orderBy("h").first().url
     copies = judged.unionByName(judged.where(f"url = '{first}'").limit(1).selectExpr("explode(array_repeat(url, 5000)) as url", "blocked"))
@@ -31,3 +31,24 @@ def test_joined_shares_are_those_of_the_keys(spark):
     assert len(got) == len(rows)
     for r in got:
         assert (r.suffix_share, r.folder_share) == (want.get(r.suffix, prior), want.get(r.folder, prior))
+
+
+def test_no_label_is_in_its_own_features_and_held_out_urls_are_judged(spark):
+    # every key has six urls with labels at random: with their own labels in the shares, the trees would seem to know them
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    noise = url_trees.with_keys(spark.createDataFrame([(f"http://h.s{k // 6}/d/{k}", rng.random() < 0.5) for k in range(3000)], "url string, blocked boolean"))
+    shares, prior = url_trees.shares_of(noise)
+    rows = url_trees.with_shares(noise, shares, prior, learning=True).collect()
+    own = url_trees.with_shares(noise, shares, prior).collect()
+    link = lambda rows: np.corrcoef([r.blocked for r in rows], [r.suffix_share for r in rows])[0, 1]
+    assert link(own) > 0.25 and link(rows) < 0.1
+    # labels that follow path depth and suffix: judged right where they were held out
+    urls = [(f"http://h{k % 97}.{rng.choice(['aa', 'bb'])}/" + "/".join(rng.choice("xyz") * 3 for _ in range(rng.randint(1, 8))) + f"/{k}") for k in range(4000)]
+    frame = spark.createDataFrame([(u, u.count("/") > 7 or ".bb/" in u and u.count("/") > 5) for u in urls], "url string, blocked boolean")
+    parts = frame.withColumn("held", url_trees.fold_of(frame.url) == 0)
+    got = url_trees.filter_urls(parts.where("held").selectExpr("url", "blocked as page_id"), rules=[], labelled=parts.where("not held")).collect()
+    assert np.mean([(r.verdict == "block") == r.page_id for r in got]) > 0.95
