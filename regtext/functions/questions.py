@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from regtext.functions.text import token_count
+from regtext.functions.text import strip, token_count
 
 # Patterns and word lists of the question language.
 DOUBT = r"(?i)\b(ragu|kurang\s*yakin|tidak\s*yakin|ga\s*yakin|nggak\s*yakin|gak\s*yakin|mungkin\s*salah|entah\s*pasal|lupa\s*pasal|tidak\s*ingat\s*pasal)\b"
 FILLER = r"(?i)\b(?:hm+|e+m+|eh+|anu|apa\s*ya|gimana\s*ya)\b"
 REFERENCES = r"(?i)(?:pasal|ps\.?)\s*(\d+(?:\s*(?:,\s*(?:dan|atau|serta|&|/)?|(?:dan|atau|serta|&|/))\s*\d+)*)"
 PARAGRAPH = r"(?i)ayat\s*\(?(\d+)\)?"
-POINT = r"(?i)huruf\s+([a-z])\b"
+POINT = r"(?i)huruf\s*\(?([a-zA-Z])\)?"
 LEADING = r"(?i)^(apa|apakah|bagaimana|siapa|kapan|mengapa|kenapa|dimana|di mana|berapa|jelaskan|sebutkan|tolong|mohon|cari|temukan|bandingkan|analisis|ringkas)\s+"
+CLEANING = [(FILLER, " "), (r"\.{2,}", " "), (r"\s+([,.;:!?])", "$1"), (r"\s+", " ")]
 STARTERS = ["apa", "apakah", "bagaimana", "siapa", "kapan", "mengapa", "kenapa", "dimana", "di mana", "berapa", "jelaskan", "sebutkan", "tolong", "mohon", "cari", "temukan", "bandingkan", "analisis", "analisa", "ringkas", "saya ingin", "saya mau", "coba", "bisa", "boleh", "minta"]
 LEGAL = ["pasal", "ayat", "huruf", "undang-undang", "peraturan", "pemerintah", "republik", "menimbang", "mengingat", "menetapkan", "memutuskan", "jo.", "uud", "pp", "perpres"]
 
@@ -37,9 +38,9 @@ def has_filler(text: Column) -> Column:
 
 
 def without_filler(text: Column) -> Column:
-    for pattern, good in ((FILLER, " "), (r"\.{2,}", " "), (r"\s+([,.;:!?])", "$1"), (r"\s+", " ")):
+    for pattern, good in CLEANING:
         text = F.regexp_replace(text, pattern, good)
-    return F.regexp_replace(F.trim(text), r"^[,.\s]+", "")
+    return F.regexp_replace(strip(text), r"^[,.\s]+", "")
 
 
 def is_ambiguous(text: Column) -> Column:
@@ -61,13 +62,13 @@ def point_letter(text: Column) -> Column:
 
 
 def search_query(text: Column, limit: int = 300) -> Column:
-    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\?+$", ""), LEADING, "")
-    out = F.regexp_replace(F.regexp_replace(out, r"^\s+|\s+$", ""), r"\s+", " ")
+    out = F.regexp_replace(F.regexp_replace(strip(text), r"\?+$", ""), LEADING, "")
+    out = F.regexp_replace(strip(out), r"\s+", " ")
     return F.when(F.length(out) > limit, F.regexp_replace(F.left(out, F.lit(limit)), " [^ ]*$", "")).otherwise(out)
 
 
 def is_question(text: Column) -> Column:
-    clean = F.regexp_replace(text, r"^\s+|\s+$", "")
+    clean = strip(text)
     low = F.lower(clean)
     starts = low.rlike(f"^(?:{'|'.join(STARTERS)})")
     legal = F.lit(False)
@@ -77,25 +78,49 @@ def is_question(text: Column) -> Column:
 
 
 def understand(text: Column) -> Column:
-    """Struct of the repaired text, the query, and the references; doubtful or ambiguous ones give none."""
+    """Struct of the repaired text, the query, the references, and whether the text is a question that passes as it stands.
+
+    Texts with filler are cleaned. The references of a question are those of its cleaned text, of other texts
+    those of the text; doubtful or ambiguous ones give none.
+    """
     drop = has_doubt(text) | is_ambiguous(text)
-    empty = F.trim(text) == ""
-    none = F.lit(None)
-    repaired = F.when(is_question(text), F.trim(text)).otherwise(without_filler(text))
+    plain, none = strip(text), F.lit(None)
+    empty, question = plain == "", is_question(text)
+    repaired = F.when(has_filler(plain), without_filler(plain)).otherwise(plain)
+    source = F.when(question, repaired).otherwise(text)
     return F.struct(
         F.when(empty, F.lit("")).otherwise(repaired).alias("repaired_text"),
         F.when(empty, F.lit("")).otherwise(search_query(repaired)).alias("search_query"),
-        F.when(empty | drop, none).otherwise(article_number(text)).cast("long").alias("pasal"),
-        F.when(empty | drop, none).otherwise(paragraph_number(text)).cast("long").alias("ayat"),
-        F.when(empty, none).otherwise(point_letter(text)).cast("string").alias("huruf"),
+        F.when(empty | drop, none).otherwise(article_number(source)).cast("long").alias("pasal"),
+        F.when(empty | drop, none).otherwise(paragraph_number(source)).cast("long").alias("ayat"),
+        F.when(empty, none).otherwise(point_letter(source)).cast("string").alias("huruf"),
+        (~empty & question).alias("is_passthrough"),
     )
 
 
+def mend(text: Column, candidate: Column) -> Column:
+    """A model's repair, where it keeps the references and isn't much longer than the text; else the text without filler."""
+    plain = strip(text)
+    own = F.when(has_filler(plain), without_filler(plain)).otherwise(plain)
+    return F.when(candidate.isNotNull() & ~is_question(text) & keeps_references(text, candidate), candidate).otherwise(own)
+
+
 def keeps_references(raw: Column, repaired: Column) -> Column:
     """Whether a model's repair keeps all references and isn't much longer than its input."""
-    return (F.size(F.array_except(article_numbers(raw), article_numbers(repaired))) == 0) & (F.size(F.array_except(paragraph_numbers(raw), paragraph_numbers(repaired))) == 0) & (F.length(repaired) <= F.length(raw) * 2.5)
+    return (F.size(F.array_except(article_numbers(raw), article_numbers(repaired))) == 0) & (F.size(F.array_except(paragraph_numbers(raw), paragraph_numbers(repaired))) == 0) & (token_count(repaired) <= token_count(raw) * 2.5)
 
 
 def missing_references(asked: Column, context: Column) -> Column:
     """Article numbers that a question names and a context doesn't, sorted."""
     return F.array_sort(F.array_except(article_numbers(asked), article_numbers(context)))
+
+
+def single_mention(text: Column) -> Column:
+    """The number, if an article is mentioned exactly once (a repeated mention counts twice)."""
+    found = F.regexp_extract_all(text, F.lit(r"(?i)pasal\s+(\d+)"), 1)
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+
+
+def capped(text: Column, limit: int = 1000) -> Column:
+    """The longest text that a question may have."""
+    return F.left(text, F.lit(limit))

@@ -18,6 +18,9 @@ LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬀ": "ff",
 SINGLES = {" ": " ", "’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
 INVISIBLE = "​‌‍﻿­"
 
+# White space at the ends of texts and lines.
+SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Noise of optical recognition, in order: pattern and replacement.
 NOISE = [
     (r"(?<=[A-Za-z])1(?=[A-Za-z])", "l"),
@@ -36,8 +39,9 @@ PAGE_MARKER = r"(?i)---\s*PAGE\s*\d+\s*---"
 
 _SPACED = r"(?<=\b[A-Za-z] [A-Za-z]) (?=[A-Za-z]\b)|(?<=\b[A-Za-z]) (?=[A-Za-z] [A-Za-z]\b)"
 _SPACED_RUN = r"\b[A-Za-z](?: [A-Za-z]){2,}\b"
-_DOUBLED = r"(?i)\b(\w+)-\n\s*\1\b"
-_BROKEN = r"(\w+)-\n\s*(\w)"
+_DOUBLED = r"(?i)\b([A-Za-z]{2,})-\n(\1)\b"
+# a match starts at a word's first letter or where the last match ended, so long words are read once
+_BROKEN = r"(?:\G|(?<![A-Za-z]))([A-Za-z]{2,})-\n([a-z])"
 
 
 @F.pandas_udf(T.StringType())
@@ -45,6 +49,11 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def strip(text: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.trim(text, F.lit(SPACE))
+
+
 def strip_invisible(text: Column) -> Column:
     return F.translate(text, INVISIBLE, "")
 
@@ -57,8 +66,8 @@ def fix_artifacts(text: Column) -> Column:
 
 
 def normalise_space(text: Column) -> Column:
-    lines = F.transform(F.split(text, "\n", -1), lambda line: F.regexp_replace(F.regexp_replace(line, r"[ \t]+", " "), r"(?U)^\s+|\s+$", ""))
-    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+    lines = F.transform(F.split(text, "\n", -1), lambda line: strip(F.regexp_replace(line, r"[ \t]+", " ")))
+    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
 def drop_page_numbers(text: Column) -> Column:
@@ -70,8 +79,8 @@ def drop_page_markers(text: Column) -> Column:
 
 
 def join_hyphens(text: Column) -> tuple[Column, Column]:
-    """Text with words joined that a line end had cut, and how many."""
-    doubled = F.regexp_replace(text, _DOUBLED, "$1-$1")
+    """Text with words joined that a line end had cut, and how many. Doubled words keep their hyphen; a half has two letters at least, and the next one begins small."""
+    doubled = F.regexp_replace(text, _DOUBLED, "$1-$2")
     return F.regexp_replace(doubled, _BROKEN, "$1$2"), F.regexp_count(text, F.lit(_DOUBLED)) + F.regexp_count(doubled, F.lit(_BROKEN))
 
 
@@ -80,17 +89,22 @@ def close_spaced(text: Column) -> tuple[Column, Column]:
     return F.regexp_replace(text, _SPACED, ""), F.regexp_count(text, F.lit(_SPACED_RUN))
 
 
+#: Whether any rule for noise has work: most texts have none.
+_ANY_NOISE = "|".join(p for p, _ in NOISE)
+
+
 def drop_noise(text: Column) -> tuple[Column, Column]:
-    count = F.lit(0)
+    count, out = F.lit(0), text
     for pattern, good in NOISE:
-        count = count + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, good)
-    return text, count
+        count = count + F.regexp_count(out, F.lit(pattern))
+        out = F.regexp_replace(out, pattern, good)
+    noisy = text.rlike(_ANY_NOISE)
+    return F.when(noisy, out).otherwise(text), F.when(noisy, count).otherwise(F.when(text.isNotNull(), 0))
 
 
 def joins(line: Column, following: Column, fixed: bool = False) -> Column:
     """Whether a line and the next one are halves of a wrapped line. fixed: a header of an article never is the first half."""
-    a, b = F.rtrim(line), F.ltrim(following)
+    a, b = F.rtrim(line, F.lit(SPACE)), F.ltrim(following, F.lit(SPACE))
     closed = a.rlike(r"[.?:!]$")
     out = (a != "") & (b != "") & ~b.rlike(STRUCTURE) & ((a.rlike(r"[A-Za-z0-9,;(\[-]$") & ~closed) | (closed & b.rlike("^[a-z0-9]")))
     if fixed:
@@ -110,7 +124,7 @@ def join_wrapped(text: Column, fixed: bool = False) -> Column:
         lines, marks = x["lines"], x["marks"]
         ends = F.transform(F.arrays_zip(lines.alias("line"), marks.alias("m")), lambda z, i: F.concat(
             F.when(i == 0, F.lit("")).when(z["m"] == 1, F.lit(" ")).otherwise(F.lit("\n")),
-            F.when(F.coalesce(F.get(marks, i + 1), F.lit(0)) == 1, F.rtrim(F.when(z["m"] == 1, F.ltrim(z["line"])).otherwise(z["line"]))).otherwise(F.when(z["m"] == 1, F.ltrim(z["line"])).otherwise(z["line"])),
+            F.when(F.coalesce(F.get(marks, i + 1), F.lit(0)) == 1, F.rtrim(F.when(z["m"] == 1, F.ltrim(z["line"], F.lit(SPACE))).otherwise(z["line"]), F.lit(SPACE))).otherwise(F.when(z["m"] == 1, F.ltrim(z["line"], F.lit(SPACE))).otherwise(z["line"])),
         ))
         return F.struct(F.array_join(ends, "").alias("text"), F.aggregate(marks, F.lit(0), lambda a, m: a + m).alias("n"))
 
@@ -175,6 +189,8 @@ TYPES = [
     ("kewajiban_larangan", ["dilarang", "tidak boleh", "wajib"]),
     ("peralihan", ["ketentuan peralihan", "mulai berlaku"]),
 ]
+DUTIES = [("kewajiban", ["wajib"]), ("larangan", ["dilarang", "tidak boleh"]), ("perizinan", ["izin"])]
+TERM = r"([A-Z][a-zA-Z\s]+)\s+adalah"
 TAGS = ["prosedur", "tata cara", "persyaratan", "hak", "kewenangan"]
 
 
@@ -197,8 +213,7 @@ def keywords(text: Column, kind: Column) -> Column:
     low = F.lower(text)
     tag = lambda condition, name: F.when(condition, F.lit(name))
     sanctions = F.array(*(tag((kind == "sanksi") & low.contains(k), k) for k in TYPES[1][1]))
-    duties = kind == "kewajiban_larangan"
-    duty = F.array(tag(duties & low.contains("wajib"), "kewajiban"), tag(duties & _any(low, ["dilarang", "tidak boleh"]), "larangan"), tag(duties & low.contains("izin"), "perizinan"))
-    terms = F.when(kind == "definisi", F.concat(F.array(F.lit("definisi")), F.transform(F.slice(F.regexp_extract_all(text, F.lit(r"([A-Z][a-zA-Z\s]+)\s+adalah"), 1), 1, 3), lambda t: F.lower(F.trim(t))))).otherwise(F.array())
+    duty = F.array(*(tag((kind == "kewajiban_larangan") & _any(low, signals), name) for name, signals in DUTIES))
+    terms = F.when(kind == "definisi", F.concat(F.array(F.lit("definisi")), F.transform(F.slice(F.regexp_extract_all(text, F.lit(TERM), 1), 1, 3), lambda t: F.lower(strip(t))))).otherwise(F.array())
     tags = F.array(*(tag(low.contains(k), k) for k in TAGS))
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(sanctions, duty, terms, tags))))

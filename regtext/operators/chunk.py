@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regtext.functions.text import token_count
+from regtext.functions.text import strip, token_count
 from regtext.operators.parse import ARTICLE, article_title
 
 PREAMBLE, BODY, NOTES = "Konsiderans", "Batang Tubuh", "Penjelasan"
@@ -23,13 +23,13 @@ def first_int(text: Column) -> Column:
 
 
 def plain_title(title: Column, number: Column) -> Column:
-    rest = F.trim(F.regexp_replace(title, r"(?i)^Pasal\s+\S+\s*-?\s*", ""))
+    rest = strip(F.regexp_replace(title, r"(?i)^Pasal\s+\S+\s*-?\s*", ""))
     return F.when(rest == "", title).otherwise(rest)
 
 
 def article_parents(articles: DataFrame) -> DataFrame:
     n = F.col("pasal_number")
-    return articles.where(F.trim("text") != "").select(*_chunk("parent", BODY, F.concat(F.lit("parent_pasal_"), n), F.trim("text"), title=article_title(F.col("text"), n), pasal=first_int(n)))
+    return articles.where(strip("text") != "").select(*_chunk("parent", BODY, F.concat(F.lit("parent_pasal_"), n), strip("text"), title=article_title(F.col("text"), n), pasal=first_int(n)))
 
 
 def article_children(articles: DataFrame, paragraphs: DataFrame, child_text: str = "title") -> DataFrame:
@@ -38,16 +38,21 @@ def article_children(articles: DataFrame, paragraphs: DataFrame, child_text: str
     p = paragraphs.join(articles.select(*keys, F.col("text").alias("whole")), keys).withColumn("title", article_title(F.col("whole"), F.col("pasal_number")))
     n, a = F.col("pasal_number"), F.col("ayat_number")
     parent, base = F.concat(F.lit("parent_pasal_"), n), F.concat(F.lit("child_pasal_"), n)
-    plain, numbered = p.where("ayat_number is null"), p.where("ayat_number is not null")
-    body = F.trim(F.regexp_replace(F.col("text"), ARTICLE, ""))
-    alone = plain.where(F.size("points") == 0).select(*_chunk("child", BODY, F.concat(base, F.lit("_tunggal")), F.concat(F.lit("Pasal "), n, F.lit(": "), body), parent, pasal=first_int(n)))
-    pointed = plain.withColumn("x", F.explode("points")).select(*_chunk("child", BODY, F.concat(base, F.lit("_poin_"), F.col("x.huruf")), F.concat(F.lit("Pasal "), n, F.lit(" Poin "), F.col("x.huruf"), F.lit(": "), F.col("x.text")), parent, pasal=first_int(n), huruf=F.col("x.huruf")))
+    numbered = a.isNotNull()
+    body = strip(F.regexp_replace(F.col("text"), ARTICLE, ""))
     label = F.concat(F.lit("Pasal "), n, F.lit(" Ayat ("), a.cast("string"), F.lit(")"))
     about = F.concat(label, F.lit(" mengenai "), plain_title(F.col("title"), n))
     about = about if child_text == "title" else F.concat(about, F.lit(": "), F.col("text"))
-    ayat = numbered.select(*_chunk("child", BODY, F.concat(base, F.lit("_ayat_"), a.cast("string")), about, parent, pasal=first_int(n), ayat=a))
-    huruf = numbered.withColumn("x", F.explode("points")).select(*_chunk("child", BODY, F.concat(base, F.lit("_ayat_"), a.cast("string"), F.lit("_huruf_"), F.col("x.huruf")), F.concat(label, F.lit(" huruf "), F.col("x.huruf"), F.lit(": "), F.col("x.text")), parent, pasal=first_int(n), ayat=a, huruf=F.col("x.huruf")))
-    return alone.unionByName(pointed).unionByName(ayat).unionByName(huruf)
+    one = lambda cid, text, huruf: F.struct(cid.alias("cid"), text.alias("body"), huruf.cast("string").alias("h"))
+    none = F.lit(None)
+    # one array of children for each paragraph, so the paragraphs are made once
+    alone = F.array(one(F.concat(base, F.lit("_tunggal")), F.concat(F.lit("Pasal "), n, F.lit(": "), body), none))
+    pointed = F.transform("points", lambda x: one(F.concat(base, F.lit("_poin_"), x["huruf"]), F.concat(F.lit("Pasal "), n, F.lit(" Poin "), x["huruf"], F.lit(": "), x["text"]), x["huruf"]))
+    ayat = F.concat(base, F.lit("_ayat_"), a.cast("string"))
+    letters = F.transform("points", lambda x: one(F.concat(ayat, F.lit("_huruf_"), x["huruf"]), F.concat(label, F.lit(" huruf "), x["huruf"], F.lit(": "), x["text"]), x["huruf"]))
+    children = F.when(numbered, F.concat(F.array(one(ayat, about, none)), letters)).when(F.size("points") == 0, alone).otherwise(pointed)
+    x = p.withColumn("x", F.explode(children))
+    return x.select(*_chunk("child", BODY, F.col("x.cid"), F.col("x.body"), parent, pasal=first_int(n), ayat=a, huruf=F.col("x.h")))
 
 
 def preamble_chunks(preambles: DataFrame) -> DataFrame:
@@ -61,10 +66,10 @@ def preamble_chunks(preambles: DataFrame) -> DataFrame:
 
 def note_chunks(notes: DataFrame) -> DataFrame:
     """notes: doc_id, text, parts (of split_notes)."""
-    general = notes.where((F.size("parts") == 0) & (F.trim("text") != ""))
+    general = notes.where((F.size("parts") == 0) & (strip("text") != ""))
     pair = lambda df, name, text, pasal=None: df.select(*_chunk("parent", NOTES, F.concat(F.lit("parent_penjelasan_"), name), text, title=F.concat(F.lit("Penjelasan "), name), pasal=pasal)).unionByName(df.select(*_chunk("child", NOTES, F.concat(F.lit("child_penjelasan_"), name, F.lit("_isi")), text, F.concat(F.lit("parent_penjelasan_"), name), pasal=pasal)))
     each = notes.withColumn("x", F.explode("parts"))
-    return pair(general, F.lit("umum"), F.trim("text")).unionByName(pair(each, F.concat(F.lit("pasal_"), F.col("x.pasal")), F.col("x.text"), first_int(F.col("x.pasal"))))
+    return pair(general, F.lit("umum"), strip("text")).unionByName(pair(each, F.concat(F.lit("pasal_"), F.col("x.pasal")), F.col("x.text"), first_int(F.col("x.pasal"))))
 
 
 def level(section: Column, kind: Column, ayat: Column) -> Column:
@@ -91,3 +96,32 @@ def split_long(chunks: DataFrame, limit: int, overlap: int = 0) -> DataFrame:
     w = chunks.withColumn("w", words(F.col("text")))
     at = F.sequence(F.lit(0), F.greatest(F.size("w") - 1 - overlap, F.lit(0)), F.lit(step))
     return w.select("*", F.posexplode(at).alias("piece", "start")).withColumn("text", F.array_join(F.slice("w", F.col("start") + 1, F.lit(limit)), " ")).drop("w", "start")
+
+
+# Sections in the order of a statute.
+ORDER = {PREAMBLE: 0, BODY: 1, NOTES: 2}
+
+
+def united(preambles: DataFrame, articles: DataFrame, paragraphs: DataFrame, notes: DataFrame, child_text: str = "title") -> DataFrame:
+    """All chunks of documents, with the place of their section: preamble, body, notes."""
+    all_of = preamble_chunks(preambles).unionByName(article_parents(articles)).unionByName(article_children(articles, paragraphs, child_text)).unionByName(note_chunks(notes))
+    place = F.when(F.col("section") == PREAMBLE, 0).when(F.col("section") == BODY, 1).otherwise(2)
+    return all_of.withColumn("section_place", place)
+
+
+def filtered(chunks: DataFrame, section: str | None = None, kind: str | None = None, limit: int | None = None) -> DataFrame:
+    """Chunks of a section and type, the first so many in order (a listing's page); None filters nothing."""
+    out = chunks if section is None else chunks.where(F.col("section") == section)
+    out = out if kind is None else out.where(F.col("type") == kind)
+    return out if limit is None else out.orderBy("doc_id", "chunk_id").limit(limit)
+
+
+def section_names(chunks: DataFrame) -> DataFrame:
+    return chunks.select("section").where("section is not null").distinct().orderBy("section")
+
+
+def batch_totals(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row over a batch: files that succeeded and failed (files: doc_id, status), and parents and children of the first."""
+    good = files.where("status = 'success'").select("doc_id")
+    t = chunks.join(good, "doc_id", "left_semi").agg(F.count_if(F.col("type") == "parent").alias("parents"), F.count_if(F.col("type") == "child").alias("children"))
+    return files.agg(F.count_if(F.col("status") == "success").alias("succeeded"), F.count_if(F.col("status") != "success").alias("failed")).join(F.broadcast(t))

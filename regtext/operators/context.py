@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regtext.functions.text import strip
+
 # Articles about internal matters, least length of a content, confidence gate, budget.
 INTERNAL = [*range(16, 26), *range(27, 31)]
 LEAST_LENGTH, GATE, BUDGET = 30, 0.3, 1200
@@ -25,8 +27,12 @@ def candidates(hits: DataFrame, internal: list[int] = INTERNAL) -> DataFrame:
     blank = F.coalesce(F.col("parent_id"), F.lit("")) == ""
     turn = F.row_number().over(Window.partitionBy("query_id", "parent_id").orderBy("rank"))
     h = h.withColumn("turn", F.when(blank, 1).otherwise(turn)).where("turn = 1").drop("turn")
-    long = lambda c: F.length(F.trim(c)) > LEAST_LENGTH
-    text = F.when(long(F.col("parent_content")), F.col("parent_content")).when(long(F.col("content")), F.col("content"))
+    # the parent's content, else the hit's, else its raw text: the first that is long enough, stripped
+    text = None
+    for c in ("parent_content", "content", "raw_text"):
+        if c in h.columns:
+            long = F.length(strip(c)) > LEAST_LENGTH
+            text = F.when(long, strip(c)) if text is None else text.when(long, strip(c))
     return h.withColumn("text", text).where("text is not null")
 
 
@@ -59,18 +65,24 @@ def not_found_note(pasal: Column) -> Column:
 
 
 def validation_note(asked_pasal: Column, asked_ayat: Column, got_pasal: Column, got_ayat: Column) -> Column:
-    same_pasal, same_ayat = asked_pasal == got_pasal, asked_ayat == got_ayat
-    return F.when(asked_pasal.isNull(), "-").when(~F.coalesce(same_pasal, F.lit(False)), F.concat(F.lit("Diminta Pasal "), asked_pasal.cast("string"), F.lit(", ditemukan Pasal "), F.coalesce(got_pasal.cast("string"), F.lit("-")))).when(asked_ayat.isNotNull() & ~F.coalesce(same_ayat, F.lit(False)), F.concat(F.lit("Ayat "), asked_ayat.cast("string"), F.lit(" tidak cocok"))).otherwise("-")
+    """What a citation says about an article or paragraph that isn't the one asked for; '-' where nothing is."""
+    t = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    s = lambda c: c.cast("string")
+    same = s(got_pasal) == s(asked_pasal)
+    ayat = t("Anda menyebut ayat (", s(asked_ayat), "), namun ayat yang relevan pada Pasal ", s(got_pasal), " adalah ayat (", s(got_ayat), ").")
+    pasal = t("Anda menyebut Pasal ", s(asked_pasal), ", namun berdasarkan pencarian di knowledge base, pasal yang paling relevan dengan pertanyaan Anda adalah Pasal ", s(got_pasal), ".")
+    return F.when(asked_pasal.isNull() | got_pasal.isNull(), "-").when(~same, pasal).when(asked_ayat.isNotNull() & got_ayat.isNotNull() & (s(asked_ayat) != s(got_ayat)), ayat).otherwise("-")
 
 
 def reconciled(citations: DataFrame, contexts: DataFrame) -> DataFrame:
-    """citations: query_id, position, name. Article, paragraph and note come from the context at the same position."""
+    """citations: query_id, position, name, and asked_pasal and asked_ayat. Article, paragraph and note come from the context at the same position."""
     at = contexts.withColumn("position", F.row_number().over(_query().orderBy("rank")) - 1).select("query_id", "position", F.col("article").alias("pasal"), "ayat")
-    return citations.select("query_id", "position", "name").join(at, ["query_id", "position"], "left")
+    out = citations.select("query_id", "position", "name", "asked_pasal", "asked_ayat").join(at, ["query_id", "position"], "left")
+    return out.withColumn("note", validation_note(F.col("asked_pasal"), F.col("asked_ayat"), F.col("pasal"), F.col("ayat"))).drop("asked_pasal", "asked_ayat")
 
 
 def is_thin(text: Column) -> Column:
-    return (F.length(F.trim(text)) < 300) | (F.regexp_count(F.lower(text), F.lit("pasal")) < 2)
+    return (F.length(strip(text)) < 300) | (F.regexp_count(F.lower(text), F.lit("pasal")) < 2)
 
 
 def fallback(asked: Column, any_hits: Column) -> Column:

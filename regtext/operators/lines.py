@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regtext.functions.text import drop_page_markers, joins, normalise_space, repair
+from regtext.functions.text import SPACE, drop_page_markers, joins, normalise_space, repair, strip
 
 
 def _doc():
@@ -25,26 +25,26 @@ def explode_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def is_running_title(line: Column) -> Column:
     """Whether a line can be a header or footer at all."""
-    s = F.trim(line)
+    s = strip(line)
     short = (F.length(s) < 4) & s.rlike(r"\d")
     return (s != "") & ~s.rlike(r"[.,;:]$") & ~s.rlike(r"^\(?\d+\)?\.?$") & ~s.rlike(r"^\(?[a-zA-Z]\)?\.?$") & ~short
 
 
 def drop_running_titles(lines: DataFrame, times: int = 3) -> DataFrame:
-    """lines: doc_id, page, pos, line. Without what repeats in the first or last two non-blank lines of pages."""
+    """lines: doc_id, page, pos, line. Without headers that repeat in the first two non-blank lines of pages, and footers in the last two (counted behind the first two)."""
     page = Window.partitionBy("doc_id", "page")
-    full = lines.where(F.trim("line") != "")
+    full = lines.where(strip("line") != "").select("doc_id", "page", "pos", strip("line").alias("title"))
     at = full.withColumn("first", F.row_number().over(page.orderBy("pos"))).withColumn("last", F.row_number().over(page.orderBy(F.desc("pos"))))
-    edge = at.where((F.col("first") <= 2) | ((F.col("last") <= 2) & (F.col("first") > 2))).where(is_running_title(F.col("line"))).withColumn("title", F.trim("line"))
-    often = edge.groupBy("doc_id", "title").count().where(F.col("count") >= times).drop("count")
-    gone = edge.join(often, ["doc_id", "title"], "left_semi").select("doc_id", "page", "pos")
+    edge = at.where("first <= 2 or last <= 2")
+    often = edge.where(is_running_title(F.col("title"))).groupBy("doc_id", "title").agg(F.count_if(F.col("first") <= 2).alias("heads"), F.count_if(F.col("first") > 2).alias("feet")).where(f"heads >= {times} or feet >= {times}")
+    gone = edge.join(often, ["doc_id", "title"]).where(f"(first <= 2 and heads >= {times}) or (last <= 2 and feet >= {times})").select("doc_id", "page", "pos")
     return lines.join(gone, ["doc_id", "page", "pos"], "left_anti")
 
 
 def drop_frequent_lines(lines: DataFrame, times: int = 3) -> DataFrame:
-    """Without any candidate line that occurs so often in its document, wherever it stands."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id", F.trim("line")))
-    return lines.withColumn("n", n).where((F.col("n") < times) | ~is_running_title(F.col("line"))).drop("n")
+    """Without any line that occurs so often in its document, wherever it stands; blank lines stay."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id", strip("line")))
+    return lines.withColumn("n", n).where((F.col("n") < times) | (strip("line") == "")).drop("n")
 
 
 def join_wrapped_lines(lines: DataFrame, fixed: bool = False) -> DataFrame:
@@ -52,7 +52,7 @@ def join_wrapped_lines(lines: DataFrame, fixed: bool = False) -> DataFrame:
     joined = joins(F.lag("line").over(_doc()), F.col("line"), fixed)
     island = F.sum(F.when(joined, 0).otherwise(1)).over(_so_far())
     grouped = lines.withColumn("island", island).groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    text = F.array_join(F.transform("l", lambda x, i: F.when(F.size("l") == 1, x.line).when(i == 0, F.rtrim(x.line)).otherwise(F.trim(x.line))), " ")
+    text = F.array_join(F.transform("l", lambda x, i: F.when(F.size("l") == 1, x.line).when(i == 0, F.rtrim(x.line, F.lit(SPACE))).when(i == F.size("l") - 1, F.ltrim(x.line, F.lit(SPACE))).otherwise(strip(x.line))), " ")
     return grouped.select("doc_id", F.element_at("l", 1).pos.alias("pos"), text.alias("line"), F.size("l").alias("parts"))
 
 
@@ -66,7 +66,7 @@ def join_pages(pages: DataFrame, times: int = 3) -> DataFrame:
 
 
 # Lines that open a zone of a statute.
-CONSIDERING, IN_VIEW, DECREE, NOTES, BODY = r"(?i)^\s*Menimbang\s*:", r"(?i)^\s*Mengingat\s*:", r"(?i)^\s*MEMUTUSKAN\s*:", r"(?i)^\s*PENJELASAN\b", r"(?i)^\s*(BAB\s+I\b|Pasal\s+\d+[A-Za-z]?\s*$)"
+CONSIDERING, IN_VIEW, DECREE, NOTES, BODY = r"(?i)^\s*Menimbang\b", r"(?i)^\s*Mengingat\s*:", r"(?i)^\s*MEMUTUSKAN\s*:", r"(?i)^\s*PENJELASAN\b", r"(?i)^\s*(BAB\s+I\b|Pasal\s+\d+[A-Za-z]?\s*$)"
 
 
 def zones(lines: DataFrame) -> DataFrame:

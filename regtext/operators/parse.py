@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regtext.functions.text import strip
+
 # Patterns of structural lines.
 CHAPTER = r"(?i)^\s*BAB\s+([IVXLCDM]+|\d+)(?:\s+(.+))?$"
 ARTICLE = r"(?i)^\s*Pasal\s+(\d+[A-Za-z]?)\s*$"
@@ -25,7 +27,7 @@ def _so_far():
 
 def classify(line: Column) -> Column:
     """Struct of level (bab, pasal, ayat, bagian, other), number and title."""
-    s = F.trim(line)
+    s = strip(line)
     row = lambda level, number, title: F.struct(F.lit(level).alias("level"), number.cast("string").alias("number"), title.cast("string").alias("title"))
     article, paragraph = F.regexp_extract(s, ARTICLE, 1), F.regexp_extract(s, r"^\s*\((\d+)\)\s+", 1)
     return (
@@ -46,7 +48,7 @@ def law_metadata(text: Column) -> Column:
     """Struct of jenis, nomor, tahun, tentang from a document's opening; null where nothing is found."""
     head = F.left(text, F.lit(3000))
     got = lambda pattern, i: F.nullif(F.regexp_extract(head, pattern, i), F.lit(""))
-    return F.struct(title_case(got(LAW, 1)).alias("jenis"), got(LAW, 2).alias("nomor"), got(LAW, 3).alias("tahun"), title_case(F.trim(got(ABOUT, 1))).alias("tentang"))
+    return F.struct(title_case(got(LAW, 1)).alias("jenis"), got(LAW, 2).alias("nomor"), got(LAW, 3).alias("tahun"), title_case(strip(got(ABOUT, 1))).alias("tentang"))
 
 
 def source_label(meta: Column, filename: Column) -> Column:
@@ -60,7 +62,7 @@ def chapters_and_articles(lines: DataFrame) -> DataFrame:
     c = lines.withColumn("c", classify(F.col("line"))).select("doc_id", "pos", "line", "c.level", "c.number", "c.title")
     follows = F.lead("level").over(_doc())
     inline = F.nullif(F.col("title"), F.lit(""))
-    own = F.when(F.col("level") == "bab", F.coalesce(inline, F.when(follows == "other", F.trim(F.lead("line").over(_doc()))), F.lit("")))
+    own = F.when(F.col("level") == "bab", F.coalesce(inline, F.when(follows == "other", strip(F.lead("line").over(_doc()))), F.lit("")))
     c = c.withColumn("chapter_title", own)
     filled = lambda column, level: F.last(F.when(F.col("level") == level, F.col(column)), True).over(_so_far())
     return c.select("doc_id", "pos", "line", "level", "number", filled("number", "bab").alias("bab_number"), F.last("chapter_title", True).over(_so_far()).alias("bab_title"), filled("number", "pasal").alias("pasal_number"), F.sum(F.when(F.col("level") == "pasal", 1).otherwise(0)).over(_so_far()).alias("pasal_seq"))
@@ -75,9 +77,8 @@ def chapters(lines: DataFrame) -> DataFrame:
 
 def articles(lines: DataFrame) -> DataFrame:
     """One row per article: number, chapter, text (all its lines), char_start, n_ayat."""
-    from regtext.operators.lines import offsets
-
-    at = chapters_and_articles(lines).join(offsets(lines).select("doc_id", "pos", "char_start"), ["doc_id", "pos"])
+    before = F.sum(F.length("line") + 1).over(_doc().rowsBetween(Window.unboundedPreceding, -1))
+    at = chapters_and_articles(lines).withColumn("char_start", F.coalesce(before, F.lit(0)).cast("long"))
     body = at.where("pasal_seq > 0 and level <> 'bab'")
     first = lambda c: F.min_by(c, "pos")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")
@@ -87,14 +88,14 @@ def articles(lines: DataFrame) -> DataFrame:
 def paragraphs(articles: DataFrame) -> DataFrame:
     """One row per paragraph: ayat_number (null: the article has no numbered ones), text, points."""
     keys = ["doc_id", "pasal_seq", "pasal_number"]
-    lines = articles.select(*keys, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(~F.col("line").rlike(ARTICLE) & (F.trim("line") != ""))
+    lines = articles.select(*keys, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(~F.col("line").rlike(ARTICLE) & (strip("line") != ""))
     w = Window.partitionBy(*keys).orderBy("pos")
     number = F.nullif(F.regexp_extract("line", PARAGRAPH, 1), F.lit(""))
     at = lines.withColumn("ayat_number", F.last(number.try_cast("int"), True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = at.withColumn("seq", F.sum(F.when(number.isNull(), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     most = F.max("seq").over(Window.partitionBy(*keys))
     kept = at.withColumn("most", most).where("seq > 0 or most = 0")
-    body = F.when(number.isNotNull(), F.regexp_extract("line", PARAGRAPH, 2)).otherwise(F.trim("line"))
+    body = F.when(number.isNotNull(), F.regexp_extract("line", PARAGRAPH, 2)).otherwise(strip("line"))
     listed = F.array_sort(F.collect_list(F.struct("pos", body.alias("line"))))
     out = kept.groupBy(*keys, "seq").agg(F.max("ayat_number").alias("ayat_number"), F.transform(listed, lambda x: x.line).alias("l"))
     return out.select(*keys, "seq", "ayat_number", F.array_join("l", "\n").alias("text"), points(F.col("l")).alias("points"))
@@ -105,9 +106,9 @@ def points(lines: Column) -> Column:
     empty = F.array().cast("array<struct<huruf:string,text:string>>")
 
     def step(acc: Column, line: Column) -> Column:
-        new = F.struct(F.regexp_extract(line, POINT, 1).alias("huruf"), F.trim(F.regexp_extract(line, POINT, 2)).alias("text"))
+        new = F.struct(F.regexp_extract(line, POINT, 1).alias("huruf"), strip(F.regexp_extract(line, POINT, 2)).alias("text"))
         last = F.element_at(acc, -1)
-        more = F.struct(last["huruf"].alias("huruf"), F.concat_ws(" ", last["text"], F.trim(line)).alias("text"))
+        more = F.struct(last["huruf"].alias("huruf"), F.concat_ws(" ", last["text"], strip(line)).alias("text"))
         return F.when(line.rlike(POINT), F.concat(acc, F.array(new))).when(F.size(acc) > 0, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(more))).otherwise(acc)
 
     return F.when(F.size(lines) > 0, F.aggregate(lines, empty, step)).otherwise(empty)
@@ -125,7 +126,7 @@ def article_title(text: Column, number: Column) -> Column:
 
 def preamble(lines: DataFrame) -> DataFrame:
     """doc_id, menimbang (points), mengingat, full_text of the lines before the body."""
-    s = lines.withColumn("line", F.trim("line")).where("line <> ''")
+    s = lines.withColumn("line", strip("line")).where("line <> ''")
     opens = F.when(F.col("line").rlike(r"(?i)^Menimbang\b"), "menimbang").when(F.col("line").rlike(r"(?i)^Mengingat\b"), "mengingat")
     at = s.withColumn("opens", opens).withColumn("zone", F.last("opens", True).over(_so_far()))
     inside = lambda zone: F.transform(F.array_sort(F.collect_list(F.when((F.col("zone") == zone) & F.col("opens").isNull(), F.struct("pos", "line")))), lambda x: x.line)
@@ -135,9 +136,9 @@ def preamble(lines: DataFrame) -> DataFrame:
 
 def split_notes(text: Column) -> Column:
     """Array of (pasal, text): what stands between mentions of articles; empty stretches are left out."""
-    mention = r"(?i)\bPasal\s+(\d+[A-Za-z]?)\b"
+    mention = r"(?i)\bPasal\s+(\d+[A-Za-z]*)\b"
     numbers, between = F.regexp_extract_all(text, F.lit(mention), 1), F.split(text, mention, -1)
-    pairs = F.transform(numbers, lambda n, i: F.struct(n.alias("pasal"), F.trim(F.regexp_replace(F.get(between, i + 1), r"^\s+|\s+$", "")).alias("text")))
+    pairs = F.transform(numbers, lambda n, i: F.struct(n.alias("pasal"), strip(F.regexp_replace(F.get(between, i + 1), r"^\s+|\s+$", "")).alias("text")))
     return F.filter(pairs, lambda p: p["text"] != "")
 
 
@@ -150,3 +151,40 @@ def as_of_chapters(heads: DataFrame) -> DataFrame:
     """heads: doc_id, start, kind ('bab' or 'pasal'), number. Every article with the latest chapter before it."""
     w = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     return heads.withColumn("bab_number", F.last(F.when(F.col("kind") == "bab", F.col("number")), True).over(w)).where("kind = 'pasal'").select("doc_id", "start", F.col("number").alias("pasal_number"), "bab_number")
+
+
+# Patterns of the parser of whole texts.
+OPENING = r"(?i)MEMUTUSKAN\s*:|MENETAPKAN\s*:|\bBAB\s+I\b|\bPasal\s+1\b"
+MENTION = r"(?i)\bPasal\s+(\d+[A-Za-z]*)"
+LETTER = r"(?s)(?:^|[\s,\"]+)([a-z])[.)]\s+(.*?)(?=[\s,\"]+[a-z][.)]|$)"
+
+
+def whole_text(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per article of texts that are not cut into lines: doc_id, seq, pasal, bab (the last chapter before it), text without its own header.
+
+    The body begins with the decree or the first chapter or article; each mention of an article begins one, and what
+    follows PENJELASAN is cut off.
+    """
+    plain = F.replace(F.regexp_replace(text, r"--- PAGE \d+ ---", ""), F.lit("\\"), F.lit(""))
+    opening = F.regexp_substr("plain", F.lit(OPENING))
+    start = F.when(opening.isNull(), F.lit(1)).otherwise(F.instr("plain", F.regexp_substr("plain", F.lit(OPENING))))
+    body = docs.select("doc_id", plain.alias("plain")).withColumn("body", F.col("plain").substr(start, F.length("plain")))
+    cut = F.split("body", MENTION, -1)
+    rows = body.select("doc_id", F.regexp_extract_all("body", F.lit(MENTION), 1).alias("numbers"), cut.alias("parts"))
+    chapters = lambda c: F.regexp_extract_all(c, F.lit(r"(?i)\bBAB\s+([IVXLCDM]+)"), 1)
+    # the chapters that each stretch before an article names, filled forward over the articles
+    at = rows.select("doc_id", F.posexplode(F.transform("numbers", lambda n, i: F.struct(n.alias("pasal"), F.element_at(F.concat(F.array(F.lit(None).cast("string")), chapters(F.get("parts", i))), -1).alias("bab"), F.get("parts", i + 1).alias("text")))).alias("seq", "x"))
+    w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    text_of = strip(F.substring_index(F.col("x.text"), "PENJELASAN", 1))
+    return at.select("doc_id", "seq", "x.pasal", F.coalesce(F.last("x.bab", True).over(w), F.lit("N/A")).alias("bab"), text_of.alias("text"))
+
+
+def numbered_parts(articles: DataFrame) -> DataFrame:
+    """One row per paragraph of articles (doc_id, seq, pasal, text): ayat ('1' where none is numbered), text, and points by letter with a dot or bracket."""
+    numbers = F.regexp_extract_all("text", F.lit(r"\((\d+)\)"), 1)
+    parts = F.split("text", r"(?=\(\d+\))", -1)
+    some = F.zip_with(numbers, F.filter(parts, lambda p: p.rlike(r"^\(\d+\)")), lambda n, p: F.struct(n.alias("ayat"), strip(p).alias("text")))
+    listed = F.when(F.size(numbers) > 0, some).otherwise(F.array(F.struct(F.lit("1").alias("ayat"), F.col("text").alias("text"))))
+    rows = articles.select("doc_id", "seq", "pasal", F.posexplode(listed).alias("place", "a")).select("doc_id", "seq", "pasal", "place", "a.ayat", "a.text")
+    letters, texts = F.regexp_extract_all("text", F.lit(LETTER), 1), F.regexp_extract_all("text", F.lit(LETTER), 2)
+    return rows.withColumn("points", F.zip_with(letters, texts, lambda h, t: F.struct(h.alias("huruf"), strip(F.regexp_replace(t, r"\s+", " ")).alias("text"))))

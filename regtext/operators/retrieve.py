@@ -2,20 +2,28 @@
 
 points: kb, role, chunk_id, parent_id, section, pasal, ayat, pasal_rujukan, content, embedding.
 queries: query_id, embedding, section, pasal, ayat (null: no filter).
-Many queries are one job: they are broadcast if their number is within MAX_BROADCAST, and dealt over batches
-of that size otherwise; ranking is a window by query.
+Many queries are one job: a stated set of them against all points, in blocks of BROADCAST_BYTES. Candidates are ids and filter
+columns only; each task keeps the best of every query and tier before anything is exchanged, and contents
+are joined to the few that are left.
 """
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regtext.functions.text import strip
+
 # Limits and weights of the search.
 THRESHOLD, RATIO, RETRY, LIMIT = 0.15, 0.7, 0.3, 5
 ARTICLE_BOOST, PARAGRAPH_BOOST = 0.5, 0.3
-#: Queries that one broadcast may hold.
-MAX_BROADCAST = 20_000
+#: Bytes of queries that one broadcast may hold.
+BROADCAST_BYTES = 64 << 20
+# Names of sections that filter nothing.
+ALL_SECTIONS = ("semua", "all", "")
 
 
 def pool_sizes(limit: int = LIMIT, rerank: bool = False) -> tuple[int, int]:
@@ -37,15 +45,38 @@ def rounded(x: Column, digits: int = 4) -> Column:
     return F.floor(x * 10**digits + 0.5) / 10**digits
 
 
-def scored(queries: DataFrame, points: DataFrame, unit: bool = False, threshold: float = THRESHOLD) -> DataFrame:
-    """Every pair of query and point at or above the threshold. A stated set of queries against all points."""
+def embedded(rows: DataFrame, embedder, text_col: str = "text", unit: bool = True, batch: int = 32) -> DataFrame:
+    """rows with an embedding column by a seam: embedder maps a list of texts to a list of vectors."""
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for a in range(0, len(texts), batch):
+            for v in embedder([t or "" for t in texts[a : a + batch]]):
+                size = math.sqrt(sum(x * x for x in v)) or 1.0
+                out.append([float(x) / size for x in v] if unit else [float(x) for x in v])
+        return pd.Series(out)
+
+    return rows.withColumn("embedding", embed(text_col))
+
+
+def with_filters(queries: DataFrame) -> DataFrame:
+    """queries (section_type, pasal_type, ayat_type as text) with section, pasal and ayat: the first whole number of a text; section names that mean all filter nothing."""
+    number = lambda c: F.nullif(F.regexp_extract(c, r"(\d+)", 1), F.lit("")).try_cast("int")
+    section = F.when(~F.lower(strip("section_type")).isin(*ALL_SECTIONS), F.col("section_type"))
+    return queries.withColumns({"section": section, "pasal": number("pasal_type"), "ayat": number("ayat_type")}).drop("section_type", "pasal_type", "ayat_type")
+
+
+def scored(queries: DataFrame, points: DataFrame, unit: bool = False, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Every pair of query and point at or above the threshold, without contents. A stated set of queries against all points."""
     q = queries.select(*(F.col(c).alias(f"q_{c}") for c in ("embedding", "section", "pasal", "ayat")), "query_id")
-    n = q.count()
+    size = q.agg(F.sum(F.size("q_embedding") * 16 + 100)).first()[0] or 0
+    blocks = max(1, -(-size // broadcast_bytes))
     measure = dot if unit else cosine
+    lean = points.drop("content")
     out = None
-    for k in range(max(1, -(-n // MAX_BROADCAST))):
-        part = q if n <= MAX_BROADCAST else q.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // MAX_BROADCAST))) == k)
-        hits = points.join(F.broadcast(part)).withColumn("raw", measure(F.col("embedding"), F.col("q_embedding"))).where(F.col("raw") >= threshold).drop("embedding", "q_embedding")
+    for k in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        hits = lean.join(F.broadcast(part)).withColumn("raw", measure(F.col("embedding"), F.col("q_embedding"))).where(F.col("raw") >= threshold).drop("embedding", "q_embedding")
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -60,29 +91,35 @@ def _passes(asked: str, *have: str) -> Column:
 def tiered(pairs: DataFrame, fetch: int) -> DataFrame:
     """The first tier that counts for each query: A with all filters, B without the paragraph, C without filters.
 
-    C is taken when an article or paragraph was asked for and the tier so far is empty or weak.
+    C is taken when an article or paragraph was asked for and the tier so far is empty or weak. Spark keeps the first
+    of each query and tier in every task, so the windows see few rows.
     """
-    section, pasal, ayat = _passes("q_section", "section"), _passes("q_pasal", "pasal"), _passes("q_ayat", "ayat")
-    w = Window.partitionBy("query_id")
+    section, pasal, ayat = _passes("q_section", "section"), _passes("q_pasal", "pasal", "pasal_number"), _passes("q_ayat", "ayat", "ayat_number")
+    for c in ("pasal_number", "ayat_number"):  # older tables name their columns so
+        if c not in pairs.columns:
+            pairs = pairs.withColumn(c, F.lit(None).cast("int"))
     both = F.col("q_pasal").isNotNull() & F.col("q_ayat").isNotNull()
     asked = F.col("q_pasal").isNotNull() | F.col("q_ayat").isNotNull()
-    t = pairs.withColumns({"in_a": section & pasal & ayat, "in_b": both & section & pasal})
-    t = t.withColumns({"max_a": F.max(F.when(F.col("in_a"), F.col("raw"))).over(w), "max_b": F.max(F.when(F.col("in_b"), F.col("raw"))).over(w)})
+    tiers = F.array_compact(F.array(F.when(section & pasal & ayat, "A"), F.when(both & section & pasal, "B"), F.when(asked, "C")))
+    rank = F.row_number().over(Window.partitionBy("query_id", "tier").orderBy(F.desc("raw"), "chunk_id"))
+    t = pairs.withColumn("tier", F.explode(tiers)).withColumn("rank", rank).where(F.col("rank") <= fetch)
+    w = Window.partitionBy("query_id")
+    t = t.withColumns({f"max_{k}": F.max(F.when(F.col("tier") == k.upper(), F.col("raw"))).over(w) for k in "ab"})
     best = F.coalesce("max_a", "max_b")
-    t = t.withColumn("tier", F.when(asked & (best.isNull() | (best < RETRY)), "C").when(F.col("max_a").isNotNull(), "A").otherwise("B"))
-    t = t.where(((F.col("tier") == "A") & F.col("in_a")) | ((F.col("tier") == "B") & F.col("in_b")) | (F.col("tier") == "C")).drop("in_a", "in_b", "max_a", "max_b")
-    rank = F.row_number().over(w.orderBy(F.desc("raw"), "chunk_id"))
-    return t.withColumn("rank", rank).where(F.col("rank") <= fetch).withColumn("pasal_not_found", F.col("tier") == "C")
+    chosen = F.when(asked & (best.isNull() | (best < RETRY)), "C").when(F.col("max_a").isNotNull(), "A").otherwise("B")
+    return t.where(F.col("tier") == chosen).drop("max_a", "max_b").withColumn("pasal_not_found", F.col("tier") == "C")
 
 
 def effective(points: DataFrame) -> DataFrame:
-    return points.withColumn("eff_pasal", F.coalesce("pasal", "pasal_rujukan"))
+    """With the article and paragraph that a point stands for, whatever column has them."""
+    have = lambda *names: F.coalesce(*(F.col(c) for c in names if c in points.columns))
+    return points.withColumns({"eff_pasal": have("pasal", "pasal_rujukan", "pasal_number"), "eff_ayat": have("ayat", "ayat_number")})
 
 
 def cut_relative(hits: DataFrame, pool: int, ratio: float = RATIO) -> DataFrame:
     """Scores of at least ratio times the best, and exact matches whatever their score; then the first so many."""
     w = Window.partitionBy("query_id")
-    exact = F.coalesce((F.col("eff_pasal") == F.col("q_pasal")) & (F.col("q_ayat").isNull() | (F.col("ayat") == F.col("q_ayat"))), F.lit(False))
+    exact = F.coalesce((F.col("eff_pasal") == F.col("q_pasal")) & (F.col("q_ayat").isNull() | (F.col("eff_ayat") == F.col("q_ayat"))), F.lit(False))
     kept = effective(hits).withColumn("exact", exact).withColumn("top", F.max("raw").over(w)).where((F.col("raw") >= F.col("top") * ratio) | F.col("exact"))
     return kept.withColumn("rank", F.row_number().over(w.orderBy(F.desc("raw"), "chunk_id"))).where(F.col("rank") <= pool).drop("top")
 
@@ -91,7 +128,7 @@ def boosted(hits: DataFrame) -> DataFrame:
     """Rounded score, raised for the asked article and paragraph, at most 1; ranked again, stable."""
     base = rounded(F.col("raw"))
     pasal = F.coalesce(F.col("eff_pasal") == F.col("q_pasal"), F.lit(False))
-    ayat = pasal & F.coalesce(F.col("ayat") == F.col("q_ayat"), F.lit(False))
+    ayat = pasal & F.coalesce(F.col("eff_ayat") == F.col("q_ayat"), F.lit(False))
     one = F.when(pasal, F.least(rounded(base + ARTICLE_BOOST), F.lit(1.0))).otherwise(base)
     two = F.when(ayat, F.least(rounded(one + PARAGRAPH_BOOST), F.lit(1.0))).otherwise(one)
     out = hits.withColumns({"exact_pasal": pasal, "exact_ayat": ayat, "score": two})
@@ -113,9 +150,22 @@ def with_parents(hits: DataFrame, points: DataFrame) -> DataFrame:
     return hits.join(parents, ["kb", "parent_id"], "left")
 
 
-def search(queries: DataFrame, points: DataFrame, limit: int = LIMIT, unit: bool = False, logit: Column | None = None) -> DataFrame:
-    """The whole search over child points: tiers, relative cut, boosts, optional reranking, parents."""
+def rerank_text(content: Column, parent_content: Column, least: int = 30) -> Column:
+    """What a scorer reads: the parent's content where it is long enough, else the hit's."""
+    return F.when(F.length(strip(parent_content)) > least, parent_content).otherwise(F.coalesce(content, F.lit("")))
+
+
+def shaped(hits: DataFrame) -> DataFrame:
+    """query_id, rank, score, flags, and structs child and parent; a missing parent has empty content."""
+    child = F.struct("chunk_id", "section", F.coalesce("content", F.lit("")).alias("content"), F.col("eff_pasal").alias("pasal"), F.col("eff_ayat").alias("ayat"), "parent_id", "pasal_rujukan")
+    parent = F.struct(F.when(F.col("parent_content").isNotNull(), F.col("parent_id")).alias("chunk_id"), F.coalesce("parent_content", F.lit("")).alias("content"), F.col("parent_pasal").alias("pasal"), F.col("parent_rujukan").alias("pasal_rujukan"))
+    return hits.select("query_id", "rank", "score", "exact_pasal", "exact_ayat", "pasal_not_found", child.alias("child"), parent.alias("parent"))
+
+
+def search(queries: DataFrame, points: DataFrame, limit: int = LIMIT, unit: bool = False, logit: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The whole search over child points: tiers, relative cut, boosts, optional reranking, contents and parents."""
     pool, fetch = pool_sizes(limit, logit is not None)
-    hits = boosted(cut_relative(tiered(scored(queries, points.where("role = 'child'"), unit), fetch), pool))
-    hits = reranked(hits, logit, limit) if logit is not None else hits.where(F.col("rank") <= limit)
-    return with_parents(hits, points)
+    hits = boosted(cut_relative(tiered(scored(queries, points.where("role = 'child'"), unit, threshold), fetch), pool))
+    contents = points.where("role = 'child'").select("kb", "chunk_id", "content")
+    hits = with_parents(hits.join(contents, ["kb", "chunk_id"]), points)
+    return reranked(hits, logit, limit) if logit is not None else hits.where(F.col("rank") <= limit)

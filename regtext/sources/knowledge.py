@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from regtext.functions.text import strip
+from regtext.operators.retrieve import embedded
+
 REQUIRED = ["question", "ground_truth", "reference_context"]
 #: Bytes that an audio file may have.
 AUDIO_BYTES = 5 << 20
@@ -20,18 +24,30 @@ def read_golden_csv(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def validate_rows(rows: DataFrame, bases: DataFrame, order: str) -> DataFrame:
-    """Every row with its number in the sheet (the header is row 1) and the reason for its rejection, or null.
+def numbered(rows: DataFrame, order: str, first: int = 1, parts: int = 200) -> DataFrame:
+    """rows with row_number in the order of a numeric column. Numbers are counted within ranges of it and moved by what stands before each range."""
+    cuts = rows.select(F.percentile_approx(order, F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(10_000)).alias("c")).first()["c"] or []
+    bounds = sorted(set(cuts))
+    part = F.lit(0)
+    for k, c in enumerate(bounds):
+        part = F.when(F.col(order) > F.lit(c), k + 1).otherwise(part)
+    cut = rows.withColumn("_part", part)
+    counts, before, total = {r[0]: r[1] for r in cut.groupBy("_part").count().collect()}, [], first - 1
+    for k in range(len(bounds) + 1):
+        before.append(total)
+        total += counts.get(k, 0)
+    offset = F.element_at(F.array(*(F.lit(n).cast("long") for n in before)), F.col("_part") + 1)
+    return cut.withColumn("row_number", F.row_number().over(Window.partitionBy("_part").orderBy(order)) + offset).drop("_part")
 
-    A sheet is a hand-made file, so one window numbers its rows.
-    """
-    number = F.row_number().over(Window.orderBy(order)) + 1
+
+def validate_rows(rows: DataFrame, bases: DataFrame, order: str) -> DataFrame:
+    """Every row with its number in the sheet (the header is row 1) and the reason for its rejection, or null."""
     known = bases.select(F.lower("kb").alias("_kb")).distinct()
-    joined = rows.withColumn("row_number", number.cast("long")).join(known, F.lower(F.trim("knowledge_base")) == F.col("_kb"), "left")
+    joined = numbered(rows, order, 2).join(known, F.lower(strip("knowledge_base")) == F.col("_kb"), "left")
     reason = F.lit(None).cast("string")
-    reason = F.when((F.trim("knowledge_base") != "") & F.col("_kb").isNull(), "unknown knowledge base").otherwise(reason)
+    reason = F.when((strip("knowledge_base") != "") & F.col("_kb").isNull(), "unknown knowledge base").otherwise(reason)
     for c in reversed(REQUIRED):
-        reason = F.when(F.coalesce(F.trim(c), F.lit("")) == "", f"{c} is empty").otherwise(reason)
+        reason = F.when(F.coalesce(strip(c), F.lit("")) == "", f"{c} is empty").otherwise(reason)
     return joined.withColumn("reason", reason).drop("_kb")
 
 
@@ -64,12 +80,61 @@ def point_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)
 
 
+def flat_payload(chunks: DataFrame) -> DataFrame:
+    """Chunks as flat rows in which empty text is null."""
+    return chunks.select(*(F.nullif(F.col(f.name), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in chunks.schema))
+
+
+def ensure_base(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The points below path; an empty table, if there are none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        spark.createDataFrame([], schema).write.mode("ignore").partitionBy("kb", "role").parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+
 def write_points(chunks: DataFrame, path: str) -> None:
     """Chunks of whole knowledge bases: their partitions are replaced. Rows without an embedding are left out."""
-    kept = chunks.where("embedding is not null").withColumn("point_id", point_id(F.col("kb"), F.col("doc_id").cast("string"), F.col("chunk_id")))
+    kept = flat_payload(chunks).where("embedding is not null").withColumn("point_id", point_id(F.col("kb"), F.col("doc_id").cast("string"), F.col("chunk_id")))
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb", "role").parquet(path)
 
 
+def store_chunks(chunks: DataFrame, path: str, embedder: Callable | None = None) -> DataFrame:
+    """Write chunks (kb, role, doc_id, chunk_id, content, ..) with embeddings, by a seam or of their own, and return what became of each base.
+
+    kb, parents, children (written), skipped (without an embedding), status: success, or partial_error where any was skipped.
+    """
+    rows = embedded(chunks, embedder, "content") if embedder is not None else chunks
+    write_points(rows, path)
+    written = chunks.sparkSession.read.parquet(path).select("kb", "role", "doc_id", "chunk_id")
+    done = written.groupBy("kb").agg(F.count_if(F.col("role") == "parent").alias("parents"), F.count_if(F.col("role") == "child").alias("children"))
+    asked = chunks.groupBy("kb").agg(F.count(F.lit(1)).alias("asked"))
+    out = asked.join(done, "kb", "left").na.fill(0, ["parents", "children"]).withColumn("skipped", F.col("asked") - F.col("parents") - F.col("children"))
+    return out.withColumn("status", F.when(F.col("skipped") > 0, "partial_error").otherwise("success")).drop("asked")
+
+
+def delete_base(spark: SparkSession, path: str, kb: str) -> dict[str, str]:
+    """Remove both partitions of a base; what became of each role: deleted or not_found."""
+    out = {}
+    for role in ("parent", "child"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kb={kb}/role={role}")
+        gone = where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        out[role] = "deleted" if gone else "not_found"
+    return out
+
+
+def detailed(points: DataFrame) -> DataFrame:
+    """One row for each base and role: its name and number of points."""
+    return points.groupBy("kb", "role").agg(F.count(F.lit(1)).alias("points")).select(F.concat_ws("_", "kb", "role").alias("name"), "kb", "role", "points")
+
+
+def base_info(points: DataFrame) -> DataFrame:
+    """kb, and section and title of its first parent."""
+    first = F.min(F.when(F.col("role") == "parent", F.struct("chunk_id", "section", "title")))
+    return points.groupBy("kb").agg(first.alias("p")).select("kb", F.col("p.chunk_id").alias("first_parent"), "p.section", "p.title")
+
+
 def stats(points: DataFrame) -> DataFrame:
     return points.groupBy("kb").agg(F.count_if(F.col("role") == "parent").alias("parents"), F.count_if(F.col("role") == "child").alias("children"))
 
@@ -78,11 +143,15 @@ def list_bases(points: DataFrame) -> DataFrame:
     return points.select("kb").distinct().orderBy("kb")
 
 
-def monitor(points: DataFrame) -> DataFrame:
-    """Whether both roles are there, and the first parent."""
-    parent = F.col("role") == "parent"
-    g = points.groupBy("kb").agg(F.count_if(parent).alias("p"), F.count_if(~parent).alias("c"), F.min(F.when(parent, F.col("chunk_id"))).alias("first_parent"))
-    return g.select("kb", F.when((F.col("p") > 0) & (F.col("c") > 0), "active").otherwise("partial_error").alias("status"), "first_parent")
+def monitor(points: DataFrame, asked: DataFrame | None = None, rows: int = 5) -> DataFrame:
+    """Counts, status and first chunk ids of both roles: of all bases, or of those asked for (kb), also where there is none."""
+    first = preview(points, rows).groupBy("kb").agg(*(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.col("chunk_id")))).alias(f"{r}_preview") for r in ("parent", "child")))
+    out = stats(points).join(first, "kb")
+    if asked is not None:
+        out = asked.select("kb").join(out, "kb", "left")
+    parents, children = F.coalesce("parents", F.lit(0)), F.coalesce("children", F.lit(0))
+    status = F.when((parents > 0) & (children > 0), "active").when(parents + children > 0, "partial_error").otherwise("not_found")
+    return out.select("kb", status.alias("status"), parents.cast("long").alias("parents"), children.cast("long").alias("children"), "parent_preview", "child_preview")
 
 
 def preview(points: DataFrame, n: int = 3) -> DataFrame:
@@ -96,3 +165,27 @@ def resolve(asked: DataFrame, bases: DataFrame) -> DataFrame:
     pairs = asked.join(b, F.lower("asked") == F.lower("kb"), "left")
     w = Window.partitionBy("asked").orderBy((F.col("asked") == F.col("kb")).desc(), "kb")
     return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+
+def read_table(spark: SparkSession, url: str, name: str, key: str | None = None, parts: int = 16, **options: str) -> DataFrame:
+    """A relational table by Spark's JDBC source; with a numeric key it is read in so many ranges of it."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if key is None:
+        return reader.load()
+    low, high = spark.read.format("jdbc").options(url=url, query=f"select min({key}) as a, max({key}) as b from {name}", **options).load().first()
+    if low is None:
+        return reader.load()
+    return reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(parts)).load()
+
+
+def write_table(rows: DataFrame, url: str, name: str, mode: str = "append", **options: str) -> None:
+    rows.write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
+
+
+def jdbc_url(loose: Column) -> Column:
+    """A JDBC address of a connection address such as postgresql+driver://user:secret@host:port/base; user and secret are left out, a missing port is 5432."""
+    pattern = r"^([a-z]+)(?:\+[a-z0-9]+)?://(?:.*@)?([^/:@]+)(?::(\d+))?/([^?]+)"
+    part = lambda i: F.regexp_extract(loose, pattern, i)
+    kind = F.replace(part(1), F.lit("postgres"), F.lit("postgresql"))
+    kind = F.when(part(1) == "postgresql", "postgresql").otherwise(kind)
+    return F.when(part(2) != "", F.concat(F.lit("jdbc:"), kind, F.lit("://"), part(2), F.lit(":"), F.coalesce(F.nullif(part(3), F.lit("")), F.lit("5432")), F.lit("/"), part(4)))

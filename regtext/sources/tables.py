@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -9,3 +13,13 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """A table, or some of its columns."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared folder of the cluster (spark.checkpoint.dir); a temporary one only in local sessions without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-regtext-")
+    return f"{base.rstrip('/')}/regtext-{uuid.uuid4().hex[:12]}-{name}"

@@ -1,12 +1,15 @@
-"""Event-time windows as streams: tumbling counts with a watermark, sessions, and quota state per model."""
+"""Event-time windows as streams: tumbling counts and sessions with a watermark, and quota admission with state per model."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from regtext.sources.tables import scratch_dir
+
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a stream; its times carry no zone, and a watermark needs one."""
@@ -25,13 +28,72 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("w.start", "w.end", "user_id", "n")
 
 
-def run_to_memory(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """All that is there now, through the stream, as a table of the session."""
-    name = f"t_{uuid.uuid4().hex}"
-    running = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, keys: list[str] | None, name: str) -> DataFrame:
+    """All that is there now, through the stream, as Parquet in the shared folder: each batch writes its rows, and of those that a later batch has updated (by keys) the last counts."""
+    spark, path = stream.sparkSession, scratch_dir(stream.sparkSession, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    mode = "append" if keys is None else "update"
+    running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     running.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.parquet(f"{path}/rows").drop("batch")
+    if keys is None:
+        return rows.drop("_batch")
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_batch")))
+    return rows.withColumn("_n", last).where("_n = 1").drop("_n", "_batch")
 
 
 def run_tumbling(spark: SparkSession, folder: str) -> DataFrame:
-    return run_to_memory(tumbling(event_stream(spark, folder)))
+    return run_to_table(tumbling(event_stream(spark, folder)), ["start", "event_type"], "tumbling")
+
+
+def run_sessions(spark: SparkSession, folder: str, gap: str = "30 minutes") -> DataFrame:
+    """Sessions of all users: those that the watermark has closed come from the stream, which closes the rest with an event far ahead."""
+    events = event_stream(spark, folder).select("ts", "user_id")
+    schema = "ts timestamp, user_id " + dict(events.dtypes)["user_id"]
+    ahead = scratch_dir(spark, "ahead")
+    last = spark.read.parquet(f"{folder}/events.parquet").agg(F.max("ts").cast("timestamp").alias("ts")).select((F.col("ts") + F.expr("interval 30 days")).alias("ts"), F.lit(None).cast(dict(events.dtypes)["user_id"]).alias("user_id"))
+    last.union(last.select(F.col("ts") + F.expr("interval 30 days"), "user_id")).write.parquet(f"{ahead}/a")
+    closing = spark.readStream.schema(schema).parquet(f"{ahead}/a*")
+    return run_to_table(sessions(events.unionByName(closing), gap), None, "sessions").where("user_id is not null")
+
+
+#: Seconds of a quota window, and least seconds between two requests of a model.
+WINDOW_SECONDS, GAP_SECONDS = 60.0, 1.2
+
+
+def admissions(requests: DataFrame, tokens: int = 4500, number: int = 25, gap: float = GAP_SECONDS) -> DataFrame:
+    """A stream of requests (request_id, model, ts, tokens) with the second at which each is admitted and its wait.
+
+    A request waits until the window of the last minute has room for its tokens and for one more request, and for the gap to the last
+    one. What a model has in its window is kept as state, so it outlives a restart and holds a minute's admissions only;
+    requests that alone are larger than the window are admitted to an empty one.
+    """
+
+    def admit(key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        times, sizes = (list(x) for x in state.get) if state.exists else ([], [])
+        rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
+        ids, at, waits = [], [], []
+        for request, ts, size in zip(rows["request_id"], rows["ts"], rows["tokens"], strict=True):
+            asked = ts.timestamp()
+            now = max(asked, times[-1] + gap) if times else asked
+            while times:
+                while times and times[0] <= now - WINDOW_SECONDS:
+                    times.pop(0)
+                    sizes.pop(0)
+                if not times or (sum(sizes) + size <= tokens and len(times) < number):
+                    break
+                now = times[0] + WINDOW_SECONDS
+            times.append(now)
+            sizes.append(int(size))
+            ids.append(request)
+            at.append(now)
+            waits.append(now - asked)
+        state.update((times, sizes))
+        yield pd.DataFrame({"request_id": ids, "model": key[0], "admitted": at, "waited": waits})
+
+    kinds = dict(requests.dtypes)
+    out = f"request_id {kinds['request_id']}, model {kinds['model']}, admitted double, waited double"
+    return requests.groupBy("model").applyInPandasWithState(admit, out, "times array<double>, sizes array<long>", "append", "NoTimeout")
