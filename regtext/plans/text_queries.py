@@ -241,11 +241,11 @@ def law_metadata(spark: SparkSession, sf: str) -> DataFrame:
 @query("law_konsiderans", rf"""WITH {_LINES}, k AS (SELECT doc_id, pos, trim(CASE WHEN pos = 0 THEN 'Menimbang :' WHEN pos = 4 THEN 'Mengingat :' WHEN pos = 1 THEN 'a. ' || line WHEN pos = 3 THEN 'b. ' || line ELSE line END, {_WS}) AS line FROM lines),
     o AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^Menimbang\b') THEN 'a' WHEN regexp_matches(line, '(?i)^Mengingat\b') THEN 'b' END AS opens FROM k WHERE line <> ''),
     z AS (SELECT *, last_value(opens IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS zone FROM o)
-    SELECT doc_id, count(CASE WHEN zone = 'a' AND opens IS NULL AND regexp_matches(line, {_POINT}) THEN 1 END) AS points, coalesce(string_agg(CASE WHEN zone = 'b' AND opens IS NULL THEN line END, ' ' ORDER BY pos), '') AS mengingat, string_agg(line, chr(10) ORDER BY pos) AS full_text FROM z GROUP BY doc_id""")
+    SELECT *, length(mengingat) AS view_chars, length(full_text) AS chars FROM (SELECT doc_id, count(CASE WHEN zone = 'a' AND opens IS NULL AND regexp_matches(line, {_POINT}) THEN 1 END) AS points, coalesce(string_agg(CASE WHEN zone = 'b' AND opens IS NULL THEN line END, ' ' ORDER BY pos), '') AS mengingat, string_agg(line, chr(10) ORDER BY pos) AS full_text FROM z GROUP BY doc_id)""")
 def law_konsiderans(spark: SparkSession, sf: str) -> DataFrame:
     pos = F.col("pos")
     marked = doc_lines(spark, sf).withColumn("line", F.when(pos == 0, "Menimbang :").when(pos == 4, "Mengingat :").when(pos.isin(1, 3), F.concat(F.when(pos == 1, "a. ").otherwise("b. "), F.col("line"))).otherwise(F.col("line")))
-    return parse.preamble(marked).select("doc_id", F.size("menimbang").cast("long").alias("points"), "mengingat", "full_text")
+    return parse.preamble(marked).select("doc_id", F.size("menimbang").cast("long").alias("points"), "mengingat", "full_text", F.length("mengingat").alias("view_chars"), F.length("full_text").alias("chars"))
 
 
 _MENTION = r"'(?i)\bPasal\s+(\d+[A-Za-z]*)\b'"
