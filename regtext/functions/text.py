@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,9 +39,9 @@ PAGE_MARKER = r"(?i)---\s*PAGE\s*\d+\s*---"
 
 _SPACED = r"(?<=\b[A-Za-z] [A-Za-z]) (?=[A-Za-z]\b)|(?<=\b[A-Za-z]) (?=[A-Za-z] [A-Za-z]\b)"
 _SPACED_RUN = r"\b[A-Za-z](?: [A-Za-z]){2,}\b"
-_DOUBLED = r"(?i)\b([A-Za-z]{2,})-\n(\1)\b"
+_DOUBLED = r"(?i)\b([A-Za-z]{2,}+)-\n(\1)\b"
 # a match starts at a word's first letter or where the last match ended, so long words are read once
-_BROKEN = r"(?:\G|(?<![A-Za-z]))([A-Za-z]{2,})-\n([a-z])"
+_BROKEN = r"(?:\G|(?<![A-Za-z]))([A-Za-z]{2,}+)-\n([a-z])"
 
 
 @F.pandas_udf(T.StringType())
@@ -156,6 +156,29 @@ def repair(text: Column, fixed: bool = False) -> Column:
     return _let(_let(text, pair(join_hyphens)), lambda h: _let(_let(h["text"], pair(close_spaced)), lambda s: _let(noise(s["text"]), lambda o: finish(h, s, o))))
 
 
+def repaired(rows: DataFrame, column: str = "text", fixed: bool = False) -> DataFrame:
+    """rows with the struct of repair() of a column as r. Each stage is a projection of its own, so its text is worked out once and in generated code."""
+    out = rows.withColumn("_t", F.col(column))
+    n, t = F.col("_n"), F.col("_t")
+
+    def stage(df: DataFrame, pattern: str, good: str, counted: str | None = None, only: Column | None = None) -> DataFrame:
+        hit = t.rlike(counted or pattern) if only is None else only & t.rlike(counted or pattern)
+        marked = df.withColumn("_hit", hit)
+        return marked.withColumns({"_n": n + F.when(F.col("_hit"), F.regexp_count(t, F.lit(counted or pattern))).otherwise(0), "_t": F.when(F.col("_hit"), F.regexp_replace(t, pattern, good)).otherwise(t)})
+
+    zero = lambda df: df.withColumn("_n", F.when(t.isNotNull(), 0))
+    broken = t.contains("-\n")
+    out = stage(stage(zero(out), _DOUBLED, "$1-$2", only=broken), _BROKEN, "$1$2", only=broken).withColumn("_hyphens", n)
+    out = stage(zero(out), _SPACED, "", _SPACED_RUN).withColumn("_spaced", n)
+    out = zero(out).withColumn("_noisy", t.rlike(_ANY_NOISE))
+    for pattern, good in NOISE:
+        out = stage(out, pattern, good, only=F.col("_noisy"))
+    out = out.withColumn("_noise", n).withColumn("_j", join_wrapped(t, fixed))
+    total = F.col("_hyphens") + F.col("_spaced") + F.col("_noise") + F.col("_j.n")
+    r = F.struct(F.col("_j.text").alias("text"), F.col("_hyphens").alias("hyphens"), F.col("_spaced").alias("spaced"), F.col("_noise").alias("noise"), F.col("_j.n").alias("joined"), total.alias("total"), (total > 0).alias("was_repaired"))
+    return out.withColumn("r", r).select(*rows.columns, "r")
+
+
 def clean_page(text: Column, fixed: bool = False) -> Column:
     """The chain for one page. In the compatible order lines are repaired before page numbers go."""
     text = fix_artifacts(strip_invisible(nfc(text)))

@@ -101,7 +101,7 @@ def txt_ocr_noise(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("txt_repair_stats")
 def txt_repair_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", t.repair(F.col("text")).alias("r")).select("doc_id", "r.hyphens", "r.spaced", "r.noise", "r.joined", "r.total", "r.was_repaired")
+    return t.repaired(table(spark, sf, "documents", "doc_id", "text")).select("doc_id", "r.hyphens", "r.spaced", "r.noise", "r.joined", "r.total", "r.was_repaired")
 
 
 @query("txt_clean_pages")
