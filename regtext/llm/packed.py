@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from regtext.llm.support import map_batches
 
 SCHEMA = "block int, salt int, data binary"
-#: Groups of tasks in the first exchange.
-GROUPS = 16
+#: Groups of tasks in the first exchange: a million tasks are added in two steps of a thousand each.
+GROUPS = 1024
 
 
 def blocks_of(array: np.ndarray, size: int, salt: int) -> Iterator[pa.RecordBatch]:
