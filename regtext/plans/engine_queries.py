@@ -500,6 +500,33 @@ def kb_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return knowledge.resolve(asked_for, _bases(spark, sf).select("kb").distinct())
 
 
+def pages_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files, read by an extractor that takes lines for pages and can't read texts that begin with a vowel."""
+
+    def lines(content: bytes) -> list[str]:
+        text = content.decode()
+        if text[:1] in ("A", "E", "I", "O", "U"):
+            raise ValueError("unreadable")
+        return text.split("\n") if text else []
+
+    files = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    return knowledge.extract_pages(files, lines)
+
+
+_PAGES = "p AS (SELECT doc_id::VARCHAR AS path, text, left(text, 1) IN ('A', 'E', 'I', 'O', 'U') AS bad FROM documents)"
+
+
+@query("src_pages", f"WITH {_PAGES} SELECT path, unnest(range(1, len(l) + 1))::INT AS page, unnest(l) AS text, NULL AS issue FROM (SELECT path, string_split(text, chr(10)) AS l FROM p WHERE NOT bad AND text <> '') UNION ALL SELECT path, NULL, NULL, CASE WHEN bad THEN 'ValueError: unreadable' ELSE 'no pages' END FROM p WHERE bad OR text = ''")
+def src_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return pages_of(spark, sf)
+
+
+@query("src_status", f"WITH {_PAGES} SELECT path, CASE WHEN bad OR text = '' THEN 'failed' ELSE 'success' END AS status, CASE WHEN bad OR text = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS pages, CASE WHEN bad THEN 0 ELSE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) END AS words, CASE WHEN bad THEN '' ELSE text END AS text FROM p")
+def src_status(spark: SparkSession, sf: str) -> DataFrame:
+    pages = pages_of(spark, sf)
+    return knowledge.file_status(pages).select("path", "status", "pages", "words").join(knowledge.plain_text(pages), "path")
+
+
 @query("kb_names", "SELECT doc_id, replace(lower(trim(' ' || source || ' X ')), ' ', '_') AS base, 'jdbc:postgresql://host' || doc_id || ':' || CASE WHEN doc_id % 2 = 0 THEN '5432' ELSE '6000' END || '/base' AS url FROM documents")
 def kb_names(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id").cast("string")

@@ -312,7 +312,14 @@ def _all_sections(spark: SparkSession, sf: str) -> DataFrame:
     return chunk.united(parse.preamble(head), a, parse.paragraphs(a), notes)
 
 
-@query("chunk_sections")
+_NOTE_PARTS = rf"""x AS (SELECT doc_id, regexp_replace(text, '\. ', '. Pasal 7 ', 'g') AS x FROM documents), m AS (SELECT doc_id, regexp_extract_all(x, {_MENTION}, 1) AS numbers, regexp_split_to_array(x, {_MENTION})[2:] AS parts FROM x),
+    e AS (SELECT doc_id, trim(unnest(parts), {_WS}) AS text FROM m), noted AS (SELECT doc_id, count(*) AS k FROM e WHERE text <> '' GROUP BY 1)"""
+
+
+@query("chunk_sections", rf"""WITH {_AT}, {_PARAGRAPHS}, {_CHUNKS}, {_NOTE_PARTS}, t AS (SELECT unnest(['parent', 'child']) AS type)
+    SELECT doc_id, 0 AS section_place, 'Konsiderans' AS section, type, 1::BIGINT AS n FROM lines, t WHERE pos = 1 AND regexp_matches(trim('a. ' || line, {_WS}), {_POINT})
+    UNION ALL SELECT doc_id, 1, 'Batang Tubuh', type, count(*) FROM counted GROUP BY doc_id, type
+    UNION ALL SELECT d.doc_id, 2, 'Penjelasan', type, greatest(coalesce(k, 0), 1) FROM documents d LEFT JOIN noted USING (doc_id), t WHERE k > 0 OR trim(d.text, {_WS}) <> ''""")
 def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
     return _all_sections(spark, sf).groupBy("doc_id", "section_place", "section", "type").agg(F.count(F.lit(1)).alias("n"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from regtext.functions.text import strip
+from regtext.functions.text import strip, token_count
 from regtext.operators.retrieve import embedded
 
 REQUIRED = ["question", "ground_truth", "reference_context"]
@@ -59,12 +60,37 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.[pP][dD][fF]")
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
-def extract_pages(files: DataFrame, extractor: Callable) -> DataFrame:
-    """Pages of files by a seam: extractor maps an iterator of pandas frames (path, content) to frames (path, page, text, issue).
+def extract_pages(files: DataFrame, extractor: Callable[[bytes], list[str]]) -> DataFrame:
+    """path, page (from 1), text, issue of files (path, content) by a seam: extractor gives the pages' texts of one file.
 
-    A file that fails becomes a row with an issue, never a failed job, if the extractor says so.
+    A file that fails or has no page becomes a row with an issue, never a failed job.
     """
-    return files.select("path", "content").mapInPandas(extractor, "path string, page int, text string, issue string")
+
+    def pages(frames):
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    found = extractor(bytes(content))
+                    rows += [(path, k, text, None) for k, text in enumerate(found, 1)] or [(path, None, None, "no pages")]
+                except Exception as error:  # whatever a file does to its reader is its own issue
+                    rows.append((path, None, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["path", "page", "text", "issue"]).astype({"page": "Int32"})
+
+    return files.select("path", "content").mapInPandas(pages, "path string, page int, text string, issue string")
+
+
+def file_status(pages: DataFrame) -> DataFrame:
+    """path, status (success or failed), pages, words, chars and issues of every file."""
+    words = F.sum(token_count(F.col("text")))
+    out = pages.groupBy("path").agg(F.count("page").alias("pages"), F.coalesce(words, F.lit(0)).alias("words"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.array_sort(F.collect_list("issue")).alias("issues"))
+    return out.withColumn("status", F.when(F.size("issues") > 0, "failed").otherwise("success"))
+
+
+def plain_text(pages: DataFrame) -> DataFrame:
+    """The pages of each file as one text."""
+    parts = F.array_sort(F.collect_list(F.when(F.col("page").isNotNull(), F.struct("page", "text"))))
+    return pages.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x.text), "\n").alias("text"))
 
 
 def audio_files(spark: SparkSession, path: str) -> DataFrame:
