@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ BANDS = [(0.85, "very good"), (0.70, "good"), (0.50, "fair")]
 MATERIAL = "dasar_hukum array<struct<nama_peraturan:string,pasal:string,ayat:string,catatan_validasi:string>>, ringkasan_pembuka string, ringkasan array<struct<poin:string>>, konteks_tambahan string, analisa_risiko array<struct<skenario:string,penjelasan:string>>, qa array<struct<pertanyaan:string,jawaban:string>>"
 
 
+# the labels in the texts below are fixed values as well: a judge has been tuned to them
 def _joined(items: Column, each, between: str) -> Column:
     return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, F.array_join(F.transform(items, each), between)).otherwise("-")
 
@@ -354,6 +358,37 @@ def fallback_material(context: Column, has_context: Column) -> Column:
     return F.from_json(F.to_json(F.struct(F.array(F.struct(point.alias("poin"))).alias("ringkasan"), F.when(has_context, "-").otherwise(NO_CONTEXT).alias("konteks_tambahan"))), MATERIAL)
 
 
+def generated(rows: DataFrame, generator) -> DataFrame:
+    """rows (request_id, question, context) with a material by a seam, and how many attempts it took.
+
+    generator(question, context, hint) gives a material as a dict, or fails. It gets a second attempt where it failed, or, with the hint,
+    where it did not say that the context lacks an article the question names. Two failures give the fallback.
+    """
+
+    def attempts(question: str, context: str, missing: bool) -> tuple[str | None, int]:
+        found, hint = None, False
+        for k in (1, 2):
+            try:
+                found = generator(question, context, hint)
+            except Exception:  # a model's failure is an attempt that gave nothing
+                found = found if hint else None
+                continue
+            noted = any((c.get("catatan_validasi") or "-") != "-" for c in found.get("dasar_hukum") or [])
+            if not missing or noted or k == 2:
+                return json.dumps(found), k
+            hint = True
+        return (json.dumps(found) if found is not None else None), 2
+
+    def run(frames):
+        for f in frames:
+            out = [attempts(q, c, m) for q, c, m in zip(f["question"], f["context"], f["missing"], strict=True)]
+            yield pd.DataFrame({"request_id": f["request_id"], "context": f["context"], "made": [x[0] for x in out], "attempts": [x[1] for x in out]})
+
+    asked = rows.select("request_id", "question", "context", (F.size(missing_references(F.col("question"), F.col("context"))) > 0).alias("missing"))
+    out = asked.mapInPandas(run, f"request_id {dict(rows.dtypes)['request_id']}, context string, made string, attempts int")
+    return out.select("request_id", F.coalesce(F.from_json("made", MATERIAL), fallback_material(F.col("context"), F.lit(True))).alias("material"), "attempts")
+
+
 def payload(rows: DataFrame) -> DataFrame:
     """What is sent to a judge: rows (process_id, question, context, ground_truth, material) with the flat answer and its segments."""
     s = segments(F.col("material"))

@@ -223,6 +223,24 @@ def gen_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("doc_id", F.col("m.ringkasan")[0]["poin"].alias("point"), F.col("m.konteks_tambahan").alias("more"))
 
 
+_MADE = "doc_id % 5 > 0 AND text <> ''"
+
+
+@query("gen_material", f"SELECT doc_id, CASE WHEN {_MADE} THEN left(text, 20) WHEN length(trim(text, '{SPACE}')) < 300 OR len(regexp_extract_all(lower(text), 'pasal')) < 2 THEN '{ev.THIN}' ELSE '{ev.SYSTEM_ERROR}' END AS point, {_MADE} AND doc_id % 2 = 0 AND NOT regexp_matches(text, '(?i)(?:pasal|ps\\.?)\\s*7') AS corrected, CASE WHEN {_MADE} AND (doc_id % 2 = 1 OR regexp_matches(text, '(?i)(?:pasal|ps\\.?)\\s*7')) THEN 1 ELSE 2 END AS attempts FROM documents")
+def gen_material(spark: SparkSession, sf: str) -> DataFrame:
+    """A generator that fails for a fifth of the requests and corrects references when it is told to."""
+
+    def generator(question: str, context: str, hint: bool) -> dict:
+        if "fail" in question or not context:
+            raise ValueError("nothing to say")
+        return {"ringkasan": [{"poin": context[:20]}], "dasar_hukum": [{"nama_peraturan": "UU", "pasal": "7", "catatan_validasi": "lain" if hint else "-"}]}
+
+    d = F.col("doc_id")
+    rows = table(spark, sf, "documents").select(d.alias("request_id"), F.concat(F.when(d % 5 == 0, "fail ").otherwise(""), F.when(d % 2 == 0, "Pasal 7").otherwise("apa")).alias("question"), F.col("text").alias("context"))
+    m = F.col("material")
+    return ev.generated(rows, generator).select(F.col("request_id").alias("doc_id"), m["ringkasan"][0]["poin"].alias("point"), ev.corrected(m).alias("corrected"), "attempts")
+
+
 _SAID = "CASE WHEN doc_id % 4 = 1 THEN ' None ' WHEN doc_id % 4 = 2 THEN lang ELSE text END"
 _PLACEHOLDER = f"trim({_SAID}, '{SPACE}') IN ('-', '', 'None', 'none')"
 

@@ -97,6 +97,11 @@ def audio_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where(F.col("length") <= AUDIO_BYTES)
 
 
+def transcribed(files: DataFrame, transcriber: Callable[[bytes], str]) -> DataFrame:
+    """path, text and issue of audio files by a seam; a file that fails has an issue."""
+    return extract_pages(files, lambda content: [transcriber(content)]).drop("page")
+
+
 def base_name(name: Column) -> Column:
     return F.replace(F.lower(F.trim(name)), F.lit(" "), F.lit("_"))
 
