@@ -3,9 +3,9 @@
 1. Words of the training texts are counted (pre-aggregated in the map tasks). The vocabulary stays a table.
 2. The TOP most frequent words are clustered by exchange: each word in turn moves to the class that raises the
    likelihood of the class bigrams most, by the counts of all neighbouring words in one matrix of bounded size.
-3. Every other word that was seen at least twice then goes to the class that raises the likelihood most, by the classes
+3. Every other word that was seen LEAST times then goes to the class that raises the likelihood most, by the classes
    of all its neighbours, which are added up by word in an exchange; so the classes cover a vocabulary that grows with
-   the corpus. Words seen once have a class of their own, which stands for unknown words as well.
+   the corpus. Rarer words, whose neighbours say too little, have a class of their own, which stands for unknown words as well.
 4. P(w | v) = P(class(w) | class(v)) * P(w | class(w)); transitions are counted over all training texts and
    interpolated with the class's share, emissions add one half to each count.
 5. Texts are scored in the map tasks with the classes of the most frequent words, which are sent to them (at most HEAD);
@@ -34,11 +34,13 @@ from regtext.llm.support import LOWER, map_batches, materialise, partitions, tex
 
 #: Words that are exchanged with each other, classes for them, rounds of exchange.
 TOP, CLASSES, ROUNDS = 1024, 48, 6
+#: Occurrences that a word needs for one of these classes.
+LEAST = 5
 #: Words whose counts and classes are sent to the tasks, at most.
 HEAD = 1_000_000
 #: Rows of the matrix after the exchanged words: the end, and all others.
 END_ROW, OTHER_ROW, ROWS = TOP, TOP + 1, TOP + 2
-#: Classes after the exchanged ones: the end, and words seen once (and unknown ones).
+#: Classes after the exchanged ones: the end, and rare words (and unknown ones).
 END_CLASS, RARE, N = CLASSES, CLASSES + 1, CLASSES + 2
 #: Weight of a class's share in its transitions.
 PRIOR = 8.0
@@ -151,24 +153,38 @@ def exchange(matrix: np.ndarray, words: int, classes: int = CLASSES, rounds: int
     return label
 
 
+class Head:
+    """The most frequent words: sorted hashes, their counts and classes. whole: no other word has a class but RARE."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, classes: np.ndarray, whole: bool) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.counts, self.classes, self.whole = hashes[order], counts[order], classes[order].astype(np.int8), whole
+
+    def place(self, h: int) -> int:
+        i = int(np.searchsorted(self.hashes, h))
+        return i if i < len(self.hashes) and self.hashes[i] == h else -1
+
+
 class Contexts(dict):
-    """word -> the class of its row; for words without a row a number behind the classes, and its hash."""
+    """word -> the class of its row; for words without a row a number behind the classes, and its hash. head: all words that get a class, if it is whole; else any word may."""
 
-    def __init__(self, top: dict[int, int], label: np.ndarray) -> None:
-        self.top, self.label = top, label
+    def __init__(self, top: dict[int, int], label: np.ndarray, head: Head) -> None:
+        self.top, self.label, self.head = top, label, head
         self.hashes: list[int] = []
 
     def __missing__(self, word: bytes) -> int:
         h = word_hash(word)
         if h in self.top:
             self[word] = got = int(self.label[self.top[h]])
+        elif self.head.whole and self.head.place(h) < 0:
+            self[word] = got = RARE
         else:
             self[word] = got = N + len(self.hashes)
             self.hashes.append(h)
         return got
 
 
-def _contexts(top: dict[int, int], label: np.ndarray):
+def _contexts(top: dict[int, int], label: np.ndarray, head: Head):
     """For each word without a row: how often each class stands before it, and (N further) behind it. In the order of codes, counts up to 255."""
 
     def emptied(known: Contexts, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +203,7 @@ def _contexts(top: dict[int, int], label: np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array(hashes[a : a + 20_000]), pa.array([both[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["h", "codes"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts, held = Contexts(top, label), [], 0
+        known, parts, held = Contexts(top, label, head), [], 0
         for b in batches:
             for text in b.column(0).to_pylist():
                 w = np.array([END_CLASS, *(known[x] for x in text.translate(LOWER).split()), END_CLASS], np.int64)
@@ -197,14 +213,14 @@ def _contexts(top: dict[int, int], label: np.ndarray):
                 held += 2 * len(at)
             if held > 4_000_000 or len(known) > 2 * _CACHE:
                 yield from emptied(known, parts)
-                known, parts, held = Contexts(top, label), [], 0
+                known, parts, held = Contexts(top, label, head), [], 0
         yield from emptied(known, parts)
 
     return run
 
 
-def _assign(big: np.ndarray):
-    """Reduce side, words in order: the class that raises the likelihood most, for each word seen at least twice."""
+def _assign(big: np.ndarray, least: int):
+    """Reduce side, words in order: the class that raises the likelihood most, for each word seen so often."""
     rows, cols = big[:CLASSES].T, big[:, :CLASSES]
     around = np.concatenate([cols, rows])  # of a code before or behind a word: the counts with each class
     out, into = big[:CLASSES].sum(1), big[:, :CLASSES].sum(0)
@@ -237,7 +253,7 @@ def _assign(big: np.ndarray):
         sizes = np.array([len(c) // 2 for c in codes])
         flat = np.frombuffer(b"".join(codes), np.uint8).reshape(-1, 2).astype(np.int64)
         seen, classes = best(np.repeat(np.cumsum(new) - 1, sizes), flat[:, 0], flat[:, 1])
-        kept = seen >= 2
+        kept = seen >= least
         return pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.int64)[new][kept]), pa.array(classes[kept].astype(np.int32))], ["h", "class"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,18 +286,6 @@ def _folded(codes: list[bytes]) -> bytes:
     return np.stack([code, left], 1).astype(np.uint8).tobytes()
 
 
-class Head:
-    """The most frequent words: sorted hashes, their counts and classes. whole: all other words were seen once at most."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, classes: np.ndarray, whole: bool) -> None:
-        order = np.argsort(hashes)
-        self.hashes, self.counts, self.classes, self.whole = hashes[order], counts[order], classes[order].astype(np.int64), whole
-
-    def place(self, h: int) -> int:
-        i = int(np.searchsorted(self.hashes, h))
-        return i if i < len(self.hashes) and self.hashes[i] == h else -1
-
-
 class Places(dict):
     """word -> its place in the head, or -1 - hash; emptied when it is full."""
 
@@ -301,7 +305,7 @@ def _codes(places: np.ndarray, head: Head) -> np.ndarray:
     """Classes of a text's words between two ends; -1 - hash where the class is not known here."""
     out = np.full(len(places) + 2, END_CLASS)
     rest = np.full(len(places), RARE) if head.whole else places
-    out[1:-1] = np.where(places >= 0, head.classes[np.maximum(places, 0)], rest) if len(head.hashes) else rest
+    out[1:-1] = np.where(places >= 0, head.classes[np.maximum(places, 0)].astype(np.int64), rest) if len(head.hashes) else rest
     return out
 
 
@@ -338,8 +342,11 @@ class ClassModel:
         more = np.zeros(N)
         more[RARE] = 1  # a share for all unknown words
         self.divisor = np.log10(tokens + 0.5 * np.maximum(1, words + more))
-        self.base = np.log10(head.counts + 0.5)
-        self.emission = self.base - self.divisor[head.classes]
+
+    def of_words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word of the head: the base's term and the emission."""
+        base = np.log10(self.head.counts + 0.5)
+        return base, base - self.divisor[self.head.classes]
 
 
 def _score(model: ClassModel):
@@ -347,7 +354,7 @@ def _score(model: ClassModel):
     end = head.place(END)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places(head)
+        places, (of_base, emission) = Places(head), model.of_words()
         for b in batches:
             out: list[list] = [[] for _ in range(4)]
             tails, times, pairs = [], [], []
@@ -359,8 +366,8 @@ def _score(model: ClassModel):
                 tail, n = np.unique(-1 - p[p < 0], return_counts=True)
                 out[0].append(len(p) + 1)
                 out[1].append(len(inside) + (end >= 0))
-                out[2].append(float(model.base[inside].sum() + (model.base[end] if end >= 0 else np.log10(0.5))))
-                out[3].append(float(model.transition[c[:-1][both], c[1:][both]].sum() + model.emission[inside].sum()))
+                out[2].append(float(of_base[inside].sum() + (of_base[end] if end >= 0 else np.log10(0.5))))
+                out[3].append(float(model.transition[c[:-1][both], c[1:][both]].sum() + emission[inside].sum()))
                 tails.append(tail)
                 times.append(n)
                 pairs.append(np.stack([c[:-1][~both], c[1:][~both]], 1).reshape(-1))
@@ -392,35 +399,41 @@ def _dense(rows: list, shape: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-def learn(docs: DataFrame, text_col: str = "text", head_words: int = HEAD) -> tuple[ClassModel, DataFrame, int, int]:
+def learn(docs: DataFrame, text_col: str = "text", head_words: int = HEAD, least: int = LEAST) -> tuple[ClassModel, DataFrame, int, int]:
     """The model, the words outside its head (h, c, class), and the numbers of training tokens and of distinct ones."""
     spark = docs.sparkSession
     texts = docs.select(text_bytes(text_col).alias("text"))
     vocabulary = materialise(map_batches(texts, _count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
     tokens, words = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    chosen = [r["h"] for r in vocabulary.where((F.col("h") != END) & (F.col("c") > 1)).orderBy(F.desc("c"), "h").limit(TOP).collect()]
+    often = (F.col("c") >= least) & (F.col("h") != END)
+    chosen = [r["h"] for r in vocabulary.where(often).orderBy(F.desc("c"), "h").limit(TOP).collect()]
+    step = F.floor(F.log2("c") * 8).cast("int")
+    bands = sorted(map(tuple, vocabulary.where(often).groupBy(step).count().collect()), reverse=True)
+    lowest, taken = 1 << 30, 0
+    for band, n in bands:
+        if taken + n > head_words:
+            break
+        lowest, taken = band, taken + n
+    inside = (often & (step >= lowest)) | (F.col("h") == END)
+
+    def head_of(table: DataFrame) -> Head:
+        rows = table.where(inside).toArrow()
+        column = lambda name: rows.column(name).to_numpy().astype(np.int64)
+        return Head(column("h"), column("c"), column("class"), taken == sum(n for _, n in bands))
+
     top = {END: END_ROW, **{h: i for i, h in enumerate(chosen)}}
     matrix = summed(map_batches(texts, _bigrams(top), SCHEMA), (ROWS, ROWS), _BLOCK)
     label = exchange(matrix, TOP)
     onto = np.zeros((ROWS, N))
     onto[np.arange(ROWS), label] = 1
-    around = map_batches(texts, _contexts(top, label), "h long, codes binary").repartition(partitions(spark), "h").sortWithinPartitions("h")
-    assigned = map_batches(around, _assign(onto.T @ matrix @ onto), "h long, class int")
+    head = head_of(vocabulary.withColumn("class", F.lit(RARE)))
+    around = map_batches(texts, _contexts(top, label, head), "h long, codes binary").repartition(partitions(spark), "h").sortWithinPartitions("h")
+    assigned = map_batches(around, _assign(onto.T @ matrix @ onto, least), "h long, class int")
     named = spark.createDataFrame([(END, END_CLASS), *((h, int(label[i])) for i, h in enumerate(chosen))], "h long, class int")
     classed = vocabulary.join(assigned.unionByName(named), "h", "left").withColumn("class", F.coalesce("class", F.lit(RARE)))
     classed = materialise(classed.select("h", "c", "class"), "classes")
     sizes = classed.groupBy("class").agg(F.sum("c"), F.count(F.lit(1))).collect()
-    step = F.floor(F.log2("c") * 8).cast("int")
-    least, taken = 1 << 30, 0
-    for band, n in sorted(map(tuple, classed.where(F.col("class") != RARE).groupBy(step).count().collect()), reverse=True):
-        if taken + n > head_words:
-            break
-        least, taken = band, taken + n
-    inside = ((step >= least) & (F.col("class") != RARE)) | (F.col("h") == END)
-    rows = classed.where(inside).toArrow()
-    column = lambda name: rows.column(name).to_numpy().astype(np.int64)
-    rest = classed.where(~inside)
-    head = Head(column("h"), column("c"), column("class"), rest.where(F.col("class") != RARE).isEmpty())
+    head, rest = head_of(classed), classed.where(~inside)
     pairs = map_batches(texts, _transitions(head), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     if not head.whole:
         for side in ("a", "b"):  # classes of words outside the head; no word here is unknown

@@ -408,7 +408,7 @@ def test_brown_probabilities_sum_to_one(spark):
     model, rest, _, n = brown.learn(frame(spark, texts), head_words=8)
     assert np.allclose((10**model.transition).sum(1), 1)
     head = model.head
-    mass = np.bincount(head.classes, 10**model.emission, brown.N)
+    mass = np.bincount(head.classes, 10 ** model.of_words()[1], brown.N)
     for r in rest.collect():
         mass[r["class"]] += 10 ** (np.log10(r.c + 0.5) - model.divisor[r["class"]])
     mass[brown.RARE] += 10 ** (np.log10(0.5) - model.divisor[brown.RARE])  # all unknown words
