@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from regtext.llm import decontaminate, exact_dedup, ngram_join, quality
 from regtext.llm import sentencepiece_viterbi as pieces
-from regtext.llm.support import scratch, shared_dir
+from regtext.llm.support import remove, scratch, shared_dir
 
 #: Near duplicates: words in a shingle, and percent of similarity.
 WORDS, PERCENT = 5, 80
@@ -58,11 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written and read again for the next, and its intermediate tables then go."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each one's rows are written and read again for the next, and its intermediate tables and input then go."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_dir(spark, f"stage-{name}")
         with scratch(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

@@ -63,11 +63,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _WRITTEN[first:]:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(spark, path)
         del _WRITTEN[first:]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it back: the lineage ends here, and losing an executor costs nothing."""
     spark = df.sparkSession
