@@ -202,7 +202,8 @@ def _decode(pieces: Pieces):
         encoder = encoder_of(pieces)
         for b in batches:
             lists = b.column(b.num_columns - 1)
-            flat, at = np.asarray(lists.values).tolist(), np.asarray(lists.offsets)
+            at = np.asarray(lists.offsets)
+            flat, at = np.asarray(lists.flatten()).tolist(), at - at[0]  # of a slice, not of the whole batch
             texts = [encoder.decode(flat[at[k] : at[k + 1]]) for k in range(len(lists))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
