@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regtext.llm import brown, decontaminate, exact_dedup, license_templates, ngram_join, quality, stages, surrogates, url_trees, warc
+from regtext.llm import brown, decontaminate, exact_dedup, impact_index, license_templates, ngram_join, periodic_runs, quality, sign_hash, stages, surrogates, url_trees, warc
 from regtext.llm import sentencepiece_viterbi as pieces
 from regtext.llm.support import materialise, shared_dir
 
@@ -74,15 +74,33 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.col("text") == F.col("decoded")).alias("round_trip"))
 
 
+def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_runs(_table(spark, sf_dir, "documents")))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("shorter"), r.start.alias("start"), r.period.alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+    found = found.withColumn("best", first).withColumn("length", -F.col("best.shorter"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), "length", F.col("best.period").alias("period"), F.floor(1000 * F.col("length") / F.col("best.period")).alias("exponent_milli"), digest(lines).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sign_hash.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_revisits, op2_license_templates, op3_brown_lm, op4_quality, op5_url_trees, op6_pii_surrogates, op7_ngram_jaccard, op8_grace_dedup, op9_decontaminate, op10_sentencepiece, pipeline)
+    f.__name__: f for f in (op1_warc_revisits, op2_license_templates, op3_brown_lm, op4_quality, op5_url_trees, op6_pii_surrogates, op7_ngram_jaccard, op8_grace_dedup, op9_decontaminate, op10_sentencepiece, op11_impact_search, op12_periodic_runs, op13_embedding_near_dup, pipeline)
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"list_filter(regexp_split_to_array({_LOWERED}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 _WORDS = rf"list_filter(regexp_split_to_array({_LOWERED}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 ORACLES: dict[str, str] = {
@@ -108,6 +126,25 @@ ORACLES: dict[str, str] = {
         t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""",
+    "op11_impact_search": f"""
+        WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+        stat AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+        q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        post AS (SELECT doc_id, any_value(len(w)) AS n, t.term AS term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) t WHERE t.term IN (SELECT term FROM q) GROUP BY doc_id, t.term),
+        df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+        weighed AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, stat),
+        imp AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)) AS impact FROM post, stat),
+        s AS (SELECT item_id, doc_id, sum(w * impact)::BIGINT AS score FROM q JOIN imp ON q.term = imp.term JOIN weighed ON weighed.term = q.term GROUP BY ALL),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op13_embedding_near_dup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS size FROM v WHERE list_dot_product(x, x) > 0),
+        e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.9),
+        reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+        n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a), c AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+        FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
 }
 if stages.ORACLE_SQL:
     ORACLES["pipeline"] = stages.ORACLE_SQL
