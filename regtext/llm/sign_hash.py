@@ -197,8 +197,10 @@ def _round(hashed: DataFrame, first: int, tables: int, cosine: float, block: int
     bucket = F.substring("keys", F.col("t") * width + 1, F.lit(width))
     entries = entries.select("t", bucket.alias("bucket"), "node", "size", "vec", "keys")
     large = entries.groupBy("t", "bucket").count().where(F.col("count") > block).select("t", "bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    large = materialise(large, "large")  # stored, so its size is known to the join: few buckets are broadcast, many are not
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    blocked = entries.join(large, ["t", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
+    known = entries.withColumn("blocks", F.lit(1)) if large.isEmpty() else entries.join(large, ["t", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    blocked = known.withColumn("own", own)
     pair = lambda a, b, side: F.struct(a.alias("first"), b.alias("second"), side.cast("tinyint").alias("side"))
     places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: pair(F.least("own", k), F.greatest("own", k), F.when(k == F.col("own"), 2).when(F.col("own") < k, 0).otherwise(1)))
     placed = blocked.withColumn("p", F.explode(places)).select("t", "bucket", "p.first", "p.second", "node", "size", "vec", "keys", "p.side")
