@@ -11,6 +11,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from regtext.sources.tables import fresh
 from pyspark.sql import types as T
 
 # Characters that page extraction leaves behind, and what they stand for.
@@ -158,25 +160,28 @@ def repair(text: Column, fixed: bool = False) -> Column:
 
 def repaired(rows: DataFrame, column: str = "text", fixed: bool = False) -> DataFrame:
     """rows with the struct of repair() of a column as r. Each stage is a projection of its own, so its text is worked out once and in generated code."""
-    out = rows.withColumn("_t", F.col(column))
-    n, t = F.col("_n"), F.col("_t")
+    own = {c: fresh(rows.columns, f"repair_{c}") for c in ("t", "n", "hit", "hyphens", "spaced", "noisy", "noise", "j")}
+    col = {c: F.col(name) for c, name in own.items()}
+    n, t = col["n"], col["t"]
+    out = rows.withColumn(own["t"], F.col(column))
 
     def stage(df: DataFrame, pattern: str, good: str, counted: str | None = None, only: Column | None = None) -> DataFrame:
         hit = t.rlike(counted or pattern) if only is None else only & t.rlike(counted or pattern)
-        marked = df.withColumn("_hit", hit)
-        return marked.withColumns({"_n": n + F.when(F.col("_hit"), F.regexp_count(t, F.lit(counted or pattern))).otherwise(0), "_t": F.when(F.col("_hit"), F.regexp_replace(t, pattern, good)).otherwise(t)})
+        marked = df.withColumn(own["hit"], hit)
+        return marked.withColumns({own["n"]: n + F.when(col["hit"], F.regexp_count(t, F.lit(counted or pattern))).otherwise(0), own["t"]: F.when(col["hit"], F.regexp_replace(t, pattern, good)).otherwise(t)})
 
-    zero = lambda df: df.withColumn("_n", F.when(t.isNotNull(), 0))
+    zero = lambda df: df.withColumn(own["n"], F.when(t.isNotNull(), 0))
     broken = t.contains("-\n")
-    out = stage(stage(zero(out), _DOUBLED, "$1-$2", only=broken), _BROKEN, "$1$2", only=broken).withColumn("_hyphens", n)
-    out = stage(zero(out), _SPACED, "", _SPACED_RUN).withColumn("_spaced", n)
-    out = zero(out).withColumn("_noisy", t.rlike(_ANY_NOISE))
+    out = stage(stage(zero(out), _DOUBLED, "$1-$2", only=broken), _BROKEN, "$1$2", only=broken).withColumn(own["hyphens"], n)
+    out = stage(zero(out), _SPACED, "", _SPACED_RUN).withColumn(own["spaced"], n)
+    out = zero(out).withColumn(own["noisy"], t.rlike(_ANY_NOISE))
     for pattern, good in NOISE:
-        out = stage(out, pattern, good, only=F.col("_noisy"))
-    out = out.withColumn("_noise", n).withColumn("_j", join_wrapped(t, fixed))
-    total = F.col("_hyphens") + F.col("_spaced") + F.col("_noise") + F.col("_j.n")
-    r = F.struct(F.col("_j.text").alias("text"), F.col("_hyphens").alias("hyphens"), F.col("_spaced").alias("spaced"), F.col("_noise").alias("noise"), F.col("_j.n").alias("joined"), total.alias("total"), (total > 0).alias("was_repaired"))
-    return out.withColumn("r", r).select(*rows.columns, "r")
+        out = stage(out, pattern, good, only=col["noisy"])
+    out = out.withColumn(own["noise"], n).withColumn(own["j"], join_wrapped(t, fixed))
+    joined = F.col(f"{own['j']}.n")
+    total = col["hyphens"] + col["spaced"] + col["noise"] + joined
+    r = F.struct(F.col(f"{own['j']}.text").alias("text"), col["hyphens"].alias("hyphens"), col["spaced"].alias("spaced"), col["noise"].alias("noise"), joined.alias("joined"), total.alias("total"), (total > 0).alias("was_repaired"))
+    return out.withColumn("r", r).select(*(c for c in rows.columns if c != "r"), "r")
 
 
 def clean_page(text: Column, fixed: bool = False) -> Column:

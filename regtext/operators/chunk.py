@@ -1,4 +1,4 @@
-"""Parent and child chunks from parsed statutes. Keys are unique per document: (doc_id, chunk_id)."""
+"""Parent and child chunks from parsed statutes. Chunk ids are unique in a document as long as its articles are; a note that is mentioned again repeats them."""
 
 from __future__ import annotations
 
@@ -9,13 +9,13 @@ from regtext.functions.text import strip, token_count
 from regtext.operators.parse import ARTICLE, article_title
 
 PREAMBLE, BODY, NOTES = "Konsiderans", "Batang Tubuh", "Penjelasan"
-COLUMNS = ["doc_id", "chunk_id", "type", "section", "parent_id", "title", "text", "pasal", "ayat", "huruf"]
+COLUMNS = ["doc_id", "chunk_id", "type", "section", "parent_id", "title", "text", "pasal", "ayat", "huruf", "pasal_rujukan"]
 
 
-def _chunk(kind: str, section: str, chunk_id: Column, text: Column, parent: Column | None = None, title: Column | None = None, pasal: Column | None = None, ayat: Column | None = None, huruf: Column | None = None) -> list[Column]:
+def _chunk(kind: str, section: str, chunk_id: Column, text: Column, parent: Column | None = None, title: Column | None = None, pasal: Column | None = None, ayat: Column | None = None, huruf: Column | None = None, about: Column | None = None) -> list[Column]:
     none = F.lit(None)
     pick = lambda c, t: (none if c is None else c).cast(t)
-    return ["doc_id", chunk_id.alias("chunk_id"), F.lit(kind).alias("type"), F.lit(section).alias("section"), pick(parent, "string").alias("parent_id"), pick(title, "string").alias("title"), text.alias("text"), pick(pasal, "int").alias("pasal"), pick(ayat, "int").alias("ayat"), pick(huruf, "string").alias("huruf")]
+    return ["doc_id", chunk_id.alias("chunk_id"), F.lit(kind).alias("type"), F.lit(section).alias("section"), pick(parent, "string").alias("parent_id"), pick(title, "string").alias("title"), text.alias("text"), pick(pasal, "int").alias("pasal"), pick(ayat, "int").alias("ayat"), pick(huruf, "string").alias("huruf"), pick(about, "int").alias("pasal_rujukan")]
 
 
 def first_int(text: Column) -> Column:
@@ -58,18 +58,28 @@ def article_children(articles: DataFrame, paragraphs: DataFrame, child_text: str
 def preamble_chunks(preambles: DataFrame) -> DataFrame:
     parent = F.lit("parent_konsiderans")
     some = preambles.where((F.size("menimbang") > 0) | (F.col("mengingat") != ""))
-    own = some.select(*_chunk("parent", PREAMBLE, parent, F.col("full_text"), title=F.lit(PREAMBLE)))
+    own = some.select(*_chunk("parent", PREAMBLE, parent, F.col("full_text"), title=F.lit("Menimbang dan Mengingat")))
     points = some.withColumn("x", F.explode("menimbang")).select(*_chunk("child", PREAMBLE, F.concat(F.lit("child_konsiderans_menimbang_"), F.col("x.huruf")), F.concat(F.lit("Menimbang huruf "), F.col("x.huruf"), F.lit(": "), F.col("x.text")), parent, huruf=F.col("x.huruf")))
     view = some.where("mengingat <> ''").select(*_chunk("child", PREAMBLE, F.lit("child_konsiderans_mengingat"), F.concat(F.lit("Mengingat: "), F.col("mengingat")), parent))
     return own.unionByName(points).unionByName(view)
 
 
 def note_chunks(notes: DataFrame) -> DataFrame:
-    """notes: doc_id, text, parts (of split_notes)."""
-    general = notes.where((F.size("parts") == 0) & (strip("text") != ""))
-    pair = lambda df, name, text, pasal=None: df.select(*_chunk("parent", NOTES, F.concat(F.lit("parent_penjelasan_"), name), text, title=F.concat(F.lit("Penjelasan "), name), pasal=pasal)).unionByName(df.select(*_chunk("child", NOTES, F.concat(F.lit("child_penjelasan_"), name, F.lit("_isi")), text, F.concat(F.lit("parent_penjelasan_"), name), pasal=pasal)))
+    """notes: doc_id, text, parts (of split_notes). One pair for each article that is mentioned; one for the whole, where none is."""
+
+    def pair(df: DataFrame, name: Column, title: Column, whole: Column, own: Column, about: Column | None = None) -> DataFrame:
+        parent = F.concat(F.lit("parent_penjelasan_"), name)
+        child = df.select(*_chunk("child", NOTES, F.concat(F.lit("child_penjelasan_"), name, F.lit("_isi")), own, parent, about=about))
+        return df.select(*_chunk("parent", NOTES, parent, whole, title=title, about=about)).unionByName(child)
+
+    text, n = strip("text"), F.col("x.pasal")
+    general = notes.where((F.size("parts") == 0) & (text != ""))
     each = notes.withColumn("x", F.explode("parts"))
-    return pair(general, F.lit("umum"), strip("text")).unionByName(pair(each, F.concat(F.lit("pasal_"), F.col("x.pasal")), F.col("x.text"), first_int(F.col("x.pasal"))))
+    said = strip(F.col("x.text"))
+    heading = F.concat(F.lit("II. PASAL DEMI PASAL\nPasal "), n, F.lit("\n"), said)
+    about = F.concat(F.lit("Tafsir Resmi Pasal "), n, F.lit(": "), said)
+    whole = pair(general, F.lit("umum"), F.lit("Penjelasan Umum"), text, text)
+    return whole.unionByName(pair(each, F.concat(F.lit("pasal_"), n), F.concat(F.lit("Penjelasan Pasal "), n), heading, about, first_int(n)))
 
 
 def level(section: Column, kind: Column, ayat: Column) -> Column:

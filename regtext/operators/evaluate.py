@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from regtext.functions.questions import missing_references
 from regtext.functions.text import strip
 from regtext.operators.context import is_thin
+from regtext.sources.tables import fresh
 
 # Metrics of an evaluation row, placeholders, score bands.
 METRICS = ["faithfulness_summary", "faithfulness_qa", "answer_relevancy", "context_precision", "context_recall", "risk_faithfulness"]
@@ -127,7 +128,8 @@ def band(score: Column) -> Column:
 # histories
 def latest(rows: DataFrame, key: str, order: Column, tie: str = "id") -> DataFrame:
     w = Window.partitionBy(key).orderBy(order, F.desc(tie))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    turn = fresh(rows.columns, "turn")
+    return rows.withColumn(turn, F.row_number().over(w)).where(F.col(turn) == 1).drop(turn)
 
 
 def serialised(processes: DataFrame, sessions: DataFrame, evaluations: DataFrame) -> DataFrame:
@@ -358,21 +360,41 @@ def fallback_material(context: Column, has_context: Column) -> Column:
     return F.from_json(F.to_json(F.struct(F.array(F.struct(point.alias("poin"))).alias("ringkasan"), F.when(has_context, "-").otherwise(NO_CONTEXT).alias("konteks_tambahan"))), MATERIAL)
 
 
+_LISTED = {"dasar_hukum": ("nama_peraturan", "pasal", "ayat", "catatan_validasi"), "ringkasan": ("poin",), "analisa_risiko": ("skenario", "penjelasan"), "qa": ("pertanyaan", "jawaban")}
+_SINGLE = ("ringkasan_pembuka", "konteks_tambahan")
+
+
+def well_formed(made: object) -> dict:
+    """A generator's answer, if it is a material: a dict with some known section, whose lists hold dicts of texts. Anything else is an error."""
+    text = lambda x: x is None or isinstance(x, str | int | float)
+    if not isinstance(made, dict):
+        raise ValueError("no material")
+    for section, names in _LISTED.items():
+        rows = made.get(section) or []
+        if not isinstance(rows, list) or not all(isinstance(r, dict) and all(text(r.get(n)) for n in names) for r in rows):
+            raise ValueError(f"{section} is malformed")
+    if not all(text(made.get(c)) for c in _SINGLE):
+        raise ValueError("a text is malformed")
+    if not any(made.get(c) for c in (*_LISTED, *_SINGLE)):
+        raise ValueError("an empty material")
+    return made
+
+
 def generated(rows: DataFrame, generator) -> DataFrame:
     """rows (request_id, question, context) with a material by a seam, and how many attempts it took.
 
-    generator(question, context, hint) gives a material as a dict, or fails. It gets a second attempt where it failed, or, with the hint,
-    where it did not say that the context lacks an article the question names. Two failures give the fallback.
+    generator(question, context, hint) gives a material as a dict, or fails. It gets a second attempt where it failed or gave anything but a material
+    (see well_formed), or, with the hint, where it did not say that the context lacks an article the question names. Two failures give the fallback.
     """
 
     def attempts(question: str, context: str, missing: bool) -> tuple[str | None, int]:
         found, hint = None, False
         for k in (1, 2):
             try:
-                found = generator(question, context, hint)
-            except Exception:  # a model's failure is an attempt that gave nothing
-                found = found if hint else None
+                made = well_formed(generator(question, context, hint))
+            except Exception:  # a model's failure is an attempt that gave nothing; an earlier material stays
                 continue
+            found = made
             noted = any((c.get("catatan_validasi") or "-") != "-" for c in found.get("dasar_hukum") or [])
             if not missing or noted or k == 2:
                 return json.dumps(found), k

@@ -188,3 +188,81 @@ def numbered_parts(articles: DataFrame) -> DataFrame:
     rows = articles.select("doc_id", "seq", "pasal", F.posexplode(listed).alias("place", "a")).select("doc_id", "seq", "pasal", "place", "a.ayat", "a.text")
     letters, texts = F.regexp_extract_all("text", F.lit(LETTER), 1), F.regexp_extract_all("text", F.lit(LETTER), 2)
     return rows.withColumn("points", F.zip_with(letters, texts, lambda h, t: F.struct(h.alias("huruf"), strip(F.regexp_replace(t, r"\s+", " ")).alias("text"))))
+
+
+# Patterns and defaults of whole laws.
+LAW_TITLE = r"(?id)(UNDANG[- ]UNDANG|PERATURAN BERSAMA|PERATURAN MENTERI).*?NOMOR[:\s]+(\d+)\s+TAHUN\s+(\d{4})"
+LAW_ABOUT = r"(?is)TENTANG\s+(.*?)(?=\nDENGAN|\n\s*DENGAN|\nMenimbang|\nMengingat|bahwa|MEMUTUSKAN)"
+LAW_NOTES = r"(?is)PENJELASAN\s+ATAS.*"
+LAW_HEADER = r"(?i)\bPasal\s+\d+[A-Za-z]*|\bBAB\s+[IVXLCDM]+"
+LAW_KIND, LAW_NUMBER, LAW_YEAR = "UNDANG-UNDANG", "1", "2024"
+LAW_ABOUT_DEFAULT = "PERUBAHAN KEDUA ATAS UNDANG-UNDANG NOMOR 11 TAHUN 2008 TENTANG INFORMASI DAN TRANSAKSI ELEKTRONIK"
+
+
+def _plain(text: Column) -> Column:
+    return F.replace(F.regexp_replace(text, r"--- PAGE \d+ ---", ""), F.lit("\\"), F.lit(""))
+
+
+def _body_start(plain: Column) -> Column:
+    """Where the body begins, from 1: the decree, the first chapter or the first article; the text's start without any."""
+    found = F.regexp_substr(plain, F.lit(OPENING))
+    return F.when(found.isNull(), F.lit(1)).otherwise(F.instr(plain, found))
+
+
+def law_heads(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per law that comes as one text: kind, number, year and id (defaults where the first 1000 characters name none), title, opening and notes."""
+    plain = docs.select("doc_id", _plain(F.coalesce(F.col(text), F.lit(""))).alias("plain"))
+    top = F.left("plain", F.lit(1000))
+    named = top.rlike(LAW_TITLE)
+    got = lambda i, default: F.when(named, F.regexp_extract(top, LAW_TITLE, i)).otherwise(default)
+    number, year = got(2, LAW_NUMBER), got(3, LAW_YEAR)
+    title = F.when(F.col("plain").rlike(LAW_ABOUT), strip(F.regexp_replace(F.regexp_extract("plain", LAW_ABOUT, 1), r"\s+", " "))).otherwise(LAW_ABOUT_DEFAULT)
+    opening = F.left("plain", _body_start(F.col("plain")) - 1)
+    return plain.select("doc_id", F.upper(strip(got(1, LAW_KIND))).alias("jenis"), number.alias("nomor"), year.alias("tahun"), F.concat(F.lit("UU_"), number, F.lit("_"), year).alias("uu_id"), title.alias("judul"), strip(opening).alias("pembukaan"), strip(F.coalesce(F.regexp_substr("plain", F.lit(LAW_NOTES)), F.lit(""))).alias("penjelasan"))
+
+
+def law_headers(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The headers of chapters and articles in whole texts: doc_id, seq, kind, number, start (from 1 in the body), chapter and chapter_start (of the last chapter so far), article (how many so far), piece (the header and what follows it up to the next one)."""
+    plain = docs.select("doc_id", _plain(F.coalesce(F.col(text), F.lit(""))).alias("plain"))
+    body = plain.select("doc_id", F.col("plain").substr(_body_start(F.col("plain")), F.length("plain")).alias("body"))
+    heads, between = F.regexp_extract_all("body", F.lit(LAW_HEADER), 0), F.split("body", LAW_HEADER, -1)
+    first = F.length(F.get("between", F.lit(0)))
+    cut = body.select("doc_id", heads.alias("heads"), between.alias("between")).withColumn("first", first)
+    rows = cut.select("doc_id", "first", F.posexplode(F.zip_with("heads", F.slice("between", F.lit(2), F.greatest(F.size("heads"), F.lit(1))), lambda h, p: F.struct(h.alias("head"), F.concat(h, p).alias("piece")))).alias("seq", "x"))
+    before = Window.partitionBy("doc_id").orderBy("seq")
+    passed = F.sum(F.length("x.piece")).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    article = F.lower(F.substring("x.head", 1, 1)) == "p"
+    at = rows.select("doc_id", "seq", F.when(article, "pasal").otherwise("bab").alias("kind"), F.regexp_extract("x.head", r"\s(\S+)$", 1).alias("number"), (F.col("first") + passed - F.length("x.piece") + 1).cast("int").alias("start"), F.col("x.piece").alias("piece"))
+    so_far = before.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(F.when(F.col("kind") == "bab", F.col(c)), True).over(so_far)
+    return at.withColumns({"chapter": last("number"), "chapter_start": last("start"), "article": F.sum(F.when(F.col("kind") == "pasal", 1).otherwise(0)).over(so_far)})
+
+
+#: Pieces of a chapter in which its title is looked for first.
+LEAD = 8
+
+
+def law_articles(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per article of whole laws: doc_id, seq (from 0), pasal, bab, bab_title, start (from 1, in the body) and text without its header.
+
+    Each mention of an article begins one. Its chapter is the last one named before it; the title is the second line from there, or the first one, if
+    that names an article; only what stands before the article counts. What follows PENJELASAN is cut off.
+    """
+    heads = law_headers(docs, text)
+    joined = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x.piece), "")
+    own = lambda c: F.max(F.when(F.col("kind") == "pasal", F.col(c))).alias(c)
+    rows = heads.where("article > 0").groupBy("doc_id", "article").agg(own("number"), own("start"), own("chapter"), own("chapter_start"), joined().alias("own"))
+    # a chapter's first pieces nearly always hold its first two lines; all of them are joined where they don't
+    inside = heads.where("chapter_start is not null")
+    place = F.row_number().over(Window.partitionBy("doc_id", "chapter_start").orderBy("seq"))
+    lead = inside.withColumn("place", place).where(F.col("place") <= LEAD).groupBy("doc_id", "chapter_start").agg(joined().alias("lead"), F.max("place").alias("places"))
+    useful = lambda c: F.filter(F.transform(F.split(c, "\n", -1), strip), lambda x: x != "")
+    lead = lead.withColumn("open", (F.size(useful(F.col("lead"))) < 3) & (F.col("places") == LEAD))
+    more = inside.join(lead.where("open").select("doc_id", "chapter_start"), ["doc_id", "chapter_start"], "left_semi").groupBy("doc_id", "chapter_start").agg(joined().alias("more"))
+    rows = rows.join(lead.drop("places", "open"), ["doc_id", "chapter_start"], "left").join(more, ["doc_id", "chapter_start"], "left")
+    lines = useful(F.left(F.coalesce("more", "lead"), F.col("start") - F.col("chapter_start")))
+    second = F.get(lines, F.lit(1))
+    title = F.when(F.lower(second).contains("pasal"), F.get(lines, F.lit(0))).otherwise(F.coalesce(second, F.lit("N/A")))
+    title = F.when(F.col("chapter_start").isNull(), "N/A").otherwise(F.upper(title))
+    body = strip(F.regexp_replace(strip(F.substring_index("own", "PENJELASAN", 1)), r"(?i)^Pasal\s+\d+[A-Za-z]*(?![\p{L}\p{N}_])", ""))
+    return rows.select("doc_id", (F.col("article") - 1).cast("int").alias("seq"), F.col("number").alias("pasal"), F.coalesce("chapter", F.lit("N/A")).alias("bab"), title.alias("bab_title"), "start", body.alias("text"))

@@ -162,10 +162,14 @@ def shaped(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "rank", "score", "exact_pasal", "exact_ayat", "pasal_not_found", child.alias("child"), parent.alias("parent"))
 
 
-def search(queries: DataFrame, points: DataFrame, limit: int = LIMIT, unit: bool = False, logit: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The whole search over child points: tiers, relative cut, boosts, optional reranking, contents and parents."""
+def search(queries: DataFrame, points: DataFrame, limit: int = LIMIT, unit: bool = False, logit: Column | None = None, threshold: float = THRESHOLD, pairs: DataFrame | None = None) -> DataFrame:
+    """The whole search over child points: tiers, relative cut, boosts, optional reranking, contents and parents.
+
+    pairs: candidates that an index has found (vector_index.candidate_pairs), instead of all pairs.
+    """
     pool, fetch = pool_sizes(limit, logit is not None)
-    hits = boosted(cut_relative(tiered(scored(queries, points.where("role = 'child'"), unit, threshold), fetch), pool))
+    found = pairs if pairs is not None else scored(queries, points.where("role = 'child'"), unit, threshold)
+    hits = boosted(cut_relative(tiered(found, fetch), pool))
     contents = points.where("role = 'child'").select("kb", "chunk_id", "content")
     hits = with_parents(hits.join(contents, ["kb", "chunk_id"]), points)
     return reranked(hits, logit, limit) if logit is not None else hits.where(F.col("rank") <= limit)

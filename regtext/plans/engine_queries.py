@@ -114,15 +114,6 @@ def vec_filters(spark: SparkSession, sf: str) -> DataFrame:
     return rt.with_filters(asked_for)
 
 
-@query("vec_embed")
-def vec_embed(spark: SparkSession, sf: str) -> DataFrame:
-    """A seam in use: an embedder that counts letters, at unit length."""
-    def letters(texts: list[str]) -> list[list[float]]:
-        return [[float(t.count(c)) for c in "aeiounrst"] for t in texts]
-
-    return rt.embedded(table(spark, sf, "documents").select("doc_id", "text"), letters).select("doc_id", F.transform("embedding", lambda x: F.round(x, 3)).alias("embedding"))
-
-
 # contexts: documents as hits of questions, twenty of each, ranked by id
 def hits(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")

@@ -13,7 +13,9 @@ from regtext.sources.tables import table
 
 _WS = f"'{t.SPACE}'"
 _LINES = "lines AS (SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
-_LEGAL = _LINES + ", legal AS (SELECT doc_id, pos, CASE WHEN pos % 12 = 0 THEN 'BAB ' || (pos // 12 + 1) WHEN pos % 4 = 1 THEN 'Pasal ' || (pos // 4 + 1) ELSE '(' || (pos % 4) || ') ' || line END AS line FROM lines)"
+_LEGAL = _LINES + """, legal AS (SELECT doc_id, pos, CASE WHEN pos % 12 = 0 THEN 'BAB ' || (pos // 12 + 1) WHEN pos % 4 = 1 THEN 'Pasal ' || (pos // 4 + 1)
+    WHEN (pos - 1) // 4 % 3 = 1 AND pos % 4 <> 2 THEN CASE pos % 4 WHEN 3 THEN 'a. ' ELSE 'b. ' END || line WHEN (pos - 1) // 4 % 3 = 2 AND (pos - 1) // 4 % 2 = 1 THEN CASE pos % 4 WHEN 2 THEN 'a. ' WHEN 3 THEN 'b. ' ELSE 'c. ' END || line
+    WHEN (pos - 1) // 4 % 3 = 2 THEN line ELSE '(' || (pos % 4) || ') ' || line END AS line FROM lines)"""
 _LEVEL = r"CASE WHEN regexp_matches(trim(line, §), '(?i)^BAB\s+([IVXLCDM]+|\d+)(\s+.+)?$') THEN 'bab' WHEN regexp_matches(trim(line, §), '(?i)^Pasal\s+\d+[A-Za-z]?$') THEN 'pasal' WHEN regexp_matches(trim(line, §), '^\(\d+\)\s+') THEN 'ayat' ELSE 'other' END".replace("§", _WS)
 _PARA, _POINT = r"'^\s*\((\d+)\)\s+(.+)$'", r"'^\s*([a-z])\.\s+(.+)$'"
 _ARTICLES = rf"""c0 AS (SELECT *, {_LEVEL} AS level, regexp_extract(line, '(\d+)', 1) AS num, regexp_extract(trim(line, {_WS}), '(?i)^BAB\s+(?:[IVXLCDM]+|\d+)(?:\s+(.+))?$', 1) AS inline_title FROM legal),
@@ -44,10 +46,15 @@ def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def legal_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """A statute-like corpus from plain documents: chapters, articles and numbered paragraphs by position."""
+    """A statute-like corpus from plain documents: chapters and articles by position; by turns articles have numbered paragraphs, a paragraph with letters, letters only or plain lines."""
     pos = F.col("pos")
+    place, article = pos % 4, F.floor((pos - 1) / 4)
     n = lambda c: c.cast("int").cast("string")
-    line = F.when(pos % 12 == 0, F.concat(F.lit("BAB "), n(F.floor(pos / 12) + 1))).when(pos % 4 == 1, F.concat(F.lit("Pasal "), n(F.floor(pos / 4) + 1))).otherwise(F.concat(F.lit("("), n(pos % 4), F.lit(") "), F.col("line")))
+    led = lambda head: F.concat(head, F.lit(" "), F.col("line"))
+    line = F.when(pos % 12 == 0, F.concat(F.lit("BAB "), n(F.floor(pos / 12) + 1))).when(place == 1, F.concat(F.lit("Pasal "), n(F.floor(pos / 4) + 1)))
+    line = line.when((article % 3 == 1) & (place != 2), led(F.when(place == 3, "a.").otherwise("b.")))
+    line = line.when((article % 3 == 2) & (article % 2 == 1), led(F.when(place == 2, "a.").when(place == 3, "b.").otherwise("c.")))
+    line = line.when(article % 3 == 2, F.col("line")).otherwise(led(F.concat(F.lit("("), n(place), F.lit(")"))))
     return doc_lines(spark, sf).withColumn("line", line)
 
 
@@ -272,6 +279,32 @@ def law_whole_parts(spark: SparkSession, sf: str) -> DataFrame:
     return parse.numbered_parts(parse.whole_text(docs)).select("doc_id", "seq", "place", "ayat", "text", F.to_json("points").alias("points"))
 
 
+# whole laws: an opening, one chapter, articles wherever a sentence ends, and notes
+def _laws(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("doc_id")
+    top = F.concat(F.when(d % 3 > 0, F.concat(F.lit("Undang-Undang NOMOR "), d.cast("string"), F.lit(" TAHUN 2020\n"))).otherwise(""), F.when(d % 4 > 0, F.concat(F.lit("TENTANG  "), "source", F.lit("\nDENGAN RAHMAT\n"))).otherwise(""))
+    start = F.concat(F.when(d % 7 > 0, "MEMUTUSKAN :\nBAB II\n Umum \n").otherwise(""), F.lit("Pasal 1\n"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(top, start, F.regexp_replace("text", r"\. ", ". Pasal 9 "), F.when(d % 2 == 0, " PENJELASAN ATAS hal ").otherwise("")).alias("text"))
+
+
+_LAW = r"""l AS (SELECT doc_id, source, CASE WHEN doc_id % 3 > 0 THEN 'Undang-Undang NOMOR ' || doc_id || ' TAHUN 2020' || chr(10) ELSE '' END || CASE WHEN doc_id % 4 > 0 THEN 'TENTANG  ' || source || chr(10) || 'DENGAN RAHMAT' || chr(10) ELSE '' END AS top,
+    CASE WHEN doc_id % 7 > 0 THEN 'MEMUTUSKAN :' || chr(10) || 'BAB II' || chr(10) || ' Umum ' || chr(10) ELSE '' END AS start, 'Pasal 1' || chr(10) || regexp_replace(text, '\. ', '. Pasal 9 ', 'g') AS rest, CASE WHEN doc_id % 2 = 0 THEN ' PENJELASAN ATAS hal ' ELSE '' END AS notes FROM documents)"""
+
+
+@query("law_whole_heads", f"""WITH {_LAW} SELECT doc_id, 'UNDANG-UNDANG' AS jenis, CASE WHEN doc_id % 3 > 0 THEN doc_id::VARCHAR ELSE '1' END AS nomor, CASE WHEN doc_id % 3 > 0 THEN '2020' ELSE '2024' END AS tahun, CASE WHEN doc_id % 3 > 0 THEN 'UU_' || doc_id || '_2020' ELSE 'UU_1_2024' END AS uu_id,
+    CASE WHEN doc_id % 4 > 0 THEN source ELSE '{parse.LAW_ABOUT_DEFAULT}' END AS judul, trim(top, {_WS}) AS pembukaan, trim(notes, {_WS}) AS penjelasan FROM l""")
+def law_whole_heads(spark: SparkSession, sf: str) -> DataFrame:
+    return parse.law_heads(_laws(spark, sf))
+
+
+@query("law_whole_articles", rf"""WITH {_LAW}, s AS (SELECT doc_id, start, regexp_split_to_array(rest || notes, 'Pasal (1|9)') AS parts FROM l),
+    e AS (SELECT doc_id, start, unnest(range(0, len(parts) - 1)) AS seq, unnest(parts[2:]) AS part, len(start) AS ahead FROM s),
+    p AS (SELECT *, CASE WHEN seq = 0 THEN '1' ELSE '9' END AS pasal, 1 + ahead + coalesce(sum(len(part) + 7) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at FROM e)
+    SELECT doc_id, seq::INT AS seq, pasal, CASE WHEN doc_id % 7 > 0 THEN 'II' ELSE 'N/A' END AS bab, CASE WHEN doc_id % 7 > 0 THEN 'UMUM' ELSE 'N/A' END AS bab_title, start_at::INT AS start, trim(string_split(part, 'PENJELASAN')[1], {_WS}) AS text FROM p""")
+def law_whole_articles(spark: SparkSession, sf: str) -> DataFrame:
+    return parse.law_articles(_laws(spark, sf))
+
+
 @query("law_asof_chapter", f"WITH {_AT} SELECT p.doc_id, p.pos AS start, p.num AS pasal_number, b.num AS bab_number FROM (SELECT * FROM c WHERE level = 'pasal') p ASOF LEFT JOIN (SELECT * FROM c WHERE level = 'bab') b ON p.doc_id = b.doc_id AND p.pos >= b.pos")
 def law_asof_chapter(spark: SparkSession, sf: str) -> DataFrame:
     c = legal_lines(spark, sf).select("doc_id", F.col("pos").alias("start"), parse.classify(F.col("line")).alias("c")).select("doc_id", "start", F.col("c.level").alias("kind"), F.col("c.number").alias("number"))
@@ -304,24 +337,36 @@ def chunk_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _all_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Preambles from the first lines, bodies from the legal corpus, notes from whole texts."""
+    """Preambles and bodies from all lines of a document, notes from its whole text."""
     pos = F.col("pos")
-    head = doc_lines(spark, sf).where("pos < 3").withColumn("line", F.when(pos == 0, "Menimbang :").when(pos == 1, F.concat(F.lit("a. "), "line")).otherwise("Mengingat : x"))
+    head = doc_lines(spark, sf).withColumn("line", F.when(pos == 0, "Menimbang :").when(pos == 1, F.concat(F.lit("a. "), "line")).when(pos == 3, "Mengingat :").otherwise(F.col("line")))
     a = parse.articles(legal_lines(spark, sf))
-    notes = table(spark, sf, "documents").select("doc_id", "text", parse.split_notes(F.regexp_replace("text", r"\. ", ". Pasal 7 ")).alias("parts"))
+    marked = F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.regexp_replace("text", r"\. ", ". Pasal 7 "))
+    notes = table(spark, sf, "documents").select("doc_id", "text", parse.split_notes(marked).alias("parts"))
     return chunk.united(parse.preamble(head), a, parse.paragraphs(a), notes)
 
 
-_NOTE_PARTS = rf"""x AS (SELECT doc_id, regexp_replace(text, '\. ', '. Pasal 7 ', 'g') AS x FROM documents), m AS (SELECT doc_id, regexp_extract_all(x, {_MENTION}, 1) AS numbers, regexp_split_to_array(x, {_MENTION})[2:] AS parts FROM x),
-    e AS (SELECT doc_id, trim(unnest(parts), {_WS}) AS text FROM m), noted AS (SELECT doc_id, count(*) AS k FROM e WHERE text <> '' GROUP BY 1)"""
-
-
-@query("chunk_sections", rf"""WITH {_AT}, {_PARAGRAPHS}, {_CHUNKS}, {_NOTE_PARTS}, t AS (SELECT unnest(['parent', 'child']) AS type)
-    SELECT doc_id, 0 AS section_place, 'Konsiderans' AS section, type, 1::BIGINT AS n FROM lines, t WHERE pos = 1 AND regexp_matches(trim('a. ' || line, {_WS}), {_POINT})
-    UNION ALL SELECT doc_id, 1, 'Batang Tubuh', type, count(*) FROM counted GROUP BY doc_id, type
-    UNION ALL SELECT d.doc_id, 2, 'Penjelasan', type, greatest(coalesce(k, 0), 1) FROM documents d LEFT JOIN noted USING (doc_id), t WHERE k > 0 OR trim(d.text, {_WS}) <> ''""")
+_SECTIONS = rf"""pre AS (SELECT doc_id, pos, trim(CASE pos WHEN 0 THEN 'Menimbang :' WHEN 1 THEN 'a. ' || line WHEN 3 THEN 'Mengingat :' ELSE line END, {_WS}) AS l FROM lines),
+    op AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY pos) AS full_text, CASE WHEN max(CASE WHEN pos = 1 THEN l END) SIMILAR TO 'a\.\s+\S(.|\n)*' THEN string_agg(CASE WHEN pos = 1 THEN trim(substr(l, 3), {_WS}) WHEN pos = 2 THEN l END, ' ' ORDER BY pos) END AS a, coalesce(string_agg(CASE WHEN pos > 3 THEN l END, ' ' ORDER BY pos), '') AS b FROM pre WHERE l <> '' GROUP BY 1),
+    x AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN text ELSE regexp_replace(text, '\. ', '. Pasal 7 ', 'g') END AS x FROM documents), m AS (SELECT doc_id, text, regexp_extract_all(x, {_MENTION}, 1) AS numbers, regexp_split_to_array(x, {_MENTION})[2:] AS parts FROM x),
+    e AS (SELECT doc_id, unnest(numbers) AS n, trim(unnest(parts), {_WS}) AS said FROM m), noted AS (SELECT * FROM e WHERE said <> ''),
+    whole AS (SELECT doc_id, trim(text, {_WS}) AS said FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM noted) AND trim(text, {_WS}) <> '')"""
+_NONE = "NULL::INT AS pasal, NULL::INT AS ayat"
+
+
+@query("chunk_sections", rf"""WITH {_AT}, {_PARAGRAPHS}, {_CHUNKS}, {_SECTIONS}
+    SELECT doc_id, 0 AS section_place, 'Konsiderans' AS section, 'parent' AS type, 'parent_konsiderans' AS chunk_id, NULL AS parent_id, 'Menimbang dan Mengingat' AS title, full_text AS text, {_NONE}, NULL AS huruf, NULL::INT AS pasal_rujukan FROM op WHERE a IS NOT NULL OR b <> ''
+    UNION ALL SELECT doc_id, 0, 'Konsiderans', 'child', 'child_konsiderans_menimbang_a', 'parent_konsiderans', NULL, 'Menimbang huruf a: ' || a, NULL, NULL, 'a', NULL FROM op WHERE a IS NOT NULL
+    UNION ALL SELECT doc_id, 0, 'Konsiderans', 'child', 'child_konsiderans_mengingat', 'parent_konsiderans', NULL, 'Mengingat: ' || b, NULL, NULL, NULL, NULL FROM op WHERE b <> ''
+    UNION ALL SELECT doc_id, 1, 'Batang Tubuh', 'parent', 'parent_pasal_' || n, NULL, title, whole, n::INT, NULL, NULL, NULL FROM titled WHERE whole <> ''
+    UNION ALL SELECT doc_id, 1, 'Batang Tubuh', 'child', chunk_id, parent_id, NULL, text, pasal, ayat, huruf, NULL FROM children
+    UNION ALL SELECT doc_id, 2, 'Penjelasan', 'parent', 'parent_penjelasan_umum', NULL, 'Penjelasan Umum', said, NULL, NULL, NULL, NULL FROM whole
+    UNION ALL SELECT doc_id, 2, 'Penjelasan', 'child', 'child_penjelasan_umum_isi', 'parent_penjelasan_umum', NULL, said, NULL, NULL, NULL, NULL FROM whole
+    UNION ALL SELECT doc_id, 2, 'Penjelasan', 'parent', 'parent_penjelasan_pasal_' || n, NULL, 'Penjelasan Pasal ' || n, 'II. PASAL DEMI PASAL' || chr(10) || 'Pasal ' || n || chr(10) || said, NULL, NULL, NULL, n::INT FROM noted
+    UNION ALL SELECT doc_id, 2, 'Penjelasan', 'child', 'child_penjelasan_pasal_' || n || '_isi', 'parent_penjelasan_pasal_' || n, NULL, 'Tafsir Resmi Pasal ' || n || ': ' || said, NULL, NULL, NULL, n::INT FROM noted""")
 def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return _all_sections(spark, sf).groupBy("doc_id", "section_place", "section", "type").agg(F.count(F.lit(1)).alias("n"))
+    """Whole chunks of all three sections."""
+    return _all_sections(spark, sf).select("doc_id", "section_place", *chunk.COLUMNS[1:])
 
 
 @query("chunk_totals", f"WITH {_AT}, {_PARAGRAPHS}, {_CHUNKS} SELECT (SELECT count(*) FROM documents WHERE doc_id % 7 <> 0) AS succeeded, (SELECT count(*) FROM documents WHERE doc_id % 7 = 0) AS failed, count(*) FILTER (WHERE type = 'parent') AS parents, count(*) FILTER (WHERE type = 'child') AS children FROM counted WHERE doc_id % 7 <> 0")

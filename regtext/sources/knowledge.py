@@ -8,13 +8,17 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regtext.functions.text import strip, token_count
 from regtext.operators.retrieve import embedded
+from regtext.sources.tables import fresh, stored
 
 REQUIRED = ["question", "ground_truth", "reference_context"]
 #: Bytes that an audio file may have.
 AUDIO_BYTES = 5 << 20
+#: Partitions that the points of a base and role are dealt into.
+BUCKETS = 16
 
 
 def read_golden_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -32,24 +36,26 @@ def numbered(rows: DataFrame, order: str, first: int = 1, parts: int = 200) -> D
     part = F.lit(0)
     for k, c in enumerate(bounds):
         part = F.when(F.col(order) > F.lit(c), k + 1).otherwise(part)
-    cut = rows.withColumn("_part", part)
-    counts, before, total = {r[0]: r[1] for r in cut.groupBy("_part").count().collect()}, [], first - 1
+    own = fresh(rows.columns, "part")
+    cut = rows.withColumn(own, part)
+    counts, before, total = {r[0]: r[1] for r in cut.groupBy(own).count().collect()}, [], first - 1
     for k in range(len(bounds) + 1):
         before.append(total)
         total += counts.get(k, 0)
-    offset = F.element_at(F.array(*(F.lit(n).cast("long") for n in before)), F.col("_part") + 1)
-    return cut.withColumn("row_number", F.row_number().over(Window.partitionBy("_part").orderBy(order)) + offset).drop("_part")
+    offset = F.element_at(F.array(*(F.lit(n).cast("long") for n in before)), F.col(own) + 1)
+    return cut.withColumn("row_number", F.row_number().over(Window.partitionBy(own).orderBy(order)) + offset).drop(own)
 
 
 def validate_rows(rows: DataFrame, bases: DataFrame, order: str) -> DataFrame:
     """Every row with its number in the sheet (the header is row 1) and the reason for its rejection, or null."""
-    known = bases.select(F.lower("kb").alias("_kb")).distinct()
-    joined = numbered(rows, order, 2).join(known, F.lower(strip("knowledge_base")) == F.col("_kb"), "left")
+    name = fresh(rows.columns, "known_base")
+    known = bases.select(F.lower("kb").alias(name)).distinct()
+    joined = numbered(rows, order, 2).join(known, F.lower(strip("knowledge_base")) == F.col(name), "left")
     reason = F.lit(None).cast("string")
-    reason = F.when((strip("knowledge_base") != "") & F.col("_kb").isNull(), "unknown knowledge base").otherwise(reason)
+    reason = F.when((strip("knowledge_base") != "") & F.col(name).isNull(), "unknown knowledge base").otherwise(reason)
     for c in reversed(REQUIRED):
         reason = F.when(F.coalesce(strip(c), F.lit("")) == "", f"{c} is empty").otherwise(reason)
-    return joined.withColumn("reason", reason).drop("_kb")
+    return joined.withColumn("reason", reason).drop(name)
 
 
 def write_csv_template(spark: SparkSession, path: str) -> None:
@@ -103,7 +109,7 @@ def transcribed(files: DataFrame, transcriber: Callable[[bytes], str]) -> DataFr
 
 
 def base_name(name: Column) -> Column:
-    return F.replace(F.lower(F.trim(name)), F.lit(" "), F.lit("_"))
+    return F.replace(F.lower(strip(name)), F.lit(" "), F.lit("_"))
 
 
 def point_id(*parts: Column) -> Column:
@@ -125,24 +131,57 @@ def ensure_base(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.read.schema(schema).parquet(path)
 
 
-def write_points(chunks: DataFrame, path: str) -> None:
-    """Chunks of whole knowledge bases: their partitions are replaced. Rows without an embedding are left out."""
-    kept = flat_payload(chunks).where("embedding is not null").withColumn("point_id", point_id(F.col("kb"), F.col("doc_id").cast("string"), F.col("chunk_id")))
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb", "role").parquet(path)
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """The points below path; names of bases stay text, whatever they look like."""
+    schema = spark.read.option("mergeSchema", "true").parquet(path).schema  # columns may have come with a later write
+    text = [T.StructField(f.name, T.StringType()) if f.name in ("kb", "role") else f for f in schema]
+    return spark.read.schema(T.StructType(text)).parquet(path)
+
+
+def merge_points(points: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """Upsert points (kb, role, point_id, ..) into the table below path and return what was written, one row for each point.
+
+    A point with the id of a stored one takes its place; all others stay. Points are dealt by a hash of their id into a fixed number of
+    partitions of each base and role, and only those with a new point are written again. What they will hold is stored aside first
+    and moved into place by the overwrite's commit, so a write that fails leaves the table as it was. Of points with one id in one write the
+    one with the greatest content stays. Columns that the table lacks are added, those that the points lack are null.
+    """
+    spark, place = points.sparkSession, ["kb", "role", "bucket"]
+    first = F.row_number().over(Window.partitionBy("kb", "role", "point_id").orderBy(F.desc_nulls_last("content"), F.xxhash64("embedding")))
+    turn = fresh(points.columns, "turn")
+    once = points.withColumn(turn, first).where(F.col(turn) == 1).drop(turn)
+    new = stored(once.withColumn("bucket", F.pmod(F.xxhash64("point_id"), F.lit(buckets)).cast("int")), "new-points")
+    try:
+        old = read_points(spark, path)
+    except AnalysisException:
+        old = None
+    merged = new
+    if old is not None:
+        touched = new.select(*place).distinct()
+        kept = old.join(touched, place, "left_semi").join(new.select("kb", "role", "point_id"), ["kb", "role", "point_id"], "left_anti")
+        merged = stored(kept.unionByName(new, allowMissingColumns=True), "merged-points")
+    merged.hint("rebalance", *place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(path)
+    return new.drop("bucket")
+
+
+def write_points(chunks: DataFrame, path: str) -> DataFrame:
+    """Upsert chunks with an embedding of their own (others are left out), and return what was written."""
+    kept = flat_payload(chunks).where("embedding is not null").withColumn("point_id", point_id(F.col("kb"), F.col("doc_id").cast("string"), F.col("chunk_id").cast("string")))
+    return merge_points(kept, path)
 
 
 def store_chunks(chunks: DataFrame, path: str, embedder: Callable | None = None) -> DataFrame:
     """Write chunks (kb, role, doc_id, chunk_id, content, ..) with embeddings, by a seam or of their own, and return what became of each base.
 
-    kb, parents, children (written), skipped (without an embedding), status: success, or partial_error where any was skipped.
+    kb, parents, children (points that this write has put or replaced), skipped (rows without an embedding), status: success, or partial_error where
+    any was skipped. What was stored before under other ids stays.
     """
-    rows = embedded(chunks, embedder, "content") if embedder is not None else chunks
-    write_points(rows, path)
-    written = chunks.sparkSession.read.parquet(path).select("kb", "role", "doc_id", "chunk_id")
+    rows = stored(embedded(chunks, embedder, "content") if embedder is not None else chunks, "chunks")
+    written = write_points(rows, path)
     done = written.groupBy("kb").agg(F.count_if(F.col("role") == "parent").alias("parents"), F.count_if(F.col("role") == "child").alias("children"))
-    asked = chunks.groupBy("kb").agg(F.count(F.lit(1)).alias("asked"))
-    out = asked.join(done, "kb", "left").na.fill(0, ["parents", "children"]).withColumn("skipped", F.col("asked") - F.col("parents") - F.col("children"))
-    return out.withColumn("status", F.when(F.col("skipped") > 0, "partial_error").otherwise("success")).drop("asked")
+    asked = rows.groupBy("kb").agg(F.count_if(F.col("embedding").isNull()).alias("skipped"))
+    out = asked.join(done, "kb", "left").na.fill(0, ["parents", "children"])
+    return out.select("kb", "parents", "children", "skipped", F.when(F.col("skipped") > 0, "partial_error").otherwise("success").alias("status"))
 
 
 def delete_base(spark: SparkSession, path: str, kb: str) -> dict[str, str]:
@@ -198,21 +237,6 @@ def resolve(asked: DataFrame, bases: DataFrame) -> DataFrame:
     return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def read_table(spark: SparkSession, url: str, name: str, key: str | None = None, parts: int = 16, **options: str) -> DataFrame:
-    """A relational table by Spark's JDBC source; with a numeric key it is read in so many ranges of it."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
-    if key is None:
-        return reader.load()
-    low, high = spark.read.format("jdbc").options(url=url, query=f"select min({key}) as a, max({key}) as b from {name}", **options).load().first()
-    if low is None:
-        return reader.load()
-    return reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(parts)).load()
-
-
-def write_table(rows: DataFrame, url: str, name: str, mode: str = "append", **options: str) -> None:
-    rows.write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
-
-
 def jdbc_url(loose: Column) -> Column:
     """A JDBC address of a connection address such as postgresql+driver://user:secret@host:port/base; user and secret are left out, a missing port is 5432."""
     pattern = r"^([a-z]+)(?:\+[a-z0-9]+)?://(?:.*@)?([^/:@]+)(?::(\d+))?/([^?]+)"

@@ -23,3 +23,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir is not set")
         base = "file://" + tempfile.mkdtemp(prefix="spark-regtext-")
     return f"{base.rstrip('/')}/regtext-{uuid.uuid4().hex[:12]}-{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written in the shared folder and read back: what it was made from is read once, and losing an executor costs nothing."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """A column name that clashes with none of the given ones."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name

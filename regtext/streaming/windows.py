@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from regtext.sources.tables import scratch_dir
+from regtext.sources.tables import fresh, scratch_dir
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,17 +32,20 @@ def run_to_table(stream: DataFrame, keys: list[str] | None, name: str) -> DataFr
     """All that is there now, through the stream, as Parquet in the shared folder: each batch writes its rows, and of those that a later batch has updated (by keys) the last counts."""
     spark, path = stream.sparkSession, scratch_dir(stream.sparkSession, name)
 
+    own = fresh(stream.columns, "from_batch")
+
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        batch.withColumn(own, F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
     mode = "append" if keys is None else "update"
     running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     running.awaitTermination()
     rows = spark.read.parquet(f"{path}/rows").drop("batch")
     if keys is None:
-        return rows.drop("_batch")
-    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_batch")))
-    return rows.withColumn("_n", last).where("_n = 1").drop("_n", "_batch")
+        return rows.drop(own)
+    turn = fresh(rows.columns, "turn")
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(own)))
+    return rows.withColumn(turn, last).where(F.col(turn) == 1).drop(turn, own)
 
 
 def run_tumbling(spark: SparkSession, folder: str) -> DataFrame:
