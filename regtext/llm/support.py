@@ -86,8 +86,9 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
     Rows that come straight from files are known by file and place; others are written once to fix their keys.
     """
     row = fresh(docs.columns, "row_key")
-    key = F.concat_ws("-", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
     stored = docs if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" else materialise(docs, "rows")
+    place = stored.metadataColumn("_metadata")  # the files' own, also where a column of the table has its name
+    key = F.concat_ws("-", F.hex(F.xxhash64(place["file_path"])), place["row_index"].cast("string"))
     return stored.withColumn(row, key), row
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from regtext.llm import brown, decontaminate, exact_dedup, license_templates, ngram_join, quality, stages, surrogates, url_trees
 from regtext.llm import sentencepiece_viterbi as sv
 
-CLASHES = ["id", "row", "row_key", "text_key", "_text_key", "rejected", "rejected_digest", "leaky", "leaky_digest", "_leaky", "_digest", "key", "sha", "n", "values", "entry", "keep_id", "label", "score", "h", "c", "class", "_metadata_", "batch"]
+CLASHES = ["id", "row", "row_key", "text_key", "_text_key", "rejected", "rejected_digest", "leaky", "leaky_digest", "_leaky", "_digest", "key", "sha", "n", "values", "entry", "keep_id", "label", "score", "h", "c", "class", "_metadata", "_metadata_", "batch"]
 ROWS = [(1, "the same text of some words"), (1, "the same text of some words"), (None, "the same text of some words"), (None, None), (2, ""), (2, None), (3, "x" * 200_000), (4, "a," * 20_000), (5, "MIT License, a@b.org, Mr. Karl Ott"), (5, "another text under this id"), (6, "word " * 30_000)]
 
 
@@ -65,7 +65,7 @@ def test_filters_keep_columns_and_decide_by_row(spark, name):
 
 
 def test_filters_know_stored_rows_by_their_place(spark, tmp_path):
-    docs(spark, ROWS).drop("_metadata_").write.parquet(f"{tmp_path}/d")
+    docs(spark, ROWS).write.parquet(f"{tmp_path}/d")
     stored = spark.read.parquet(f"{tmp_path}/d")
     for name in ("op8", "op7"):
         apply, left = DROPPING[name]
