@@ -35,9 +35,9 @@ from regtext.llm.support import LOWER, map_batches, materialise, partitions, tex
 #: Words that are exchanged with each other, classes for them, rounds of exchange.
 TOP, CLASSES, ROUNDS = 1024, 48, 6
 #: Occurrences that a word needs for one of these classes.
-LEAST = 5
-#: Words whose counts and classes are sent to the tasks, at most.
-HEAD = 1_000_000
+LEAST = 2
+#: Words whose counts and classes are sent to the tasks, at most: 17 bytes each.
+HEAD = 4_000_000
 #: Rows of the matrix after the exchanged words: the end, and all others.
 END_ROW, OTHER_ROW, ROWS = TOP, TOP + 1, TOP + 2
 #: Classes after the exchanged ones: the end, and rare words (and unknown ones).
