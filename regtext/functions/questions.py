@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regtext.functions.text import strip, token_count
+from regtext.sources.tables import fresh
 
 # Patterns and word lists of the question language.
 DOUBT = r"(?i)\b(ragu|kurang\s*yakin|tidak\s*yakin|ga\s*yakin|nggak\s*yakin|gak\s*yakin|mungkin\s*salah|entah\s*pasal|lupa\s*pasal|tidak\s*ingat\s*pasal)\b"
@@ -105,6 +106,32 @@ def mend(text: Column, candidate: Column) -> Column:
     return F.when(candidate.isNotNull() & ~is_question(text) & keeps_references(text, candidate), candidate).otherwise(own)
 
 
+#: Answers of a model that are looked at.
+TRIES = 3
+
+
+def mended(rows: DataFrame, text_col: str, answers_col: str, tries: int = TRIES) -> DataFrame:
+    """rows with a struct m: the text mended by the first of a model's answers (an array, null where one failed) that keeps the references, the attempts that took (all answers that were looked at, where none did), and the references of the mended text.
+
+    Questions that pass as they stand need no answer. Doubtful or ambiguous texts give no article and paragraph. Each step is a projection of its own, so it is worked out once.
+    """
+    text = F.col(text_col)
+    own = {c: fresh(rows.columns, f"mend_{c}") for c in ("tried", "at", "asks", "text")}
+    tried = F.slice(F.coalesce(F.col(answers_col), F.array().cast("array<string>")), F.lit(1), F.lit(tries))
+    good = F.transform(own["tried"], lambda c: F.coalesce(keeps_references(text, c), F.lit(False)))
+    out = rows.withColumn(own["tried"], tried).withColumn(own["asks"], ~is_question(text) & (strip(text) != ""))
+    out = out.withColumn(own["at"], F.when(F.col(own["asks"]), F.array_position(good, F.lit(True)).cast("int")).otherwise(0))
+    plain = strip(text)
+    without = F.when(has_filler(plain), without_filler(plain)).otherwise(plain)
+    at, fixed = F.col(own["at"]), F.col(own["text"])
+    out = out.withColumn(own["text"], F.when(at > 0, F.try_element_at(own["tried"], at)).otherwise(without))
+    drop = has_doubt(text) | is_ambiguous(text)
+    number = lambda c: F.when(~drop, c).cast("long")
+    used = F.when(~F.col(own["asks"]), 0).when(at > 0, at).otherwise(F.size(own["tried"]))
+    m = F.struct(fixed.alias("text"), used.alias("attempts"), number(article_number(fixed)).alias("pasal"), number(paragraph_number(fixed)).alias("ayat"))
+    return out.withColumn("m", m).drop(*own.values())
+
+
 def keeps_references(raw: Column, repaired: Column) -> Column:
     """Whether a model's repair keeps all references and isn't much longer than its input."""
     return (F.size(F.array_except(article_numbers(raw), article_numbers(repaired))) == 0) & (F.size(F.array_except(paragraph_numbers(raw), paragraph_numbers(repaired))) == 0) & (token_count(repaired) <= token_count(raw) * 2.5)

@@ -411,6 +411,28 @@ def generated(rows: DataFrame, generator) -> DataFrame:
     return out.select("request_id", F.coalesce(F.from_json("made", MATERIAL), fallback_material(F.col("context"), F.lit(True))).alias("material"), "attempts")
 
 
+def answered(payloads: DataFrame, call) -> DataFrame:
+    """process_id, status, answer (JSON) and detail of an evaluator's answers to payloads, by a seam: call(payload as a dict) gives a dict.
+
+    A call that fails, or gives anything but a dict, is a row with the status error, an empty answer and the reason; never a failed job.
+    """
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for row in f.to_dict("records"):
+                try:
+                    got = call(row)
+                    if not isinstance(got, dict):
+                        raise TypeError(f"an answer of type {type(got).__name__}")
+                    out.append((row["process_id"], "success", json.dumps(got), None))
+                except Exception as error:  # the other side's failure is what this row says
+                    out.append((row["process_id"], "error", "{}", f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(out, columns=["process_id", "status", "answer", "detail"])
+
+    return payloads.mapInPandas(run, f"process_id {dict(payloads.dtypes)['process_id']}, status string, answer string, detail string")
+
+
 def payload(rows: DataFrame) -> DataFrame:
     """What is sent to a judge: rows (process_id, question, context, ground_truth, material) with the flat answer and its segments."""
     s = segments(F.col("material"))

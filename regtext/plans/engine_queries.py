@@ -23,14 +23,14 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
-    """Every vector whose id is divisible by 100 as a query: by turns with all filters, with an absent article, with none, with two, and with one."""
+    """Every vector whose id is divisible by 100 as a query: by turns with all filters, with an absent article, with none, with an absent paragraph, and with the article."""
     v = F.col("vec_id")
     turn = F.floor(v / 100) % 5
     one = lambda when, c: F.when(turn.isin(*when), c)
-    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(v.alias("query_id"), "embedding", one([0, 3], (v % 2).cast("string")).alias("section"), F.when(turn == 1, F.lit(99)).when(turn.isin(0, 3, 4), F.col("label")).cast("int").alias("pasal"), one([0], (v % 3).cast("int")).alias("ayat"))
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(v.alias("query_id"), "embedding", one([0, 3], (v % 2).cast("string")).alias("section"), F.when(turn == 1, F.lit(99)).when(turn.isin(0, 3, 4), F.col("label")).cast("int").alias("pasal"), F.when(turn == 3, 9).otherwise(one([0], v % 3)).cast("int").alias("ayat"))
 
 
-_PAIRS = """q AS (SELECT vec_id AS query_id, embedding AS qe, CASE WHEN turn IN (0, 3) THEN (vec_id % 2)::VARCHAR END AS q_section, CASE WHEN turn = 1 THEN 99 WHEN turn IN (0, 3, 4) THEN label END AS q_pasal, CASE WHEN turn = 0 THEN vec_id % 3 END AS q_ayat FROM (SELECT *, vec_id // 100 % 5 AS turn FROM embeddings WHERE vec_id % 100 = 0)),
+_PAIRS = """q AS (SELECT vec_id AS query_id, embedding AS qe, CASE WHEN turn IN (0, 3) THEN (vec_id % 2)::VARCHAR END AS q_section, CASE WHEN turn = 1 THEN 99 WHEN turn IN (0, 3, 4) THEN label END AS q_pasal, CASE WHEN turn = 0 THEN vec_id % 3 WHEN turn = 3 THEN 9 END AS q_ayat FROM (SELECT *, vec_id // 100 % 5 AS turn FROM embeddings WHERE vec_id % 100 = 0)),
     p AS (SELECT vec_id AS chunk_id, (vec_id % 2)::VARCHAR AS section, label AS pasal, vec_id % 3 AS ayat, embedding FROM embeddings),
     s AS (SELECT *, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * qe[i]::DOUBLE)) AS raw FROM p, q),
     pairs AS (SELECT * EXCLUDE (embedding, qe) FROM s WHERE raw >= 0.15)"""
@@ -108,9 +108,9 @@ def vec_search(spark: SparkSession, sf: str) -> DataFrame:
 _SECTION = "CASE page_id % 4 WHEN 0 THEN ' Semua' WHEN 1 THEN 'Batang Tubuh' WHEN 2 THEN '' END"
 
 
-@query("vec_filters", f"SELECT page_id AS query_id, CASE WHEN lower(trim({_SECTION})) NOT IN ('semua', 'all', '') THEN {_SECTION} END AS section, try_cast(nullif(regexp_extract(left(html, 200), '(\\d+)', 1), '') AS INT) AS pasal, try_cast(nullif(regexp_extract(url, '(\\d+)', 1), '') AS INT) AS ayat FROM pages")
+@query("vec_filters", f"SELECT page_id AS query_id, CASE WHEN lower(trim({_SECTION})) NOT IN ('semua', 'all', '') THEN {_SECTION} END AS section, try_cast(nullif(regexp_extract(html, '(\\d+)', 1), '') AS INT) AS pasal, try_cast(nullif(regexp_extract(url, '(\\d+)', 1), '') AS INT) AS ayat FROM pages")
 def vec_filters(spark: SparkSession, sf: str) -> DataFrame:
-    asked_for = table(spark, sf, "pages").select(F.col("page_id").alias("query_id"), F.expr(_SECTION).alias("section_type"), F.left("html", F.lit(200)).alias("pasal_type"), F.col("url").alias("ayat_type"))
+    asked_for = table(spark, sf, "pages").select(F.col("page_id").alias("query_id"), F.expr(_SECTION).alias("section_type"), F.col("html").alias("pasal_type"), F.col("url").alias("ayat_type"))
     return rt.with_filters(asked_for)
 
 
@@ -413,10 +413,10 @@ def hist_nested(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", F.array_join(F.transform("evaluations", lambda e: F.concat(e["id"].cast("string"), F.lit(":"), e["chars"].cast("string"))), ",").alias("evaluations"))
 
 
-@query("hist_retitled", f"SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 AND length(trim(left(text, 300), '{SPACE}')) BETWEEN 1 AND 255 THEN trim(left(text, 300), '{SPACE}') ELSE source END AS title, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'Deutsch' ELSE lang END AS label FROM documents")
+@query("hist_retitled", f"SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 AND length(trim(split_part(text, '.', 1), '{SPACE}')) BETWEEN 1 AND 255 THEN trim(split_part(text, '.', 1), '{SPACE}') ELSE source END AS title, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'Deutsch' ELSE lang END AS label FROM documents")
 def hist_retitled(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    out = ev.retitled(d.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "lang"), d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.left("text", F.lit(300)).alias("new_title")))
+    out = ev.retitled(d.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "lang"), d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.substring_index("text", ".", 1).alias("new_title")))
     return out.select("id", "title", ev.label_of(F.col("lang"), {"en": "English", "de": "Deutsch"}).alias("label"))
 
 

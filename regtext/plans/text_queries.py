@@ -437,6 +437,16 @@ def q_mend(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", q.mend(x, candidate).alias("mended"))
 
 
+@query("q_mend_tries", f"""WITH a AS (SELECT *, {_QUESTION} AS passes, CASE WHEN {_FILLED} THEN {_FLUENT} ELSE s END AS own, len({_NUMBERS.format(x='s')}) > 0 OR regexp_matches(s, '(?i)ayat') AS refers FROM {_S})
+    SELECT conv_id, turn, CASE WHEN passes OR turn % 3 = 2 THEN own WHEN turn % 3 = 0 AND NOT refers THEN 'no reference' ELSE s || ' mended' END AS mended, CASE WHEN passes OR s = '' THEN 0 WHEN turn % 3 = 2 THEN 3 WHEN turn % 3 = 0 THEN CASE WHEN refers THEN 2 ELSE 1 END ELSE 3 END AS attempts FROM a""")
+def q_mend_tries(spark: SparkSession, sf: str) -> DataFrame:
+    """A model that first drops all references, then fails or mends: in some turns with its second answer, in some with its third, in others never (a fourth isn't looked at)."""
+    x, turn = F.expr(_ASKED), F.col("turn") % 3
+    good, bad, none = F.concat(t.strip(x), F.lit(" mended")), F.lit("no reference"), F.lit(None).cast("string")
+    answers = F.when(turn == 0, F.array(bad, good)).when(turn == 1, F.array(none, none, good)).otherwise(F.array(none, none, none, good))
+    return table(spark, sf, "conversations").select("conv_id", "turn", x.alias("x"), answers.alias("answers")).transform(q.mended, "x", "answers").select("conv_id", "turn", F.col("m.text").alias("mended"), "m.attempts")
+
+
 @query("q_missing_refs", f"SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct({_NUMBERS.format(x='x')}), lambda n: n <> 8)), ',') AS missing FROM {_X}")
 def q_missing_refs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(q.missing_references(F.expr(_ASKED), F.lit("Pasal 8")).cast("array<string>"), ",").alias("missing"))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from regtext.functions import questions
 from regtext.functions import text as t
 from regtext.operators import changes, evaluate, lexical, lines, parse, retrieve, vector_index
 from regtext.sources import knowledge, relational
@@ -165,6 +166,23 @@ def test_answers_that_are_no_material(spark):
     assert got["late"][0].konteks_tambahan == "ok" and got["late"][1] == 2
 
 
+def test_an_evaluator_that_fails_is_a_row(spark):
+    def call(payload):
+        if payload["answer"] == "bad":
+            raise ConnectionError("refused")
+        return [1] if payload["answer"] == "list" else {"n": len(payload["answer"])}
+
+    rows = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "list")], "process_id int, answer string")
+    got = {r.process_id: (r.status, r.answer, r.detail) for r in evaluate.answered(rows, call).collect()}
+    assert got == {1: ("success", '{"n": 4}', None), 2: ("error", "{}", "ConnectionError: refused"), 3: ("error", "{}", "TypeError: an answer of type list")}
+
+
+def test_three_tries_of_a_repair(spark):
+    rows = [("isinya pasal 5 ayat 2", ["pasal 6", None, "jelaskan Pasal 5 ayat (2)", "x"]), ("lihat pasal 5", ["a", "b", "c", "pasal 5"]), ("apa isi pasal 7?", ["x"]), ("", ["x"]), ("pasal 3", None)]
+    got = [tuple(r.m) for r in spark.createDataFrame(rows, "x string, c array<string>").coalesce(1).transform(questions.mended, "x", "c").collect()]
+    assert got[0] == ("jelaskan Pasal 5 ayat (2)", 3, 5, 2) and got[1][:3] == ("lihat pasal 5", 3, 5) and got[2][1] == 0 and got[3][:2] == ("", 0) and got[4][1] == 0
+
+
 # columns with the names that operators use themselves
 def test_names_of_columns_may_clash(spark):
     rows = spark.createDataFrame([(1, "pem-\nbangunan a1b", 5, 6)], "id int, text string, _t int, repair_t int").withColumns({"_n": F.lit(7), "repair_n": F.lit(8), "turn": F.lit(9)})
