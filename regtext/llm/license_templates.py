@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -200,8 +201,20 @@ class Template:
 
 
 def _widest(places: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Without places that lie inside a longer one of another label."""
-    return [p for p in places if not any(q[0] != p[0] and q[1] <= p[1] and p[2] <= q[2] and q[2] - q[1] > p[2] - p[1] for q in places)]
+    """Without places that lie inside a longer one of another label. One sweep from the left: of what began so far, the two labels that reach furthest decide."""
+    order = sorted(range(len(places)), key=lambda k: (places[k][1], -places[k][2]))
+    inside, best, second = set(), ("", -1), ("", -1)
+    for _, group in groupby(order, key=lambda k: places[k][1:]):
+        same = list(group)
+        inside.update(k for k in same if (second if places[k][0] == best[0] else best)[1] >= places[k][2])
+        for label, _, last in (places[k] for k in same):
+            if label == best[0]:
+                best = (label, max(last, best[1]))
+            elif last > best[1]:
+                best, second = (label, last), best
+            elif last > second[1]:
+                second = (label, last)
+    return [p for k, p in enumerate(places) if k not in inside]
 
 
 _PLACE = T.StructType([T.StructField("label", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())])

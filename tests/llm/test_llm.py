@@ -449,6 +449,16 @@ def test_surrogates(spark):
     assert surrogates.replace_entities(frame(spark, texts), "other").where("doc_id = 4").first().text != got[4].text
 
 
+def test_widest_places_are_those_of_all_pairs():
+    rng = random.Random(8)
+    for _ in range(400):
+        places = [(rng.choice("abc"), i := rng.randrange(12), i + rng.randrange(8)) for _ in range(rng.randrange(12))]
+        want = [p for p in places if not any(q[0] != p[0] and q[1] <= p[1] and p[2] <= q[2] and q[2] - q[1] > p[2] - p[1] for q in places)]
+        assert license_templates._widest(places) == want
+    many = [("abc"[k % 3], 5 * k, 5 * k + 3) for k in range(200_000)]
+    assert license_templates._widest(many) == many
+
+
 def _script(c):
     import unicodedata
 
