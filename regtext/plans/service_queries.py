@@ -100,15 +100,15 @@ def vec_hashed_counts(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.hashed_counts(table(spark, sf, "documents", "doc_id", "text"), ["doc_id"]).select("doc_id", "bucket", rt.rounded(F.col("weight")).alias("weight"))
 
 
-# the default embedder in place of a model: non-zero components of every document's vector
+# the default embedder in place of a model: components (but what rounding leaves of zeros) of every document's vector
 ORACLES["vec_embed"] = f"""WITH {_HASHED}, l AS (SELECT doc_id, sqrt(sum(weight * weight)) AS size FROM b GROUP BY 1)
-    SELECT doc_id, bucket, floor((weight / size)::FLOAT::DOUBLE * 1000 + 0.5) / 1000 AS component FROM b JOIN l USING (doc_id) WHERE size > 0 AND (weight / size)::FLOAT <> 0"""
+    SELECT doc_id, bucket, floor((weight / size)::FLOAT::DOUBLE * 1000 + 0.5) / 1000 AS component FROM b JOIN l USING (doc_id) WHERE size > 0 AND abs(weight / size) > 1e-6"""
 
 
 @query("vec_embed", ORACLES["vec_embed"])
 def vec_embed(spark: SparkSession, sf: str) -> DataFrame:
     dense = lexical.hashed_embeddings(table(spark, sf, "documents", "doc_id", "text"), ["doc_id"])
-    return dense.select("doc_id", F.posexplode("embedding").alias("bucket", "x")).where("x <> 0").select("doc_id", "bucket", rt.rounded(F.col("x").cast("double"), 3).alias("component"))
+    return dense.select("doc_id", F.posexplode("embedding").alias("bucket", "x")).where("abs(x) > 1e-6").select("doc_id", "bucket", rt.rounded(F.col("x").cast("double"), 3).alias("component"))
 
 
 # a judge of words over conversations: the first turn asks, the second answers, all others are the context, the last is the truth

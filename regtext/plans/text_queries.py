@@ -226,13 +226,9 @@ def law_ayat(spark: SparkSession, sf: str) -> DataFrame:
     return parse.paragraphs(parse.articles(legal_lines(spark, sf))).withColumn("n_points", F.size("points").cast("long")).drop("points")
 
 
-_POINTED = _AT.replace("'(' || (pos % 4) || ') ' || line END", "CASE WHEN pos % 4 = 3 THEN 'a. ' ELSE '' END || '(' || (pos % 4) || ') ' || line END")
-
-
-@query("law_poin", f"WITH {_POINTED}, {_PARAGRAPHS} SELECT doc_id, pasal_seq, ayat_number, huruf, points.text AS text FROM points JOIN ayat USING (doc_id, pasal_seq, seq)")
+@query("law_poin", f"WITH {_AT}, {_PARAGRAPHS} SELECT doc_id, pasal_seq, ayat_number, huruf, points.text AS text FROM points JOIN ayat USING (doc_id, pasal_seq, seq)")
 def law_poin(spark: SparkSession, sf: str) -> DataFrame:
-    pointed = legal_lines(spark, sf).withColumn("line", F.when((F.col("pos") % 4 == 3) & (F.col("pos") % 12 != 0), F.concat(F.lit("a. "), "line")).otherwise(F.col("line")))
-    return parse.paragraphs(parse.articles(pointed)).select("doc_id", "pasal_seq", "ayat_number", F.explode("points").alias("p")).select("doc_id", "pasal_seq", "ayat_number", "p.huruf", "p.text")
+    return parse.paragraphs(parse.articles(legal_lines(spark, sf))).select("doc_id", "pasal_seq", "ayat_number", F.explode("points").alias("p")).select("doc_id", "pasal_seq", "ayat_number", "p.huruf", "p.text")
 
 
 _HEAD = "'UNDANG-UNDANG REPUBLIK INDONESIA NOMOR ' || doc_id || ' TAHUN ' || (1945 + doc_id % 80) || chr(10) || 'TENTANG hak cipta' || chr(10) || text"
