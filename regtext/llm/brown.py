@@ -8,8 +8,9 @@
    the corpus. Rarer words, whose neighbours say too little, have a class of their own, which stands for unknown words as well.
 4. P(w | v) = P(class(w) | class(v)) * P(w | class(w)); transitions are counted over all training texts and
    interpolated with the class's share, emissions add one half to each count.
-5. Texts are scored in the map tasks with the classes of the most frequent words, which are sent to them (at most HEAD);
-   those of all other words come by a join, each once for a text. The result does not depend on HEAD.
+5. Each text is stored as the classes of its words, a byte for each, by those of the most frequent words, which are sent to
+   the tasks (at most HEAD); those of all other words come by a join, each once for a text. Transitions are counted, and texts
+   scored, from these bytes. The result does not depend on HEAD.
 
 Words are known by a 62-bit hash. Defined results: null and empty texts have the end token only; without
 training texts every count is 0; repeated rows are scored one by one (and counted each time); a null id
@@ -44,6 +45,10 @@ END_ROW, OTHER_ROW, ROWS = TOP, TOP + 1, TOP + 2
 END_CLASS, RARE, N = CLASSES, CLASSES + 1, CLASSES + 2
 #: Weight of a class's share in its transitions.
 PRIOR = 8.0
+#: The code of a word whose class is not known in the task; no class has this number.
+OUTSIDE, _PARTED = 255, b"\xff"
+#: What a text is stored as between the passes: sizes, sums, a byte for each word, and its words outside the head with their neighbours.
+CODED = ["n_tokens", "known", "base", "emitted", "codes", "tail", "times", "pairs"]
 _FLUSH, _CACHE, _BLOCK = 300_000, 300_000, 1 << 16
 _WORDS62 = (1 << 62) - 1
 
@@ -309,70 +314,85 @@ def _codes(places: np.ndarray, head: Head) -> np.ndarray:
     return out
 
 
-def _transitions(head: Head):
-    """Counts of neighbouring classes, or hashes of words outside the head."""
+def _transitions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbouring classes in coded texts. Texts are parted by OUTSIDE, so no pair spans two of them."""
+    total = np.zeros((256, 256), np.int64)
+    for b in batches:
+        c = np.frombuffer(_PARTED.join(b.column(0).to_pylist()), np.uint8).astype(np.int64)
+        total += np.bincount(c[:-1] * 256 + c[1:], minlength=1 << 16).reshape(256, 256)
+    a, b = np.nonzero(total[:N, :N])
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b])], ["a", "b", "n"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, places = np.zeros(N * N, np.int64), Places(head)
-        for b in batches:
-            known, rest = [np.zeros(0, np.int64)], []
-            for text in b.column(0).to_pylist():
-                c = _codes(np.array([places[w] for w in text.translate(LOWER).split()], np.int64), head)
-                both = (c[:-1] >= 0) & (c[1:] >= 0)
-                known.append(c[:-1][both] * N + c[1:][both])
-                if not both.all():
-                    rest.append(np.stack([c[:-1][~both], c[1:][~both]], 1))
-            total += np.bincount(np.concatenate(known), minlength=N * N)
-            if rest:
-                pairs, n = np.unique(np.concatenate(rest), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n)], ["a", "b", "n"])
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at // N), pa.array(at % N), pa.array(total[at])], ["a", "b", "n"])
 
-    return run
+def _outside_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbours of which one at least is a word outside the head."""
+    for b in batches:
+        pairs, n = np.unique(b.column(0).flatten().to_numpy().reshape(-1, 2), axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n)], ["a", "b", "n"])
 
 
 class ClassModel:
-    """Log10 probabilities: transitions between classes, emissions of the head's words, divisors of the classes."""
+    """Log10 probabilities: emissions of the head's words and divisors of the classes; once observed, transitions between classes."""
 
-    def __init__(self, head: Head, big: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> None:
-        self.head = head
-        share = (big.sum(0) + 0.5) / (big.sum() + 0.5 * N)
-        self.transition = np.log10((big + PRIOR * share) / (big.sum(1, keepdims=True) + PRIOR))
+    def __init__(self, head: Head, tokens: np.ndarray, words: np.ndarray) -> None:
+        self.head, self.transition = head, np.zeros((N, N))
         more = np.zeros(N)
         more[RARE] = 1  # a share for all unknown words
         self.divisor = np.log10(tokens + 0.5 * np.maximum(1, words + more))
 
+    def observe(self, big: np.ndarray) -> None:
+        share = (big.sum(0) + 0.5) / (big.sum() + 0.5 * N)
+        self.transition = np.log10((big + PRIOR * share) / (big.sum(1, keepdims=True) + PRIOR))
+
     def of_words(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each word of the head: the base's term and the emission."""
         base = np.log10(self.head.counts + 0.5)
         return base, base - self.divisor[self.head.classes]
 
 
-def _score(model: ClassModel):
+def _code(model: ClassModel):
+    """Texts as one byte for the class of each word between two ends, with what does not depend on transitions."""
     head = model.head
     end = head.place(END)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, (of_base, emission) = Places(head), model.of_words()
         for b in batches:
-            out: list[list] = [[] for _ in range(4)]
+            out: list[list] = [[] for _ in range(5)]
             tails, times, pairs = [], [], []
             for text in b.column(2).to_pylist():
                 p = np.array([places[w] for w in text.translate(LOWER).split()], np.int64)
                 c = _codes(p, head)
-                both = (c[:-1] >= 0) & (c[1:] >= 0)
-                inside = p[p >= 0]
+                inside, far = p[p >= 0], c < 0
                 tail, n = np.unique(-1 - p[p < 0], return_counts=True)
                 out[0].append(len(p) + 1)
                 out[1].append(len(inside) + (end >= 0))
                 out[2].append(float(of_base[inside].sum() + (of_base[end] if end >= 0 else np.log10(0.5))))
-                out[3].append(float(model.transition[c[:-1][both], c[1:][both]].sum() + emission[inside].sum()))
+                out[3].append(float(emission[inside].sum()))
+                out[4].append(np.where(far, OUTSIDE, c).astype(np.uint8).tobytes())
                 tails.append(tail)
                 times.append(n)
-                pairs.append(np.stack([c[:-1][~both], c[1:][~both]], 1).reshape(-1))
+                one = far[:-1] | far[1:]
+                pairs.append(np.stack([c[:-1][one], c[1:][one]], 1).reshape(-1))
             lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), lists(tails), lists(times), lists(pairs)], ["row", "id", "n_tokens", "known", "base", "score", "tail", "times", "pairs"])
+            columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, lists(tails), lists(times), lists(pairs)], ["row", "id", *CODED])
+
+    return run
+
+
+def _score(transition: np.ndarray):
+    """row and the sum of a text's transitions between classes known in its code."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((256, 256))
+        table[:N, :N] = transition
+        for b in batches:
+            codes = b.column("codes").to_pylist()
+            c = np.frombuffer(_PARTED.join(codes), np.uint8)
+            starts = np.cumsum([0, *(len(x) + 1 for x in codes[:-1])])
+            within = np.add.reduceat(table[c[:-1], c[1:]], starts) if codes else np.zeros(0)
+            yield b.drop_columns(["codes"]).append_column("within", pa.array(within, pa.float64()))
 
     return run
 
@@ -399,8 +419,8 @@ def _dense(rows: list, shape: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-def learn(docs: DataFrame, text_col: str = "text", head_words: int = HEAD, least: int = LEAST) -> tuple[ClassModel, DataFrame, int, int]:
-    """The model, the words outside its head (h, c, class), and the numbers of training tokens and of distinct ones."""
+def learn_classes(docs: DataFrame, text_col: str = "text", head_words: int = HEAD, least: int = LEAST) -> tuple[ClassModel, DataFrame, int, int]:
+    """A model without transitions, the words outside its head (h, c, class), and the numbers of training tokens and of distinct ones."""
     spark = docs.sparkSession
     texts = docs.select(text_bytes(text_col).alias("text"))
     vocabulary = materialise(map_batches(texts, _count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
@@ -434,24 +454,40 @@ def learn(docs: DataFrame, text_col: str = "text", head_words: int = HEAD, least
     classed = materialise(classed.select("h", "c", "class"), "classes")
     sizes = classed.groupBy("class").agg(F.sum("c"), F.count(F.lit(1))).collect()
     head, rest = head_of(classed), classed.where(~inside)
-    pairs = map_batches(texts, _transitions(head), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    if not head.whole:
+    return ClassModel(head, _dense([(r[0], r[1]) for r in sizes], (N,)), _dense([(r[0], r[2]) for r in sizes], (N,))), rest, int(tokens), int(words)
+
+
+def coded_texts(docs: DataFrame, id_col: str, text_col: str, model: ClassModel) -> DataFrame:
+    """A stored table: every text with a number of its own (row), its id, and what CODED names."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
+    kinds = dict(zip(CODED, [T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BinaryType(), *[T.ArrayType(T.LongType())] * 3], strict=True))
+    return materialise(map_batches(rows, _code(model), T.StructType([*rows.schema.fields[:2], *(T.StructField(k, t) for k, t in kinds.items())])), "coded")
+
+
+def observe(coded: DataFrame, model: ClassModel, rest: DataFrame) -> None:
+    """Gives the model its transitions, counted over coded training texts."""
+    pairs = map_batches(coded.select("codes"), _transitions, "a long, b long, n long")
+    if not model.head.whole:
+        far = map_batches(coded.where(F.size("pairs") > 0).select("pairs"), _outside_pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
         for side in ("a", "b"):  # classes of words outside the head; no word here is unknown
-            pairs = pairs.join(rest.select((-1 - F.col("h")).alias(side), "class"), side, "left").withColumn(side, F.coalesce("class", side)).drop("class")
-        pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    big = _dense([(r["a"], r["b"], r["n"]) for r in pairs.collect()], (N, N))
-    model = ClassModel(head, big, _dense([(r[0], r[1]) for r in sizes], (N,)), _dense([(r[0], r[2]) for r in sizes], (N,)))
-    return model, rest, int(tokens), int(words)
+            far = far.join(rest.select((-1 - F.col("h")).alias(side), "class"), side, "left").withColumn(side, F.coalesce("class", side)).drop("class")
+        pairs = pairs.unionByName(far)
+    model.observe(_dense([(r["a"], r["b"], r["n"]) for r in pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()], (N, N)))
+
+
+def learn(docs: DataFrame, text_col: str = "text", head_words: int = HEAD, least: int = LEAST) -> tuple[ClassModel, DataFrame, int, int]:
+    """The whole model of all texts, and what learn_classes gives beside it."""
+    model, *others = learn_classes(docs, text_col, head_words, least)
+    observe(coded_texts(docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", model), model, others[0])
+    return model, *others
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
-    model, rest, tokens, words = learn(docs.where(~held_out(F.col(id_col))), text_col, head_words)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
-    double, long = T.DoubleType(), T.LongType()
-    fields = [("row", long), ("id", rows.schema["id"].dataType), ("n_tokens", long), ("known", long), ("base", double), ("score", double), ("tail", T.ArrayType(long)), ("times", T.ArrayType(long)), ("pairs", T.ArrayType(long))]
-    scored = materialise(map_batches(rows, _score(model), T.StructType([T.StructField(*f) for f in fields])), "scored")
-    once = scored.select("row", F.explode(F.arrays_zip(F.col("tail").alias("h"), F.col("times").alias("n"))).alias("t")).select("row", "t.h", "t.n")
+    model, rest, tokens, words = learn_classes(docs.where(~held_out(F.col(id_col))), text_col, head_words)
+    coded = coded_texts(docs, id_col, text_col, model)
+    observe(coded.where(~held_out(F.col("id"))), model, rest)
+    once = coded.select("row", F.explode(F.arrays_zip(F.col("tail").alias("h"), F.col("times").alias("n"))).alias("t")).select("row", "t.h", "t.n")
     found = once.join(rest, "h", "left").withColumns({"c": F.coalesce("c", F.lit(0)), "class": F.coalesce("class", F.lit(RARE))})
     divisor = F.element_at(F.array(*(F.lit(float(d)) for d in model.divisor)), F.col("class") + 1)
     per_word = F.log10(F.col("c") + 0.5)
@@ -460,11 +496,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rare = found.groupBy("row").agg(*sums).withColumn("between", F.lit(0.0))
     else:
         rare = materialise(found.groupBy("row").agg(*sums, F.collect_list(F.struct("h", "class")).alias("found")), "rest")
-        between = map_batches(scored.where(F.size("pairs") > 0).select("row", "pairs").join(rare.select("row", "found"), "row"), _rest_score(model.transition), "row long, between double")
+        between = map_batches(coded.where(F.size("pairs") > 0).select("row", "pairs").join(rare.select("row", "found"), "row"), _rest_score(model.transition), "row long, between double")
         rare = rare.drop("found").join(between, "row")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     train = float(np.log10(tokens + 0.5 * (words + 1)))
-    return scored.drop("tail", "times", "pairs").join(rare, "row", "left").select(
+    taken = coded.select("row", "id", "n_tokens", "known", "base", "emitted", "codes")
+    scored = map_batches(taken, _score(model.transition), T.StructType([*(f for f in taken.schema if f.name != "codes"), T.StructField("within", T.DoubleType())]))
+    return scored.withColumnRenamed("emitted", "of_head").join(rare, "row", "left").select(
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rare") - F.col("n_tokens") * F.lit(train)).alias("base_score"), (F.col("score") + zero("emitted") + zero("between")).alias("score"),
+        (F.col("base") + zero("rare") - F.col("n_tokens") * F.lit(train)).alias("base_score"), (F.col("of_head") + F.col("within") + zero("emitted") + zero("between")).alias("score"),
     )
