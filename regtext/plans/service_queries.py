@@ -11,7 +11,7 @@ from regtext.operators import retrieve as rt
 from regtext.operators import vector_index
 from regtext.plans.catalog import ORACLES, query
 from regtext.plans.engine_queries import asked, hits, points
-from regtext.sources import knowledge
+from regtext.sources import knowledge, pages
 from regtext.sources.tables import scratch_dir, table
 from regtext.streaming import quotas, windows
 
@@ -183,3 +183,16 @@ def stream_late(spark: SparkSession, sf: str) -> DataFrame:
     for k, rows in enumerate((events.where((us < half) & ~held), events.where(us >= half), events.where(held), events.where((F.col("event_id") % 7 == 0) & ~held))):
         rows.coalesce(1).write.mode("append").parquet(f"{folder}/{k}")
     return quotas.split_late(spark, f"{folder}/*", events.schema, late="10 days").select("event_id", "status")
+
+
+# files of pages: every document is a page, files are read by ranges of bytes
+@query("src_page_files", """SELECT sha256(t) AS page_hash, count(*) AS copies, count(*) FILTER (WHERE t = '') AS empty_pages, 0::BIGINT AS issues
+    FROM (SELECT replace(coalesce(text, ''), chr(12), ' ') AS t FROM documents) GROUP BY 1""")
+def src_page_files(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents written as files of pages, cut into ranges, and read by the source of pages."""
+    path, index = scratch_dir(spark, "paged"), scratch_dir(spark, "page_index")
+    table(spark, sf, "documents").select(F.translate(F.coalesce("text", F.lit("")), "\f", " ").alias("text")).write.option("lineSep", "\f").text(path)
+    pages.index_pages(spark, [path], index, pattern="*.txt")
+    read = pages.read_pages(spark, index)
+    empty, issues = F.count_if(F.col("text") == ""), F.count_if(F.col("issue").isNotNull() & (F.col("issue") != "no pages"))
+    return read.where("page is not null or issue <> 'no pages'").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("page_hash")).agg(F.count(F.lit(1)).alias("copies"), empty.alias("empty_pages"), issues.alias("issues"))
