@@ -2,11 +2,13 @@
 
 Rules are matched with Spark functions. The trees learn from urls that a rule has judged (or from given
 labels). The share of blocked urls of each suffix, and of each suffix with first directory, is counted over all
-of them, repeated ones once, and joined to the urls as features. A sample of at most SAMPLE distinct urls, the first
+of them, repeated ones once, and joined to the urls as features; a directory without judged urls has its suffix's share. An url whose
+suffix no rule has judged is left to trees of its own, fitted without shares, so that no other suffix's labels stand in for it.
+Both kinds of labels weigh the same in a fit: what is blocked most does not become the verdict where nothing is known. A sample of at most SAMPLE distinct urls, the first
 in order of a hash, goes to the driver, which fits histogram trees with numpy; scoring runs in the tasks. An url that
 the trees are fitted on takes its shares from the other FOLDS of urls, so that no share holds its own label.
 
-Defined results: urls that a rule judges have no probability; a null url or one without ``://`` has empty host and path and fits no rule; without labelled
+Defined results: block_probability is one of equally many urls of both kinds, and more than one half is ``block``; urls that a rule judges have no probability; a null url or one without ``://`` has empty host and path and fits no rule; without labelled
 urls of both kinds the verdict for the rest is the only kind seen, or ``allow``; repeated rows get equal
 verdicts; an empty table gives an empty result; extra columns are kept out.
 """
@@ -67,17 +69,25 @@ def _parts(url: str) -> tuple[str, str, str]:
     return host.lower(), slash + path, query
 
 
+def suffix_of(host: str) -> str:
+    """The last label without a port; two labels where the last is a country's and one of three letters at most stands before it (co.uk); ``ip`` for numbers."""
+    labels = host.rpartition("@")[2].partition(":")[0].rstrip(".").split(".")
+    if labels[-1].isdigit() or "[" in host:
+        return "ip"
+    return ".".join(labels[-2:]) if len(labels) > 2 and len(labels[-1]) == 2 and len(labels[-2]) <= 3 else labels[-1]
+
+
 def keys_of(url: str) -> tuple[str, str]:
     """What statistics are kept of: the host's suffix, and suffix and first directory together."""
     host, path, _ = _parts(url)
-    suffix = host.rpartition(".")[2]
+    suffix = suffix_of(host)
     return suffix, f"{suffix}/{path.strip('/').partition('/')[0]}"
 
 
-def lexical(url: str, suffix_share: float, folder_share: float) -> list[float]:
+def lexical(url: str) -> list[float]:
     host, path, query = _parts(url)
     digits = sum(c.isdigit() for c in url)
-    return [len(url), len(host), len(path), path.count("/"), digits / max(1, len(url)), _entropy(url), _entropy(host), query.count("=") + query.count("&"), len(query), host.count("."), url.count("-"), float("#" in url), float(url.startswith("https")), float("." in path.rpartition("/")[2]), suffix_share, folder_share]
+    return [len(url), len(host), len(path), path.count("/"), digits / max(1, len(url)), _entropy(url), _entropy(host), query.count("=") + query.count("&"), len(query), host.count("."), url.count("-"), float("#" in url), float(url.startswith("https")), float("." in path.rpartition("/")[2])]
 
 
 class Trees:
@@ -87,15 +97,15 @@ class Trees:
         self.bias, self.trees = bias, []
 
     def fit(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> Trees:
-        p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        self.bias = float(np.log(p / (1 - p)))
+        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        weight = np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share))
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
         binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)])
         score = np.full(len(y), self.bias)
         for _ in range(trees):
             q = 1 / (1 + np.exp(-score))
             tree: list[tuple] = []
-            self._grow(tree, binned, edges, y - q, q * (1 - q), np.arange(len(y)), depth)
+            self._grow(tree, binned, edges, weight * (y - q), weight * q * (1 - q), np.arange(len(y)), depth)
             self.trees.append(tree)
             score += self._apply(tree, x)
         return self
@@ -146,12 +156,39 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(score, -60, 60)))
 
 
-def learn(urls: list[str], shares: list[tuple[float, float]], blocked: list[bool]) -> Trees:
-    """Trees for the probability of block."""
+class Judge:
+    """Trees for urls whose suffix has a share, and trees on lexical features alone for all others."""
+
+    def __init__(self, shared: Trees, lone: Trees) -> None:
+        self.shared, self.lone = shared, lone
+
+    @staticmethod
+    def features(url: str, suffix_share: float | None, folder_share: float | None) -> list[float]:
+        """Lexical features; behind them both shares, if the suffix has one."""
+        known = [] if suffix_share is None else [suffix_share, suffix_share if folder_share is None else folder_share]
+        return lexical(url) + known
+
+    def probability(self, rows: list[tuple[str, float | None, float | None]]) -> np.ndarray:
+        out = np.zeros(len(rows))
+        for trees, known in ((self.shared, True), (self.lone, False)):
+            at = [i for i, r in enumerate(rows) if (r[1] is not None) == known]
+            if at:
+                out[at] = trees.probability(np.array([self.features(*rows[i]) for i in at]))
+        return out
+
+
+def _trees(x: list[list[float]], blocked: list[bool]) -> Trees:
     y = np.array(blocked, float)
     if not 0 < y.sum() < len(y):
         return Trees(20.0 if len(y) and y[0] else -20.0)
-    return Trees().fit(np.array([lexical(u, *s) for u, s in zip(urls, shares, strict=True)]), y)
+    return Trees().fit(np.array(x), y)
+
+
+def learn(rows: list[tuple[str, float | None, float | None]], blocked: list[bool]) -> Judge:
+    """Trees for the probability of block, from urls with their shares."""
+    lone = _trees([lexical(r[0]) for r in rows], blocked)
+    known = [i for i, r in enumerate(rows) if r[1] is not None]
+    return Judge(_trees([Judge.features(*rows[i]) for i in known], [blocked[i] for i in known]) if known else lone, lone)
 
 
 def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +217,8 @@ def shares_of(judged: DataFrame) -> tuple[DataFrame, float]:
     return counts.select("key", share(F.col("bad"), F.col("seen")).alias("share"), F.transform("outside", lambda o: share(o["bad"], o["seen"])).alias("folds")), prior
 
 
-def with_shares(rows: DataFrame, shares: DataFrame, prior: float, learning: bool = False) -> DataFrame:
-    """rows (stored, with their keys) with the shares of both keys; without one the prior. learning: shares that the fold of the url had no part in."""
+def with_shares(rows: DataFrame, shares: DataFrame, prior: float | None, learning: bool = False) -> DataFrame:
+    """rows (stored, with their keys) with the shares of both keys; without one the prior (which may be null). learning: shares that the fold of the url had no part in."""
     least = rows.count() / HOT
     out = rows
     for key in ("suffix", "folder"):
@@ -193,28 +230,31 @@ def with_shares(rows: DataFrame, shares: DataFrame, prior: float, learning: bool
         out = near.unionByName(far)
         if learning:
             out = out.withColumn(f"{key}_share", F.get(f"{key}_folds", fold_of(F.col("url"))))
-        out = out.drop(f"{key}_folds").fillna(prior, [f"{key}_share"])
+        out = out.drop(f"{key}_folds")
+        if prior is not None:
+            out = out.fillna(prior, [f"{key}_share"])
     return out
 
 
-def _judge(trees: Trees):
+def _judge(judge: Judge):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             urls, x, y = (b.column(k).to_pylist() for k in ("url", "suffix_share", "folder_share"))
             open_ones = [i for i, ruled in enumerate(b.column("ruled").to_pylist()) if ruled is None]
             p: list[float | None] = [None] * len(urls)
-            for i, q in zip(open_ones, trees.probability(np.array([lexical(urls[i] or "", x[i], y[i]) for i in open_ones]).reshape(len(open_ones), 16)).tolist(), strict=True):
+            for i, q in zip(open_ones, judge.probability([(urls[i] or "", x[i], y[i]) for i in open_ones]).tolist(), strict=True):
                 p[i] = q
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "block_probability"])
 
     return run
 
 
-def fitted(judged: DataFrame, shares: DataFrame, prior: float, sample: int = SAMPLE) -> Trees:
+def fitted(judged: DataFrame, shares: DataFrame, sample: int = SAMPLE) -> Judge:
     """Trees fitted on a sample of judged urls (stored, distinct, with their keys)."""
     taken = materialise(judged.orderBy(F.xxhash64("url"), "url", "blocked").limit(sample), "sample")
-    learned = sorted(with_shares(taken, shares, prior, learning=True).select("url", "blocked", "suffix_share", "folder_share").collect())
-    return learn([r[0] for r in learned], [(r[2], r[3]) for r in learned], [r[1] for r in learned])
+    learned = with_shares(taken, shares, None, learning=True).select("url", "blocked", "suffix_share", "folder_share").collect()
+    learned.sort(key=lambda r: (r[0], r[1]))
+    return learn([(r[0], r[2], r[3]) for r in learned], [r[1] for r in learned])
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -225,10 +265,9 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = materialise(with_keys(rows), "urls")
     source = labelled.select("url", "blocked") if labelled is not None else rows.where("ruled is not null").select("url", (F.col("ruled") == "block").alias("blocked"))
     judged = materialise(with_keys(source.where("url is not null and blocked is not null").distinct()), "judged")
-    shares, prior = shares_of(judged)
-    shares = materialise(shares, "shares")
-    trees = fitted(judged, shares, prior, sample)
-    rows = with_shares(rows, shares, prior)
-    judged = map_batches(rows, _judge(trees), T.StructType([*rows.schema, T.StructField("block_probability", T.DoubleType())]))
-    verdict = F.coalesce("ruled", F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow"))
+    shares = materialise(shares_of(judged)[0], "shares")
+    judge = fitted(judged, shares, sample)
+    rows = with_shares(rows, shares, None)
+    judged = map_batches(rows, _judge(judge), T.StructType([*rows.schema, T.StructField("block_probability", T.DoubleType())]))
+    verdict = F.coalesce("ruled", F.when(F.col("block_probability") > 0.5, "block").otherwise("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "block_probability")

@@ -52,3 +52,17 @@ def test_no_label_is_in_its_own_features_and_held_out_urls_are_judged(spark):
     parts = frame.withColumn("held", url_trees.fold_of(frame.url) == 0)
     got = url_trees.filter_urls(parts.where("held").selectExpr("url", "blocked as page_id"), rules=[], labelled=parts.where("not held")).collect()
     assert np.mean([(r.verdict == "block") == r.page_id for r in got]) > 0.95
+
+
+def test_a_suffix_without_judged_urls_is_left_to_lexical_features(spark):
+    # nine of ten judged urls are blocked, half of them full of digits; the others look like those that are not, but for the suffix
+    rows = [(f"http://site{k}.bad/" + (f"{'7' * (30 + k % 9)}/{k}" if k % 2 else "news/item"), True) for k in range(900)] + [(f"http://site{k}.good/news/item", False) for k in range(0, 900, 9)]
+    judged = spark.createDataFrame(rows, "url string, blocked boolean")
+    asked = {0: "http://site77.other/news/item", 1: "http://site78.other/" + "7" * 35 + "/12", 2: "http://site79.bad/never/seen", 3: "http://site80.good/never/seen"}
+    out = {r.page_id: r.verdict for r in url_trees.filter_urls(spark.createDataFrame(list(asked.items()), "page_id long, url string"), rules=[], labelled=judged).collect()}
+    assert out == {0: "allow", 1: "block", 2: "block", 3: "allow"}
+
+
+def test_suffixes():
+    of = {"a.b.com": "com", "x.co.uk": "co.uk", "co.uk": "uk", "news.de": "de", "www.news.de": "de", "h.org:8080": "org", "u@h.net": "net", "10.0.0.1": "ip", "[::1]": "ip", "": "", "h.com.": "com"}
+    assert {h: url_trees.suffix_of(h) for h in of} == of
