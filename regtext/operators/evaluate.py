@@ -280,7 +280,8 @@ def add_datasets(new: DataFrame, datasets: DataFrame) -> tuple[DataFrame, DataFr
 def add_items(items: DataFrame, dataset_id: int, rows: DataFrame) -> DataFrame:
     """items and rows as items of a dataset; rows that are blank where a value is needed are not added."""
     needed = ["question", "ground_truth", "reference_context"]
-    good = rows.where(" and ".join(f"trim(coalesce({c}, '')) <> ''" for c in needed)).withColumn("dataset_id", F.lit(dataset_id).cast(items.schema["dataset_id"].dataType))
+    blank = [F.coalesce(strip(c), F.lit("")) == "" for c in needed]
+    good = rows.where(~(blank[0] | blank[1] | blank[2])).withColumn("dataset_id", F.lit(dataset_id).cast(items.schema["dataset_id"].dataType))
     return items.unionByName(good.select(*items.columns))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regtext.functions.text import SPACE, drop_page_markers, joins, normalise_space, repair, strip
+from regtext.sources.tables import fresh
 
 
 def _doc():
@@ -83,9 +84,9 @@ def zones(lines: DataFrame) -> DataFrame:
 
 def zone_of_lines(lines: DataFrame) -> DataFrame:
     """Every line with its zone: preamble, body or notes."""
-    z = zones(lines)
-    pos = F.col("pos")
-    return lines.join(z.select("doc_id", "body", "notes"), "doc_id").withColumn("zone", F.when(pos >= F.col("notes"), "notes").when(pos >= F.col("body"), "body").otherwise("preamble")).drop("body", "notes")
+    body, notes, pos = fresh(lines.columns, "body"), fresh(lines.columns, "notes"), F.col("pos")
+    starts = zones(lines).select("doc_id", F.col("body").alias(body), F.col("notes").alias(notes))
+    return lines.join(starts, "doc_id").withColumn("zone", F.when(pos >= F.col(notes), "notes").when(pos >= F.col(body), "body").otherwise("preamble")).drop(body, notes)
 
 
 def offsets(lines: DataFrame) -> DataFrame:

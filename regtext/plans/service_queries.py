@@ -185,6 +185,16 @@ def stream_late(spark: SparkSession, sf: str) -> DataFrame:
     return quotas.split_late(spark, f"{folder}/*", events.schema, late="10 days").select("event_id", "status")
 
 
+# bulk adding of golden items: every third row lacks a value, by white space of three kinds
+@query("golden_items_added", """SELECT item_id, 1 AS dataset_id, text AS question FROM benchmark WHERE item_id % 2 = 0
+    UNION ALL SELECT item_id, 2, text FROM benchmark WHERE item_id % 3 <> 0 AND trim(text, chr(9) || chr(10) || chr(13) || ' ') <> ''""")
+def golden_items_added(spark: SparkSession, sf: str) -> DataFrame:
+    """The items of a dataset with all rows of a sheet added as items of a second one; rows with a blank value stay out."""
+    sheet = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"), F.when(F.col("item_id") % 3 != 0, "truth").when(F.col("item_id") % 2 == 0, " \t\n").alias("ground_truth"), F.lit("context").alias("reference_context"))
+    first = sheet.where("item_id % 2 = 0").withColumn("dataset_id", F.lit(1))
+    return ev.add_items(first, 2, sheet).select("item_id", "dataset_id", "question")
+
+
 # files of pages: every document is a page, files are read by ranges of bytes
 @query("src_page_files", """SELECT sha256(t) AS page_hash, count(*) AS copies, count(*) FILTER (WHERE t = '') AS empty_pages, 0::BIGINT AS issues
     FROM (SELECT replace(coalesce(text, ''), chr(12), ' ') AS t FROM documents) GROUP BY 1""")

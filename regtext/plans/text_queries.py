@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from regtext.functions import questions as q
 from regtext.functions import text as t
 from regtext.operators import chunk, lines, parse
-from regtext.plans.catalog import query
+from regtext.plans.catalog import ORACLES, query
 from regtext.sources.tables import table
 
 _WS = f"'{t.SPACE}'"
@@ -192,8 +192,16 @@ def line_join_pages(spark: SparkSession, sf: str) -> DataFrame:
     o AS (SELECT *, min(CASE WHEN opened IS NOT NULL THEN note END) OVER (PARTITION BY doc_id) AS notes FROM n)
     SELECT doc_id, min(CASE WHEN regexp_matches(line, '(?i)^\s*Menimbang\b') THEN pos END) AS considering, coalesce(max(CASE WHEN notes IS NULL OR pos < notes THEN decree END), min(CASE WHEN notes IS NULL OR pos < notes THEN start END)) AS body, max(notes) AS notes, count(*) AS n FROM o GROUP BY doc_id""")
 def line_zones(spark: SparkSession, sf: str) -> DataFrame:
-    marked = legal_lines(spark, sf).withColumn("line", F.when(F.col("pos") == 20, "PENJELASAN").when(F.col("pos") == 6, "MEMUTUSKAN :").when((F.col("pos") == 2) & (F.col("doc_id") % 2 == 0), " menimbang bahwa").otherwise(F.col("line")))
-    return lines.zones(marked)
+    return lines.zones(_zoned_lines(spark, sf))
+
+
+def _zoned_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return legal_lines(spark, sf).withColumn("line", F.when(F.col("pos") == 20, "PENJELASAN").when(F.col("pos") == 6, "MEMUTUSKAN :").when((F.col("pos") == 2) & (F.col("doc_id") % 2 == 0), " menimbang bahwa").otherwise(F.col("line")))
+
+
+@query("line_zone_of_each", f"WITH {_LEGAL}, s AS ({ORACLES['line_zones']}) SELECT doc_id, pos, CASE WHEN pos >= s.notes THEN 'notes' WHEN pos >= s.body THEN 'body' ELSE 'preamble' END AS zone FROM legal JOIN s USING (doc_id)")
+def line_zone_of_each(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.zone_of_lines(_zoned_lines(spark, sf)).select("doc_id", "pos", "zone")
 
 
 @query("law_line_classes", f"WITH {_LEGAL} SELECT {_LEVEL} AS level, count(*) AS n FROM legal GROUP BY 1")

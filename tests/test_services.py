@@ -209,6 +209,12 @@ def test_offsets_and_zones(spark):
     got = spark.createDataFrame([(text, [4, 14])], "x string, s array<long>").select(parse.slice_articles(F.col("x"), F.col("s"))).first()[0]
     assert got == ["Pasal 1\nx\n", "Pasal 2\ny"]
     assert evaluate.new_processes(spark.createDataFrame([(1, "s", "t", ("a",))], "process_id int, session string, title string, material struct<k:string>")).first().material == '{"k":"a"}'
+    material = "struct<dasar_hukum:array<struct<catatan_validasi:string>>>"
+    asked = spark.createDataFrame([("Pasal 5 dan Pasal 7", "Pasal 5", ([("-",)],)), ("Pasal 5 dan Pasal 7", "Pasal 5", ([("beda",)],)), ("Pasal 5", "Pasal 5", ([],))], f"q string, c string, m {material}")
+    assert [r[0] for r in asked.select(evaluate.needs_hint(F.col("q"), F.col("c"), F.col("m"))).collect()] == [True, False, False]
+    named = spark.createDataFrame([(1, 0, "Menimbang : x", "own", 9), (1, 1, "Pasal 1", "own", 9), (1, 2, "PENJELASAN", "own", 9)], "doc_id int, pos int, line string, body string, notes int")
+    got = lines.zone_of_lines(named).orderBy("pos")
+    assert [(r.zone, r.body, r.notes) for r in got.collect()] == [(z, "own", 9) for z in ("preamble", "body", "notes")]
     assert spark.range(1).select(evaluate.carry_over(F.lit(None).cast("double"), F.lit(0.5))).first()[0] == 0.5
 
 
