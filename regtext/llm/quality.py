@@ -2,7 +2,8 @@
 
 1. One pass over all texts sums, for every word and every shape of words (capitals, signs, digits), the index vectors of
    the words beside it. An index vector has a few +1 and -1, at places that the word's hash gives, so no table of
-   them is needed. Sums are pre-aggregated in the map tasks and added up by word in an exchange.
+   them is needed. Sums are pre-aggregated in the map tasks and added up by word behind an exchange and a sort, so
+   what a task holds does not grow with the vocabulary.
 2. The roots of the sums, at unit length, are the vectors. Those of the most frequent words (at most HEAD, all with LEAST
    occurrences) travel with the tasks; any other word is worth the index vectors beside it in its own text, which
    is what its vector is a sum of. A second pass pools each document and adds length, repetition and variety.
@@ -92,25 +93,6 @@ def _added(h: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray,
     return (h[first], np.add.reduceat(n[order], first), np.add.reduceat(total[order], first, dtype=np.int64)) if len(h) else (h, n, total)
 
 
-class Sums:
-    """hash -> number of occurrences and sum of neighbours; new rows are added up when they are as many as the old ones."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held = self.merged = 0
-
-    def add(self, h: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
-        self.parts.append((h, n, total))
-        self.held += len(h)
-        if self.held > max(200_000, 2 * self.merged):
-            self.parts = [self.all()]
-            self.held = self.merged = len(self.parts[0][0])
-
-    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, DIM), np.int64)
-        return _added(*(np.concatenate(c) for c in zip(empty, *self.parts, strict=True)))
-
-
 def _sum_rows(h: np.ndarray, n: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows with the sums in the smallest numbers that hold them: half a byte each for rare words."""
     most = np.abs(total).max(1, initial=0)
@@ -165,24 +147,38 @@ def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emptied()
 
 
+def _sums(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, occurrences and sums of the rows of _sum_rows."""
+    data = b.column(2).to_pylist()
+    size, total = np.array([len(d) for d in data]), np.zeros((len(data), DIM), np.int64)
+    for kind, width in ((np.uint8, DIM // 2), (np.int8, DIM), (np.int16, 2 * DIM), (np.int64, 8 * DIM)):
+        at = np.flatnonzero(size == width)
+        part = np.frombuffer(b"".join([data[i] for i in at]), kind).reshape(len(at), width // np.dtype(kind).itemsize)
+        total[at] = _whole(part) if width == DIM // 2 else part
+    return b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), total
+
+
 def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: words with LEAST occurrences, and their vectors in bytes."""
-    sums = Sums()
+    """Reduce side, in order of the hashes: words with LEAST occurrences, and their vectors in bytes. Held are a batch and the word that may go on in the next."""
+
+    def vectors(hashes: np.ndarray, counts: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        often = counts >= LEAST
+        hashes, counts, total = hashes[often], counts[often], total[often]
+        rooted = np.sign(total) * np.sqrt(np.abs(total))  # else the most frequent neighbours drown the others
+        norm = np.sqrt((rooted**2).sum(1, keepdims=True))
+        data = np.round(rooted / np.where(norm > 0, norm, 1) * 127).astype(np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts), pa.array([v.tobytes() for v in data], pa.binary())], ["h", "n", "vector"])
+
+    held = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, DIM), np.int64)
     for b in batches:
-        h, n, data = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_pylist()
-        size = np.array([len(d) for d in data])
-        for kind, width in ((np.uint8, DIM // 2), (np.int8, DIM), (np.int16, 2 * DIM), (np.int64, 8 * DIM)):
-            at = np.flatnonzero(size == width)
-            part = np.frombuffer(b"".join([data[i] for i in at]), kind).reshape(len(at), width // np.dtype(kind).itemsize)
-            sums.add(h[at], n[at], _whole(part) if width == DIM // 2 else part.astype(np.int64))
-    hashes, counts, total = sums.all()
-    often = counts >= LEAST
-    hashes, counts, total = hashes[often], counts[often], total[often]
-    rooted = np.sign(total) * np.sqrt(np.abs(total))  # else the most frequent neighbours drown the others
-    norm = np.sqrt((rooted**2).sum(1, keepdims=True))
-    vectors = np.round(rooted / np.where(norm > 0, norm, 1) * 127).astype(np.int8)
-    for a in range(0, len(hashes), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[a : a + 20_000].view(np.int64)), pa.array(counts[a : a + 20_000]), pa.array([v.tobytes() for v in vectors[a : a + 20_000]], pa.binary())], ["h", "n", "vector"])
+        if b.num_rows:
+            rows = _sums(b)
+            last = rows[0][-1]
+            rows = _added(*(np.concatenate(c) for c in zip(held, rows, strict=True)))
+            done = rows[0] != last
+            yield vectors(*(c[done] for c in rows))
+            held = tuple(c[~done] for c in rows)
+    yield vectors(*held)
 
 
 class Vectors:
@@ -203,7 +199,7 @@ class Vectors:
 def word_vectors(docs: DataFrame, text_col: str = "text", head: int = HEAD) -> Vectors:
     """Vectors learned from every text, of at most so many words: all above a count."""
     parts = map_batches(docs.select(text_bytes(text_col).alias("text")), _neighbours, "h long, n long, sum binary")
-    table = materialise(map_batches(parts.repartition(partitions(docs.sparkSession), "h"), _vectors, "h long, n long, vector binary"), "vectors")
+    table = materialise(map_batches(parts.repartition(partitions(docs.sparkSession), "h").sortWithinPartitions("h"), _vectors, "h long, n long, vector binary"), "vectors")
     band = F.floor(F.log2("n") * 8).cast("int")
     least, taken = 1 << 30, 0
     for k, n in sorted(map(tuple, table.groupBy(band).count().collect()), reverse=True):

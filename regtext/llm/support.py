@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,8 @@ SLICE_BYTES, SLICE_ROWS = 8 << 20, 2000
 #: A key with more than one row in HOT is hot, so there are fewer than HOT of them.
 HOT = 256
 
-_WRITTEN: list[str] = []
+#: The tables written inside a scratch(), of this thread alone; none are noted outside.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -40,8 +42,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is not set: on a cluster, intermediate tables need a shared folder")
         base = _local_base(spark)
-    _WRITTEN.append(f"{base.rstrip('/')}/regtext-{uuid.uuid4().hex[:12]}-{name}")
-    return _WRITTEN[-1]
+    path = f"{base.rstrip('/')}/regtext-{uuid.uuid4().hex[:12]}-{name}"
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
+    return path
 
 
 _LOCAL: dict[str, str] = {}
@@ -58,13 +62,14 @@ def _local_base(spark: SparkSession) -> str:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes the intermediate tables that were written inside when it ends; results have to be written by then."""
-    first = len(_WRITTEN)
+    written: list[str] = []
+    outer = _WRITTEN.set(written)
     try:
         yield
     finally:
-        for path in _WRITTEN[first:]:
+        _WRITTEN.reset(outer)
+        for path in written:
             remove(spark, path)
-        del _WRITTEN[first:]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -358,6 +359,44 @@ def test_word_vectors_against_brute_force(spark):
             assert np.abs(got.vectors[place[x]] - np.round(127 * rooted / max(1e-9, np.linalg.norm(rooted)))).max() <= 1
 
 
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 100])
+def test_words_that_go_on_in_the_next_batch(step):
+    rng = np.random.default_rng(step)
+    h = np.sort(rng.integers(-4, 4, 60) * (1 << 61)).view(np.uint64)
+    n, total = rng.integers(1, 4, 60), rng.integers(-300, 300, (60, quality.DIM)) // rng.choice([1, 50, 1000], (60, 1))
+    rows = pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array([b"".join(next(quality._sum_rows(h[i : i + 1], n[i : i + 1], total[i : i + 1])).column(2).to_pylist()) for i in range(60)], pa.binary())], ["h", "n", "sum"])
+    got = {k: (c, v) for b in quality._vectors(rows.slice(a, step) for a in range(0, 60, step)) for k, c, v in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)}
+    want = {}
+    for k in set(h.view(np.int64).tolist()):
+        at = h.view(np.int64) == k
+        rooted = np.sign(total[at].sum(0)) * np.sqrt(np.abs(total[at].sum(0)))
+        if n[at].sum() >= quality.LEAST:
+            want[k] = (n[at].sum(), np.round(rooted / np.linalg.norm(rooted) * 127).astype(np.int8).tobytes())
+    assert got == want
+
+
+def test_scratch_of_two_threads(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from regtext.llm.support import materialise, scratch
+
+    both = Barrier(2)
+
+    def run(k):
+        with scratch(spark):
+            stored = materialise(spark.range(k), "numbers")
+            both.wait(60)
+            if k == 2:  # the other's table goes while this one is in use
+                both.wait(60)
+                return stored.count()
+        both.wait(60)
+        return k
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(run, (1, 2))) == [1, 2]
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(4000, 6))
