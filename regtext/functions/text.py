@@ -114,7 +114,7 @@ def joins(line: Column, following: Column, fixed: bool = False) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def _let(value: Column, body) -> Column:
+def once(value: Column, body) -> Column:
     """body of a value that is worked out once, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -131,7 +131,7 @@ def join_wrapped(text: Column, fixed: bool = False) -> Column:
         return F.struct(F.array_join(ends, "").alias("text"), F.aggregate(marks, F.lit(0), lambda a, m: a + m).alias("n"))
 
     pairs = lambda lines: F.zip_with(F.concat(F.array(F.lit("")), F.slice(lines, F.lit(1), F.size(lines) - 1)), lines, lambda a, b: F.when(joins(a, b, fixed), 1).otherwise(0))
-    return _let(F.split(text, "\n", -1), lambda lines: _let(F.struct(lines.alias("lines"), pairs(lines).alias("marks")), put))
+    return once(F.split(text, "\n", -1), lambda lines: once(F.struct(lines.alias("lines"), pairs(lines).alias("marks")), put))
 
 
 def repair(text: Column, fixed: bool = False) -> Column:
@@ -143,19 +143,19 @@ def repair(text: Column, fixed: bool = False) -> Column:
             total = h["n"] + s["n"] + o["n"] + j["n"]
             return F.struct(j["text"].alias("text"), h["n"].alias("hyphens"), s["n"].alias("spaced"), o["n"].alias("noise"), j["n"].alias("joined"), total.alias("total"), (total > 0).alias("was_repaired"))
 
-        return _let(join_wrapped(o["text"], fixed), done)
+        return once(join_wrapped(o["text"], fixed), done)
 
     def noise(x: Column) -> Column:
         """drop_noise with each stage worked out once."""
         out = F.struct(x.alias("text"), F.lit(0).alias("n"))
         for pattern, good in NOISE:
-            out = _let(out, step(pattern, good))
+            out = once(out, step(pattern, good))
         return out
 
     def step(pattern: str, good: str):
         return lambda v: F.struct(F.regexp_replace(v["text"], pattern, good).alias("text"), (v["n"] + F.regexp_count(v["text"], F.lit(pattern))).alias("n"))
 
-    return _let(_let(text, pair(join_hyphens)), lambda h: _let(_let(h["text"], pair(close_spaced)), lambda s: _let(noise(s["text"]), lambda o: finish(h, s, o))))
+    return once(once(text, pair(join_hyphens)), lambda h: once(once(h["text"], pair(close_spaced)), lambda s: once(noise(s["text"]), lambda o: finish(h, s, o))))
 
 
 def repaired(rows: DataFrame, column: str = "text", fixed: bool = False) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regtext.functions.text import strip
+from regtext.functions.text import once, strip
 
 # Patterns of structural lines.
 CHAPTER = r"(?i)^\s*BAB\s+([IVXLCDM]+|\d+)(?:\s+(.+))?$"
@@ -85,10 +87,10 @@ def articles(lines: DataFrame) -> DataFrame:
     return body.groupBy("doc_id", "pasal_seq").agg(first("pasal_number").alias("pasal_number"), first("bab_number").alias("bab_number"), first("bab_title").alias("bab_title"), text.alias("text"), first("char_start").alias("char_start"), F.count(F.when(F.col("level") == "ayat", 1)).alias("n_ayat"))
 
 
-def paragraphs(articles: DataFrame) -> DataFrame:
-    """One row per paragraph: ayat_number (null: the article has no numbered ones), text, points."""
+def paragraphs(articles: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per paragraph: ayat_number (null: the article has no numbered ones), text, points; keep: further columns of the articles."""
     keys = ["doc_id", "pasal_seq", "pasal_number"]
-    lines = articles.select(*keys, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(~F.col("line").rlike(ARTICLE) & (strip("line") != ""))
+    lines = articles.select(*keys, *keep, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(~F.col("line").rlike(ARTICLE) & (strip("line") != ""))
     w = Window.partitionBy(*keys).orderBy("pos")
     number = F.nullif(F.regexp_extract("line", PARAGRAPH, 1), F.lit(""))
     at = lines.withColumn("ayat_number", F.last(number.try_cast("int"), True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -97,8 +99,8 @@ def paragraphs(articles: DataFrame) -> DataFrame:
     kept = at.withColumn("most", most).where("seq > 0 or most = 0")
     body = F.when(number.isNotNull(), F.regexp_extract("line", PARAGRAPH, 2)).otherwise(strip("line"))
     listed = F.array_sort(F.collect_list(F.struct("pos", body.alias("line"))))
-    out = kept.groupBy(*keys, "seq").agg(F.max("ayat_number").alias("ayat_number"), F.transform(listed, lambda x: x.line).alias("l"))
-    return out.select(*keys, "seq", "ayat_number", F.array_join("l", "\n").alias("text"), points(F.col("l")).alias("points"))
+    out = kept.groupBy(*keys, "seq").agg(F.max("ayat_number").alias("ayat_number"), F.transform(listed, lambda x: x.line).alias("l"), *(F.first(c).alias(c) for c in keep))
+    return out.select(*keys, *keep, "seq", "ayat_number", F.array_join("l", "\n").alias("text"), points(F.col("l")).alias("points"))
 
 
 def points(lines: Column) -> Column:
@@ -137,8 +139,9 @@ def preamble(lines: DataFrame) -> DataFrame:
 def split_notes(text: Column) -> Column:
     """Array of (pasal, text): what stands between mentions of articles; empty stretches are left out."""
     mention = r"(?i)\bPasal\s+(\d+[A-Za-z]*)\b"
-    numbers, between = F.regexp_extract_all(text, F.lit(mention), 1), F.split(text, mention, -1)
-    pairs = F.transform(numbers, lambda n, i: F.struct(n.alias("pasal"), strip(F.regexp_replace(F.get(between, i + 1), r"^\s+|\s+$", "")).alias("text")))
+    numbers = F.regexp_extract_all(text, F.lit(mention), 1)
+    # the text is cut once: a split inside the lambda would be worked out again for every mention
+    pairs = once(F.split(text, mention, -1), lambda between: F.transform(numbers, lambda n, i: F.struct(n.alias("pasal"), strip(F.get(between, i + 1)).alias("text"))))
     return F.filter(pairs, lambda p: p["text"] != "")
 
 
