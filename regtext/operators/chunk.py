@@ -27,15 +27,26 @@ def plain_title(title: Column, number: Column) -> Column:
     return F.when(rest == "", title).otherwise(rest)
 
 
+def _rows(df: DataFrame, chunks: Column) -> DataFrame:
+    """The chunks of an array, so that what they are made of is made once."""
+    return df.select("doc_id", F.explode(chunks).alias("c")).select("doc_id", "c.*")
+
+
+def titled(articles: DataFrame) -> DataFrame:
+    """articles with their title; with it among the columns that paragraphs keep, children need no join."""
+    return articles.withColumn("title", article_title(F.col("text"), F.col("pasal_number")))
+
+
 def article_parents(articles: DataFrame) -> DataFrame:
     n = F.col("pasal_number")
-    return articles.where(strip("text") != "").select(*_chunk("parent", BODY, F.concat(F.lit("parent_pasal_"), n), strip("text"), title=article_title(F.col("text"), n), pasal=first_int(n)))
+    articles = articles if "title" in articles.columns else titled(articles)
+    return articles.where(strip("text") != "").select(*_chunk("parent", BODY, F.concat(F.lit("parent_pasal_"), n), strip("text"), title=F.col("title"), pasal=first_int(n)))
 
 
 def article_children(articles: DataFrame, paragraphs: DataFrame, child_text: str = "title") -> DataFrame:
     """Children of paragraphs and points. child_text 'title' names the article only, 'full' adds the paragraph's text."""
     keys = ["doc_id", "pasal_seq", "pasal_number"]
-    p = paragraphs.join(articles.select(*keys, F.col("text").alias("whole")), keys).withColumn("title", article_title(F.col("whole"), F.col("pasal_number")))
+    p = paragraphs if "title" in paragraphs.columns else paragraphs.join(titled(articles).select(*keys, "title"), keys)
     n, a = F.col("pasal_number"), F.col("ayat_number")
     parent, base = F.concat(F.lit("parent_pasal_"), n), F.concat(F.lit("child_pasal_"), n)
     numbered = a.isNotNull()
@@ -58,28 +69,30 @@ def article_children(articles: DataFrame, paragraphs: DataFrame, child_text: str
 def preamble_chunks(preambles: DataFrame) -> DataFrame:
     parent = F.lit("parent_konsiderans")
     some = preambles.where((F.size("menimbang") > 0) | (F.col("mengingat") != ""))
-    own = some.select(*_chunk("parent", PREAMBLE, parent, F.col("full_text"), title=F.lit("Menimbang dan Mengingat")))
-    points = some.withColumn("x", F.explode("menimbang")).select(*_chunk("child", PREAMBLE, F.concat(F.lit("child_konsiderans_menimbang_"), F.col("x.huruf")), F.concat(F.lit("Menimbang huruf "), F.col("x.huruf"), F.lit(": "), F.col("x.text")), parent, huruf=F.col("x.huruf")))
-    view = some.where("mengingat <> ''").select(*_chunk("child", PREAMBLE, F.lit("child_konsiderans_mengingat"), F.concat(F.lit("Mengingat: "), F.col("mengingat")), parent))
-    return own.unionByName(points).unionByName(view)
+    one = lambda *a, **b: F.struct(*_chunk(*a, **b)[1:])
+    own = one("parent", PREAMBLE, parent, F.col("full_text"), title=F.lit("Menimbang dan Mengingat"))
+    points = F.transform("menimbang", lambda x: one("child", PREAMBLE, F.concat(F.lit("child_konsiderans_menimbang_"), x["huruf"]), F.concat(F.lit("Menimbang huruf "), x["huruf"], F.lit(": "), x["text"]), parent, huruf=x["huruf"]))
+    view = one("child", PREAMBLE, F.lit("child_konsiderans_mengingat"), F.concat(F.lit("Mengingat: "), F.col("mengingat")), parent)
+    return _rows(some, F.when(F.col("mengingat") != "", F.concat(F.array(own), points, F.array(view))).otherwise(F.concat(F.array(own), points)))
 
 
 def note_chunks(notes: DataFrame) -> DataFrame:
     """notes: doc_id, text, parts (of split_notes). One pair for each article that is mentioned; one for the whole, where none is."""
 
-    def pair(df: DataFrame, name: Column, title: Column, whole: Column, own: Column, about: Column | None = None) -> DataFrame:
+    def pair(name: Column, title: Column, whole: Column, own: Column, about: Column | None = None) -> Column:
         parent = F.concat(F.lit("parent_penjelasan_"), name)
-        child = df.select(*_chunk("child", NOTES, F.concat(F.lit("child_penjelasan_"), name, F.lit("_isi")), own, parent, about=about))
-        return df.select(*_chunk("parent", NOTES, parent, whole, title=title, about=about)).unionByName(child)
-
-    text, n = strip("text"), F.col("x.pasal")
-    general = notes.where((F.size("parts") == 0) & (text != ""))
-    each = notes.withColumn("x", F.explode("parts"))
-    said = strip(F.col("x.text"))
-    heading = F.concat(F.lit("II. PASAL DEMI PASAL\nPasal "), n, F.lit("\n"), said)
-    about = F.concat(F.lit("Tafsir Resmi Pasal "), n, F.lit(": "), said)
-    whole = pair(general, F.lit("umum"), F.lit("Penjelasan Umum"), text, text)
-    return whole.unionByName(pair(each, F.concat(F.lit("pasal_"), n), F.concat(F.lit("Penjelasan Pasal "), n), heading, about, first_int(n)))
+        child = _chunk("child", NOTES, F.concat(F.lit("child_penjelasan_"), name, F.lit("_isi")), own, parent, about=about)
+        return F.array(F.struct(*_chunk("parent", NOTES, parent, whole, title=title, about=about)[1:]), F.struct(*child[1:]))
+
+    def each(x: Column) -> Column:
+        n, said = x["pasal"], strip(x["text"])
+        heading = F.concat(F.lit("II. PASAL DEMI PASAL\nPasal "), n, F.lit("\n"), said)
+        about = F.concat(F.lit("Tafsir Resmi Pasal "), n, F.lit(": "), said)
+        return pair(F.concat(F.lit("pasal_"), n), F.concat(F.lit("Penjelasan Pasal "), n), heading, about, first_int(n))
+
+    text = strip("text")
+    whole = pair(F.lit("umum"), F.lit("Penjelasan Umum"), text, text)
+    return _rows(notes, F.when(F.size("parts") > 0, F.flatten(F.transform("parts", each))).when((F.size("parts") == 0) & (text != ""), whole))
 
 
 def level(section: Column, kind: Column, ayat: Column) -> Column:

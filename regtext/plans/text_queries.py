@@ -9,7 +9,7 @@ from regtext.functions import questions as q
 from regtext.functions import text as t
 from regtext.operators import chunk, lines, parse
 from regtext.plans.catalog import ORACLES, query
-from regtext.sources.tables import table
+from regtext.sources.tables import stored, table
 
 _WS = f"'{t.SPACE}'"
 _LINES = "lines AS (SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
@@ -266,7 +266,7 @@ _MENTION = r"'(?i)\bPasal\s+(\d+[A-Za-z]*)\b'"
     e AS (SELECT doc_id, unnest(numbers) AS pasal, trim(unnest(parts), {_WS}) AS text, generate_subscripts(numbers, 1) AS i FROM m)
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, pasal, text FROM e WHERE text <> ''""")
 def law_penjelasan_split(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.regexp_replace("text", r"\. ", ". Pasal 7 ")
+    text = F.replace("text", F.lit(". "), F.lit(". Pasal 7 "))
     return table(spark, sf, "documents").select("doc_id", F.posexplode(parse.split_notes(text)).alias("n", "x")).select("doc_id", F.col("n").cast("long").alias("n"), "x.pasal", "x.text")
 
 
@@ -315,9 +315,15 @@ def law_asof_chapter(spark: SparkSession, sf: str) -> DataFrame:
     return parse.as_of_chapters(c.where("kind in ('bab', 'pasal')"))
 
 
+def _titled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Articles, stored, as parents and children are both made of them, and their paragraphs."""
+    a = stored(chunk.titled(parse.articles(legal_lines(spark, sf))), "articles")
+    return a, parse.paragraphs(a, ["title"])
+
+
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    a = parse.articles(legal_lines(spark, sf))
-    return chunk.article_parents(a).unionByName(chunk.article_children(a, parse.paragraphs(a)))
+    a, p = _titled(spark, sf)
+    return chunk.article_parents(a).unionByName(chunk.article_children(a, p))
 
 
 @query("chunk_parents", f"WITH {_AT} SELECT doc_id, 'parent_pasal_' || min(pasal_number) AS chunk_id, trim(string_agg(line, chr(10) ORDER BY pos), {_WS}) AS text, min(pasal_number)::INT AS pasal FROM al WHERE pasal_seq > 0 AND level <> 'bab' GROUP BY doc_id, pasal_seq")
@@ -327,7 +333,8 @@ def chunk_parents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("chunk_children", f"WITH {_AT}, {_PARAGRAPHS}, {_CHUNKS} SELECT doc_id, chunk_id, parent_id, text, pasal, ayat, huruf FROM children")
 def chunk_children(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).where("type = 'child'").select("doc_id", "chunk_id", "parent_id", "text", "pasal", "ayat", "huruf")
+    a = chunk.titled(parse.articles(legal_lines(spark, sf)))
+    return chunk.article_children(a, parse.paragraphs(a, ["title"])).select("doc_id", "chunk_id", "parent_id", "text", "pasal", "ayat", "huruf")
 
 
 @query("chunk_levels", f"WITH {_AT}, {_PARAGRAPHS}, {_CHUNKS} SELECT level, type, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM counted GROUP BY level, type")
@@ -344,10 +351,10 @@ def _all_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Preambles and bodies from all lines of a document, notes from its whole text."""
     pos = F.col("pos")
     head = doc_lines(spark, sf).withColumn("line", F.when(pos == 0, "Menimbang :").when(pos == 1, F.concat(F.lit("a. "), "line")).when(pos == 3, "Mengingat :").otherwise(F.col("line")))
-    a = parse.articles(legal_lines(spark, sf))
-    marked = F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.regexp_replace("text", r"\. ", ". Pasal 7 "))
+    a, p = _titled(spark, sf)
+    marked = F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.replace("text", F.lit(". "), F.lit(". Pasal 7 ")))
     notes = table(spark, sf, "documents").select("doc_id", "text", parse.split_notes(marked).alias("parts"))
-    return chunk.united(parse.preamble(head), a, parse.paragraphs(a), notes)
+    return chunk.united(parse.preamble(head), a, p, notes)
 
 
 _SECTIONS = rf"""pre AS (SELECT doc_id, pos, trim(CASE pos WHEN 0 THEN 'Menimbang :' WHEN 1 THEN 'a. ' || line WHEN 3 THEN 'Mengingat :' ELSE line END, {_WS}) AS l FROM lines),
