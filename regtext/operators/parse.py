@@ -12,8 +12,8 @@ from regtext.functions.text import once, strip
 # Patterns of structural lines.
 CHAPTER = r"(?i)^\s*BAB\s+([IVXLCDM]+|\d+)(?:\s+(.+))?$"
 ARTICLE = r"(?i)^\s*Pasal\s+(\d+[A-Za-z]?)\s*$"
-PARAGRAPH = r"^\s*\((\d+)\)\s+(.+)$"
-POINT = r"^\s*([a-z])\.\s+(.+)$"
+PARAGRAPH = r"(?d)^\s*\((\d+)\)\s+(.+)$"
+POINT = r"(?d)^\s*([a-z])\.\s+(.+)$"
 PART = r"(?i)^\s*Bagian\s+(Kesatu|Kedua|Ketiga|Keempat|Kelima|Keenam|Ketujuh|Kedelapan|Kesembilan|Kesepuluh|Pertama|[IVXLCDM]+|\d+)\b"
 LAW = r"(?i)(UNDANG-UNDANG|PERATURAN PEMERINTAH|PERATURAN PRESIDEN|PERATURAN MENTERI)(?:\s+REPUBLIK INDONESIA)?\s+NOMOR\s+(\d+)\s+TAHUN\s+(\d{4})"
 ABOUT = r"(?i)TENTANG\s+(.+?)(?:\n|$)"
@@ -118,7 +118,7 @@ def points(lines: Column) -> Column:
 
 def article_title(text: Column, number: Column) -> Column:
     """'Pasal n - ' and the first useful line, cut to 60 characters."""
-    lines = F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda x: (x != "") & ~x.rlike(ARTICLE))
+    lines = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: (x != "") & ~x.rlike(ARTICLE))
     first = F.filter(lines, lambda x: x.rlike(PARAGRAPH) | ((F.length(x) < 80) & ~x.rlike(POINT)))
     picked = F.get(first, F.lit(0))
     useful = F.when(picked.rlike(PARAGRAPH), F.regexp_extract(picked, PARAGRAPH, 2)).otherwise(picked)

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from regtext.operators import parse, retrieve
+from regtext.operators import lexical, parse, retrieve
 
 
 def test_notes_of_a_text_with_very_many_mentions(spark):
@@ -38,3 +38,22 @@ def test_best_pairs_lose_nothing_that_tiers_need(spark):
         assert rows(best) == rows(pairs)
         assert 0 < best.count() < pairs.count() / 2
     assert sorted(map(str, retrieve.tiered(retrieve.best_pairs(asked, points, 7, broadcast_bytes=2000), 7).select(*columns).collect())) == sorted(map(str, retrieve.tiered(retrieve.scored(asked, points), 7).select(*columns).collect()))
+
+
+def test_titles_without_white_space_of_any_kind(spark):
+    texts = ["Pasal 1\n\tIsi pendek\u00a0", "Pasal 1\n\u3000(2) satu\u2028dua ", "Pasal 1\n" + "x" * 79 + "\t"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(parse.article_title(F.col("t"), F.lit("1"))).collect()]
+    assert got == ["Pasal 1 - Isi pendek", "Pasal 1 - satu\u2028dua", "Pasal 1 - " + "x" * 60]
+
+
+def test_hashed_texts_stay_where_they_are(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [(k, " ".join(rng.choice(["Ä-b", "c", "d", f"w{rng.randint(0, 400)}"]) for _ in range(rng.randint(0, 60))), k % 4) for k in range(300)] + [(300, None, 3), (301, "...", 3)]
+    rows = spark.createDataFrame(texts, "k long, text string, level int")
+    counts, vectors = (lambda: lexical.hashed_counts(rows, ["k"])), (lambda: lexical.hashed_embeddings(rows, ["k"], level_col="level"))
+    plan = counts()._jdf.queryExecution().executedPlan().toString() + vectors()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    listed = lambda: ({(r.k, r.bucket): round(r.weight, 9) for r in counts().collect()}, {r.k: r.embedding and [round(x, 5) for x in r.embedding] for r in vectors().collect()})
+    here = listed()
+    monkeypatch.setattr(lexical, "HEAD", 3)
+    assert here == listed() and here[1][300] is None and here[1][301] is None and here[1][0] is None
