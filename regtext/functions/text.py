@@ -91,6 +91,8 @@ def close_spaced(text: Column) -> tuple[Column, Column]:
     return F.regexp_replace(text, _SPACED, ""), F.regexp_count(text, F.lit(_SPACED_RUN))
 
 
+#: What a text has to hold for each rule to have work (by a plain search; None: the pattern itself says so).
+_NOISE_NEEDS = ["1", "|", "...", ",,", ";;", None, None]
 #: Whether any rule for noise has work: most texts have none.
 _ANY_NOISE = "|".join(p for p, _ in NOISE)
 
@@ -174,9 +176,10 @@ def repaired(rows: DataFrame, column: str = "text", fixed: bool = False) -> Data
     broken = t.contains("-\n")
     out = stage(stage(zero(out), _DOUBLED, "$1-$2", only=broken), _BROKEN, "$1$2", only=broken).withColumn(own["hyphens"], n)
     out = stage(zero(out), _SPACED, "", _SPACED_RUN).withColumn(own["spaced"], n)
-    out = zero(out).withColumn(own["noisy"], t.rlike(_ANY_NOISE))
-    for pattern, good in NOISE:
-        out = stage(out, pattern, good, only=col["noisy"])
+    # most texts hold nothing odd, which plain searches and one class of characters tell
+    out = zero(out).withColumn(own["noisy"], t.rlike(NOISE[-1][0]))
+    for (pattern, good), need in zip(NOISE, _NOISE_NEEDS, strict=True):
+        out = stage(out, pattern, good, only=col["noisy"] if need is None else t.contains(need))
     out = out.withColumn(own["noise"], n).withColumn(own["j"], join_wrapped(t, fixed))
     joined = F.col(f"{own['j']}.n")
     total = col["hyphens"] + col["spaced"] + col["noise"] + joined
@@ -192,6 +195,14 @@ def clean_page(text: Column, fixed: bool = False) -> Column:
     return normalise_space(drop_page_numbers(repair(text, fixed)["text"]))
 
 
+def cleaned_pages(rows: DataFrame, column: str = "text", fixed: bool = False) -> DataFrame:
+    """rows with clean_page() of a column as clean, in projections of their own as repaired() does it."""
+    own = fresh([*rows.columns, "r", "clean"], "page")
+    text = fix_artifacts(strip_invisible(nfc(F.col(column))))
+    out = repaired(rows.withColumn(own, drop_page_numbers(text) if fixed else text), own, fixed)
+    return out.withColumn("clean", normalise_space(drop_page_numbers(F.col("r.text")))).select(*(c for c in rows.columns if c != "clean"), "clean")
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regtext.functions.text import SPACE, drop_page_markers, joins, normalise_space, repair, strip
+from regtext.functions.text import SPACE, drop_page_markers, joins, normalise_space, repaired, strip
 from regtext.sources.tables import fresh
 
 
@@ -62,7 +62,7 @@ def join_pages(pages: DataFrame, times: int = 3) -> DataFrame:
     lines = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     kept = drop_running_titles(lines, times).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "pos", "line"))).alias("l"))
     text = drop_page_markers(F.array_join(F.transform("l", lambda x: x.line), "\n"))
-    fixed = kept.select("doc_id", repair(text).alias("r"))
+    fixed = repaired(kept.select("doc_id", text.alias("text")))
     return fixed.select("doc_id", normalise_space(F.col("r.text")).alias("text"), F.col("r.total").alias("repairs"))
 
 

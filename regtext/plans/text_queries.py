@@ -113,8 +113,8 @@ def txt_repair_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("txt_clean_pages")
 def txt_clean_pages(spark: SparkSession, sf: str) -> DataFrame:
-    clean = t.clean_page(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", clean.alias("clean")).withColumns({"word_count": t.token_count(F.col("clean")), "char_count": F.length("clean").cast("long")}).drop("clean")
+    clean = t.cleaned_pages(table(spark, sf, "documents", "doc_id", "text"))
+    return clean.select("doc_id", "clean").withColumns({"word_count": t.token_count(F.col("clean")), "char_count": F.length("clean").cast("long")}).drop("clean")
 
 
 @query("txt_token_count", r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS tokens, length(text) AS chars FROM documents")

@@ -5,7 +5,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from regtext.functions import text as t
 from regtext.operators import lexical, parse, retrieve
+from regtext.sources import knowledge
 
 
 def test_notes_of_a_text_with_very_many_mentions(spark):
@@ -57,3 +59,26 @@ def test_hashed_texts_stay_where_they_are(spark, monkeypatch):
     here = listed()
     monkeypatch.setattr(lexical, "HEAD", 3)
     assert here == listed() and here[1][300] is None and here[1][301] is None and here[1][0] is None
+
+
+def test_staged_cleaning_is_that_of_columns(spark):
+    rng = random.Random(7)
+    parts = ["a1b", "12", "|", "a|b", "....", "..", ",,", ";;", "■", "Ā", "ɐ", "字", " ", "\n", "x-\ny", "P a s a l", "Halaman 3\n", "ﬁ", "\u00ad", "é"]
+    rows = spark.createDataFrame([(k, "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))) for k in range(400)] + [(400, None)], "k int, x string").repartition(4)
+    for fixed in (False, True):
+        got = {r.k: r.clean for r in t.cleaned_pages(rows, "x", fixed).collect()}
+        assert got == {r.k: r.c for r in rows.select("k", t.clean_page(F.col("x"), fixed).alias("c")).collect()}
+    assert {r.k: r.r for r in t.repaired(rows, "x").collect()} == {r.k: r.r for r in rows.select("k", t.repair(F.col("x")).alias("r")).collect()} | {400: t.repaired(rows.where("k = 400"), "x").first().r}
+
+
+def test_pages_of_files_of_all_kinds(spark):
+    files = spark.createDataFrame([("a", bytearray(b"1\n2")), ("b", bytearray(b"")), ("c", bytearray(b"\xff")), ("d", None)], "path string, content binary").coalesce(1)
+    got = [tuple(r) for r in knowledge.extract_pages(files, lambda c: c.decode().split("\n") if c else []).collect()]
+    assert got[:3] == [("a", 1, "1", None), ("a", 2, "2", None), ("b", None, None, "no pages")]
+    assert [r[:3] for r in got[3:]] == [("c", None, None), ("d", None, None)] and got[3][3].startswith("UnicodeDecodeError") and got[4][3].startswith("TypeError")
+
+
+def test_chapter_titles_need_the_first_two_lines_only(spark):
+    first = lambda x: spark.createDataFrame([(x,)], "x string").select(parse.first_lines(F.col("x"))).first()[0]
+    assert first("\n \nBAB I\n\u00a0\n Umum \nrest\n" + "z" * 1000) == "\n \nBAB I\n\u00a0\n Umum \n"
+    assert first("BAB I Pasal 2") == "BAB I Pasal 2" and first("") == "" and first(" \n") in ("", " \n")
