@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from regtext.sources.tables import fresh, stored
 REQUIRED = ["question", "ground_truth", "reference_context"]
 #: Bytes that an audio file may have.
 AUDIO_BYTES = 5 << 20
+#: Bytes of files whose pages are held at once.
+SLICE_BYTES = 4 << 20
 #: Partitions that the points of a base and role are dealt into.
 BUCKETS = 16
 
@@ -72,18 +75,25 @@ def extract_pages(files: DataFrame, extractor: Callable[[bytes], list[str]]) ->
     A file that fails or has no page becomes a row with an issue, never a failed job.
     """
 
-    def pages(frames):
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    found = extractor(bytes(content))
-                    rows += [(path, k, text, None) for k, text in enumerate(found, 1)] or [(path, None, None, "no pages")]
-                except Exception as error:  # whatever a file does to its reader is its own issue
-                    rows.append((path, None, None, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["path", "page", "text", "issue"]).astype({"page": "Int32"})
-
-    return files.select("path", "content").mapInPandas(pages, "path string, page int, text string, issue string")
+    def read(path: str, content: bytes | None) -> list[tuple]:
+        try:
+            return [(path, k, text, None) for k, text in enumerate(extractor(bytes(content)), 1)] or [(path, None, None, "no pages")]
+        except Exception as error:  # whatever a file does to its reader is its own issue
+            return [(path, None, None, f"{type(error).__name__}: {error}")]
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string()]
+        for batch in batches:
+            rows, size = [], 0
+            for n in range(batch.num_rows):  # one file at a time, and few pages of the files before it
+                content = batch["content"][n].as_py()
+                rows += read(batch["path"][n].as_py(), content)
+                size += len(content or b"") + 100
+                if size >= SLICE_BYTES or n == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "page", "text", "issue"])
+                    rows, size = [], 0
+
+    return files.select("path", "content").mapInArrow(pages, "path string, page int, text string, issue string")
 
 
 def file_status(pages: DataFrame) -> DataFrame:
