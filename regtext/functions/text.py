@@ -241,18 +241,26 @@ def _any(lower: Column, signals: list[str]) -> Column:
 
 
 def article_type(text: Column) -> Column:
-    lower, out = F.lower(text), None
-    for name, signals in TYPES:
-        out = F.when(_any(lower, signals), name) if out is None else out.when(_any(lower, signals), name)
-    return out.otherwise("umum")
+    def named(lower: Column) -> Column:
+        out = None
+        for name, signals in TYPES:
+            out = F.when(_any(lower, signals), name) if out is None else out.when(_any(lower, signals), name)
+        return out.otherwise("umum")
+
+    return once(F.lower(text), named)
 
 
 def keywords(text: Column, kind: Column) -> Column:
     """Sorted distinct tags of an article of a kind."""
-    low = F.lower(text)
     tag = lambda condition, name: F.when(condition, F.lit(name))
-    sanctions = F.array(*(tag((kind == "sanksi") & low.contains(k), k) for k in TYPES[1][1]))
-    duty = F.array(*(tag((kind == "kewajiban_larangan") & _any(low, signals), name) for name, signals in DUTIES))
-    terms = F.when(kind == "definisi", F.concat(F.array(F.lit("definisi")), F.transform(F.slice(F.regexp_extract_all(text, F.lit(TERM), 1), 1, 3), lambda t: F.lower(strip(t))))).otherwise(F.array())
-    tags = F.array(*(tag(low.contains(k), k) for k in TAGS))
-    return F.array_sort(F.array_distinct(F.array_compact(F.concat(sanctions, duty, terms, tags))))
+    # a term is within a stretch of letters and blanks; only those that define one are searched
+    stretches = F.array_join(F.filter(F.split(text, r"[^a-zA-Z\s]+"), lambda x: x.contains("adalah")), ".")
+
+    def tagged(low: Column, kind: Column) -> Column:
+        sanctions = F.array(*(tag((kind == "sanksi") & low.contains(k), k) for k in TYPES[1][1]))
+        duty = F.array(*(tag((kind == "kewajiban_larangan") & _any(low, signals), name) for name, signals in DUTIES))
+        terms = F.when(kind == "definisi", F.concat(F.array(F.lit("definisi")), F.transform(F.slice(F.regexp_extract_all(stretches, F.lit(TERM), 1), 1, 3), lambda t: F.lower(strip(t))))).otherwise(F.array())
+        tags = F.array(*(tag(low.contains(k), k) for k in TAGS))
+        return F.array_sort(F.array_distinct(F.array_compact(F.concat(sanctions, duty, terms, tags))))
+
+    return once(F.struct(F.lower(text).alias("low"), kind.alias("kind")), lambda x: tagged(x["low"], x["kind"]))

@@ -82,3 +82,12 @@ def test_chapter_titles_need_the_first_two_lines_only(spark):
     first = lambda x: spark.createDataFrame([(x,)], "x string").select(parse.first_lines(F.col("x"))).first()[0]
     assert first("\n \nBAB I\n\u00a0\n Umum \nrest\n" + "z" * 1000) == "\n \nBAB I\n\u00a0\n Umum \n"
     assert first("BAB I Pasal 2") == "BAB I Pasal 2" and first("") == "" and first(" \n") in ("", " \n")
+
+
+def test_terms_of_long_texts_without_stops(spark):
+    texts = ["Ab " * 20_000 + "; Hak cipta adalah x. Izin\tUsaha  adalah y, Z adalah", "adalah Naskah 5 Surat Kuasa adalah adalah", "A adalah"]
+    began = time.time()
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string")
+    got = {r.k: r.tags for r in rows.select("k", t.keywords(F.col("x"), t.article_type(F.col("x"))).alias("tags")).collect()}
+    assert got == {0: ["definisi", "hak", "hak cipta", "izin\tusaha"], 1: ["definisi", "surat kuasa adalah"], 2: ["definisi"]}
+    assert time.time() - began < 20
