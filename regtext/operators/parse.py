@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regtext.functions.text import once, strip
+from regtext.functions.text import SPACE, once, strip
 
 # Patterns of structural lines.
 CHAPTER = r"(?i)^\s*BAB\s+([IVXLCDM]+|\d+)(?:\s+(.+))?$"
@@ -245,6 +245,11 @@ def law_headers(docs: DataFrame, text: str = "text") -> DataFrame:
 LEAD = 8
 
 
+def first_lines(text: Column) -> Column:
+    """A text up to the end of its second line that isn't blank."""
+    return F.regexp_extract(text, f"^(?:[{SPACE}]*+[^{SPACE}][^\n]*+\n?+){{0,2}}", 0)
+
+
 def law_articles(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per article of whole laws: doc_id, seq (from 0), pasal, bab, bab_title, start (from 1, in the body) and text without its header.
 
@@ -260,8 +265,9 @@ def law_articles(docs: DataFrame, text: str = "text") -> DataFrame:
     place = F.row_number().over(Window.partitionBy("doc_id", "chapter_start").orderBy("seq"))
     lead = inside.withColumn("place", place).where(F.col("place") <= LEAD).groupBy("doc_id", "chapter_start").agg(joined().alias("lead"), F.max("place").alias("places"))
     useful = lambda c: F.filter(F.transform(F.split(c, "\n", -1), strip), lambda x: x != "")
-    lead = lead.withColumn("open", (F.size(useful(F.col("lead"))) < 3) & (F.col("places") == LEAD))
-    more = inside.join(lead.where("open").select("doc_id", "chapter_start"), ["doc_id", "chapter_start"], "left_semi").groupBy("doc_id", "chapter_start").agg(joined().alias("more"))
+    # articles meet the first two lines of their chapter and no more of it
+    lead = lead.withColumn("open", (F.size(useful(F.col("lead"))) < 3) & (F.col("places") == LEAD)).withColumn("lead", first_lines(F.col("lead")))
+    more = inside.join(lead.where("open").select("doc_id", "chapter_start"), ["doc_id", "chapter_start"], "left_semi").groupBy("doc_id", "chapter_start").agg(first_lines(joined()).alias("more"))
     rows = rows.join(lead.drop("places", "open"), ["doc_id", "chapter_start"], "left").join(more, ["doc_id", "chapter_start"], "left")
     lines = useful(F.left(F.coalesce("more", "lead"), F.col("start") - F.col("chapter_start")))
     second = F.get(lines, F.lit(1))
