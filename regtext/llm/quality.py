@@ -39,8 +39,8 @@ HEAD, LEAST = 200_000, 5
 #: Labelled documents that the network is fitted on, at most.
 SAMPLE = 12_000
 HIDDEN, EPOCHS, BATCH, STEP, DECAY = 24, 40, 256, 0.01, 1e-4
-#: Words that a task knows at a time, and words of a text that are pooled at a time.
-_CACHE, _STRETCH = 300_000, 50_000
+#: Words that a task knows at a time, words of a text that are pooled at a time, and rows of sums that are added up and packed at a time.
+_CACHE, _STRETCH, _ROWS = 300_000, 50_000, 20_000
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
 
@@ -94,14 +94,17 @@ def _added(h: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray,
 
 
 def _sum_rows(h: np.ndarray, n: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows with the sums in the smallest numbers that hold them: half a byte each for rare words."""
-    most = np.abs(total).max(1, initial=0)
-    for kind, low, high in ((None, -1, 7), (np.int8, 7, 127), (np.int16, 127, 32767), (np.int64, 32767, np.inf)):
-        at = np.flatnonzero((most > low) & (most <= high))
-        for a in range(0, len(at), 20_000):
-            part = at[a : a + 20_000]
-            data = total[part].astype(kind) if kind else _halves(total[part])
-            yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(n[part]), pa.array([r.tobytes() for r in data], pa.binary())], ["h", "n", "sum"])
+    """Rows added up by hash, with the sums in the smallest numbers that hold them: half a byte each for rare words. A hash at the end of _ROWS goes on in the next."""
+    order = np.argsort(h, kind="stable")
+    for a in range(0, len(order), _ROWS):
+        at = order[a : a + _ROWS]
+        hashes, counts, sums = _added(h[at], n[at], total[at])
+        most = np.abs(sums).max(1, initial=0)
+        for kind, low, high in ((None, -1, 7), (np.int8, 7, 127), (np.int16, 127, 32767), (np.int64, 32767, np.inf)):
+            part = np.flatnonzero((most > low) & (most <= high))
+            if len(part):
+                data = sums[part].astype(kind) if kind else _halves(sums[part])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(counts[part]), pa.array([r.tobytes() for r in data], pa.binary())], ["h", "n", "sum"])
 
 
 def _halves(total: np.ndarray) -> np.ndarray:
@@ -119,18 +122,18 @@ def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emptied() -> Iterator[pa.RecordBatch]:
         # what stands beside a shape is what stands beside its words
         for hashes in (words.words, words.shapes):
-            yield from _sum_rows(*_added(hashes, n[: len(words)], total[: len(words)]))
+            yield from _sum_rows(hashes, n[: len(words)], total[: len(words)])
 
     words, n, total = Words(), np.zeros(0, np.int64), np.zeros((0, DIM), np.int32)
     for b in batches:
         texts = words.numbers(b.column(0).to_pylist())
         if len(words) > len(n):
-            more = len(words) - len(n) + 50_000
-            n, total = np.concatenate([n, np.zeros(more, np.int64)]), np.concatenate([total, np.zeros((more, DIM), np.int32)])
+            n.resize(len(words) + 50_000, refcheck=False)  # with zeros, and without a second copy
+            total.resize((len(words) + 50_000, DIM), refcheck=False)
         flat = np.concatenate([*texts, np.zeros(0, np.int64)])
         text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        for a in range(0, len(flat), 4 * _STRETCH):
-            here = np.arange(a, min(len(flat), a + 4 * _STRETCH))
+        for a in range(0, len(flat), _STRETCH):
+            here = np.arange(a, min(len(flat), a + _STRETCH))
             near = np.zeros((len(here), DIM), np.int8)
             for step in (-1, 1):
                 at = np.flatnonzero((here + step >= 0) & (here + step < len(flat)))
@@ -236,7 +239,8 @@ def pool(word: np.ndarray, n_bytes: int, words: Words, own: np.ndarray, shape: n
 
 def _pooled(known: Vectors):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, vectors = Words(), known.vectors.astype(np.float32) / 127
+        words, vectors = Words(), known.vectors.astype(np.float32)
+        vectors /= 127
         own = shape = np.zeros(0, np.int64)
         for b in batches:
             texts = b.column(1).to_pylist()

@@ -70,7 +70,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces.Pieces.load()
-    decoded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    decoded = pieces.encode(_table(spark, sf_dir, "documents"), vocabulary, decoded=True)
     return decoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.col("text") == F.col("decoded")).alias("round_trip"))
 
 

@@ -185,14 +185,15 @@ def encoder_of(pieces: Pieces) -> Encoder:
     return _ENCODERS[key]
 
 
-def _encode(pieces: Pieces):
+def _encode(pieces: Pieces, decoded: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(pieces)
         for b in batches:
             found = [encoder.encode(t or "") for t in b.column(1).to_pylist()]
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], ["id", "text", "ids"])
+            texts = [pa.array([encoder.decode(f.tolist()) for f in found], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids, *texts], ["id", "text", "ids", *["decoded"] * decoded])
 
     return run
 
@@ -210,11 +211,11 @@ def _decode(pieces: Pieces):
     return run
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and ids (array of int) of every row."""
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """id, text and ids (array of int) of every row; if asked for, also decoded, as decode() adds it, without a second worker that holds the vocabulary."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return map_batches(rows, _encode(pieces), schema)
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])])
+    return map_batches(rows, _encode(pieces, decoded), schema)
 
 
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:

@@ -41,7 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of pieces, their ids, and whether they decode to the text."""
     vocabulary = pieces.Pieces.load()
-    decoded = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    decoded = pieces.encode(docs, vocabulary, decoded=True)
     return decoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("text") == F.col("decoded")).alias("round_trip"))
 
 

@@ -203,6 +203,15 @@ def test_pieces_of_unspaced_text(spark):
         assert rows[i].ids[:50] == e.encode(t[:1000]).tolist()[:50]
 
 
+def test_pieces_are_decoded_where_they_are_made(spark):
+    from regtext.llm.stages import sentencepiece_encoding
+
+    p, docs = sv.Pieces.load(), frame(spark, [*ODD, "Hello  world", "ΑΒγ 漢字 🎉"])
+    assert sorted(sv.encode(docs, p, decoded=True).collect()) == sorted(sv.decode(sv.encode(docs, p), p).collect())
+    plan = sentencepiece_encoding(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # each more is a worker with a vocabulary of its own
+
+
 def test_pieces(spark):
     p = sv.Pieces.load()
     texts = [*ODD, "Hello  world", " lead and trail ", "line\n\nbreak\n", "tab\tsign!! 100%,", "ΑΒγ Жук 漢字 🎉"]
@@ -359,6 +368,25 @@ def test_word_vectors_against_brute_force(spark):
             assert np.abs(got.vectors[place[x]] - np.round(127 * rooted / max(1e-9, np.linalg.norm(rooted)))).max() <= 1
 
 
+def test_sums_leave_a_task_without_copies_of_all_of_them():
+    import tracemalloc
+
+    words = [f"w{k}" for k in range(120_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words).encode()])], ["text"])
+    tracemalloc.start()
+    rows, peak = sum(b.num_rows for b in quality._neighbours([batch])), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= 120_000 and peak < 100e6  # 70 MB, of which the sums are 22; with copies of all of them 135
+
+    h = np.tile(np.arange(7, dtype=np.uint64), 9000)
+    n, total = np.ones(63_000, np.int64), np.tile(np.arange(quality.DIM, dtype=np.int32), (63_000, 1))
+    got = [quality._sums(b) for b in quality._sum_rows(h, n, total)]
+    assert sum(c[0].size for c in got) <= 14  # a hash goes on at most where _ROWS end
+    for k in range(7):
+        assert sum(c[1][c[0] == k].sum() for c in got) == 9000
+        assert (sum(c[2][c[0] == k].sum(0) for c in got) == 9000 * np.arange(quality.DIM)).all()
+
+
 @pytest.mark.parametrize("step", [1, 2, 3, 7, 100])
 def test_words_that_go_on_in_the_next_batch(step):
     rng = np.random.default_rng(step)
