@@ -17,18 +17,23 @@ from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regtext.operators import retrieve
+
 #: Points that the centres are fitted on (all, if there are fewer).
 SAMPLE = 50_000
 #: Centres at most: they are kept in every task.
 MAX_LISTS = 16_384
 #: Points of a part of a list that are scored in one place.
 PART = 20_000
+#: Vectors that meet all centres at a time.
+ROWS = 1000
 NOWHERE = -1
 
 
@@ -79,8 +84,11 @@ def build(points: DataFrame, path: str, keys: Sequence[str] = ("kb", "chunk_id")
     def nearest(vectors: pd.Series) -> pd.Series:
         if not len(centres):
             return pd.Series([NOWHERE] * len(vectors))
-        units, good = _matrix(vectors, centres.shape[1])
-        return pd.Series(np.where(good, (units @ centres.T).argmax(axis=1), NOWHERE)).astype("int32")
+        out = np.full(len(vectors), NOWHERE, np.int32)
+        for a in range(0, len(vectors), ROWS):
+            units, good = _matrix(vectors.iloc[a : a + ROWS], centres.shape[1])
+            out[a : a + ROWS] = np.where(good, (units @ centres.T).argmax(axis=1), NOWHERE)
+        return pd.Series(out)
 
     spark = points.sparkSession
     points.withColumn("list", nearest(F.col(vector_col))).write.parquet(f"{path}/assigned")
@@ -108,23 +116,31 @@ def list_order(queries: DataFrame, index: Index, probes: int) -> DataFrame:
     def order(vectors: pd.Series) -> pd.Series:
         if not len(centres):
             return pd.Series([[] for _ in vectors])
-        units, good = _matrix(vectors, centres.shape[1])
-        near = np.argsort(-(units @ centres.T), axis=1, kind="stable")[:, :probes]
-        return pd.Series([row.tolist() if ok else [] for row, ok in zip(near, good, strict=True)])
+        out: list[np.ndarray] = []
+        for a in range(0, len(vectors), ROWS):
+            units, good = _matrix(vectors.iloc[a : a + ROWS], centres.shape[1])
+            near = np.argsort(-(units @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+            out.extend(row if ok else near[0, :0] for row, ok in zip(near, good, strict=True))
+        return pd.Series(out, dtype=object)
 
     return queries.withColumn("lists", order(F.col("embedding")))
 
 
+def _asked(queries: DataFrame, index: Index, probes: int, vector_col: str) -> DataFrame:
+    """queries once for each part of the lists that they read (list, part)."""
+    parts = F.create_map(*(F.lit(x) for n, p in enumerate(index.parts) if p > 1 for x in (n, p))) if any(p > 1 for p in index.parts) else None
+    asked = list_order(queries.withColumn("embedding", F.col(vector_col)), index, probes).withColumn("list", F.explode("lists"))
+    number = F.coalesce(F.try_element_at(parts, F.col("list")), F.lit(1)) if parts is not None else F.lit(1)
+    return asked.withColumn("part", F.explode(F.sequence(F.lit(0), number - 1))).select(*queries.columns, "list", "part")
+
+
 def scored(queries: DataFrame, index: Index, probes: int, threshold: float = -1.0, k: int | None = None, keys: Sequence[str] = ("kb", "chunk_id"), vector_col: str = "embedding") -> DataFrame:
     """query_id, keys, list and raw (cosine) of the points in the queries' lists that reach the threshold; with k, at least the best k of each query and part.
 
     Each part of a list meets the queries that read it in one place, as two matrices.
     """
     dim = index.centres.shape[1] if len(index.centres) else 0
-    parts = F.create_map(*(F.lit(x) for n, p in enumerate(index.parts) if p > 1 for x in (n, p))) if any(p > 1 for p in index.parts) else None
-    asked = list_order(queries.select("query_id", F.col("embedding").alias("embedding")), index, probes).withColumn("list", F.explode("lists"))
-    number = F.coalesce(F.try_element_at(parts, F.col("list")), F.lit(1)) if parts is not None else F.lit(1)
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), number - 1))).select("query_id", F.col("embedding").alias("asked"), "list", "part")
+    asked = _asked(queries.select("query_id", F.col("embedding").alias("asked")), index, probes, "asked")
     stored = index.points.where(F.col("list") >= 0).select(*keys, F.col(vector_col).alias("vector"), "list", "part")
 
     def score(key: tuple, points: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
@@ -167,9 +183,29 @@ def tuned(queries: DataFrame, index: Index, k: int, recall: float = 0.95, keys:
     return 1
 
 
-def candidate_pairs(queries: DataFrame, index: Index, probes: int, threshold: float, keys: Sequence[str] = ("kb", "chunk_id")) -> DataFrame:
-    """What retrieve.scored gives (points' columns, q_ columns of the filters, raw), from the lists that the queries read."""
+def candidate_pairs(queries: DataFrame, index: Index, probes: int, threshold: float, keys: Sequence[str] = ("kb", "chunk_id"), fetch: int | None = None) -> DataFrame:
+    """What retrieve.scored gives (points' columns, q_ columns of the filters, raw), from the lists that the queries read.
+
+    With fetch it is what retrieve.best_pairs gives: of each part only the best so many of each query and tier, all that tiered() looks at.
+    """
+    if fetch is not None:
+        return _best_pairs(queries, index, probes, threshold, fetch)
     hits = scored(queries, index, probes, threshold, keys=keys).drop("list")
     lean = index.points.drop("content", "embedding", "list", "part")
-    filters = queries.select("query_id", *(F.col(c).alias(f"q_{c}") for c in ("section", "pasal", "ayat")))
+    filters = queries.select("query_id", *(F.col(c).alias(f"q_{c}") for c in retrieve.FILTERS))
     return hits.join(lean, list(keys)).join(filters, "query_id")
+
+
+def _best_pairs(queries: DataFrame, index: Index, probes: int, threshold: float, fetch: int) -> DataFrame:
+    asked = _asked(queries.select("query_id", *(F.col(c).alias(f"q_{c}") for c in ("embedding", *retrieve.FILTERS))), index, probes, "q_embedding")
+    stored = index.points.where(F.col("list") >= 0).drop("content")
+    kept = [*stored.drop("embedding", "list", "part").schema, *asked.drop("q_embedding", "list", "part").schema, T.StructField("raw", T.DoubleType())]
+    names = [f.name for f in kept]
+
+    def best(points: pa.Table, wanted: pa.Table) -> pa.Table:
+        points, wanted = points.drop_columns(["list", "part"]).combine_chunks(), wanted.drop_columns(["list", "part"]).combine_chunks()
+        found = retrieve.best_of(wanted, retrieve.TIERS, fetch, False, threshold, "chunk_id")(points.to_batches()) if len(points) and len(wanted) else ()
+        empty = pa.table({**{c: points[c].slice(0, 0) for c in points.column_names}, **{c: wanted[c].slice(0, 0) for c in wanted.column_names}, "raw": pa.array([], pa.float64())})
+        return pa.concat_tables([empty.select(names), *(pa.Table.from_batches([b]).select(names) for b in found)])
+
+    return stored.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(best, T.StructType([T.StructField(f.name, f.dataType) for f in kept]))

@@ -45,7 +45,7 @@ def vec_index_recall(spark: SparkSession, sf: str) -> DataFrame:
 def vec_index_search(spark: SparkSession, sf: str) -> DataFrame:
     """The whole search (tiers, cut, boosts) over candidates of the index: only the lists near a query are read."""
     index, probes = _built(spark, sf)
-    pairs = vector_index.candidate_pairs(asked(spark, sf), index, probes, rt.THRESHOLD)
+    pairs = vector_index.candidate_pairs(asked(spark, sf), index, probes, rt.THRESHOLD, fetch=15)
     return rt.boosted(rt.cut_relative(rt.tiered(pairs, 15), 5)).select("query_id", "chunk_id", "tier", "score", "exact_pasal", "rank")
 
 

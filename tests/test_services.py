@@ -98,6 +98,19 @@ def test_index_finds_what_all_pairs_find(spark, tmp_path, monkeypatch):
     assert found.count() == 60
 
 
+def test_index_keeps_the_best_of_each_query(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [("kb", f"c{k:03}", "p", str(k % 2), k % 3, k % 5, f"text {k}", (rng.standard_normal(8) + 1).tolist()) for k in range(600)]
+    points = spark.createDataFrame(rows, "kb string, chunk_id string, parent_id string, section string, pasal int, ayat int, content string, embedding array<double>").withColumn("pasal_rujukan", F.lit(None).cast("int"))
+    queries = spark.createDataFrame([(k, [1.0] * k + [0.5] * (8 - k), *f) for k, f in enumerate([("1", 2, 3), (None, 99, None), (None, None, None), ("0", 1, 9)])], "query_id int, embedding array<double>, section string, pasal int, ayat int")
+    index = vector_index.build(points, f"file://{tmp_path}/index", lists=5)
+    lists = len(index.centres)
+    few, every = (vector_index.candidate_pairs(queries, index, lists, 0.15, fetch=n) for n in (4, None))
+    shown = lambda pairs: sorted((r.query_id, r.chunk_id, r.tier, r["rank"]) for r in retrieve.tiered(pairs, 4).collect())
+    assert shown(few) == shown(every) and len(shown(every)) == 16
+    assert few.count() <= 4 * lists * 4 * 3 < every.count()
+
+
 def test_index_of_nothing(spark, tmp_path):
     points = spark.createDataFrame([("kb", "c", None)], "kb string, chunk_id string, embedding array<double>")
     index = vector_index.build(points, f"file://{tmp_path}/index")
