@@ -2,19 +2,25 @@
 
 1. Every text becomes a set of 64-bit n-gram hashes. Texts with equal sets form a class, which goes on as one
    set; a map task that meets a set again sends nothing for it.
-2. Global order: rare grams first. The document frequency is counted for grams in a fixed share of the hash
+2. Candidates at PARTS_FROM percent and above: a set is cut into parts by ranges of the hash space, one more than grams by
+   which similar sets of its band of sizes can differ, so two that are similar have a part in common, gram by gram.
+   Hashes of parts are what is exchanged. By chance sets share single grams, and the more of them the larger the
+   corpus is; they seldom share a part of six, so what follows grows with the near copies only.
+   Below that, parts would be too small. There the global order is: rare grams first. The document frequency is counted
+   for grams in a fixed share of the hash
    space, which always holds a set's prefix (its first n - ceil(needed overlap) + 1 grams: two sets that are
    similar enough share a gram of both prefixes); grams beyond that share come later, in order of their hash.
-   Postings are exchanged as packed arrays. A gram that is frequent within one map task's block sends a mark
+   Postings are exchanged as packed arrays. A gram (or part) that is frequent within one map task's block sends a mark
    instead of its postings and comes last in the order, so no hot gram is collected anywhere.
-3. Sets of similar size whose prefixes share a gram are candidates: star edges from the least set of each gram
-   and band of sizes, then connected components. Most sets have only grams of their own in their prefix and end here.
+3. Sets of similar size that share a part, or a gram of their prefixes, are candidates: star edges from the least set of
+   each, then connected components. Most sets have only parts or prefix grams of their own and end here.
+   Only texts that a bitmap of the candidates' ids lets through move.
 4. The sets of a candidate component are stored in a trie (split into blocks of bounded size). All sets that meet in a
    block stand in one order, rare grams of the block first and ties by hash. A set enters the trie where a gram of its prefix
    stands in a stored prefix and goes down sharing the overlap of common beginnings; subtrees end by the
    remaining-length bound and where all is linked already.
 5. A component of more than two blocks is joined block by block with itself and block 0. What its largest group has
-   not taken in then meets the sets with which it shares a gram of both prefixes, in blocks again, grams with equal
+   not taken in then meets the sets with which it shares a part or a gram of both prefixes, in blocks again, those with equal
    lists of sets once; so a component that hangs together by chance is not joined block by block.
 6. Links between classes give the final components; every document takes that of its class.
 
@@ -27,9 +33,10 @@ another set are read and left out again where the sets are compared.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
-from math import ceil
+from math import ceil, floor
 
 import numpy as np
 import pandas as pd
@@ -41,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regtext.llm.components import components
-from regtext.llm.support import LOWER, join_hot, map_batches, materialise, partitions, text_bytes, with_row_key
+from regtext.llm.support import LOWER, join_hot, map_batches, marked, materialise, partitions, remove, shared_dir, text_bytes, with_row_key
 
 #: Postings of a gram within one flush of a map task from which the gram counts as hot.
 HOT = 64
@@ -51,8 +58,12 @@ FLUSH = 1_500_000
 BLOCK_GRAMS = 1_000_000
 #: Frequency class of hot grams: behind all others of the counted share; those beyond the share come after them.
 LAST = 1 << 40
-
-
+#: Percent of similarity from which sets are searched by their parts.
+PARTS_FROM = 85
+#: Largest over smallest size of a band, as a power of 1 / t: narrow bands send more sets twice, wide ones make small parts.
+BAND = 3
+#: Grams of a part that may be left out, and the share of parts that are there to make up for it.
+SMALL, SPARE = 1, 0.04
 
 
 class WordHash(dict):
@@ -88,7 +99,9 @@ class Bounds:
         self.t = Fraction(percent, 100)
         # the share of the hash space that is counted: somewhat more than a prefix
         self.share = min(1.0, float(1 - self.t) * 1.25 + 0.01)
-        self.edge = np.uint64(min((1 << 32) - 1, int(self.share * 2**32)) << 32)
+        self.by_parts = percent >= PARTS_FROM
+        self.edge = np.uint64((1 << 32) - 1 if self.by_parts else min((1 << 32) - 1, int(self.share * 2**32))) << np.uint64(32)
+        self.firsts = [1]  # the smallest size of each band
 
     def prefix(self, size: int) -> int:
         return size - ceil(self.t * size) + 1
@@ -98,10 +111,45 @@ class Bounds:
         return ceil(self.t * (a + b) / (1 + self.t))
 
     def sent(self, grams: np.ndarray) -> np.ndarray:
-        """The grams of a set that take part in the search: all in the counted share, and the prefix at least."""
+        """The hashes of a set that take part in the search: of its parts, or all grams in the counted share, and the prefix at least."""
+        if self.by_parts:
+            return self.parts(grams)
         return grams[: max(int(np.searchsorted(grams, self.edge)), self.prefix(len(grams)))] if len(grams) else grams
 
 
+    def band(self, size: int) -> int:
+        while self.firsts[-1] <= size:
+            self.firsts.append(max(self.firsts[-1] + 1, ceil(self.firsts[-1] / self.t**BAND)))
+        return bisect_right(self.firsts, size) - 1
+
+    def differ(self, band: int) -> int:
+        """The most grams that are in one of two similar sets only, where the smaller one is in this band."""
+        most = self.firsts[band + 1] - 1
+        return floor((most + floor(most / self.t)) * (1 - self.t) / (1 + self.t))
+
+    def parts(self, grams: np.ndarray) -> np.ndarray:
+        """Hashes of a set's parts, in its band and in those of smaller sets that may be similar.
+
+        Of d + 1 + s parts, similar sets have 1 + s alike, where they differ by d grams at most. So a set may leave out its
+        parts of SMALL grams or less, if there are no more than s: one of those alike is larger then, and the other set has it too.
+        """
+        size, out = len(grams), []
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(grams))])
+        for band in range(self.band(ceil(self.t * size)), self.band(size) + 1) if size else ():
+            differ = self.differ(band)
+            if not differ:  # similar sets are equal, and these are one class
+                continue
+            spare = int(SPARE * (differ + 1) + 0.5)
+            number = differ + 1 + spare
+            counts = np.bincount(((grams >> np.uint64(32)) * np.uint64(number) >> np.uint64(32)).astype(np.int64), minlength=number)
+            ends = np.cumsum(counts)
+            held = _mix(sums[ends] - sums[ends - counts] + np.uint64(band + 1))
+            held = _mix(held + np.arange(number, dtype=np.uint64))
+            small = counts <= SMALL
+            out.append(held[~small] if small.sum() <= spare else held)
+        return np.concatenate([np.zeros(0, np.uint64), *out])
+
+
 def set_key(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes(), seed=len(grams)) - (1 << 63)
 
@@ -214,13 +262,25 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(classes: DataFrame, bounds: Bounds, buckets: int, hot: int, flush: int) -> tuple[DataFrame, DataFrame]:
-    """Star edges (a, b) between nodes whose sets have prefixes that share a gram, and the prefixes (gram, band, key, node).
+    """Star edges (a, b) between nodes whose sets share a part or a gram of their prefixes, and these (gram, band, key, node).
 
-    A node is a set in one band of sizes: similar sets are in the same band or in neighbouring ones, so each
-    set stands in its own band and in the one below, and sets of different sizes don't meet.
+    By parts, a node is a set, and parts of different bands differ. By prefixes, a node is a set in one band of sizes: similar
+    sets are in the same band or in neighbouring ones, so each set stands in its own band and in the one below, and sets of
+    different sizes don't meet.
     """
     packed = map_batches(classes.select("key", "sent"), _postings(buckets, bounds.edge, hot, flush), _PACKED)
     shared = map_batches(packed.repartitionById(buckets, F.col("bucket")), _shared, _SHARED)
+    if bounds.by_parts:
+        kept = shared.select("key", F.lit(0).alias("band"), "gram", F.col("key").alias("node")).distinct()
+    else:
+        kept = _prefixes(classes, shared, bounds)
+    kept = materialise(kept, "prefixes")
+    hubs = kept.groupBy("gram", "band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
+    return kept.join(hubs, ["gram", "band"]).where("a <> node").select("a", F.col("node").alias("b")), kept
+
+
+def _prefixes(classes: DataFrame, shared: DataFrame, bounds: Bounds) -> DataFrame:
+    """key, band, gram, node: the grams of prefixes that several sets have."""
     # of a set's grams that are sent, those that no other set has come first
     sizes = classes.select("key", "n", (F.octet_length("sent") / 8).cast("long").alias("sent"))
     t = float(bounds.t)
@@ -233,9 +293,7 @@ def _candidates(classes: DataFrame, bounds: Bounds, buckets: int, hot: int, flus
     band = F.floor(F.log(F.col("n")) / F.lit(float(width))).cast("int")
     kept = kept.select("key", band.alias("band"), F.explode(F.slice(F.array_sort("grams"), F.lit(1), F.col("left"))).alias("g"))
     kept = kept.select("key", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("g.gram").alias("gram"))
-    kept = materialise(kept.withColumn("node", F.xxhash64("key", "band")), "prefixes")
-    hubs = kept.groupBy("gram", "band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
-    return kept.join(hubs, ["gram", "band"]).where("a <> node").select("a", F.col("node").alias("b")), kept
+    return kept.withColumn("node", F.xxhash64("key", "band"))
 
 
 class Trie:
@@ -411,16 +469,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounds = Bounds(percent)
     rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
     kind = rows.schema["id"].dataType
-    sets = materialise(map_batches(rows, _sets(n, percent), T.StructType([T.StructField("id", kind), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sent", T.BinaryType())])), "sets")
-    grams = sets.agg(F.sum(F.octet_length("sent"))).first()[0] or 0
-    edges, prefixes = _candidates(sets.where("sent is not null"), bounds, max(partitions(spark), ceil(grams / (32 << 20))), hot, flush)
+    whole, path = T.StructType([T.StructField("id", kind), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sent", T.BinaryType())]), shared_dir(spark, "sent")
+    map_batches(rows, _sets(n, percent), whole).write.parquet(path)
+    sent = spark.read.schema(whole).parquet(path)
+    grams = sent.agg(F.sum(F.octet_length("sent"))).first()[0] or 0
+    edges, prefixes = _candidates(sent.where("sent is not null"), bounds, max(partitions(spark), ceil(grams / (32 << 20))), hot, flush)
     nodes = prefixes.select("node", "key").distinct()
     candidates = components(edges).withColumnRenamed("root", "cluster").join(nodes, "node").select("cluster", "key").distinct()
+    # what the search was made from goes, before texts move
+    sets = materialise(sent.drop("sent"), "sets")
+    remove(spark, path)
     # one document stands for each class; clusters above the size of a block are cut into several
     stands = sets.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     picked = materialise(candidates.join(stands, "key"), "candidates")
     picked = _blocked(picked, block_grams)
-    members = materialise(rows.where("id is not null").join(picked.drop("n"), "id"), "members")
+    members = materialise(marked(rows, picked, "id").join(picked.drop("n"), "id"), "members")
     # first round: every block with itself and with block 0
     zero, block = F.lit(0), F.col("block")
     own = F.array(_pair(block, block, 2))

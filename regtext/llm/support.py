@@ -30,6 +30,8 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 o
 SLICE_BYTES, SLICE_ROWS = 8 << 20, 2000
 #: A key with more than one row in HOT is hot, so there are fewer than HOT of them.
 HOT = 256
+#: Bits of the map that tells which rows a join may need.
+MARKS = 1 << 24
 
 #: The tables written inside a scratch(), of this thread alone; none are noted outside.
 _WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
@@ -126,6 +128,15 @@ def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return out.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left")) if hot else out
 
 
+def marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows with a key, but for most of those whose key wanted has not: a bitmap of fixed size is broadcast, so these need not move for a join."""
+    place = lambda name: F.pmod(F.xxhash64(name), F.lit(MARKS))
+    slot, bit = fresh(rows.columns, "slot"), fresh(rows.columns, "bits")
+    bits = wanted.select(place(key).alias("p")).groupBy(F.shiftright("p", 6).alias(slot)).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias(bit))
+    found = rows.where(F.col(key).isNotNull()).withColumn(slot, F.shiftright(place(key), 6)).join(F.broadcast(bits), slot)
+    return found.where(F.getbit(bit, (place(key) % 64).cast("int")) == 1).drop(slot, bit)
+
+
 def text_bytes(column: str | Column) -> Column:
     """A text column as UTF-8 bytes; null as empty."""
     c = F.col(column) if isinstance(column, str) else column
